@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import COMMON_WORDS
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5 = r"""
@@ -72,4 +74,43 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """.replace("{lower}", _LOWER)
 
-ORACLES = {"op5_minhash": OP5, "op7_mixing": OP7, "op9_decontamination": OP9}
+_LISTS = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON_WORDS.items()) + " ELSE []::VARCHAR[] END"
+OP3 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), c AS (
+  SELECT *, {lists} AS commons, [len(regexp_extract_all(text, p)) FOR p IN ['[\x20\x09-\x0D]', '[A-Z]', '[0-9]', '[#*$%&|<>]', '[.,;:!?\x27\x22()\-]', '[^\x00-\x7F]']] AS k FROM t
+), g AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS times
+      FROM (SELECT doc_id, i, ws[i:i+4] AS w FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM t WHERE len(ws) > 5))
+    ) WHERE times > 1) GROUP BY doc_id
+), h AS (
+  SELECT *, list_append(k, length(text) - list_sum(k)) AS classes, list_append(m, len(ws) - coalesce(list_sum(m), 0)) AS hist
+  FROM (SELECT *, [len(list_filter(ws, lambda w: lower(w) = x)) FOR x IN commons] AS m FROM c)
+), r AS (
+  SELECT lang, count(*) AS docs, sum(len(ws)) AS words, list(classes) AS cs, list(hist) AS hs FROM h GROUP BY lang
+), q AS (
+  SELECT lang, words, [list_sum([x[i] FOR x IN cs]) FOR i IN range(1, len(cs[1]) + 1)] AS qc, [list_sum([x[i] FOR x IN hs]) FOR i IN range(1, len(hs[1]) + 1)] AS qh FROM r
+), d AS (
+  SELECT h.doc_id, len(ws) AS n, length(text) - k[1] AS word_chars, k[4] AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, q.words,
+         [x / list_sum(classes)::DOUBLE FOR x IN classes] AS pc, [x / list_sum(qc)::DOUBLE FOR x IN qc] AS rc,
+         [x / list_sum(hist)::DOUBLE FOR x IN hist] AS ph, [x / list_sum(qh)::DOUBLE FOR x IN qh] AS rh
+  FROM h JOIN q USING (lang)
+), e AS (
+  SELECT d.*, coalesce(g.n, 0) AS n_repeat,
+         sqrt(greatest(list_sum([CASE WHEN pc[i] > 0 THEN pc[i] * log2(pc[i] / ((pc[i] + rc[i]) / 2)) ELSE 0 END + CASE WHEN rc[i] > 0 THEN rc[i] * log2(rc[i] / ((pc[i] + rc[i]) / 2)) ELSE 0 END FOR i IN range(1, len(pc) + 1)]) / 2, 0)) AS dc,
+         sqrt(greatest(list_sum([CASE WHEN ph[i] > 0 THEN ph[i] * log2(ph[i] / ((ph[i] + rh[i]) / 2)) ELSE 0 END + CASE WHEN rh[i] > 0 THEN rh[i] * log2(rh[i] / ((ph[i] + rh[i]) / 2)) ELSE 0 END FOR i IN range(1, len(ph) + 1)]) / 2, 0)) AS dw
+  FROM d LEFT JOIN g USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
+       n < 10 OR 100 * n_repeat > 20 * n AS base_failed,
+       NOT (n < 10 OR 100 * n_repeat > 20 * n) AND (n < 50 OR words < 1000 OR (dc <= 0.14 + 1.3 / sqrt(n) AND dw <= 0.08 + 2.4 / sqrt(n))) AS kept
+FROM e
+""".replace("{lists}", _LISTS)
+
+ORACLES = {"op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op9_decontamination": OP9}
