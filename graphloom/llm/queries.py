@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, quality_rules
+from . import decontam, minhash, mixing, quality_classifier, quality_rules, url_filters
 from .sql import ORACLES  # noqa: F401
 
 
@@ -13,6 +13,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The fixed host and path rules of the query.
+PREFIX_RULES = [url_filters.PrefixRule(*x) for x in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filters.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), _read(spark, sf_dir, "labels"), PREFIX_RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -23,6 +32,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_classifier.score(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), _read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.round("_evidence", 6).alias("evidence"), F.round("_prior", 6).alias("prior"), F.round("_posterior", 6).alias("posterior"), F.col("_kept").alias("kept"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.expected(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
@@ -34,4 +48,4 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_minhash, op7_mixing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op9_decontamination)}
