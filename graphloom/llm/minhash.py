@@ -4,11 +4,12 @@ Each document gets two small collections of SIDE keys, each key a run of ROWS mi
 (i, j) is keyed by the pair (key i of the first collection, key j of the second).  SIDE * SIDE
 tables so cost 2 * SIDE * ROWS minhashes, about the square root of what separate bands would.
 A pair of similarity s meets unless all keys of one side differ: (1 - s**ROWS)**SIDE twice; for
-0.85, 12 and 3 that is 2e-5.
+0.85, 14 and 4 that is 6e-5.
 
-Equal sets are one class from the start.  Within a bucket, members are first linked in stars and
-components found; only pairs of members that are in different components by then are still open,
-and all of those are confirmed too, so components are those of all pairs that meet.
+Equal sets are one class from the start.  Classes that meet in any bucket form clusters; within a
+cluster all pairs are confirmed, block against block in matrix products, so that neither a group's
+pairs become rows nor a large cluster meets in one task.  Each pair of blocks gives a spanning
+forest of its links, and components of these are those of all links.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from . import text as tx
 from .components import connected_components
 from .scratch import table
 
-SIDE, ROWS, SHINGLE, PERCENT = 12, 3, 5, 85
+SIDE, ROWS, SHINGLE, PERCENT = 14, 4, 5, 85
+#: A block holds about so many classes and shingles.
+BLOCK_CLASSES, BLOCK_SHINGLES, COLUMNS = 512, 300_000, 4096
 SEEDS = np.array([(0xA0761D6478BD642F * (2 * i + 3) ** 3) % (1 << 64) | 1 for i in range(2 * SIDE * ROWS)], np.uint64)
 
 
@@ -68,34 +71,67 @@ def _sets(id_col: str, text_col: str):
     return run
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def forest(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of the graph of alike pairs between the sets numbered ``left`` and ``right`` (the same: within)."""
+    sizes = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    number = np.cumsum(held > 1) - 1
+    rows, column = rows[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for at in range(0, int((held > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        sides = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            m = np.zeros((n, COLUMNS), np.float32)
+            p = place[side, rows[a:b]]
+            m[p[p >= 0], column[a:b][p >= 0] - at] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    both = both.astype(np.int64)
+    alike = 100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)
+    out, open_ = [], np.ones(len(sets), bool)
+    for seed in left:
+        if not open_[seed]:
+            continue
+        open_[seed], reached, edge = False, [seed], np.array([seed])
+        while len(edge):
+            l, r = place[0, edge], place[1, edge]
+            near = np.zeros(len(sets), bool)
+            near[right[alike[l[l >= 0]].any(0)]] = True
+            near[left[alike[:, r[r >= 0]].any(1)]] = True
+            edge = np.flatnonzero(near & open_)
+            open_[edge] = False
+            reached.extend(edge.tolist())
+        out += [(int(ids[seed]), int(ids[x])) for x in reached[1:]]
+    return out
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are alike enough."""
-    u = sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u"))
-    v = sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v"))
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirmed, "u long, v long")
+def _forest(group: pa.Table) -> pa.Table:
+    ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+    low, high = own.min(), own.max()
+    links = forest(ids, sets, np.flatnonzero(own == low), np.flatnonzero(own == high)) if low == group.column("i")[0].as_py() and high == group.column("j")[0].as_py() else []
+    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, n): the members of each table's buckets of two classes or more.
+def _met(classes: DataFrame) -> DataFrame:
+    """(u, v): each class with the least class of every bucket that it shares.
 
     A side's keys that nobody shares can't be half of a shared pair, so pairs are formed of shared keys only.
     """
-    sides = classes.select("id", "n", F.posexplode("bands").alias("i", "key"))
+    sides = classes.select("id", F.posexplode("bands").alias("i", "key"))
     shared = sides.groupBy("key").count().where("count > 1").select("key")
-    sides = sides.join(shared, "key", "left_semi").groupBy("id", "n").agg(*[F.collect_list(F.when(half, F.col("key"))).alias(x) for x, half in (("a", F.col("i") < SIDE), ("b", F.col("i") >= SIDE))])
-    keys = sides.select("id", "n", F.explode("a").alias("a"), "b").select("id", "n", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "id", "n")
+    sides = sides.join(shared, "key", "left_semi").groupBy("id").agg(*[F.collect_list(F.when(half, F.col("key"))).alias(x) for x, half in (("a", F.col("i") < SIDE), ("b", F.col("i") >= SIDE))])
+    keys = sides.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "id")
     keys = table(keys, "bands")
-    return table(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "buckets")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,31 +144,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = table(rows.mapInArrow(_signatures("id", "text"), "id long, n long, print binary, bands array<long>"), "signatures")
     known = signs.where("id is not null and n > 0")
     classes = known.groupBy("print").agg(F.min(F.struct("id", "n", "bands")).alias("c")).select("print", "c.*")
-    buckets = _buckets(classes)
-    wanted = buckets.select("id").distinct()
-    sets = table(rows.join(wanted, "id", "left_semi").mapInArrow(_sets("id", "text"), "id long, shingles binary"), "sets")
-    likely = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
-
-    # stars about the smallest and the largest member, and about one by hash
-    hubs = buckets.groupBy("key").agg(*[f(F.struct(o.alias("o"), F.col("id"), F.col("n"))).alias(x) for x, f, o in (("h0", F.min, F.col("id")), ("h1", F.max, F.xxhash64("id")), ("h2", F.min, F.xxhash64("id", F.lit(1))))])
-    stars = buckets.join(hubs, "key").select(F.col("id"), "n", F.explode(F.array("h0", "h1", "h2")).alias("h")).where(F.col("id") != F.col("h.id")).where(likely(F.col("n"), F.col("h.n")))
-    tried = table(stars.select(F.least("id", "h.id").alias("u"), F.greatest("id", "h.id").alias("v")).distinct(), "tried")
-    links = table(_confirm(tried, sets), "links")
-    found = connected_components(links)
-
-    # members of one bucket that are still apart
-    placed = table(buckets.join(found, buckets.id == found.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("part")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    apart = placed.join(mixed, "key", "left_semi")
-    x, y = (apart.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "part")]) for s in "xy")
-    pairs = x.join(y, "key").where("id_x < id_y and part_x <> part_y").where(likely(F.col("n_x"), F.col("n_y")))
-    pairs = pairs.select(F.col("id_x").alias("u"), F.col("id_y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = table(_confirm(pairs, sets), "links")
+    clusters = table(connected_components(_met(classes)).join(classes.select(F.col("id").alias("node"), "n"), "node").select(F.col("node").alias("id"), "n", F.col("component").alias("cluster")), "clusters")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    members = clusters.join(blocks, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("own")).distinct()
+    sets = rows.join(clusters.select("id"), "id", "left_semi").mapInArrow(_sets("id", "text"), "id long, shingles binary")
+    dealt = members.join(sets, "id").select("id", "cluster", "own", "shingles", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("id", "cluster", "own", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    links = table(dealt.groupBy("cluster", "i", "j").applyInArrow(_forest, "u long, v long"), "links")
 
     # equal sets and rows of one id hang together; then everything at once
     firsts = known.join(classes.select("print", F.col("id").alias("first")), "print").select("id", "first")
     same = firsts.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
-    all_ = connected_components(links.unionByName(more).unionByName(same))
+    all_ = connected_components(links.unionByName(same))
     out = signs.select("id", F.col("n").alias("n_shingles"))
     out = out.join(all_, out.id == all_.node, "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
