@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, quality_classifier, quality_rules, url_filters
+from . import decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filters
 from .sql import ORACLES  # noqa: F401
 
 
@@ -13,6 +13,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_links").alias("n_links"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: The fixed host and path rules of the query.
 PREFIX_RULES = [url_filters.PrefixRule(*x) for x in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))]
 
@@ -48,4 +53,4 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op9_decontamination)}

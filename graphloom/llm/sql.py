@@ -74,6 +74,34 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """.replace("{lower}", _LOWER)
 
+OP1 = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line, raw
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents)
+), l AS (
+  SELECT line, translate(line, 'éóèñüçäöêßíÉÈÑÓÇÊÜÖÄÍáúÁÚàÀâî', {codes}) AS bytes, length(line) AS n, min((doc_id, no)) AS first
+  FROM o WHERE length(line) >= 20 GROUP BY line
+), e AS MATERIALIZED (
+  SELECT x.line AS a, y.line AS b FROM l x JOIN l y ON y.n BETWEEN x.n - 2 AND x.n + 2 AND x.line <> y.line
+  WHERE abs(length(replace(x.line, 'e', '')) - length(replace(y.line, 'e', ''))) <= 2
+    AND abs(length(replace(x.line, 't', '')) - length(replace(y.line, 't', ''))) <= 2
+    AND levenshtein(x.bytes, y.bytes) <= 2
+), r AS (
+  SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), k AS (
+  SELECT l.line, coalesce(min(f.first), min(l.first)) AS stay, (SELECT count(*) FROM e WHERE e.a = l.line) AS links
+  FROM l LEFT JOIN r ON r.a = l.line LEFT JOIN l f ON f.line = r.b GROUP BY l.line
+), j AS (
+  SELECT o.doc_id, o.no, o.raw, k.line IS NOT NULL AS judged, coalesce(k.links, 0) AS links, k.line IS NOT NULL AND (o.doc_id, o.no) <> k.stay AS gone
+  FROM o LEFT JOIN k ON k.line = o.line
+), d AS (
+  SELECT doc_id, count(*) FILTER (judged) AS n_lines, sum(links) AS n_links, count(*) FILTER (gone) AS n_dropped, string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone) AS kept
+  FROM j GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(d.n_lines, 0)::BIGINT AS n_lines, coalesce(d.n_links, 0)::BIGINT AS n_links, coalesce(d.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(d.kept, '')) AS kept_sha256
+FROM documents t LEFT JOIN d USING (doc_id)
+""".replace("{codes}", " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32), *map(ord, "{}~")]))  # one byte for each letter beyond ASCII: levenshtein here counts bytes
+
 _LISTS = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON_WORDS.items()) + " ELSE []::VARCHAR[] END"
 OP3 = r"""
 WITH t AS (
@@ -113,4 +141,4 @@ SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols
 FROM e
 """.replace("{lists}", _LISTS)
 
-ORACLES = {"op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op9_decontamination": OP9}
+ORACLES = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op9_decontamination": OP9}
