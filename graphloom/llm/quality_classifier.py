@@ -64,6 +64,27 @@ def term_sets(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True)]
 
 
+def read(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Term sets and shapes of all texts, block by block."""
+    sets, rows = [], [np.zeros((0, SHAPES))]
+    for block in tx.blocks(iter(pa.table({"t": column}).to_batches()), "t"):
+        sets += term_sets(block.column("t"))
+        rows.append(shapes(block.column("t")))
+    return sets, np.concatenate(rows)
+
+
+def design(sets: list[np.ndarray], rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """One row for each text: presence of the terms, shapes, a constant."""
+    x = np.zeros((len(sets), len(terms) + SHAPES + 1), np.float32)
+    for i, s in enumerate(sets):
+        if len(terms) and len(s):
+            at = np.minimum(np.searchsorted(terms, s), len(terms) - 1)
+            x[i, at[terms[at] == s]] = 1
+    x[:, len(terms) : -1] = rows
+    x[:, -1] = 1
+    return x
+
+
 @dataclass
 class Classifier:
     terms: np.ndarray  # sorted hashes
@@ -72,43 +93,32 @@ class Classifier:
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """Log odds of bad for each text, over the training odds."""
-        return design(column, self.terms) @ self.weights - math.log(self.base / (1 - self.base))
-
-
-def design(column: pa.Array, terms: np.ndarray) -> np.ndarray:
-    sets = term_sets(column)
-    x = np.zeros((len(sets), len(terms) + SHAPES + 1))
-    for i, s in enumerate(sets):
-        if len(terms) and len(s):
-            at = np.minimum(np.searchsorted(terms, s), len(terms) - 1)
-            x[i, at[terms[at] == s]] = 1
-    x[:, len(terms) : -1] = shapes(column)
-    x[:, -1] = 1
-    return x
+        return design(*read(column), self.terms) @ self.weights - math.log(self.base / (1 - self.base))
 
 
 def fit(column: pa.Array, bad: np.ndarray) -> Classifier:
     """Chooses the terms that part the classes most (chi-square), then ridge logistic regression by Newton steps."""
     bad = bad.astype(float)
     base = min(max(bad.mean(), 1e-3), 1 - 1e-3) if len(bad) else 0.5
-    sets = term_sets(column)
+    sets, rows = read(column)
     hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     terms, at = np.unique(hashes, return_inverse=True)
-    n, k = np.bincount(at, minlength=len(terms)), np.bincount(at, bad[rows] if len(rows) else None, minlength=len(terms))
+    n, k = np.bincount(at, minlength=len(terms)), np.bincount(at, bad[of] if len(of) else None, minlength=len(terms))
     score = np.where(n >= LEAST_ROWS_OF_TERM, (k - n * base) ** 2 / np.maximum(n * base * (1 - base), 1e-9), 0)
     chosen = np.argsort(-score, kind="stable")[:TERMS]
     terms = np.sort(terms[chosen[score[chosen] > 10.83]])  # chi-square at 0.001
-    x = design(column, terms)
+    x = design(sets, rows, terms)
     w = np.zeros(x.shape[1])
     w[-1] = math.log(base / (1 - base))
     ridge = np.full(len(w), 0.3)
     ridge[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (bad - p) - ridge * w)
+        curve = (x * np.sqrt(p * (1 - p))[:, None].astype(np.float32)).astype(np.float64)
+        step = np.linalg.solve(curve.T @ curve + np.diag(ridge), x.T @ (bad - p) - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return Classifier(terms, w, base)
 
