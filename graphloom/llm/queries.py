@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filters
+from . import decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
 from .sql import ORACLES  # noqa: F401
 
 
@@ -47,10 +47,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("hits.item_ids", lambda i: i.cast("string"))), ",")
     return rows.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination)}

@@ -51,6 +51,28 @@ SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
 FROM r
 """
 
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200)
+), k AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM w) WHERE r > 1
+), e AS (
+  SELECT doc_id, i, CASE WHEN i > max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100 THEN 1 ELSE 0 END AS cut FROM k
+), r AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY doc_id, run
+), p AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS done FROM r
+), q AS (
+  SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(d.x, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept
+  FROM p JOIN d USING (doc_id) GROUP BY p.doc_id
+)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(q.kept || substr(d.x, 2 * q.last + 1), d.x))) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)
+"""
+
 OP9 = r"""
 WITH t AS (
   SELECT item_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL
@@ -141,4 +163,4 @@ SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols
 FROM e
 """.replace("{lists}", _LISTS)
 
-ORACLES = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op9_decontamination": OP9}
+ORACLES = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op8_suffix_dedup": OP8, "op9_decontamination": OP9}
