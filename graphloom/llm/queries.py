@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
+from . import decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm, url_filters
 from .sql import ORACLES  # noqa: F401
 
 
@@ -57,4 +57,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination, op10_lm_scoring)}
