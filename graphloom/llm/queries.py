@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm, url_filters
+from . import compact_windows, decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm, url_filters
 from .sql import ORACLES  # noqa: F401
 
 
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -61,4 +65,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op4_compact_windows, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination, op10_lm_scoring)}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .compact_windows import repeated
 
 LENGTH, GRAM, COVER = 100, 24, 32
 SPAN = LENGTH - GRAM + 1
@@ -82,22 +83,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in key order those whose key has a neighbour; a run may cross batches."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("key").to_numpy()
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        twin = same.copy()
-        twin[:-1] |= same[1:]
-        if held is not None and held[0] == key[0]:
-            twin[0] = True
-            if not held[1]:
-                yield held[2].select(["id", "place"])
-        held = (key[-1], bool(twin[-1]), batch.slice(batch.num_rows - 1))
-        yield batch.filter(pa.array(twin)).select(["id", "place"])
+    for batch in repeated(batches):
+        yield batch.select(["id", "place"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
