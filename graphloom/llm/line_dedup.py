@@ -29,18 +29,18 @@ def _cuts(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return 1 + (i - 1) * base + F.greatest(F.lit(0), i - 1 - short), base + F.when(F.lit(i) > short, 1).otherwise(0)
 
 
-def keys(line: Column, tau: int = TAU) -> Column:
-    """Array of (key, indexed): the line's own segments, which are probes too, and its other probes."""
-    n, out = F.char_length(line), []
+def keys(line: Column, n: Column, tau: int = TAU) -> Column:
+    """Distinct keys of the line's own segments and probes; n is its length.
+
+    A key is a segment's number and text, so that the index tells segments by their length.
+    """
+    out = []
     for delta in range(tau + 1):
-        length = n - delta
         for i in range(1, tau + 2):
-            start, size = _cuts(length, i, tau)
+            start, size = _cuts(n - delta, i, tau)
             for o in range(max(1 - i, delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
-                at = start + o
-                key = F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(length, F.lit(i), F.substring(line, at, size)))
-                out.append(F.struct(key.alias("key"), F.lit(delta == 0 and o == 0).alias("indexed")))
-    return F.filter(F.array(*out), lambda x: x["key"].isNotNull())
+                out.append(F.xxhash64(F.lit(i), F.substring(line, start + o, size)))
+    return F.array_distinct(F.array(*out))
 
 
 def lanes(line: Column) -> list[Column]:
@@ -94,27 +94,33 @@ def edit_distance(a: Column, b: Column, tau: int = TAU) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, no, line, a, b): judged lines, with a 128-bit hash of their text."""
+    """(id, no, line, n): judged lines, trimmed, and their length."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("no", "raw"))
-    rows = rows.select("id", "no", F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c")).alias("line")).where(F.char_length("line") >= least)
-    return rows.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
-
-
-def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """(id, no, line, a, b) -> (u, v): hashes (struct of a and b) of all pairs of different texts within edit distance tau, u < v."""
-    spread = lines.select("a", F.explode(keys(F.col("line"), tau)).alias("k")).select("a", "k.key", "k.indexed")
-    shared = spread.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.max("indexed").alias("i")).where("x <> y and i").select("key")
-    live = spread.select("key", "a").join(shared, "key", "left_semi").select("a").distinct()
-    kept = table(lines.join(live, "a", "left_semi").groupBy("a", "b").agg(F.min("line").alias("line")), "lines")
-    slim = kept.select(F.struct("a", "b").alias("h"), F.char_length("line").alias("n"), F.array(*lanes(F.col("line"))).alias("c"), F.explode(keys(F.col("line"), tau)).alias("k")).select("h", "n", "c", "k.*")
-    left = slim.where("indexed").select("key", F.col("h").alias("u"), F.col("n").alias("nu"), *[F.get("c", i).alias(f"u{i}") for i in range(len(LANES))])
-    right = slim.select("key", F.col("h").alias("v"), F.col("n").alias("nv"), *[F.get("c", i).alias(f"v{i}") for i in range(len(LANES))])
+    rows = rows.select("id", "no", F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c")).alias("line"))
+    return rows.withColumn("n", F.char_length("line")).where(F.col("n") >= least)
+
+
+def edit_links(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, tau: int = TAU) -> DataFrame:
+    """(u, v): hashes (struct of a and b) of all pairs of different line texts within edit distance tau, u < v.
+
+    occurrences: (id, no, a, b, keys).  A key that one text alone holds leads nowhere; the texts of the others are read
+    again from ``docs`` where they stand first.
+    """
+    spread = occurrences.select("a", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("key")
+    live = spread.join(shared, "key", "left_semi").select("a").distinct()
+    firsts = occurrences.select("id", "no", "a", "b").join(live, "a", "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "no")).alias("at"))
+    wanted = firsts.groupBy("at.id").agg(F.collect_set("at.no").alias("nos")).withColumnRenamed("id", "_id")
+    held = docs.where(F.col(text_col).isNotNull()).join(wanted, F.col(id_col) == F.col("_id"))
+    lines = held.select(F.explode(F.element_at(F.transform(F.array(F.split(text_col, "\n")), lambda ls: F.transform("nos", lambda k: F.get(ls, k))), 1)).alias("raw")).select(F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c")).alias("line")).distinct()
+    kept = table(lines.select(F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"), "line", F.char_length("line").alias("n")), "lines")
+    slim = kept.select("h", "n", F.array(*lanes(F.col("line"))).alias("c"), F.explode(keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    left, right = (slim.select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), *[F.get("c", i).alias(f"{x}{i}") for i in range(len(LANES))]) for x in "uv")
     apart = sum((F.abs(F.col(f"u{i}") - F.col(f"v{i}")) for i in range(1, len(LANES))), F.abs(F.col("u0") - F.col("v0")))
-    met = left.join(right, (left.key == right.key) & ((F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))) & (apart <= 2 * tau))
-    pairs = table(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    text = kept.select(F.struct("a", "b").alias("h"), "line")
-    both = pairs.join(text.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(text.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
+    met = left.join(right, (left.key == right.key) & (F.col("u") < F.col("v")) & (F.abs(F.col("nu") - F.col("nv")) <= tau) & (apart <= 2 * tau))
+    pairs = table(met.select("u", "v").distinct(), "pairs")
+    both = pairs.join(kept.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(kept.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
     return table(both.where(edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v"), "links")
 
 
@@ -124,8 +130,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     Judged are lines of at least ``least`` characters once trimmed of ASCII white space; shorter ones stay.
     Null texts and null ids have no judged lines; rows that share an id share decisions by line number.
     """
-    lines = _lines(docs, id_col, text_col, least)
-    links = edit_links(lines, tau)
+    hashed = _lines(docs, id_col, text_col, least).select("id", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), keys(F.col("line"), F.col("n"), tau).alias("keys"))
+    lines = table(hashed, "occurrences")
+    links = edit_links(docs.select(id_col, text_col), lines, id_col, text_col, tau)
     seen = table(lines.groupBy("a", "b").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")), "texts")
     ends = links.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
     classes = connected_components(links).select(F.col("node").alias("h"), "component")
