@@ -1 +1 @@
-"""Graph sources."""
+"""Scans of working copies, envelopes of extracted facts, settings files and sinks."""
