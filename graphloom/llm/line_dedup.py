@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import table
+from .scratch import forget, table
 
 TAU, LEAST_CHARS = 2, 20
 #: Character groups of the histogram; other characters make no lane.
@@ -101,21 +101,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     return rows.withColumn("n", F.char_length("line")).where(F.col("n") >= least)
 
 
-def edit_links(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, tau: int = TAU) -> DataFrame:
+def edit_links(docs: DataFrame, occurrences: DataFrame, spread: DataFrame, id_col: str, text_col: str, tau: int = TAU) -> DataFrame:
     """(u, v): hashes (struct of a and b) of all pairs of different line texts within edit distance tau, u < v.
 
-    occurrences: (id, no, a, b, keys).  A key that one text alone holds leads nowhere; the texts of the others are read
-    again from ``docs`` where they stand first.
+    occurrences: (id, no, a, b); spread: (a, keys), forgotten once used.  A key that one text alone holds leads nowhere;
+    the texts of the others are read again from ``docs`` where they stand first.
     """
-    spread = occurrences.select("a", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("key")
-    live = spread.join(shared, "key", "left_semi").select("a").distinct()
-    firsts = occurrences.select("id", "no", "a", "b").join(live, "a", "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "no")).alias("at"))
+    segments = spread.select("a", F.explode("keys").alias("key"))
+    shared = segments.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("key")
+    live = segments.join(shared, "key", "left_semi").select("a").distinct()
+    live = table(live, "live")
+    forget(spread)
+    firsts = occurrences.join(live, "a", "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "no")).alias("at"))
     wanted = firsts.groupBy("at.id").agg(F.collect_set("at.no").alias("nos")).withColumnRenamed("id", "_id")
     held = docs.where(F.col(text_col).isNotNull()).join(wanted, F.col(id_col) == F.col("_id"))
     lines = held.select(F.explode(F.element_at(F.transform(F.array(F.split(text_col, "\n")), lambda ls: F.transform("nos", lambda k: F.get(ls, k))), 1)).alias("raw")).select(F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c")).alias("line")).distinct()
-    kept = table(lines.select(F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"), "line", F.char_length("line").alias("n")), "lines")
-    slim = kept.select("h", "n", F.array(*lanes(F.col("line"))).alias("c"), F.explode(keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    kept = table(lines.select(F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"), "line", F.char_length("line").alias("n"), F.array(*lanes(F.col("line"))).alias("c")), "lines")
+    slim = kept.select("h", "n", "c", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("key"))
     left, right = (slim.select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), *[F.get("c", i).alias(f"{x}{i}") for i in range(len(LANES))]) for x in "uv")
     apart = sum((F.abs(F.col(f"u{i}") - F.col(f"v{i}")) for i in range(1, len(LANES))), F.abs(F.col("u0") - F.col("v0")))
     met = left.join(right, (left.key == right.key) & (F.col("u") < F.col("v")) & (F.abs(F.col("nu") - F.col("nv")) <= tau) & (apart <= 2 * tau))
@@ -131,8 +133,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     Null texts and null ids have no judged lines; rows that share an id share decisions by line number.
     """
     hashed = _lines(docs, id_col, text_col, least).select("id", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), keys(F.col("line"), F.col("n"), tau).alias("keys"))
-    lines = table(hashed, "occurrences")
-    links = edit_links(docs.select(id_col, text_col), lines, id_col, text_col, tau)
+    both = table(hashed, "occurrences")
+    lines = table(both.drop("keys"), "occurrences")
+    links = edit_links(docs.select(id_col, text_col), lines, both.select("a", "keys"), id_col, text_col, tau)
     seen = table(lines.groupBy("a", "b").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")), "texts")
     ends = links.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
     classes = connected_components(links).select(F.col("node").alias("h"), "component")
