@@ -129,8 +129,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(bad).alias("_bad"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(some, "_id")
-    got = rows.orderBy(F.xxhash64("_id"), "_id", "_text").limit(SAMPLE_ROWS).toArrow()
-    return fit(got.column("_text"), got.column("_bad").to_numpy())
+    sample = rows.orderBy(F.xxhash64("_id"), "_id", "_text").limit(SAMPLE_ROWS).select("_text", "_bad")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)  # the bounded sample
+        schema = got[0].schema if got else pa.schema([("_text", pa.string()), ("_bad", pa.int32())])
+        whole = pa.Table.from_batches(got, schema)
+        model = fit(whole.column("_text"), whole.column("_bad").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([model.terms.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.base])], names=["terms", "weights", "base"])
+
+    found = sample.mapInArrow(learn, "terms binary, weights binary, base double").first()
+    if found is None:
+        return fit(pa.array([], pa.string()), np.zeros(0))
+    return Classifier(np.frombuffer(bytes(found["terms"]), np.uint64), np.frombuffer(bytes(found["weights"]), np.float64), found["base"])
 
 
 def _strength(groups: DataFrame, rate: str, parent: Column) -> float:
