@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import EXTENSION_LANGUAGES, ID_BYTES
 
-#: Leading folders that name no service (fixed values).
-SKIPPED_FOLDERS = "src app apps lib libs packages services backend frontend server client main java test tests docker".split()
+#: Folders that name no service (fixed values).
+SKIPPED_FOLDERS = "src lib app apps packages routes handlers controllers config configs settings contracts tests test dist node_modules bin obj wwwroot".split()
 
 
 def posix(path: Column) -> Column:
@@ -73,8 +73,9 @@ def matches_glob(path: Column, pattern: str) -> Column:
 
 def service_hint(path: Column) -> Column:
     """First folder, lower-cased, that is not a common layout folder and holds no dot; null if there is none."""
-    parts = F.split(F.lower(posix(path)), "/")
-    return F.get(F.filter(parts, lambda p: ~p.isin(SKIPPED_FOLDERS) & ~p.contains(".") & (p != "")), 0)
+    parts = F.filter(F.split(F.lower(posix(path)), "/"), lambda p: p != "")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.get(F.filter(folders, lambda p: ~p.isin(SKIPPED_FOLDERS) & ~p.contains(".")), 0)
 
 
 def unscoped_key(path: Column) -> Column:
