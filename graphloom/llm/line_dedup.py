@@ -166,8 +166,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of null id or text stay as they are; an empty table gives an empty result.
     """
-    found = decide(docs, id_col, text_col, **limits).withColumnRenamed("id", "_id")
-    rows = docs.join(found, docs[id_col] == F.col("_id"), "left")
-    rows = rows.withColumn(text_col, F.when(F.size("dropped") > 0, without(F.col(text_col), F.col("dropped"))).otherwise(F.col(text_col)))
+    own = {"id": "_ld_id", "n_lines": "_ld_lines", "n_links": "_ld_links", "dropped": "_ld_dropped"}
+    found = decide(docs, id_col, text_col, **limits).withColumnsRenamed(own)
+    rows = docs.join(found, docs[id_col] == F.col("_ld_id"), "left")
+    rows = rows.withColumn(text_col, F.when(F.size("_ld_dropped") > 0, without(F.col(text_col), F.col("_ld_dropped"))).otherwise(F.col(text_col)))
     zero = F.lit(0).cast("long")
-    return rows.withColumns({"_n_lines": F.coalesce("n_lines", zero), "_n_links": F.coalesce("n_links", zero), "_n_dropped": F.coalesce(F.size("dropped").cast("long"), zero)}).drop("_id", "n_lines", "n_links", "dropped")
+    return rows.withColumns({"_n_lines": F.coalesce("_ld_lines", zero), "_n_links": F.coalesce("_ld_links", zero), "_n_dropped": F.coalesce(F.size("_ld_dropped").cast("long"), zero)}).drop(*own.values())

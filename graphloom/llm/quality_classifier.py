@@ -163,6 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     shape; null hosts and paths are groups of their own; without labels the evidence comes from
     constants alone; repeated rows are scored alike; an empty table gives an empty result.
     """
+    docs = docs.drop("_evidence", "_host", "_path", "_prior", "_posterior", "_kept")
     model = train(docs, labels, id_col, text_col)
     host = F.coalesce(F.col("source") if host is None else host, F.lit(""))
     path = F.coalesce(F.col("lang") if path is None else path, F.lit(""))
