@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .compact_windows import repeated
+from .compact_windows import dealt, repeated
 
 LENGTH, GRAM, COVER = 100, 24, 32
 SPAN = LENGTH - GRAM + 1
@@ -79,7 +79,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, start, last, at, key = segments(data, offsets)
         ids = block.column("id").to_numpy()
         place = (start << 16) | ((last - start) << 8) | (at - start)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[text]), pa.array(place)], names=["key", "id", "place"])
+        rows, deal, told = dealt(key)
+        yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(told), pa.array(ids[text[rows]]), pa.array(place[rows])], names=["deal", "told", "id", "place"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +255,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = signs.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"))
     long_ = rows.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = long_.mapInArrow(_anchors, "key long, id long, place long")
-    shared = anchors.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeated, "id long, place long")
+    anchors = long_.mapInArrow(_anchors, "deal long, told byte, id long, place long")
+    shared = anchors.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_repeated, "id long, place long")
     own = signs.join(firsts, "sha").where("id = first").select("id").distinct()
     places = shared.groupBy("id").agg(F.collect_list("place").alias("places")).join(own, "id", "left_semi")
     cut = long_.join(places, "id").select("id", "text", "places").mapInArrow(_cut, "key long, id long, start long, size long, at long, bytes binary")
