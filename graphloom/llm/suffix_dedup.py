@@ -110,7 +110,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = data.tobytes()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.where(new, key, whole.view(np.int64))), pa.array(ids[row]), pa.array(start), pa.array(size), pa.array(at),
+                pa.array(np.where(new, key, tx.mix(whole + np.arange(len(whole), dtype=np.uint64)).view(np.int64))), pa.array(ids[row]), pa.array(start), pa.array(size), pa.array(at),
                 pa.array([buffer[a : a + s] if w else b"" for a, s, w in zip(low.tolist(), size.tolist(), new.tolist(), strict=True)], pa.binary()),
             ],
             names=["key", "id", "start", "size", "at", "bytes"],

@@ -1,0 +1,338 @@
+"""Each operator against a plain version, and on odd rows: nulls, empties, ties, repeats, long texts, clashing columns."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from conftest_llm import ODD
+from pyspark.sql import functions as F
+
+from graphloom.llm import compact_windows, decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_tree_lm, url_filters
+from graphloom.llm.components import connected_components
+
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return SPLIT.findall((text or "").translate(LOW))
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40), (None, 5)], "u long, v long")
+    got = dict(connected_components(edges).collect())
+    assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+# -- near-duplicates ---------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_components(rows):
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    reach = {i: i for i, _ in sets}
+    for _ in range(len(sets)):
+        for i, a in sets:
+            for j, b in sets:
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    reach[i] = reach[j] = min(reach[i], reach[j])
+    return reach
+
+
+def test_near_duplicates(docs_of, prose):
+    base = prose(1, 300).split(" ")
+    rows = list(ODD)
+    for k in range(25):  # a family in which only some pairs are alike
+        w = list(base)
+        for j in range(0, 300, 40 if k % 3 else 15):
+            w[(j + 7 * k) % len(w)] = f"new{k}x{j}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(200, rows[-1][1].upper()), (201, prose(9, 4000)), (202, prose(9, 4000) + " tail")]
+    got = minhash.near_duplicates(docs_of(rows))
+    want = plain_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got.where("doc_id is not null").collect()} == want
+    assert got.count() == len(rows) and got.where("doc_id is null").first()["component_id"] is None
+    kept = minhash.keep_one(docs_of(rows))
+    assert sorted({r["doc_id"] for r in kept.where("doc_id is not null").collect()}) == sorted(i for i, c in want.items() if i == c)
+    assert minhash.near_duplicates(docs_of(rows).limit(0)).count() == 0
+
+
+def test_blocks_find_all_links(docs_of, prose, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 4)
+    rows = [(i, prose(1, 200) + f" end{i}") for i in range(30)]
+    assert {r["component_id"] for r in minhash.near_duplicates(docs_of(rows)).collect()} == {0}
+
+
+# -- lines -------------------------------------------------------------------------------------------------------
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance(spark):
+    import random
+
+    r, rows = random.Random(5), []
+    for _ in range(1500):
+        a = [r.choice("abcé") for _ in range(r.randrange(15))]
+        b = list(a)
+        for _ in range(r.randrange(5)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = [r.choice("abé")] * r.randrange(2)
+        rows.append(("".join(a), "".join(b)))
+    for tau in (1, 2, 3):
+        got = spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), tau).alias("d")).collect()
+        assert all(min(x["d"], tau + 1) == min(distance(x["a"], x["b"]), tau + 1) for x in got)
+
+
+def plain_lines(rows):
+    lines = [(i, k, s.strip(" \t\r\x0b\x0c")) for i, t in rows if i is not None for k, s in enumerate((t or "").split("\n"))]
+    texts = sorted({s for _, _, s in lines if len(s) >= 20})
+    cls = {s: s for s in texts}
+    links = Counter()
+    for a in texts:
+        for b in texts:
+            if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+                links[a] += 1
+                links[b] += 1
+                x, y = cls[a], cls[b]
+                cls = {s: (x if c == y else c) for s, c in cls.items()}
+    first = {}
+    for i, k, s in sorted((i, k, s) for i, k, s in lines if len(s) >= 20):
+        first.setdefault(cls[s], (i, k))
+    out = {}
+    for i, t in rows:
+        raw = (t or "").split("\n")
+        keep = [s for k, s in enumerate(raw) if len(x := s.strip(" \t\r\x0b\x0c")) < 20 or first[cls[x]] == (i, k)]
+        out[i] = "\n".join(keep)
+    return out, links
+
+
+def test_line_dedup(docs_of, prose):
+    line = "this is a line of some length, är"
+    rows = [
+        (10, f"{line}\nshort\nshort\nanother line that is long enough"), (11, f"  {line} \nonly here and nowhere else, no"), (12, line.replace("some", "sume")), (13, line.replace("some", "sme") + "!"),
+        (14, "another line that is long enough?\n\nanother line that is long enough"), (15, line[4:]), (16, prose(2, 900)), (17, prose(2, 900).replace("alpha1", "alpha2")), (18, None), (19, ""), (20, "x" * 19), (21, "x" * 19), (22, "y" * 70_000), (23, "y" * 69_998 + "zz"),
+    ]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(rows)).collect()}
+    want, links = plain_lines(rows)
+    assert {i: r["text"] or "" for i, r in got.items()} == want
+    assert got[18]["text"] is None and sum(links.values()) > 4
+    assert got[12]["_n_links"] == links[rows[2][1]] and got[22]["x" if False else "id"] == "x"
+    odd = line_dedup.dedup_lines(docs_of(ODD))
+    assert odd.count() == len(ODD) and odd.where("_n_dropped > 0").count() == 0
+    assert line_dedup.dedup_lines(docs_of(ODD).limit(0)).count() == 0
+
+
+# -- urls --------------------------------------------------------------------------------------------------------
+
+RULES = [url_filters.PrefixRule(*x) for x in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"))]
+
+
+def test_url_rules_and_mining(spark):
+    urls = [(i, f"http://{'bad-shop' if i % 3 == 0 else 'good'}.example.com/{'offer' if i % 2 else 'news'}/{i}?ref={i}#top") for i in range(200)]
+    odd = [(900, None), (901, "no scheme"), (902, "HTTP://A.Example.NET/en/x?y"), (903, "x://example.net"), (904, "x://notexample.net/en/a"), (905, "x://a.org/fr/"), (906, "x://?q#f"), (900, None)]
+    pages = spark.createDataFrame([*urls, *odd], "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS tokens", "2 AS _x")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 and i % 2 else 1, 0) for i in range(200)] + [(None, 1, None), (901, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filters.filter_urls(pages, labels, RULES).collect()}
+    assert all((got[i]["verdict"] == "block") == (i % 3 == 0 and i % 2 == 1) for i, _ in urls)  # only the pair of tokens is bad
+    assert (got[902]["host"], got[902]["path"], got[902]["rule"], got[902]["verdict"]) == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert got[903]["rule"] is None and got[904]["rule"] == "net/" and got[905]["rule"] == "org/fr/" and (got[906]["host"], got[906]["path"]) == ("", "")
+    assert (got[900]["host"], got[900]["verdict"], got[901]["path"]) == ("", "allow", "")
+    assert url_filters.filter_urls(pages.limit(0), labels, RULES).count() == 0 and url_filters.filter_urls(pages, labels.limit(0), RULES).where("confidence is not null").count() == 0
+
+
+def test_mined_rules_against_counting(spark):
+    rows = [(["a", "b"], True)] * 30 + [(["a"], False)] * 30 + [(["b"], False)] * 30 + [(["c"], True)] * 5
+    rules = {r["rule_id"]: (r["confidence"], r["key"]) for r in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert list(rules) == ["a b"] and rules["a b"][0] == 1.0  # c is too rare; a and b alone are not telling
+
+
+# -- quality -----------------------------------------------------------------------------------------------------
+
+
+def plain_base(text):
+    w = SPLIT.findall(text or "")
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    again = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [s for s in (text or "").split("\n") if SPLIT.search(s)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_counts(docs_of, prose):
+    rows = [*ODD, (50, "a b c d e a b c d e"), (51, "x " * 300), (52, prose(3, 500) + "\n\n" + "same line\nsame line\n"), (53, "|#$ " * 40), (54, "a b c d e f")]
+    got = quality_rules.judge(docs_of(rows)).collect()
+    told = sorted((r["doc_id"] or -1, r["_n_words"], r["_word_chars"], r["_n_symbols"], r["_n_dup_lines"], r["_n_repeat_words"]) for r in got)
+    assert told == sorted((i or -1, *plain_base(t)) for i, t in rows)
+    assert all(r["_base_failed"] == (r["_n_words"] < 10 or 100 * r["_n_repeat_words"] > 20 * r["_n_words"]) and not (r["_base_failed"] and r["_kept"]) for r in got)
+    assert quality_rules.judge(docs_of(rows).limit(0)).count() == 0
+
+
+def test_odd_distributions_are_rejected(docs_of, prose):
+    common = "the of and to in is it for as with".split()
+    rows = [(i, " ".join(w if k % 2 else common[(i * 5 + k * 3) % 10] for k, w in enumerate(prose(i, 200).split()))) for i in range(60)]
+    rows.append((99, " ".join(f"W{k}%%% X{k}$$$" for k in range(100))))
+    got = {r["doc_id"]: r["_kept"] for r in quality_rules.judge(docs_of(rows)).collect()}
+    assert not got.pop(99) and all(got.values())
+
+
+def test_js_distance(spark):
+    df = spark.createDataFrame([([1, 0], [0, 1]), ([2, 2], [1, 1]), ([0, 0], [1, 1])], "p array<long>, q array<long>")
+    with_values = df.limit(2).select(quality_rules.js_distance(F.col("p"), F.col("q"))).collect()
+    assert [round(r[0], 9) for r in with_values] == [1.0, 0.0]
+
+
+def test_classifier_holds_out(docs_of, spark, prose):
+    def text(i):
+        body = prose(1000 + i, 120)
+        return body.upper() if i % 5 == 0 else body.replace("\n", " nasty ", 3) + " nasty" if i % 5 == 1 else body
+
+    rows = [(i, text(i), f"src{i % 4}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1, 1 if i % 5 == 1 else 0) for i in range(200)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["_kept"] for r in quality_classifier.score(docs_of(rows), labels).where("doc_id >= 200").collect()}
+    right = sum(kept == (i % 5 > 1) for i, kept in got.items())
+    assert right >= 0.97 * len(got) and all(kept for i, kept in got.items() if i % 5 > 1)
+    odd = quality_classifier.score(docs_of(ODD), labels)
+    assert odd.count() == len(ODD) and odd.where("_posterior is null").count() == 0
+    assert quality_classifier.score(docs_of(ODD), labels.limit(0)).count() == len(ODD) and quality_classifier.score(docs_of(ODD).limit(0), labels).count() == 0
+
+
+def test_sparse_hosts_shrink(docs_of, spark, prose):
+    rows = [(i, prose(i, 60).upper() if i < 90 else prose(i, 60), "bad" if i < 100 else f"h{i % 7}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 0 if i < 90 else 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    prior = {r["source"]: r["_prior"] for r in quality_classifier.score(docs_of(rows), labels).collect()}
+    assert prior["bad"] > 0.7 and all(0 < v < 0.3 for k, v in prior.items() if k != "bad")
+
+
+# -- mixing ------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(docs_of, prose):
+    rows = [(i, prose(i, 5 + i % 90), ["a", "b", "c", None][min(i % 10, 3)]) for i in range(600)] + [(None, "x y"), (7, None, "zero"), (700, "w " * 60_000, "a")]
+    got = [r.asDict() for r in mixing.expected(docs_of(rows)).collect()]
+    total = sum(r["_size"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+        assert 0 <= r["_copies"] <= 3 and r["_target"] <= 3 * r["_source_size"] + 1e-6
+    assert abs(sum(v[0]["_target"] for v in by.values()) - total) < 1e-3 * total
+    for source, v in by.items():
+        most = max(r["_size"] for r in v)
+        assert abs(sum(r["_copies"] * r["_size"] for r in v) - v[0]["_target"]) <= 2 * most, source
+    again = {(r["doc_id"], r["_size"]): r["_copies"] for r in mixing.expected(docs_of(rows[::-1])).collect()}
+    assert again == {(r["doc_id"], r["_size"]): r["_copies"] for r in got}
+    mixed = mixing.mix_sources(docs_of(rows))
+    assert mixed.count() == sum(r["_copies"] for r in got) and mixing.mix_sources(docs_of(rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("sizes", "want"), [([100, 100, 100], [50, 100, 150]), ([10, 500, 10], [30.0, 460.0, 30.0]), ([7], [7]), ([0, 10], [0, 10])])
+def test_targets(spark, sizes, want):
+    df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(mixing.cycle_weights(df, "source")).collect()}
+    assert [round(got[f"s{i}"], 6) for i in range(len(sizes))] == want
+
+
+# -- benchmark ---------------------------------------------------------------------------------------------------
+
+
+def test_decontamination(docs_of, spark, prose):
+    item = prose(5, 30)
+    bench = spark.createDataFrame([(1, item), (2, "Short, question?"), (3, None), (4, "..."), (5, item)], "item_id long, text string")
+    inner = re.findall(r"\w+", item)[4:16]
+    rows = [
+        (10, "Vor " + "!! ".join(inner).upper().replace("É", "é").replace("Ü", "ü") + " nach"), (11, " ".join(inner[:9])), (12, "a short  QUESTION é"), (13, "ashort question"), (14, "shortquestion"), (15, "x" * 200_000 + " short question"), *ODD,
+    ]
+    got = {r["doc_id"]: r for r in decontam.find_leaks(docs_of(rows), bench).collect()}
+    assert got[10]["hits"]["item_ids"] == [1, 5] and got[10]["hits"]["n_hit"] == 12
+    a, b = got[10]["hits"]["spans"][0]
+    assert got[10]["text"][a:b].lower().startswith(inner[0]) and got[10]["text"][a:b].lower().endswith(inner[-1])
+    assert got[12]["hits"]["item_ids"] == [2] and got[15]["hits"]["n_hit"] == 2
+    assert [got[i]["hits"]["n_hit"] for i in (11, 13, 14, 1, 2, 5)] == [0] * 6
+    assert decontam.decontaminate(docs_of(rows), bench.limit(0)).count() == len(rows)
+    assert decontam.find_leaks(docs_of(rows).limit(0), bench).count() == 0
+
+
+def test_large_benchmarks_in_blocks(docs_of, spark, prose, monkeypatch):
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 50)
+    bench = spark.createDataFrame([(i, prose(i, 15)) for i in range(8)], "item_id long, text string")
+    got = decontam.find_leaks(docs_of([(1, prose(3, 15) + " and " + prose(6, 15))]), bench).first()
+    assert got["hits"]["item_ids"] == [3, 6]
+
+
+# -- passages ----------------------------------------------------------------------------------------------------
+
+
+def test_passages(docs_of, prose):
+    shared, near = prose(77, 80), prose(78, 120).split(" ")
+    changed = list(near)
+    for k in (30, 75):
+        changed[k] = "other"
+    rows = [
+        (1, prose(1, 150) + " " + shared + " " + prose(2, 40)), (2, shared + " " + prose(3, 90)), (3, prose(4, 300)), (4, prose(4, 300)), (5, prose(5, 60) + " " + " ".join(near)), (6, " ".join(changed) + " " + prose(6, 50)), (7, prose(7, 45)), (8, prose(7, 45)), *[(i + 20 if i else i, t) for i, t in ODD],
+    ]
+    got = {r["doc_id"]: r for r in compact_windows.repeated_passages(docs_of(rows)).collect()}
+    assert got[2]["class_id"] == 1 and got[4]["class_id"] == 3 and got[6]["class_id"] == 5
+    assert got[2]["n_dup_words"] >= 79 and got[4]["n_dup_words"] == 300 and got[6]["n_dup_words"] >= 50
+    assert got[7]["n_links"] == got[8]["n_links"] == 0  # under 50 words
+    assert all(r["n_links"] == 0 for i, r in got.items() if i is None or i > 20)
+    assert compact_windows.repeated_passages(docs_of(rows).limit(0)).count() == 0
+
+
+# -- language model ----------------------------------------------------------------------------------------------
+
+
+def test_base_scores_and_tree(docs_of, prose):
+    rows = [(i, prose(i % 40, 60)) for i in range(400)] + [(1000, None), (1001, "never seen words"), (None, "the end"), (5, prose(5, 60))]
+    got = suffix_tree_lm.score_texts(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(t for i, x in rows if not held(i) for t in [*words(x), None])
+    n, v = sum(c.values()), len(c)
+    texts = {}
+    for i, x in rows:
+        texts.setdefault(i, x)
+    for r in got:
+        tokens = [*words(texts[r["doc_id"]]), None]
+        base = sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(tokens), sum(c[t] > 0 for t in tokens), n)
+        assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["score"] <= 0
+    out = [r for r in got if r["held_out"] and r["doc_id"] < 400]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) * 0.6  # the repeated texts are learnt
+    assert suffix_tree_lm.score_texts(docs_of(rows).limit(0)).count() == 0
+
+
+def test_distributions_sum_to_one(docs_of, prose, spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = docs_of([(i, prose(i % 7, 40)) for i in range(300)]).selectExpr("doc_id AS id", "text")
+    tree, _ = suffix_tree_lm.learn(rows, 3)
+    assert tree.one.any() and tree.two.any()
+    vocabulary = sorted({w for i in range(300) if not suffix_tree_lm.held_out(i) for w in words(prose(i % 7, 40))})
+    prefix = prose(3, 40).split()[:2]
+    texts = [" ".join([*prefix, w]) for w in [*vocabulary, "unseen"]] + [" ".join(prefix)]
+    t = suffix_tree_lm.Tokens(pa.array(texts))
+    word, base, score = tree.local(t)
+    last = np.array([np.flatnonzero((t.text == k) & (t.place == 2))[0] for k in range(len(texts))])
+    rare = word[last] < 0
+    assert rare.sum() >= 1
+    counts = {w: 0 for w in texts}
+    p = 10.0 ** score[last]
+    seen = Counter(w for i in range(300) if not suffix_tree_lm.held_out(i) for w in [*words(prose(i % 7, 40)), None])
+    last_words = [*vocabulary, "unseen", None]
+    p = np.array([x * (tree.root(np.array([seen[w]]))[0] if r else 1.0) for x, w, r in zip(p, last_words, rare, strict=True)])
+    assert abs(p.sum() - 1) < 1e-9 and counts
