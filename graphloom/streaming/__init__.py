@@ -1 +1 @@
-"""Graph streaming."""
+"""Structured Streaming members (an extension: the graph operators themselves are batch)."""
