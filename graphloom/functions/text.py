@@ -78,3 +78,33 @@ def merge_metadata(old: Column, new: Column) -> Column:
     """Maps merged key by key, new values first."""
     old, new = F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.coalesce(new, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     return F.map_zip_with(old, new, lambda _, a, b: F.coalesce(b, a))
+
+
+def package_language(manifest: Column) -> Column:
+    """Language of a package.json: typescript if it depends on it, else javascript; null if it is no JSON object."""
+    depends = F.coalesce(F.get_json_object(manifest, "$.devDependencies.typescript"), F.get_json_object(manifest, "$.dependencies.typescript"))
+    return F.when(F.get_json_object(manifest, "$").isNull(), F.lit(None)).when(depends.isNotNull(), "typescript").otherwise("javascript")
+
+
+def combine_routes(prefix: Column, suffix: Column) -> Column:
+    """A suffix with a leading slash or ``~/`` stands for itself, others follow the prefix."""
+    own = F.regexp_replace(suffix, "^~", "")
+    return F.when(own.startswith("/"), join_paths(own)).otherwise(join_paths(prefix, suffix))
+
+
+def endpoint_id(parser: Column, service: Column, method: Column, path: Column) -> Column:
+    return F.concat(parser, F.lit(":http_endpoint:"), F.concat_ws("|", service, F.upper(method), http_path(path)))
+
+
+def infra_key(kind: Column, engine: Column, host: Column, name: Column) -> Column:
+    """Stable key of a store: kind, engine if known, and host, else the setting's name."""
+    return F.concat_ws(":", kind, engine, F.lower(F.coalesce(host, name)))
+
+
+def leaf_role(key: Column) -> Column:
+    """What the last part of a setting's key names."""
+    leaf = F.lower(F.element_at(F.split(key, "__|:|\\."), -1))
+    return (
+        F.when(leaf.rlike("^(host|hostname|server|endpoint|url|uri|address)$"), "target").when(leaf.rlike("^(password|pwd|secret|token|apikey)$"), "secret").when(leaf.rlike("^(user|username|uid|login)$"), "user")
+        .when(leaf.rlike("^port$"), "port").when(leaf.rlike("^(database|db|schema|initialcatalog)$"), "database").otherwise("other")
+    )

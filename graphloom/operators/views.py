@@ -134,3 +134,66 @@ def lanes(nodes: DataFrame) -> DataFrame:
 
     lane = F.when(F.col("kind") == "service", 1).when(F.col("kind").isin("broker", "database", "cache", "storage", "search"), 2).otherwise(0)
     return nodes.select("id", lane.alias("lane"), (F.row_number().over(W.partitionBy("kind").orderBy("id")) - 1).cast("long").alias("row"))
+
+
+OVERVIEW_UI = ["ui_app", "ui_module", "ui_route", "ui_screen"]
+CROSS_UI = ["navigates_to", "invokes_api", "opens_flow", "uses_style", "binds_field"]
+
+
+def ui_overview(app_id: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): an app's overview kinds below it; edges among them, and service bindings out of them."""
+    from .graph import subtree
+
+    inside = nodes.join(subtree(nodes, nodes.where(F.col("id") == app_id)).select("id"), "id", "left_semi").where(F.col("kind").isin(OVERVIEW_UI))
+    bound = edges.where("type = 'binds_service'").join(inside.select(F.col("id").alias("src")), "src", "left_semi").select(edges.columns)
+    return inside, within(edges, inside).unionByName(bound).dropDuplicates(["id"])
+
+
+def ui_screen(screen_id: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes below the screen, its ancestors from the root down, edges that leave it)."""
+    from .graph import ancestors, subtree
+
+    own = nodes.where(F.col("id") == screen_id)
+    inside = nodes.join(subtree(nodes, own).select("id"), "id", "left_semi")
+    crumbs = ancestors(nodes, own).select(F.col("ancestor").alias("id"), "depth").orderBy(F.col("depth").desc())
+    cross = incident(edges.where(F.col("type").isin(CROSS_UI)), inside)
+    return inside, crumbs, cross
+
+
+def api_binds(node_id: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """invokes_api edges at a node, or anywhere below a screen, component or frame."""
+    from .graph import subtree
+
+    own = nodes.where(F.col("id") == node_id)
+    wide = own.where(F.col("kind").isin("ui_screen", "ui_component", "ui_frame"))
+    members = own.select("id").unionByName(subtree(nodes, wide).select("id")).distinct()
+    return incident(edges.where("type = 'invokes_api'"), members)
+
+
+def view(nodes: DataFrame, edges: DataFrame, focus_id: str | None = None, resolve_from: str | None = None, layer: str = "system", max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, str]:
+    """(nodes, edges, status): the focused view that the ids ask for, else the root overview."""
+    from .graph import affiliated_roots, code_of_service, nearest_ancestor
+
+    status = "none"
+    if resolve_from:
+        start = nodes.where(F.col("id") == resolve_from).first()
+        if start is None:
+            focus_id, status = None, "system_fallback"
+        elif start["layer"] == "code":
+            focus_id, status = resolve_from, "exact_code"
+        elif start["kind"] in (*PEER_KINDS, "message_topic"):
+            focus_id, status = resolve_from, "exact"
+        else:
+            found = nearest_ancestor(nodes, nodes.where(F.col("id") == resolve_from), "service").first()
+            focus_id, status = (found["ancestor"], "resolved_service") if found else (None, "system_fallback")
+    elif focus_id:
+        status = "exact"
+    focus = nodes.where(F.col("id") == focus_id).first() if focus_id else None
+    if focus is None:
+        return *root_overview(nodes, edges, max_nodes, max_edges), status if not focus_id else "none"
+    if focus["layer"] == "code":
+        return *focused(focus_id, inside_of_code(focus.asDict(), nodes), nodes, edges, max_nodes, max_edges, "code"), status
+    if focus["kind"] == "service" and layer == "code":
+        roots = affiliated_roots(nodes, code_of_service(focus_id, focus["name"], nodes, edges))
+        return *focused(focus_id, roots, nodes, edges, max_nodes, max_edges, "code"), status
+    return *focused(focus_id, inside_of_system(focus.asDict(), nodes, edges), nodes, edges, max_nodes, max_edges), status
