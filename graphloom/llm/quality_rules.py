@@ -105,10 +105,10 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two histograms of counts of one length."""
+    """Jensen-Shannon distance (base 2) of two histograms of counts of one length; an empty one has no shares."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     total = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    share = lambda h: _let(total(h), lambda t: F.transform(h, lambda x: x / t))
+    share = lambda h: _let(total(h), lambda t: F.transform(h, lambda x: F.when(t > 0, x / t).otherwise(F.lit(0.0))))
     both = F.zip_with(share(p), share(q), lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
