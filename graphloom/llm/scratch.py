@@ -22,6 +22,7 @@ def forget(written: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have Spark drop shuffle files of plans that are written and gone: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(2):  # the first round lets go of the plans, the second of what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
