@@ -1,10 +1,12 @@
 """Each operator against a plain version, and on odd rows: nulls, empties, ties, repeats, long texts, clashing columns."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest_llm import ODD
 from pyspark.sql import functions as F
@@ -292,6 +294,34 @@ def test_passages(docs_of, prose):
     assert compact_windows.repeated_passages(docs_of(rows).limit(0)).count() == 0
 
 
+def test_spans_at_every_offset():
+    """Against sets counted window by window: words inserted, deleted and changed, repeats, and stretches equal in place."""
+
+    def plain(a, b, least, similarity):
+        n, covered = min(len(a), len(b)), set()
+        for i in range(n - least + 1):
+            x, y = set(a[i : i + least]), set(b[i : i + least])
+            in_place = sum(u == v for u, v in zip(a[i : i + least], b[i : i + least], strict=True))
+            if len(x & y) >= similarity * len(x | y) or in_place >= similarity * (2 * least - in_place):
+                covered |= set(range(i, i + least))
+        return covered
+
+    r = random.Random(5)
+    shifted = 0
+    for trial in range(400):
+        a = [r.randrange(100_000 if trial % 4 else 30) for _ in range(r.randrange(20, 160))]
+        b = [*a]
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(b))
+            b[at : at + r.randrange(3)] = [r.randrange(100_000) for _ in range(r.randrange(6))]
+        b += a[: r.randrange(30)]
+        want = plain(a, b, 46, 0.8)
+        got = {k for i, j in compact_windows.alike_spans(np.array(a, np.uint32), np.array(b, np.uint32)) for k in range(i, j)}
+        assert got == want, trial
+        shifted += bool(want) and a[: len(b)] != b[: len(a)]
+    assert shifted > 50
+
+
 # -- language model ----------------------------------------------------------------------------------------------
 
 
