@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_operators import plain_components, plain_lines
+from test_llm_operators import plain_components, plain_lines
 
 from graphloom.llm.decontam import normal_words
 
