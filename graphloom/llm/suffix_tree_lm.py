@@ -1,24 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of no, one or two preceding words.  A context is a state only if it makes up
-at least LEAST_SHARE of the training tokens and passes the divergence test: its own next-word
-distribution must beat its parent's on its own occurrences by LEAST_GAIN nats (its count times the
-divergence).  A state's distribution is explicit for next words whose count with the state is
-over the same share, and hands the rest of its mass on to its parent's; the root is the
-add-half unigram distribution over all training words and one unknown.  Each token is scored in the
-state of its longest suffix.
-
-Words over the share number 1 / LEAST_SHARE at most, and so do word pairs and triples over it: this
-part of the tree goes to all workers.  Counts of all words, however many, stay in parts by hash, and
-texts send each part the rare words that they hold.
+States are contexts of any number of preceding words.  A context of k words is a candidate if its own k-word run is an
+entry of the tree; it becomes a state if its tail is one and it passes the divergence test: its next-word distribution
+beats its tail's on its own occurrences by LEAST_GAIN nats (its count times the divergence).  Entries of a state are next
+words seen LEAST_COUNT times or more that it makes likelier by LEAST_ENTRY nats; the rest of its mass goes by its tail's
+distribution.  The root is the add-half unigram distribution over all training words and one unknown.  The tree grows a
+word at a time until no level has an entry; its thresholds are counts, the same for any corpus.
+
+Each token is scored in the state of its longest suffix.  Since the states are closed under tails, the log probability is
+the root's plus one term for each state on the way down and one for each entry: a sum over keys.  The tree is therefore
+one table (key, value), never held whole anywhere: counts, divergence tests and scores are aggregations and joins by key.
+
+Two things of fixed size go to all workers, and change no result.  Bitmaps of BITS tell which keys may be in a table (a wrong
+yes costs a row that no join matches), and the CACHE most frequent keys are looked up at once instead of by join.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import table
+from .scratch import forget, table
 
-#: A context, or a state's explicit next word, has at least this share of all training tokens, and LEAST_COUNT.
-LEAST_SHARE, LEAST_COUNT = 2e-7, 4
-LEAST_GAIN, SMOOTHING = 6.0, 2.0
+LEAST_COUNT, LEAST_GAIN, LEAST_ENTRY, SMOOTHING = 4, 6.0, 2.0, 2.0
+BITS, CACHE = 27, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
-BLOCK_BYTES = 2 << 20
+#: Marks the key of a context as such: the same words as a run have the key without it.
+CONTEXT = np.uint64(0x2545F4914F6CDD1D)
+BLOCK_BYTES = 4 << 20
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -54,6 +56,18 @@ class Tokens:
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
         self.place = np.arange(len(self.hash)) - (stops - self.counts)[self.text]
 
+    def runs(self) -> Iterator[np.ndarray]:
+        """Keys of the runs of 1, 2, .. words that end at each token; meaningless where the run would cross texts."""
+        keys = self.hash
+        while True:
+            yield keys
+            keys = longer(np.concatenate(([np.uint64(0)], keys[:-1])), keys)
+
+
+def longer(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Key of a run: context is all but its last word, tail all but its first."""
+    return tx.mix(context * np.uint64(0xD6E8FEB86659FD93) + tail)
+
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted value in the sorted keys, or -1."""
@@ -63,224 +77,191 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Tree:
-    """Sorted keys and counts of frequent words, pairs (word index, word index) and triples (pair index, word index)."""
-
-    total: int
-    distinct: int
-    words: np.ndarray
-    word_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    triples: np.ndarray
-    triple_counts: np.ndarray
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
-    def grow(self) -> Tree:
-        """States by the divergence test, and log10 probabilities of explicit next words and of handing on."""
-        high, low = (lambda k: (k >> np.uint64(32)).astype(np.int64)), (lambda k: (k & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        ends = find(self.words, np.array([END]))[0]
-
-        def level(context: np.ndarray, counts: np.ndarray, totals: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            told = np.bincount(context, counts, minlength=len(totals))
-            rest = (totals - told + SMOOTHING) / (totals + SMOOTHING)
-            p = counts / (totals + SMOOTHING)[context] + rest[context] * parent
-            gain = np.bincount(context, counts * np.log(p / parent), minlength=len(totals)) + (totals - told) * np.log(rest)
-            return gain >= LEAST_GAIN, np.log10(rest), p
-
-        root = self.root(self.word_counts)
-        self.root_log = np.log10(root)
-        self.one, self.one_rest, p1 = level(high(self.pairs), self.pair_counts, self.word_counts.astype(float), root[low(self.pairs)])
-        if ends >= 0:
-            self.one[ends] = False
-        self.one_log = np.log10(p1)
-        middle = low(self.pairs)  # of the pair (u, v): v, whose own state is the parent
-        ctx, nxt = high(self.triples), low(self.triples)
-        up = find(self.pairs, (middle[ctx].astype(np.uint64) << np.uint64(32)) | nxt.astype(np.uint64))
-        parent = np.where(self.one[middle[ctx]] & (up >= 0), p1[up] if len(p1) else 0, root[nxt]) if len(ctx) else np.zeros(0)
-        self.two, self.two_rest, p2 = level(ctx, self.triple_counts, self.pair_counts.astype(float), parent)
-        self.two &= middle != ends
-        self.two_log = np.log10(p2)
-        return self
-
-    def places(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its word's index, and its pair's with the token before (-1: rare, or first)."""
-        word = find(self.words, t.hash)
-        pair = np.full(len(word), -1)
-        ok = np.flatnonzero((t.place > 0) & (word >= 0) & (np.concatenate(([-1], word[:-1])) >= 0))
-        pair[ok] = find(self.pairs, (word[ok - 1].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64))
-        return word, pair
-
-    def local(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word index, and log10 probabilities of each token by the root and by the tree; of rare words without the root's share."""
-        word, pair = self.places(t)
-        base = np.where(word >= 0, self.root_log[word] if len(self.root_log) else 0.0, 0.0)
-        by_one = base.copy()
-        before = np.where(t.place > 0, np.concatenate(([-1], word[:-1])), -1)
-        state = np.flatnonzero((before >= 0) & self.one[before]) if len(self.one) else np.zeros(0, np.int64)
-        told = pair[state] >= 0
-        by_one[state] = np.where(told, self.one_log[pair[state]] if len(self.one_log) else 0.0, base[state] + self.one_rest[before[state]])
-        out = by_one.copy()
-        before = np.where(t.place > 1, np.concatenate(([-1], pair[:-1])), -1)
-        state = np.flatnonzero((before >= 0) & self.two[before]) if len(self.two) else np.zeros(0, np.int64)
-        triple = np.full(len(state), -1)
-        ok = word[state] >= 0
-        triple[ok] = find(self.triples, (before[state][ok].astype(np.uint64) << np.uint64(32)) | word[state][ok].astype(np.uint64))
-        out[state] = np.where(triple >= 0, self.two_log[triple] if len(self.two_log) else 0.0, by_one[state] + self.two_rest[before[state]])
-        return word, base, out
-
-
-def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by part, and where each part begins."""
-    part = ((keys >> np.uint64(33)) ^ keys) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _count(docs: DataFrame, parts: int, grams: Callable[[Tokens], np.ndarray]) -> DataFrame:
-    """(part, keys, counts): one row of sorted keys for each part, over the training rows."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tx.blocks(batches, "text", BLOCK_BYTES):
-            train = np.array([not held_out(i) for i in block.column("id").to_pylist()])
-            t = Tokens(block.column("text").filter(pa.array(train)))
-            keys, n = np.unique(grams(t), return_counts=True)
-            order, at = _parts(tx.mix(keys), parts)
-            keys, n = keys[order], n[order].astype(np.uint32)
-            full = np.flatnonzero(at[1:] > at[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([keys[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()), pa.array([n[at[p] : at[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "keys", "counts"])
+def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """2**bits bits; that of each row's ``key`` is set. Its size does not depend on the number of rows."""
+    low = (1 << (bits or BITS)) - 1
+    slot = F.col("key").bitwiseAND(F.lit(low))
+    words = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(((low + 1) >> 6) or 1, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
 
-    def merge(rows: pa.Table) -> pa.Table:
-        keys, n = _joined(rows.column("keys"), np.uint64), _joined(rows.column("counts"), np.uint32)
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
-    schema = "part int, keys binary, counts binary"
-    return docs.mapInArrow(spread, schema).groupBy("part").applyInArrow(merge, schema)
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(len(bits) * 64 - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _joined(column: pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _over(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of at least ``least``; at most 1 / LEAST_SHARE of them."""
+def _unsigned(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).view(np.uint64)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = _joined(batch.column("keys"), np.uint64), _joined(batch.column("counts"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[n >= least].tobytes()], pa.binary()), pa.array([n[n >= least].tobytes()], pa.binary())], names=["keys", "counts"])
 
-    got = counted.select("keys", "counts").mapInArrow(pick, "keys binary, counts binary").toArrow()
-    keys, n = _joined(got.column("keys"), np.uint64), _joined(got.column("counts"), np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    for block in tx.blocks(batches, "text", BLOCK_BYTES):
+        yield Tokens(block.column("text").filter(pa.array([not held_out(i) for i in block.column("id").to_pylist()], pa.bool_())))
 
 
-def learn(docs: DataFrame, parts: int) -> tuple[Tree, DataFrame]:
-    """(id, text) -> the tree, and the table of all word counts in parts."""
-    sc = docs.sparkSession.sparkContext
-    counts = table(_count(docs, parts, lambda t: t.hash), "words")
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _training(batches):
+        keys, n = np.unique(t.hash, return_counts=True)
+        yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = _joined(batch.column("counts"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64())], names=["total", "n"])
 
-    whole = counts.select("counts").mapInArrow(sums, "total long, n long").agg(F.sum("total"), F.sum("n")).first()
-    total, distinct = whole[0] or 0, whole[1] or 0
-    least = max(LEAST_COUNT, int(np.ceil(total * LEAST_SHARE)))
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tree = Tree(total, distinct, *_over(counts, least), *none, *none)
-    sent = sc.broadcast(tree)
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key = longer(_unsigned(b.column("context")), _unsigned(b.column("tail")))
+        yield pa.RecordBatch.from_arrays([*b.columns, _signed(key)], names=["context", "tail", "n", "key"])
 
-    def pairs(t: Tokens) -> np.ndarray:
-        word = find(sent.value.words, t.hash)
-        ok = np.flatnonzero((t.place > 0) & (word >= 0) & (np.concatenate(([-1], word[:-1])) >= 0))
-        return (word[ok - 1].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64)
 
-    tree = Tree(total, distinct, tree.words, tree.word_counts, *_over(_count(docs, parts, pairs), least), *none)
-    sent_pairs = sc.broadcast(tree)
+def _count(rows: DataFrame, length: int, contexts: np.ndarray, tails: np.ndarray) -> DataFrame:
+    """(context, tail, n, key): runs of ``length`` + 1 words with a candidate context, seen LEAST_COUNT times or more."""
+    sent = rows.sparkSession.sparkContext.broadcast((contexts, tails))
 
-    def triples(t: Tokens) -> np.ndarray:
-        word, pair = sent_pairs.value.places(t)
-        ok = np.flatnonzero((t.place > 1) & (pair >= 0) & (np.concatenate(([-1], pair[:-1])) >= 0))
-        return (pair[ok - 1].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _training(batches):
+            runs = t.runs()
+            for _ in range(length):
+                keys = next(runs)
+            context = np.concatenate(([np.uint64(0)], keys[:-1])) if len(keys) else keys
+            at = np.flatnonzero((t.place >= length) & may_hold(sent.value[0], context) & may_hold(sent.value[1], keys))
+            _, first, n = np.unique(next(runs)[at], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(context[at[first]]), _signed(keys[at[first]]), pa.array(n.astype(np.int64))], names=["context", "tail", "n"])
 
-    tree.triples, tree.triple_counts = _over(_count(docs, parts, triples), least)
-    return tree.grow(), counts
+    counted = rows.mapInArrow(run, "context long, tail long, n long").groupBy("context", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return counted.mapInArrow(_with_key, "context long, tail long, n long, key long")
 
 
-SCORED = "block string, row int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, part int, words binary, word binary, rows binary"
+def _level(counted: DataFrame, above: DataFrame) -> DataFrame:
+    """Runs of one level of the tree: key, n, context, log (of their probability by the tree so far), open (their context is a state), entry, step and rest.
+
+    above: the level before (key, n, log, open, entry).  step is what an entry adds to the log probability, rest what its state adds.
+    """
+    context = above.where("entry").select(F.col("key").alias("context"), F.col("n").alias("total"))
+    tail = above.select(F.col("key").alias("tail"), F.col("log").alias("up"), F.col("open").alias("closed"))
+    told = table(counted.join(tail, "tail").join(context, "context").select("context", "key", "n", "total", "up", "closed"), "runs")
+    whole = F.col("total") + SMOOTHING
+    told = told.withColumn("likelier", F.col("n") * (F.log(F.col("n") / whole) - F.col("up") * F.log(F.lit(10.0))) >= LEAST_ENTRY)
+    mass = told.groupBy("context").agg(F.sum(F.when(F.col("likelier"), F.col("n")).otherwise(0)).alias("held"))
+    p = told.join(mass, "context").withColumn("left", (whole - F.col("held")) / whole)
+    p = p.withColumn("p", F.log10(F.col("n") / whole + F.col("left") * F.pow(F.lit(10.0), "up")))
+    gain = F.sum(F.when(F.col("likelier"), F.col("n") * (F.col("p") - F.col("up"))).otherwise(0.0)) + F.first(F.col("total") - F.col("held")) * F.first(F.log10("left"))
+    states = p.groupBy("context").agg((F.first("closed") & (gain * F.log(F.lit(10.0)) >= LEAST_GAIN)).alias("open"))
+    out = p.join(states, "context").withColumn("rest", F.log10("left")).withColumn("entry", F.col("open") & F.col("likelier"))
+    log = F.when(F.col("entry"), F.col("p")).when(F.col("open"), F.col("rest") + F.col("up")).otherwise(F.col("up"))
+    return out.select("key", "n", "total", "context", log.alias("log"), "open", "entry", (F.col("p") - F.col("up") - F.col("rest")).alias("step"), "rest")
+
+
+def learn(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(id, text) -> the tree as a table (key, value, n, word), its depth, and the numbers of training tokens and of distinct ones."""
+    words = table(rows.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = [words.select("key", F.log10((F.col("n") + 0.5) / 0.5).alias("value"), "n", F.lit(True).alias("word"))]
+    above = words.where(F.col("n") >= LEAST_COUNT).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("log"), F.lit(True).alias("open"), (F.col("key") != int(END.view(np.int64))).alias("entry"))
+    length = 1
+    while not above.where("entry").isEmpty():
+        counted = table(_count(rows, length, bitmap(above.where("entry")), bitmap(above)), "counts")
+        above = table(_level(counted, above), "level")
+        forget(counted)
+        mark = F.col("context").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64))))
+        states = above.where("open").groupBy(mark.alias("key")).agg(F.first("rest").alias("value"), F.first("total").alias("n"))
+        parts += [above.where("entry").select("key", F.col("step").alias("value"), "n", F.lit(False).alias("word")), states.withColumn("word", F.lit(False))]
+        length += 1
+    tree = parts[0]
+    for part in parts[1:]:
+        tree = tree.unionByName(part)
+    return table(tree, "tree"), length - 1, total, distinct
+
+
+def _cached(tree: DataFrame) -> tuple[float, pa.Table]:
+    """The most frequent keys, CACHE at most: all whose count reaches a bound."""
+    steps = tree.groupBy(F.floor(4 * F.log2("n")).alias("bin")).count().orderBy(F.desc("bin")).collect()  # some 250 rows at most
+    bound, held = 1e300, 0
+    for row in steps:
+        held += row["count"]
+        if held > CACHE:
+            break
+        bound = row["bin"]
+    return bound, tree.where(F.floor(4 * F.log2("n")) >= bound).select("key", "value", "word").toArrow()
+
+
+SCORED = "block long, row int, id long, held_out boolean, n_tokens long, n_known long, base double, more double, key long, times long"
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Null text is empty: its end alone is scored.  Null ids count as training rows; repeated rows are
-    rows like others, in training too.  An empty table gives an empty result; without any
-    training row every token is unknown.
+    rows like others, in training too; very long texts are read whole.  An empty table gives an empty result; without any
+    training row every token is unknown.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tree, counts = learn(rows, parts)
-    sent = spark.sparkContext.broadcast(tree)
+    tree, depth, total, distinct = learn(rows)
+    unknown = float(np.log10(0.5 / (total + 0.5 * (distinct + 1))))
+    bound, cached = _cached(tree)
+    rare = tree.where(F.floor(4 * F.log2("n")) < bound)
+    order = np.argsort(_unsigned(cached.column("key")))
+    cache = _unsigned(cached.column("key"))[order], cached.column("value").to_numpy()[order], cached.column("word").to_numpy(zero_copy_only=False)[order].astype(bool)
+    sent = rows.sparkSession.sparkContext.broadcast((cache, bitmap(rare)))
+    names = [x.split()[0] for x in SCORED.split(", ")]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SCORED.split(", ")]
+        (keys, values, is_word), bits = sent.value
         for block in tx.blocks(batches, "text", BLOCK_BYTES):
-            t, ids, name = Tokens(block.column("text")), block.column("id").to_pylist(), uuid.uuid4().hex
-            word, base, score = sent.value.local(t)
+            t, ids, name = Tokens(block.column("text")), block.column("id").to_pylist(), uuid.uuid4().int >> 66
             n = len(ids)
-            sums = lambda x: np.bincount(t.text, x, minlength=n)
-            none = lambda kind, k=n: pa.nulls(k, kind)
+            known, base, more = np.zeros(n), np.zeros(n), np.zeros(n)
+            asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def look(wanted: np.ndarray, text: np.ndarray, word: bool) -> np.ndarray:
+                """Adds the values of cached keys and asks for those that may be elsewhere; returns which may be in the tree."""
+                at = find(keys, wanted)  # noqa: B023
+                ok = at >= 0
+                sums = np.bincount(text[ok], values[at[ok]], minlength=n)  # noqa: B023
+                if word:
+                    base[:] += sums  # noqa: B023
+                    known[:] += np.bincount(text[ok], minlength=n)  # noqa: B023
+                else:
+                    more[:] += sums  # noqa: B023
+                ask = np.flatnonzero(~ok)
+                ask = ask[may_hold(bits, wanted[ask])]
+                asked.append((text[ask], wanted[ask]))  # noqa: B023
+                ok[ask] = True
+                return ok
+
+            runs = t.runs()
+            look(next(runs), t.text, True)
+            live, length, last = np.flatnonzero(t.place >= 1), 1, t.hash
+            while len(live) and length <= depth:  # positions whose context of this length may be a state: longer ones then may be too
+                live = live[look(last[live - 1] ^ CONTEXT, t.text[live], False)]
+                last = next(runs)
+                look(last[live], t.text[live], False)
+                length += 1
+                live = live[t.place[live] >= length]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), block.column("id"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(t.counts.astype(np.int64)), pa.array(sums(word >= 0).astype(np.int64)), pa.array(sums(base)), pa.array(sums(score)), pa.array(np.full(n, -1, np.int32)), *[none(pa.binary())] * 3],
+                [pa.array([name] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), block.column("id"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(t.counts.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
                 names=names,
             )
-            rare = np.flatnonzero(word < 0)
-            if not len(rare):
-                continue
-            words, at = np.unique(t.hash[rare], return_inverse=True)
-            order, cut = _parts(tx.mix(words), parts)
-            part_of = np.empty(len(words), np.int64)
-            part_of[order] = np.repeat(np.arange(parts), np.diff(cut))
-            inner = np.empty(len(words), np.int64)
-            inner[order] = np.arange(len(words)) - cut[part_of[order]]
-            by = np.argsort(part_of[at], kind="stable")
-            edge = np.searchsorted(part_of[at][by], np.arange(parts + 1))
-            full = np.flatnonzero(cut[1:] > cut[:-1])
-            k = len(full)
+            text, key = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            times, k = np.diff(np.append(new, len(key))), len(new)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * k), *[none(x, k) for x in (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(full.astype(np.int32)), pa.array([words[order[cut[p] : cut[p + 1]]].tobytes() for p in full], pa.binary()), pa.array([inner[at[by[edge[p] : edge[p + 1]]]].astype(np.uint32).tobytes() for p in full], pa.binary()), pa.array([t.text[rare[by[edge[p] : edge[p + 1]]]].astype(np.uint32).tobytes() for p in full], pa.binary())],
+                [pa.array([name] * k, pa.int64()), pa.array(text[new].astype(np.int32)), *[pa.nulls(k, x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], _signed(key[new]), pa.array(times.astype(np.int64))],
                 names=names,
             )
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys, n = (_joined(known.column("keys"), np.uint64), _joined(known.column("counts"), np.int64)) if known.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        out: dict[str, list] = {"block": [], "row": [], "n_known": [], "base": []}
-        for block, words, word, rows_ in zip(*(asked.column(c) for c in ("block", "words", "word", "rows")), strict=True):
-            at = find(keys, np.frombuffer(words.as_py(), np.uint64))
-            count = np.where(at >= 0, n[at] if len(n) else 0, 0)
-            word, rows_ = np.frombuffer(word.as_py(), np.uint32), np.frombuffer(rows_.as_py(), np.uint32)
-            own, at = np.unique(rows_, return_inverse=True)
-            out["block"].append(pa.array([block.as_py()] * len(own), pa.string()))
-            out["row"].append(pa.array(own.astype(np.int32)))
-            out["n_known"].append(pa.array(np.bincount(at, count[word] > 0).astype(np.int64)))
-            out["base"].append(pa.array(np.bincount(at, np.log10(sent.value.root(count))[word])))
-        kinds = {"block": pa.string(), "row": pa.int32(), "n_known": pa.int64(), "base": pa.float64()}
-        return pa.table({c: pa.chunked_array(v, kinds[c]) for c, v in out.items()})
-
     told = table(rows.mapInArrow(local, SCORED), "scores")
-    asked = told.where("part >= 0").select("part", "block", "words", "word", "rows")
-    answers = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answer, "block string, row int, n_known long, base double")
-    own = told.where("part < 0").select("block", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    null = lambda kind: F.lit(None).cast(kind)
-    more = answers.select("block", "row", null("long").alias("doc_id"), null("boolean").alias("held_out"), null("long").alias("n_tokens"), "n_known", "base", F.col("base").alias("score"))
-    out = own.unionByName(more).groupBy("block", "row").agg(F.max("doc_id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    own = told.where("key is null").drop("key", "times")
+    met = told.where("key is not null").select("block", "row", "key", "times").join(rare.select("key", "value", "word"), "key")
+    null = lambda c: F.lit(None).cast(own.schema[c].dataType).alias(c)
+    worth = F.col("times") * F.col("value")
+    met = met.groupBy("block", "row").agg(F.sum(F.when(F.col("word"), F.col("times"))).alias("n_known"), F.sum(F.when(F.col("word"), worth)).alias("base"), F.sum(F.when(~F.col("word"), worth)).alias("more"))
+    met = met.select("block", "row", null("id"), null("held_out"), null("n_tokens"), "n_known", "base", "more")
+    out = own.unionByName(met).groupBy("block", "row").agg(F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("more").alias("more"))
+    base = F.col("base") + F.col("n_tokens") * F.lit(unknown)
+    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("more", F.lit(0.0))).alias("score"))

@@ -362,24 +362,66 @@ def test_base_scores_and_tree(docs_of, prose):
     assert suffix_tree_lm.score_texts(docs_of(rows).limit(0)).count() == 0
 
 
-def test_distributions_sum_to_one(docs_of, prose, spark):
-    import numpy as np
-    import pyarrow as pa
-
-    rows = docs_of([(i, prose(i % 7, 40)) for i in range(300)]).selectExpr("doc_id AS id", "text")
-    tree, _ = suffix_tree_lm.learn(rows, 3)
-    assert tree.one.any() and tree.two.any()
-    vocabulary = sorted({w for i in range(300) if not suffix_tree_lm.held_out(i) for w in words(prose(i % 7, 40))})
-    prefix = prose(3, 40).split()[:2]
-    texts = [" ".join([*prefix, w]) for w in [*vocabulary, "unseen"]] + [" ".join(prefix)]
-    t = suffix_tree_lm.Tokens(pa.array(texts))
-    word, base, score = tree.local(t)
-    last = np.array([np.flatnonzero((t.text == k) & (t.place == 2))[0] for k in range(len(texts))])
-    rare = word[last] < 0
-    assert rare.sum() >= 1
-    counts = {w: 0 for w in texts}
-    p = 10.0 ** score[last]
-    seen = Counter(w for i in range(300) if not suffix_tree_lm.held_out(i) for w in [*words(prose(i % 7, 40)), None])
-    last_words = [*vocabulary, "unseen", None]
-    p = np.array([x * (tree.root(np.array([seen[w]]))[0] if r else 1.0) for x, w, r in zip(p, last_words, rare, strict=True)])
-    assert abs(p.sum() - 1) < 1e-9 and counts
+def plain_tree(rows):
+    """Log10 probability of a word (None: the end; any other string: unknown) after a tuple of words, by dictionaries."""
+    lm = suffix_tree_lm
+    texts = [[*words(x), None] for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    unigrams = Counter(w for t in texts for w in t)
+    whole = sum(unigrams.values()) + 0.5 * (len(unigrams) + 1)
+    states = {}  # context -> (rest, {word: p})
+    candidates = {(w,) for w, n in unigrams.items() if w is not None and n >= lm.LEAST_COUNT}
+    counted = {(w,): n for w, n in unigrams.items() if n >= lm.LEAST_COUNT}
+
+    def p(context, w):
+        if not context:
+            return (unigrams[w] + 0.5) / whole
+        if context not in states:
+            return p(context[1:], w)
+        rest, held = states[context]
+        return held[w] if w in held else rest * p(context[1:], w)
+
+    while candidates:
+        k = len(next(iter(candidates)))
+        runs = Counter(tuple(t[i - k : i + 1]) for t in texts for i in range(k, len(t)))
+        runs = {r: n for r, n in runs.items() if n >= lm.LEAST_COUNT and r[:-1] in candidates and r[1:] in counted}
+        entries, by = set(), {}
+        for r, n in runs.items():
+            by.setdefault(r[:-1], {})[r[-1]] = n
+        for c, mine in by.items():
+            total = counted[c]
+            up = {w: p(c[1:], w) for w in mine}
+            likelier = {w for w, n in mine.items() if n * math.log(n / (total + lm.SMOOTHING) / up[w]) >= lm.LEAST_ENTRY}
+            held = sum(mine[w] for w in likelier)
+            rest = (total - held + lm.SMOOTHING) / (total + lm.SMOOTHING)
+            new = {w: mine[w] / (total + lm.SMOOTHING) + rest * up[w] for w in likelier}
+            gain = sum(mine[w] * math.log(new[w] / up[w]) for w in likelier) + (total - held) * math.log(rest)
+            if gain >= lm.LEAST_GAIN and (k == 1 or c[1:] in states):
+                states[c] = rest, new
+                entries |= {(*c, w) for w in likelier if w is not None}
+        candidates, counted = entries, runs
+    return p, states, unigrams
+
+
+def longest(states, before):
+    """The longest suffix that is a state."""
+    k = 0
+    while k < len(before) and tuple(before[len(before) - k - 1 :]) in states:
+        k += 1
+    return tuple(before[len(before) - k :]) if k else ()
+
+
+@pytest.mark.parametrize(("cache", "bits"), [(0, 6)])
+def test_scores_against_a_plain_tree(docs_of, prose, monkeypatch, cache, bits):
+    """Also without a cache and with bitmaps too small to tell anything: neither changes a score."""
+    monkeypatch.setattr(suffix_tree_lm, "CACHE", cache)
+    monkeypatch.setattr(suffix_tree_lm, "BITS", bits)
+    rows = [(i, prose(i % 30, 60) + " " + prose(i, 8)) for i in range(250)] + [(1000, None), (1001, "never seen words"), (1002, prose(1, 60) + " " + prose(2, 6_000)), (None, "the end")]
+    p, states, unigrams = plain_tree(rows)
+    assert {len(c) for c in states} >= {1, 2}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score_texts(docs_of(rows)).collect()}
+    for i, x in rows:
+        tokens = [*words(x), None]
+        want = sum(math.log10(p(longest(states, tokens[:k]), w)) for k, w in enumerate(tokens))
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), i
+    for c in sorted(states)[:: max(1, len(states) // 40)]:
+        assert abs(sum(p(c, w) for w in [*unigrams, "unseen"]) - 1) < 1e-9
