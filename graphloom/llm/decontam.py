@@ -4,33 +4,37 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and all other-than-
 joined by single spaces.  Each window of ``width`` consecutive item words (a shorter item whole)
 is a pattern with a space on both sides, so matches fall on word edges.  One scan of a text finds
 every occurrence of every pattern; hits map back to character offsets of the original text.
+
+An automaton takes up to 40 bytes of memory for each byte of its patterns, which overlap tenfold.  The patterns are a
+distributed table; only a part of PATTERN_BYTES at most is ever gathered, sent out and built at once.  Most benchmarks
+are one such part and the texts are scanned once; a larger one is scanned a part at a time, each giving the hits of texts
+that have some, merged by text.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .scratch import table
 
-#: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of items.
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of patterns in one automaton, about 240 MB of memory; one longer pattern is an automaton of its own.
+PATTERN_BYTES = 6_000_000
 BREAKS = bytes(i for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
 TO_SPACE = bytes.maketrans(BREAKS, b" " * len(BREAKS))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {i: i + 32 for i in range(65, 91)}
-
-HITS = T.StructType([
-    T.StructField("n_words", T.LongType(), False),
-    T.StructField("n_hit", T.LongType(), False),
-    T.StructField("item_ids", T.ArrayType(T.LongType(), False), False),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T.StructField("stop", T.LongType(), False)]), False), False),
-])
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = re.compile(WORDS)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -38,101 +42,138 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(TO_SPACE).split()
 
 
-def windows(words: list[bytes], width: int) -> list[str]:
-    n = max(1, len(words) - width + 1) if words else 0
-    return [f" {b' '.join(words[i : i + width]).decode()} " for i in range(n)]
+def patterns(benchmark: DataFrame, item_id: str, item_text: str, width: int) -> DataFrame:
+    """(window, item): every window of every item, once."""
+    words = F.regexp_extract_all(F.translate(item_text, UPPER, LOWER), F.lit(WORDS), 0)
+    items = benchmark.select(F.col(item_id).alias("item"), words.alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
+    return items.select("item", "words", F.explode(starts).alias("at")).select(F.array_join(F.slice("words", F.col("at"), width), " ").alias("window"), "item").distinct()
 
 
-def automaton(items: list[tuple[int, str]], width: int):
-    """Patterns of (item_id, text) rows; each carries its word count and the items that hold it. None without patterns."""
-    import ahocorasick
-
-    patterns: dict[str, tuple[int, list[int]]] = {}
-    for item_id, text in items:
-        for pattern in windows(normal_words(text), width):
-            patterns.setdefault(pattern, (pattern.count(" ") - 1, []))[1].append(item_id)
-    if not patterns:
-        return None
-    out = ahocorasick.Automaton()
-    for pattern, held in patterns.items():
-        out.add_word(pattern, held)
-    out.make_automaton()
-    return out
-
+_built: dict[str, object] = {}
 
-_built: dict[str, list] = {}
 
+def automaton(rows: list[tuple[str, list]], key: str):
+    """Built once for each Python worker and part; one is kept at a time."""
+    if key not in _built:
+        import ahocorasick
 
-def _automata(blocks: list[list[tuple[int, str]]], width: int, key: str) -> list:
-    if key not in _built:  # once for each Python worker and benchmark
         _built.clear()
-        _built[key] = [x for x in (automaton(b, width) for b in blocks) if x is not None]
+        out = ahocorasick.Automaton()
+        for window, items in rows:
+            out.add_word(f" {window} ", (window.count(" ") + 1, items))
+        out.make_automaton()
+        _built[key] = out
     return _built[key]
 
 
-def scan(text: str | None, automata: list) -> tuple[int, int, list[int], list[tuple[int, int]]]:
-    """(words, words hit, sorted items, merged hit spans in characters of the original text)."""
-    words = normal_words(text)
-    if not words:
-        return 0, 0, [], []
+def scan(words: list[bytes], machine) -> tuple[list[tuple[int, int]], set]:
+    """Runs of words hit, as disjoint [from, to) in order, and the items that hold them."""
     joined = f" {b' '.join(words).decode()} "
-    runs, items = [], set()
-    for machine in automata:
-        for end, (n, held) in machine.iter(joined):
-            runs.append((end, n))
-            items.update(held)
-    if not runs:
-        return len(words), 0, [], []
+    found, items = [], set()
+    for end, (n, held) in machine.iter(joined):
+        found.append((end, n))
+        items.update(held)
+    if not found:
+        return [], items
     letters = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    last = np.searchsorted(np.flatnonzero(letters == 32), [end for end, _ in runs])  # pattern's last space closes word last - 1
-    hit = np.zeros(len(words) + 1, np.int64)
-    np.add.at(hit, last - np.array([n for _, n in runs]), 1)
-    np.add.at(hit, last, -1)
-    hit = np.cumsum(hit[:-1]) > 0
-    places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    return len(words), int(hit.sum()), sorted(items), [(places[a][0], places[b - 1][1]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    last = np.searchsorted(np.flatnonzero(letters == 32), [end for end, _ in found])  # a pattern's last space closes word last - 1
+    return merged(zip((last - np.array([n for _, n in found])).tolist(), last.tolist(), strict=True)), items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The benchmark, cut so that each automaton holds at most AUTOMATON_BYTES of text (or one longer item).
+def merged(runs) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
 
-    A benchmark is the one table here that may come to the driver: test suites are a few MB, and
-    the blocks bound each automaton whatever its size.
-    """
-    blocks, held = [], AUTOMATON_BYTES
-    for item_id, text in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        if held + len(text) > AUTOMATON_BYTES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item_id, text))
-        held += len(text)
-    return blocks
+
+def _hits(text: str | None, n_words: int, runs: list[tuple[int, int]], items) -> dict:
+    spans = []
+    if runs:
+        places = [m.span() for m in WORD.finditer(text.translate(TO_LOWER))]
+        spans = [{"start": places[a][0], "stop": places[b - 1][1]} for a, b in runs]
+    known = sorted(i for i in items if i is not None)
+    return {"n_words": n_words, "n_hit": sum(b - a for a, b in runs), "item_ids": known + [None] * (len(known) < len(items)), "spans": spans}
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, name: str = "hits") -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, n_hit, item_ids, spans (merged, characters of the original).
+    """``docs`` with a struct column ``name``: n_words, n_hit, item_ids (sorted, a null id last), spans (merged, characters of the original).
 
-    Null or wordless texts have no words and no hits; null or wordless items are no patterns; an
-    empty benchmark hits nothing; repeated items and rows count as they stand; other columns pass through.
+    Null or wordless texts have no words and no hits; null or wordless items are no patterns; items without id
+    count as one item of null id; an empty benchmark hits nothing; repeated items and rows count as they stand; texts of any
+    length are scanned whole; other columns pass through, but one of the name ``name`` is replaced.
     """
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, item_id, item_text)
-    key = hashlib.sha256(repr((blocks, width)).encode()).hexdigest()
-    shipped = spark.sparkContext.broadcast(blocks)
-    schema = T.StructType([*docs.drop(name).schema.fields, T.StructField(name, HITS, False)])
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = _automata(shipped.value, width, key)
+    docs = docs.drop(name)
+    kind = benchmark.schema[item_id].dataType
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    hits = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(kind)), T.StructField("spans", T.ArrayType(span))])
+    arrow, schema = to_arrow_type(hits), T.StructType([*docs.schema.fields, T.StructField(name, hits, False)])
+    windows = table(patterns(benchmark, item_id, item_text, width).groupBy("window").agg(F.collect_set(F.struct("item")).alias("items")), "windows")
+    size = windows.agg(F.sum(F.octet_length("window") + 2)).first()[0] or 0
+    parts = max(1, math.ceil(size / PATTERN_BYTES))
+
+    def sent(part: int):
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).select("window", F.col("items.item").alias("items")).toArrow()
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, list(zip(rows.column("window").to_pylist(), rows.column("items").to_pylist(), strict=True))))
+
+    if parts == 1:
+        only = sent(0)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held = only.value
+            for batch in batches:
+                rows = []
+                for text in batch.column(text_col).to_pylist():
+                    words = normal_words(text)
+                    rows.append(_hits(text, len(words), *(scan(words, automaton(held, key)) if held and words else ([], ()))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], names=[*batch.schema.names, name])
+
+        return docs.mapInArrow(whole, schema)
+
+    found = None
+    for part in range(parts):
+        now = sent(part)
+
+        def some(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            key, held = now.value
+            for batch in batches:
+                signs, runs, items = [], [], []
+                for sign, text in zip(batch.column("sign").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    a, b = scan(normal_words(text), automaton(held, key)) if held else ([], ())
+                    if a:
+                        signs.append(sign)
+                        runs.append([{"start": x, "stop": y} for x, y in a])
+                        items.append(list(b))
+                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), pa.array(runs, to_arrow_type(T.ArrayType(span))), pa.array(items, to_arrow_type(T.ArrayType(kind)))], names=["sign", "runs", "items"])
+
+        rows = docs.where(F.col(text_col).isNotNull()).select(_sign(F.col(text_col)).alias("sign"), F.col(text_col).alias("text"))
+        one = table(rows.mapInArrow(some, T.StructType([T.StructField("sign", T.StringType()), T.StructField("runs", T.ArrayType(span)), T.StructField("items", T.ArrayType(kind))])).dropDuplicates(["sign"]), "leaks")
+        now.unpersist()
+        found = one if found is None else found.unionByName(one)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t.as_py(), machines) for t in batch.column(text_col)]
-            rows = [{"n_words": w, "n_hit": h, "item_ids": i, "spans": [{"start": a, "stop": b} for a, b in s]} for w, h, i, s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, name])
+            rows = []
+            for text, runs, items in zip(batch.column(text_col).to_pylist(), batch.column(own[1]).to_pylist(), batch.column(own[2]).to_pylist(), strict=True):
+                runs = merged((r["start"], r["stop"]) for part in runs or [] for r in part)
+                rows.append(_hits(text, len(normal_words(text)), runs, {i for part in items or [] for i in part}))
+            kept = [batch.column(c) for c in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, arrow)], names=schema.names)
+
+    own = [f"{c}_{uuid.uuid4().hex}" for c in ("sign", "runs", "items")]
+    found = found.groupBy("sign").agg(F.collect_list("runs"), F.collect_list("items")).toDF(*own)
+    return docs.join(found, _sign(F.col(text_col)) == F.col(own[0]), "left").mapInArrow(put_together, schema)
+
 
-    return docs.drop(name).mapInArrow(run, schema)
+def _sign(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
-    return find_leaks(docs, benchmark, name="_leaks", **names).where("_leaks.n_hit = 0").drop("_leaks")
+    name = f"leaks_{uuid.uuid4().hex}"
+    return find_leaks(docs, benchmark, name=name, **names).where(f"{name}.n_hit = 0").drop(name)

@@ -269,10 +269,14 @@ def test_decontamination(docs_of, spark, prose):
 
 
 def test_large_benchmarks_in_blocks(docs_of, spark, prose, monkeypatch):
-    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 50)
-    bench = spark.createDataFrame([(i, prose(i, 15)) for i in range(8)], "item_id long, text string")
-    got = decontam.find_leaks(docs_of([(1, prose(3, 15) + " and " + prose(6, 15))]), bench).first()
-    assert got["hits"]["item_ids"] == [3, 6]
+    bench = spark.createDataFrame([(i, prose(i, 15)) for i in range(8)] + [(None, prose(50, 12)), (None, "ab zz")], "item_id long, text string")
+    rows = [(1, prose(3, 15) + " and " + prose(6, 15)), (2, prose(3, 15)), (3, prose(3, 15)), (4, "Ab ZZ; " + prose(50, 12)), *ODD]
+    found = lambda: sorted((repr(r["doc_id"]), r["n"], tuple(r["hits"])) for r in decontam.find_leaks(docs_of(rows), bench).collect())
+    once = found()
+    monkeypatch.setattr(decontam, "PATTERN_BYTES", 1000)
+    assert found() == once and len(once) == len(rows)
+    hits = {i: h for i, _, h in once}
+    assert hits["1"][2] == [3, 6] and hits["2"] == hits["3"] and hits["4"][1:3] == (14, [None]) and hits["1"][1] == 30
 
 
 # -- passages ----------------------------------------------------------------------------------------------------
