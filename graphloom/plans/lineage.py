@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,18 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Spark removes the shuffle files of a finished write at once; a lost one is made again by Spark's own stage retries.
+#: Spark removes the shuffle files of a query once it has ended; a lost one is made again by Spark's own stage retries.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it again: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here leave no shuffle files."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it again: lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
