@@ -47,7 +47,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.expected(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = mixing.expected(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 

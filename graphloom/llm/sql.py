@@ -43,8 +43,8 @@ WITH d AS (
          ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0 AS u FROM f, l
 ), r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, g.u, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS share,
-         row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size = 0 THEN 1 ELSE floor(log2(size)) + 1 END, coalesce(doc_id, 0) % 64, size, doc_id NULLS LAST) AS k
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+         row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size = 0 THEN 1 ELSE floor(log2(size)) + 1 END, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % n.cells, 0), size, doc_id NULLS LAST) AS k
+  FROM (SELECT greatest(64, ceil(count(*) / 65536.0)::BIGINT) AS cells FROM d) n, d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        ((floor(u::DOUBLE + share * k) - floor(u::DOUBLE + share * (k - 1)))::BIGINT * size)::BIGINT AS taken
