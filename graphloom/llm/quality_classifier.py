@@ -123,13 +123,17 @@ def fit(column: pa.Array, bad: np.ndarray) -> Classifier:
     return Classifier(terms, w, base)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fit on the labelled rows (bad: quality 0 or toxic 1), at most SAMPLE_ROWS of them."""
+def labelled(labels: DataFrame, id_col: str) -> DataFrame:
+    """(_id, _bad): 1 for ids that any row of theirs calls bad (quality 0 or toxic 1), else 0."""
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(bad).alias("_bad"))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
+    return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(bad).alias("_bad"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Classifier:
+    """Fit on the labelled rows, at most ``sample_rows`` of them."""
+    some = labelled(labels, id_col).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(some, "_id")
-    sample = rows.orderBy(F.xxhash64("_id"), "_id", "_text").limit(SAMPLE_ROWS).select("_text", "_bad")
+    sample = rows.orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample_rows).select("_text", "_bad")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)  # the bounded sample
@@ -156,15 +160,19 @@ def _strength(groups: DataFrame, rate: str, parent: Column) -> float:
     return min(max(mean_noise / between - 1 if between > 0 else 1e6, 1.0), 1e6)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_below: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_below: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with _evidence (log odds), _prior (its path's rate of bad), _posterior and _kept (posterior under keep_below).
 
+    Host and corpus rates count a labelled document by its label and any other by its probability; the rate of a
+    document's own path leaves the document itself out, whose evidence comes in once.
+
     host defaults to ``source`` and path to ``source``/``lang``.  Null or empty texts are scored by their
     shape; null hosts and paths are groups of their own; without labels the evidence comes from
-    constants alone; repeated rows are scored alike; an empty table gives an empty result.
+    constants alone; repeated rows are scored alike, also those with equal posteriors; very long texts are read whole; an
+    empty table gives an empty result.
     """
-    docs = docs.drop("_evidence", "_host", "_path", "_prior", "_posterior", "_kept")
-    model = train(docs, labels, id_col, text_col)
+    docs = docs.drop("_evidence", "_host", "_path", "_own", "_prior", "_posterior", "_kept")
+    model = train(docs, labels, id_col, text_col, sample_rows)
     host = F.coalesce(F.col("source") if host is None else host, F.lit(""))
     path = F.coalesce(F.col("lang") if path is None else path, F.lit(""))
     schema = T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())])
@@ -174,9 +182,12 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             found = np.round(model.evidence(block.column(text_col)), 9)
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found)], names=[*block.schema.names, "_evidence"])
 
-    rows = docs.mapInArrow(run, schema).withColumns({"_host": host, "_path": path})
+    rows = table(docs.mapInArrow(run, schema).withColumns({"_host": host, "_path": path}), "evidence")
     own = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_evidence") + F.lit(math.log(model.base / (1 - model.base)))))))
-    slim = table(rows.select("_host", "_path", own.alias("p")).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p").alias("bad")), "paths")
+    rows = rows.withColumn("_own", own)
+    slim = rows.select(F.col(id_col).alias("_id"), "_host", "_path", "_own").join(labelled(labels, id_col), "_id", "left")
+    slim = slim.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_own").alias("guessed"), F.sum(F.coalesce("_bad", "_own")).alias("bad"))
+    slim = table(slim, "paths")
     whole = slim.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = min(max(whole["bad"] / whole["n"], 1e-6), 1 - 1e-6) if whole["n"] else model.base
     hosts = slim.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -184,8 +195,9 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     hosts = hosts.select("_host", ((F.col("bad") + k * overall) / (F.col("n") + k)).alias("host_rate"))
     paths = slim.join(hosts, "_host")
     k = _strength(paths, "bad", F.col("host_rate"))
-    paths = paths.select("_host", "_path", ((F.col("bad") + F.lit(k) * F.col("host_rate")) / (F.col("n") + k)).alias("_prior"))
-    rows = rows.join(paths, ["_host", "_path"], "left")
+    rows = rows.join(paths.select("_host", "_path", "n", "guessed", "host_rate").withColumnsRenamed({"n": "_n_path", "guessed": "_guessed", "host_rate": "_host_rate"}), ["_host", "_path"], "left")
+    others = (F.col("_guessed") - F.col("_own") + F.lit(k) * F.col("_host_rate")) / (F.col("_n_path") - 1 + k)
+    rows = rows.withColumn("_prior", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others))).drop("_own", "_n_path", "_guessed", "_host_rate")
     odds = F.col("_evidence") + F.log(F.col("_prior") / (1 - F.col("_prior")))
     rows = rows.withColumn("_posterior", F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds)))))
     return rows.withColumn("_kept", F.coalesce(F.col("_posterior") < keep_below, F.lit(True))).drop("_host", "_path")
