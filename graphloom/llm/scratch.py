@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..plans.lineage import shared_dir, table, tidy
 
-from ..plans.lineage import shared_dir, table
-
-__all__ = ["forget", "release", "shared_dir", "table"]
+__all__ = ["forget", "shared_dir", "table", "tidy"]
 
 
 def forget(written: DataFrame) -> None:
@@ -18,11 +15,3 @@ def forget(written: DataFrame) -> None:
     for name in {f.rpartition("/")[0] for f in written.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Have Spark drop shuffle files of plans that are written and gone: it does so when the driver collects its garbage."""
-    for _ in range(2):  # the first round lets go of the plans, the second of what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
