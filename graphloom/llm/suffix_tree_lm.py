@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import forget, table
+from .scratch import forget, table, tidy
 
 LEAST_COUNT, LEAST_GAIN, LEAST_ENTRY, SMOOTHING = 4, 6.0, 2.0, 2.0
 BITS, CACHE = 27, 1 << 20
@@ -77,13 +77,18 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
-    """2**bits bits; that of each row's ``key`` is set. Its size does not depend on the number of rows."""
-    low = (1 << (bits or BITS)) - 1
+def bitmaps(keys: DataFrame, *marks: Column) -> list[np.ndarray]:
+    """For each mark 2**BITS bits; that of a ``key`` is set if a row of it has the mark. Their size does not depend on the number of rows."""
+    low = (1 << BITS) - 1
     slot = F.col("key").bitwiseAND(F.lit(low))
-    words = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(((low + 1) >> 6) or 1, np.uint64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    with tidy(keys.sparkSession):
+        words = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(*[F.bit_or(F.when(m, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i, m in enumerate(marks)]).toArrow()
+    out = []
+    for i in range(len(marks)):
+        bits = np.zeros(((low + 1) >> 6) or 1, np.uint64)
+        bits[words.column("at").to_numpy()] = words.column(f"m{i}").to_numpy().view(np.uint64)
+        out.append(bits)
     return out
 
 
@@ -135,14 +140,18 @@ def _count(rows: DataFrame, length: int, contexts: np.ndarray, tails: np.ndarray
     return counted.mapInArrow(_with_key, "context long, tail long, n long, key long")
 
 
-def _level(counted: DataFrame, above: DataFrame) -> DataFrame:
+def _meet(counted: DataFrame, above: DataFrame) -> DataFrame:
+    """Counted runs with the count of their context (total), and their tail's log probability (up) and whether its context is a state (closed)."""
+    context = above.where("entry").select(F.col("key").alias("context"), F.col("n").alias("total"))
+    tail = above.select(F.col("key").alias("tail"), F.col("log").alias("up"), F.col("open").alias("closed"))
+    return counted.join(tail, "tail").join(context, "context").select("context", "key", "n", "total", "up", "closed")
+
+
+def _level(told: DataFrame) -> DataFrame:
     """Runs of one level of the tree: key, n, context, log (of their probability by the tree so far), open (their context is a state), entry, step and rest.
 
-    above: the level before (key, n, log, open, entry).  step is what an entry adds to the log probability, rest what its state adds.
+    step is what an entry adds to the log probability, rest what its state adds.
     """
-    context = above.where("entry").select(F.col("key").alias("context"), F.col("n").alias("total"))
-    tail = above.select(F.col("key").alias("tail"), F.col("log").alias("up"), F.col("open").alias("closed"))
-    told = table(counted.join(tail, "tail").join(context, "context").select("context", "key", "n", "total", "up", "closed"), "runs")
     whole = F.col("total") + SMOOTHING
     told = told.withColumn("likelier", F.col("n") * (F.log(F.col("n") / whole) - F.col("up") * F.log(F.lit(10.0))) >= LEAST_ENTRY)
     mass = told.groupBy("context").agg(F.sum(F.when(F.col("likelier"), F.col("n")).otherwise(0)).alias("held"))
@@ -161,11 +170,14 @@ def learn(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     parts = [words.select("key", F.log10((F.col("n") + 0.5) / 0.5).alias("value"), "n", F.lit(True).alias("word"))]
     above = words.where(F.col("n") >= LEAST_COUNT).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("log"), F.lit(True).alias("open"), (F.col("key") != int(END.view(np.int64))).alias("entry"))
-    length = 1
-    while not above.where("entry").isEmpty():
-        counted = table(_count(rows, length, bitmap(above.where("entry")), bitmap(above)), "counts")
-        above = table(_level(counted, above), "level")
+    length, levels = 1, [words]
+    while (held := bitmaps(above, F.col("entry"), F.lit(True)))[0].any():
+        counted = table(_count(rows, length, *held), "counts")
+        told = table(_meet(counted, above), "runs")
+        above = table(_level(told), "level")
+        levels.append(above)
         forget(counted)
+        forget(told)
         mark = F.col("context").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64))))
         states = above.where("open").groupBy(mark.alias("key")).agg(F.first("rest").alias("value"), F.first("total").alias("n"))
         parts += [above.where("entry").select("key", F.col("step").alias("value"), "n", F.lit(False).alias("word")), states.withColumn("word", F.lit(False))]
@@ -173,7 +185,10 @@ def learn(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
     tree = parts[0]
     for part in parts[1:]:
         tree = tree.unionByName(part)
-    return table(tree, "tree"), length - 1, total, distinct
+    tree = table(tree, "tree")
+    for level in levels:
+        forget(level)
+    return tree, length - 1, total, distinct
 
 
 def _cached(tree: DataFrame) -> tuple[float, pa.Table]:
@@ -185,7 +200,8 @@ def _cached(tree: DataFrame) -> tuple[float, pa.Table]:
         if held > CACHE:
             break
         bound = row["bin"]
-    return bound, tree.where(F.floor(4 * F.log2("n")) >= bound).select("key", "value", "word").toArrow()
+    with tidy(tree.sparkSession):
+        return bound, tree.where(F.floor(4 * F.log2("n")) >= bound).select("key", "value", "word").toArrow()
 
 
 SCORED = "block long, row int, id long, held_out boolean, n_tokens long, n_known long, base double, more double, key long, times long"
@@ -205,7 +221,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rare = tree.where(F.floor(4 * F.log2("n")) < bound)
     order = np.argsort(_unsigned(cached.column("key")))
     cache = _unsigned(cached.column("key"))[order], cached.column("value").to_numpy()[order], cached.column("word").to_numpy(zero_copy_only=False)[order].astype(bool)
-    sent = rows.sparkSession.sparkContext.broadcast((cache, bitmap(rare)))
+    sent = rows.sparkSession.sparkContext.broadcast((cache, *bitmaps(rare, F.lit(True))))
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,6 +237,8 @@ def test_mixing(docs_of, prose):
         assert abs(sum(r["_copies"] * r["_size"] for r in v) - v[0]["_target"]) <= 2 * most, source
     again = {(r["doc_id"], r["_size"]): r["_copies"] for r in mixing.expected(docs_of(rows[::-1])).collect()}
     assert again == {(r["doc_id"], r["_size"]): r["_copies"] for r in got}
+    named = mixing.expected(docs_of(rows).selectExpr("'d' || doc_id AS doc_id", "text", "source", "1 AS _source", "2 AS _rank"))
+    assert named.count() == len(rows) and {"_source", "_rank"} <= set(named.columns)
     mixed = mixing.mix_sources(docs_of(rows))
     assert mixed.count() == sum(r["_copies"] for r in got) and mixing.mix_sources(docs_of(rows).limit(0)).count() == 0
 
