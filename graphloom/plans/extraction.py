@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.extract import extract
+from ..sources.extract import UNREADABLE, extract
 from . import adapters
 from .golden import EXPECTED
 from .samples import FILES
@@ -36,7 +36,7 @@ def sample_files(spark: SparkSession) -> DataFrame:
 def facts_query(parser_id: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-        return extract(sample_files(spark), parser_id).withColumn("attrs", text).select(FACT)
+        return extract(sample_files(spark), parser_id).where(F.col("fact") != UNREADABLE).withColumn("attrs", text).select(FACT)
 
     return run
 

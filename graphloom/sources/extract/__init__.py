@@ -1,17 +1,24 @@
 """Extractors: functions (path, text) -> facts, run over file frames.
 
 A fact is (fact, name, qualified_name, parent, line, target, attrs); absent fields are null.  A file
-that an extractor can't read gives no facts and never fails the run.
+that an extractor can't read gives one fact, UNREADABLE with the error, and never fails the run.  Functions that
+run in Python workers are pickled by value, so executors need no copy of the package.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Fact = dict
+UNREADABLE = "unreadable"
 Extractor = Callable[[str, str], Iterable[Fact]]
 FIELDS = ["fact", "name", "qualified_name", "parent", "line", "target"]
 SCHEMA = "parser_id string, path string, fact string, name string, qualified_name string, parent string, line int, target string, attrs map<string,string>"
@@ -52,8 +59,8 @@ def extract(files: DataFrame, parser_id: str) -> DataFrame:
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 try:
                     found = list(run(path, text or ""))
-                except Exception:  # noqa: BLE001  an unreadable file must not stop the others
-                    continue
+                except Exception as e:  # noqa: BLE001  an unreadable file must not stop the others
+                    found = [fact(UNREADABLE, type(e).__name__, message=e)]
                 out += [(parser_id, path, *(f[k] for k in FIELDS), f["attrs"]) for f in found]
             frame = pd.DataFrame(out, columns=["parser_id", "path", *FIELDS, "attrs"])
             frame["line"] = frame["line"].astype("Int32")
