@@ -108,3 +108,56 @@ def leaf_role(key: Column) -> Column:
         F.when(leaf.rlike("^(host|hostname|server|endpoint|url|uri|address)$"), "target").when(leaf.rlike("^(password|pwd|secret|token|apikey)$"), "secret").when(leaf.rlike("^(user|username|uid|login)$"), "user")
         .when(leaf.rlike("^port$"), "port").when(leaf.rlike("^(database|db|schema|initialcatalog)$"), "database").otherwise("other")
     )
+
+
+#: Resources whose routes catch all that follows, in the order in which they are tried (fixed values).
+SPLAT_RESOURCES = "nodes files assets static media blobs objects content raw proxy".split()
+
+
+def splat_path(path: Column) -> Column:
+    """A client's path below a catch-all resource becomes the route's, ``../resource/*``; others stay, without trailing slashes."""
+    bare = F.regexp_replace(path, "/+$", "")
+    out = bare = F.when(bare == "", "/").otherwise(bare)
+    for segment in reversed(SPLAT_RESOURCES):
+        below = rf"(?i)^(.*)/{segment}/.+$"
+        out = F.when(bare.rlike(below), F.concat(F.regexp_extract(bare, below, 1), F.lit(f"/{segment}/*"))).otherwise(out)
+    return F.when(bare.endswith("/*"), bare).otherwise(out)
+
+
+def compose_file(path: Column) -> Column:
+    """The compose file that a source file's service stands in: a monorepo's own folders have the development one."""
+    return F.when(F.replace(path, F.lit("\\"), F.lit("/")).rlike("^(backend|frontend|parsers)/"), "docker/docker-compose.dev.yml").otherwise("docker-compose.yml")
+
+
+def api_template(raw: Column) -> Column:
+    """A UI call's path as a template: expressions are ``{id}``, the query and the version prefix go; empty for the root."""
+    bare = F.element_at(F.split(F.trim(raw), r"\?"), 1)
+    bare = F.regexp_replace(bare, r"\$\{buildQuery\([^}]*\)\}", "")
+    bare = F.regexp_replace(bare, r"\$\{(?:[^{}]|\{[^}]*\})*\}", "{id}")
+    found = F.regexp_extract(bare, r"/[A-Za-z0-9_/{}.:-]+", 0)
+    path = F.regexp_replace(F.when(found != "", found).otherwise(bare), "(?i)^(.*?)/api/v1", "$1")
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    path = F.regexp_replace(F.regexp_replace(path, r"\{+id\}+", "{id}"), "[^A-Za-z0-9_/{}.:-]+$", "")
+    return F.when(path == "/", "").otherwise(path)
+
+
+def decode_id(raw: Column) -> Column:
+    """An id out of an address, decoded once or, if it is still encoded, twice; what can't be decoded stays."""
+    once = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    twice = F.when(once.contains("%"), F.coalesce(F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B"))), once)).otherwise(once)
+    return F.coalesce(twice, raw)
+
+
+#: Folders that name no service, and names of user interfaces (fixed values).
+NO_SERVICE, UI_NAMES = "src app apps packages dist node_modules".split(), "ui web client".split()
+
+
+def bound_service(key: Column, name: Column, path: Column) -> Column:
+    """Id of the compose service that serves an application: a frontend first, then another interface's name, then the first candidate
+    of its key and the folders of its path; null without any."""
+    path = F.replace(F.coalesce(path, key), F.lit("\\"), F.lit("/"))
+    folders = F.filter(F.transform(F.split(path, "/"), F.lower), lambda p: (p != "") & ~p.isin(NO_SERVICE) & ~p.contains("."))
+    found = F.filter(F.array_distinct(F.concat(F.array(F.lower(key)), folders)), lambda p: p != "")
+    front = F.array_contains(found, "frontend") | F.contains(F.lower(name), F.lit("frontend")) | F.contains(F.lower(key), F.lit("frontend"))
+    service = F.when(F.coalesce(front, F.lit(False)), "frontend").otherwise(F.coalesce(F.get(F.filter(found, lambda p: p.isin(UI_NAMES)), 0), F.get(found, 0)))
+    return F.concat(F.lit("compose:service:"), compose_file(F.when(path != "", path).otherwise(F.concat(service, F.lit("/")))), F.lit("#"), service)

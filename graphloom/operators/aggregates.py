@@ -62,7 +62,41 @@ def ingest_status(errors: Column, nodes: Column, successes: Column) -> Column:
 
 
 def latest_status(runs: DataFrame, newest: int = 5) -> DataFrame:
-    """(parser_id, status) over the newest runs: runs (started_at, results array of struct(parser_id, status))."""
-    some = runs.orderBy(F.col("started_at").desc()).limit(newest)
-    rows = some.select("started_at", F.explode("results").alias("r"))
-    return rows.groupBy("r.parser_id").agg(F.max_by("r.status", "started_at").alias("status"))
+    """(parser_id, status) over the newest runs: runs (id, started_at, results array of struct(parser_id, status)); of runs of one time that of greater id is newer."""
+    some = runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(newest)
+    rows = some.select(F.struct("started_at", "id").alias("at"), F.explode("results").alias("r"))
+    return rows.groupBy("r.parser_id").agg(F.max_by("r.status", "at").alias("status"))
+
+
+def merged_counts(reports: list[DataFrame], most: int = 5) -> DataFrame:
+    """(language, file_count, sample_paths) of several detectors: counts summed, the first ``most`` of all their sample paths."""
+    rows = reports[0]
+    for report in reports[1:]:
+        rows = rows.unionByName(report)
+    return rows.groupBy("language").agg(F.sum("file_count").alias("file_count"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sample_paths")))), 1, most).alias("sample_paths"))
+
+
+def bus_profile(files: DataFrame, hints: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """One row: for each bus the files (path, text) that hold one of its hints for their ending, and the parser: rabbit's whenever it is there."""
+
+    def signal(bus: str) -> Column:
+        out = F.lit(False)
+        for ending, marks in hints[bus].items():
+            for mark in marks:
+                out = out | (F.col("path").endswith(ending) & F.contains("text", F.lit(mark)))
+        return F.coalesce(out, F.lit(False))
+
+    counts = files.agg(*[F.count_if(signal(bus)).alias(bus) for bus in ("rabbit", "kafka")])
+    return counts.withColumn("parser_id", F.when(F.col("rabbit") > 0, "bus-rabbit").when(F.col("kafka") > 0, "bus-kafka"))
+
+
+def detect(files: DataFrame, rules: list[tuple[str, str, str | None]], most: int = 5) -> DataFrame:
+    """(rule, file_count, sample_paths): rules as data (name, pattern of the path, text that the content must hold or None); a file may meet several."""
+    met = F.array(*[F.when(F.col("path").rlike(pattern) & (F.lit(True) if hint is None else F.coalesce(F.contains("text", F.lit(hint)), F.lit(False))), name) for name, pattern, hint in rules])
+    rows = files.select("path", F.explode(F.array_compact(met)).alias("language"))
+    from pyspark.sql import Window as W
+
+    counts = rows.groupBy("language").agg(F.count("*").alias("file_count"))
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy("path"))).where(F.col("n") <= most)
+    picked = first.groupBy("language").agg(F.array_sort(F.collect_list("path")).alias("sample_paths"))
+    return counts.join(picked, "language").withColumnRenamed("language", "rule")

@@ -83,5 +83,24 @@ def chunk_numbers(df: DataFrame, order: list[str], size: int, total: int) -> Dat
     chunks = -(-total // size) if size > 0 else 1
     last = max(0, chunks - 1)
     short = chunks > 1 and total - last * size < size / 10
-    n = F.floor((F.row_number().over(W.orderBy(*order)) - 1) / max(size, 1)) if size > 0 else F.lit(0)
-    return df.withColumn("chunk", F.least(n, F.lit(last - 1 if short else last)).cast("long"))
+    if size <= 0:
+        return df.withColumn("chunk", F.lit(0).cast("long"))
+    n = F.floor(F.col("_place") / size)
+    return places(df, order).withColumn("chunk", F.least(n, F.lit(last - 1 if short else last)).cast("long")).drop("_place")
+
+
+def places(df: DataFrame, order: list[str]) -> DataFrame:
+    """``_place``: each row's number from 0 in a total order: rows of a range are numbered in it, and ranges begin where those before end."""
+    from ..plans.lineage import table
+
+    ranges = table(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    starts = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_start"))  # one row a range
+    inner = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_inner", inner).join(starts, "_range").withColumn("_place", F.col("_inner") + F.col("_start")).drop("_range", "_inner", "_start")
+
+
+def external_order(nodes: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` nodes, peers first, then by id, with their ``place`` from 1: numbered once cut, so in a bounded view."""
+    first = nodes.orderBy(peer_rank(F.col("kind")), "id").limit(most)
+    return first.withColumn("place", F.row_number().over(W.orderBy(peer_rank(F.col("kind")), "id")).cast("long"))

@@ -12,6 +12,33 @@ from ..functions.paths import ancestor_paths
 from ..schema import ANALYSED_STATUSES, CODE_KINDS, PEER_KINDS, READY_STATUSES
 
 
+def public(rows: DataFrame) -> DataFrame:
+    """Without what is no reader's business: when a row was written."""
+    return rows.drop("ingested_at")
+
+
+def stamped(rows: DataFrame, at: str | None = None) -> DataFrame:
+    """``ingested_at``: an ISO time in UTC, now if none is given."""
+    now = F.current_timestamp() if at is None else F.to_timestamp(F.lit(at))
+    return rows.withColumn("ingested_at", F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+#: What the UI sees of nodes and edges (fixed values).
+UI_NODE, UI_EDGE = ("id", "kind", "name", "qualified_name", "path", "signature", "parent_id", "metadata"), ("id", "src", "dst", "type", "metadata")
+
+
+def ui_public(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The UI's fields; null where the rows have none."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in fields])
+
+
+def with_layer(metadata: Column, layer: str) -> Column:
+    """The metadata map with the layer as an entry."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rest = F.map_filter(F.coalesce(metadata, empty), lambda k, _: k != "layer")
+    return F.map_concat(rest, F.create_map(F.lit("layer"), F.lit(layer)))
+
+
 def is_root(parent: Column) -> Column:
     return parent.isNull() | (parent == "")
 

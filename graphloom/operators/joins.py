@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestor_paths
 from ..schema import CODE_KINDS, INSIDE_KINDS, OPEN_ENDED_EDGES, PEER_KINDS
+from .dedupe import element_by_path
 
 
 def _ids(nodes: DataFrame, name: str) -> DataFrame:
@@ -57,8 +58,8 @@ def with_children_flag(page: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def linked_elements(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """``element_id``: of the element on the node's path; null if there is none."""
-    return nodes.join(elements.select("path", F.col("id").alias("element_id")), "path", "left")
+    """``element_id``: of the element on the node's path, one of them if there are several; null if there is none."""
+    return nodes.join(element_by_path(elements).select("path", F.col("id").alias("element_id")), "path", "left")
 
 
 def unique_by(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,6 +114,15 @@ def vanished(elements: DataFrame, seen: DataFrame) -> DataFrame:
     return elements.where("is_active").join(seen.select("path").distinct(), "path", "left_anti").select(elements.columns)
 
 
+def helper_calls(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """(screen, target): calls that the functions make which a screen imports, by module and exported name.
+
+    imports: (screen, module, name, used); a helper that the screen imports but does not use calls nothing.
+    exports: (module, name, target), one row for each call of an exported function.
+    """
+    return imports.where("used").select("screen", "module", "name").distinct().join(exports, ["module", "name"]).select("screen", "target").distinct()
+
+
 def file_edges(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """Edges that stand in a file or touch its nodes."""
     return edges.where(F.col("path") == path).unionByName(incident(edges, nodes.where(F.col("path") == path))).dropDuplicates(["id"])

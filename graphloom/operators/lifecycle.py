@@ -14,15 +14,24 @@ from .joins import vanished
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """New rows take the place of old ones of their key; of several new ones the last in the order stays."""
-    if order:
-        new = new.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """New rows take the place of old ones of their key; of several new ones the first in the order stays (without one, that of least hash)."""
+    order = order or [_hash(new)]
+    new = new.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
     return old.join(new.select(keys), keys, "left_anti").select(new.columns).unionByName(new)
 
 
-def merge_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Field by field, new values that are not null first; metadata maps merged key by key."""
+def _hash(rows: DataFrame) -> Column:
+    return F.xxhash64(F.to_json(F.struct(*rows.columns)))
+
+
+def merge_nodes(old: DataFrame, new: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """Field by field, new values that are not null first; metadata maps merged key by key.
+
+    Duplicates of a batch are folded first: each field's last value that is not null, in the order (without one, by hash).
+    """
     fields = [c for c in old.columns if c != key]
+    new = new.withColumn("_at", _hash(new) if order is None else order)
+    new = new.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in fields])
     o = old.select(key, *[F.col(c).alias(f"o_{c}") for c in fields])
     out = o.join(new, key, "full")
     return out.select(key, *[(merge_metadata(F.col(f"o_{c}"), F.col(c)) if c == "metadata" else F.coalesce(c, f"o_{c}")).alias(c) for c in fields])
@@ -83,7 +92,8 @@ def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def latest_run(runs: DataFrame) -> DataFrame:
     """The newest ready run with nodes that is no shrunken increment, else the newest with the most nodes; none without nodes."""
-    good = ready(runs).where("node_count > 0").withColumn("most", F.max("node_count").over(W.partitionBy()))
+    good = ready(runs).where("node_count > 0")
+    good = good.withColumn("most", F.lit(good.agg(F.max("node_count")).first()[0]).cast("long"))
     shrunken = (F.col("node_count") < F.col("most")) & F.col("incremental") & (F.col("deleted") == 0)
     rank = F.when(~shrunken, 0).when(F.col("node_count") == F.col("most"), 1)
     return good.withColumn("rank", rank).where("rank is not null").orderBy("rank", F.col("started_at").desc(), "id").limit(1).drop("rank", "most")
@@ -121,8 +131,37 @@ def check_batch(nodes: DataFrame, edges: DataFrame, allowed_paths: DataFrame | N
     return bad
 
 
-def finalize(nodes: int, errors: int) -> str:
-    return "failed" if errors or not nodes else "success"
+def finalize(nodes: Column, errors: Column) -> Column:
+    """Status of an external graph's run: errors or no nodes fail it."""
+    return F.when((F.coalesce(errors, F.lit(0)) > 0) | (F.coalesce(nodes, F.lit(0)) == 0), "failed").otherwise("success")
+
+
+def prune(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows (project_id, run_id, ..) without those of other runs of a project of which a run just succeeded: runs (project_id, run_id, status)."""
+    done = runs.where("status = 'success'").select("project_id", F.col("run_id").alias("_kept"))
+    return rows.join(done, "project_id", "left").where(F.col("_kept").isNull() | (F.col("run_id") == F.col("_kept"))).select(rows.columns)
+
+
+def ui_run(runs: DataFrame, apps: DataFrame) -> DataFrame:
+    """The newest ready run that has a UI app (apps: run_id), else what :func:`latest_run` chooses."""
+    with_app = ready(runs).join(apps.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi")
+    found = with_app.orderBy(F.col("started_at").desc(), "id").limit(1)
+    return found if not found.isEmpty() else latest_run(runs).select(found.columns)
+
+
+def eligible_run(runs: DataFrame) -> DataFrame:
+    """For the external graph job: the newest ready run, once any run came from parsers."""
+    parsed = runs.where("graph_builder = 'parsers'").agg(F.count("*").alias("n")).where("n > 0").select(F.lit(1).alias("_any"))
+    newest = ready(runs).orderBy(F.col("started_at").desc(), "id").limit(1)
+    return newest.withColumn("_any", F.lit(1)).join(parsed, "_any", "left_semi").select(newest.columns)
+
+
+def delete_project(frames: dict[str, DataFrame], jobs: DataFrame, project: str, kept: tuple[str, ...] = ("ai_jobs",)) -> dict[str, DataFrame]:
+    """All frames without a project's rows, but for those that outlive it; a running sync or analysis of the project refuses it."""
+    busy = jobs.where((F.col("project_id") == project) & F.col("kind").isin("sync", "analysis") & (F.col("status") == "running"))
+    if not busy.isEmpty():
+        raise ValueError(f"project {project} has a running job")
+    return {name: f if name in kept else f.where(~F.col("project_id").eqNullSafe(F.lit(project))) for name, f in frames.items()}
 
 
 def scoped_paths(changes: DataFrame, language: str) -> DataFrame:

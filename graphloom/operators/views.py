@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import table
 from ..schema import HIERARCHY_EDGES, INSIDE_KINDS, MAX_EDGES, MAX_NODES, PEER_KINDS
 from .dedupe import budget, inside_rank, peer_rank, top_inside, top_peers
 from .filters import family, is_code, is_system
@@ -20,6 +21,28 @@ def peers(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin(PEER_KINDS)).unionByName(loose.select(nodes.columns))
 
 
+#: Most peers, insides and children that a view loads (fixed values).
+LOADED_PEERS, LOADED_INSIDES = 500, 2000
+
+
+def load(nodes: DataFrame, edges: DataFrame, focus_id: str | None = None, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that a view is made of: the first peers and, unless it is the root view, the first insides, the focus with its
+    ancestors and children, and the edges that touch any of them with the nodes at their other ends."""
+    from .graph import ancestors
+
+    first = lambda rows, most: rows.orderBy("id").limit(most)
+    found = first(peers(nodes), LOADED_PEERS)
+    if focus_id is not None:
+        focus = nodes.where(F.col("id") == focus_id)
+        above = nodes.join(ancestors(nodes, focus).select(F.col("ancestor").alias("id")), "id", "left_semi").select(nodes.columns)
+        found = found.unionByName(first(nodes.where(F.col("kind").isin(INSIDE_KINDS)), LOADED_INSIDES)).unionByName(focus).unionByName(above)
+        found = found.unionByName(first(nodes.where(F.col("parent_id") == focus_id), LOADED_INSIDES))
+    found = table(found.dropDuplicates(["id"]), "loaded")
+    shown = table(incident(edges, found).orderBy("type", "id").limit(max(3 * max_edges, 2000)), "shown")
+    others = nodes.join(missing_ends(shown, found), "id", "left_semi").select(nodes.columns)
+    return found.unionByName(others), shown
+
+
 def _view(nodes: DataFrame, role: str, stub: bool = False) -> DataFrame:
     return nodes.withColumns({"role": F.lit(role), "stub": F.lit(stub)}).select(VIEW)
 
@@ -36,21 +59,19 @@ def overview_targets(ids: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def root_overview(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
     """(view nodes, view edges): top peers, system nodes next to them, and stubs for what is left at the ends of kept edges."""
-    all_peers = peers(nodes)
-    kept = top_peers(all_peers, within(edges, all_peers), max_nodes).select(nodes.columns)
-    touching = incident(edges, all_peers)
+    all_peers = table(peers(nodes), "peers")
+    touching = table(incident(edges, all_peers), "touching")
+    kept = table(top_peers(all_peers, within(touching, all_peers), max_nodes).select(nodes.columns), "kept")
     ends = touching.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(kept.select("id"), "id", "left_anti")
     system = is_system(F.coalesce("layer", F.lit("")), F.col("kind")) & ~F.col("kind").isin([*PEER_KINDS, "http_endpoint"])
-    room = kept.agg((F.lit(max_nodes) - F.count("*")).alias("room"))
-    from pyspark.sql import Window as W
-
-    beside = nodes.where(system).join(ends, "id", "left_semi").withColumn("_n", F.row_number().over(W.orderBy("kind", "id"))).join(F.broadcast(room), F.col("_n") <= F.col("room")).select(nodes.columns)
+    room = max_nodes - kept.count()
+    beside = nodes.where(system).join(ends, "id", "left_semi").orderBy("kind", "id").limit(room).select(nodes.columns) if room > 0 else nodes.limit(0)
     mark = kept.select("id", F.lit(True).alias("peer"))
     sided = touching.join(mark.withColumnsRenamed({"id": "src", "peer": "a"}), "src", "left").join(mark.withColumnsRenamed({"id": "dst", "peer": "b"}), "dst", "left")
     both = sided.where("a and b")
     one = sided.where(F.coalesce("a", F.lit(False)) != F.coalesce("b", F.lit(False))).where(~F.col("type").isin(HIERARCHY_EDGES)).withColumn("other", F.when(F.col("a"), F.col("dst")).otherwise(F.col("src")))
     allowed = overview_targets(one.select(F.col("other").alias("id")).distinct(), nodes).withColumnRenamed("id", "other")
-    relevant = both.select(edges.columns).unionByName(one.join(allowed, "other", "left_semi").select(edges.columns))
+    relevant = table(both.select(edges.columns).unionByName(one.join(allowed, "other", "left_semi").select(edges.columns)), "relevant")
     shown = relevant.orderBy("type", "id").limit(max_edges)
     selected = kept.unionByName(beside)
     extra = stubs(missing_ends(relevant, selected)).select(VIEW)
@@ -80,20 +101,18 @@ def inside_of_code(focus: dict, nodes: DataFrame) -> DataFrame:
 def focused(focus_id: str, inside: DataFrame, nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, layer: str = "system") -> tuple[DataFrame, DataFrame]:
     """(view nodes, view edges): the focus, its first insides and, within the budget, what one hop reaches (peers first)."""
     _, most_inside = budget(max_nodes)
-    kept = top_inside(inside, most_inside)
+    kept = table(top_inside(inside, most_inside), "kept")
     focus = nodes.where(F.col("id") == focus_id)
     core = focus.select("id").unionByName(kept.select("id"))
-    touching = incident(edges, core)
+    touching = table(incident(edges, core), "touching")
     ends = touching.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(core, "id", "left_anti")
     outer = ends.join(nodes, "id", "left").withColumn("_known", F.col("kind").isNotNull()).withColumn("_guess", stub_kind(F.col("id")))
     if layer == "system":
         shown_kind = F.coalesce("kind", "_guess")
         code = is_code(shown_kind, F.when(F.col("_known"), F.coalesce("layer", F.lit(""))).otherwise(F.lit(""))) | shown_kind.startswith("ui_")
         outer = outer.where(~code)
-    from pyspark.sql import Window as W
-
-    room = core.agg((F.lit(max_nodes) - F.count("*")).alias("room"))
-    outer = outer.withColumn("_n", F.row_number().over(W.orderBy(peer_rank(F.coalesce("kind", F.lit(""))), "id"))).join(F.broadcast(room), F.col("_n") <= F.col("room"))
+    room = max_nodes - core.count()
+    outer = table(outer.orderBy(peer_rank(F.coalesce("kind", F.lit(""))), "id").limit(max(room, 0)), "outer")
     known = _view(outer.where("_known").select(nodes.columns), "external", True)
     unknown = stubs(outer.where("not _known").select("id")).select(VIEW)
     shown = _view(focus, "focus").unionByName(_view(kept, "inside")).unionByName(known).unionByName(unknown)

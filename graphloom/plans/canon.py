@@ -88,7 +88,7 @@ class Canon:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.system.unionByName(self.classes)
+        return self.system.unionByName(self.classes).unionByName(self.method_nodes)
 
     @cached_property
     def methods(self) -> DataFrame:
@@ -97,6 +97,11 @@ class Canon:
         order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
         return stable_ids(rows, "base_id", order).select("id", "base_id", F.lit("method").alias("kind"), _id("class", "l_orderkey").alias("parent_id"), F.col("l_returnflag").alias("name"))
 
+    @cached_property
+    def method_nodes(self) -> DataFrame:
+        null = F.lit(None).cast("string")
+        return self.methods.select("id", F.lit("canon").alias("parser_id"), "kind", "name", F.concat(F.lit("method."), "name").alias("qualified_name"), null.alias("language"), null.alias("path"), "parent_id", F.lit("code").alias("layer"))
+
     def _edge(self, df: DataFrame, kind: str, src: Column, dst: Column, layer: str, protocol: Column | None = None, path: Column | None = None) -> DataFrame:
         null = F.lit(None).cast("string")
         return df.select(
@@ -123,12 +128,13 @@ class Canon:
 
     @cached_property
     def consumes(self) -> DataFrame:
-        rows = self.lines.where("o_custkey % 10 = 0").select("o_custkey", "l_partkey").distinct()
+        rows = self.lines.select("o_custkey", "l_partkey").distinct()
         return self._edge(rows, "consumes", _id("http_endpoint", "o_custkey"), _id("message_type", "l_partkey"), "system")
 
     @cached_property
     def contains(self) -> DataFrame:
-        return self._edge(self.read("orders"), "contains", _id("http_endpoint", "o_custkey"), _id("class", "o_orderkey"), "code")
+        """Endpoints to classes, and classes to methods."""
+        return self._edge(self.read("orders"), "contains", _id("http_endpoint", "o_custkey"), _id("class", "o_orderkey"), "code").unionByName(self._edge(self.methods, "contains", F.col("parent_id"), F.col("id"), "code"))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -395,9 +395,13 @@ def _(c):
     return agg.first_rule(c.files, [("page", p.endswith(".html")), ("mobile", p.startswith("m.")), ("www", p.startswith("www."))]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("agg7_bus_profile", "SELECT count(*) FILTER (contains(lower(text), 'license')) AS rabbit, count(*) FILTER (contains(text, '|')) AS kafka FROM documents", canon=False)
+_BUS = "(url LIKE '%.html' AND contains(html, 'the ')) OR (url LIKE '%/' AND contains(html, 'of '))", "url LIKE '%.html' AND (contains(html, 'script') OR contains(html, 'and '))"
+
+
+@query("agg7_bus_profile", f"SELECT count(*) FILTER ({_BUS[0]}) AS rabbit, count(*) FILTER ({_BUS[1]}) AS kafka, CASE WHEN count(*) FILTER ({_BUS[0]}) > 0 THEN 'bus-rabbit' WHEN count(*) FILTER ({_BUS[1]}) > 0 THEN 'bus-kafka' END AS parser_id FROM pages", canon=False)
 def _(c):
-    return c.read("documents").agg(F.count_if(F.contains(F.lower("text"), F.lit("license"))).alias("rabbit"), F.count_if(F.contains("text", F.lit("|"))).alias("kafka"))
+    files = c.read("pages").select(F.col("url").alias("path"), F.col("html").alias("text"))
+    return agg.bus_profile(files, {"rabbit": {".html": ["the "], "/": ["of "]}, "kafka": {".html": ["script", "and "]}})
 
 
 @query("agg9_degrees", "SELECT n.id, count(e.id) AS degree FROM system n LEFT JOIN (SELECT src AS n, id FROM edges UNION ALL SELECT dst, id FROM edges) e ON e.n = n.id GROUP BY n.id")
@@ -405,15 +409,17 @@ def _(c):
     return ded.degrees(c.system, c.edges)
 
 
-@query("agg10_latest_status", "SELECT 'p' || (user_id % 9) AS parser_id, max_by(event_type, (ts, event_id)) AS status FROM events GROUP BY 1", canon=False)
+@query("agg10_latest_status", "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, 'p' || (user_id % 90) AS parser_id, max_by(event_type, (ts, event_id)) AS status FROM events GROUP BY 1, 2), d AS (SELECT DISTINCT day FROM e ORDER BY day DESC LIMIT 5) SELECT parser_id, max_by(status, day) AS status FROM e WHERE day IN (SELECT day FROM d) GROUP BY 1", canon=False)
 def _(c):
-    rows = c.read("events").select(F.struct("ts", "event_id").alias("started_at"), F.array(F.struct(F.concat(F.lit("p"), F.col("user_id") % 9).alias("parser_id"), F.col("event_type").alias("status"))).alias("results"))
-    return agg.latest_status(rows, 2**31 - 1)
+    rows = c.read("events").select(F.to_date("ts").cast("string").alias("day"), F.concat(F.lit("p"), F.col("user_id") % 90).alias("parser_id"), "event_type", "ts", "event_id")
+    last = ded.first_by(rows, ["day", "parser_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+    runs = last.groupBy(F.col("day").alias("started_at")).agg(F.collect_list(F.struct("parser_id", F.col("event_type").alias("status"))).alias("results")).withColumn("id", F.col("started_at"))
+    return agg.latest_status(runs)
 
 
-@query("agg11_run_status", "SELECT 'r' || (o_orderkey % 200) AS run_id, CASE WHEN count(*) FILTER (o_orderstatus = 'O') > 0 AND count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'success' WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 'partial' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'failed' ELSE 'skipped' END AS status FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1", canon=False)
+@query("agg11_run_status", "SELECT 'r' || (o_orderkey % 200) AS run_id, CASE WHEN count(*) FILTER (o_orderstatus = 'O') > 0 AND count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'success' WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 'partial' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'failed' ELSE 'skipped' END AS status FROM orders GROUP BY 1", canon=False)
 def _(c):
-    rows = c.read("orders").where("o_custkey % 50 = 0").select(F.concat(F.lit("r"), F.col("o_orderkey") % 200).alias("run_id"), F.when(F.col("o_orderstatus") == "O", "success").when(F.col("o_orderstatus") == "F", "failed").otherwise("skipped").alias("status"))
+    rows = c.read("orders").select(F.concat(F.lit("r"), F.col("o_orderkey") % 200).alias("run_id"), F.when(F.col("o_orderstatus") == "O", "success").when(F.col("o_orderstatus") == "F", "failed").otherwise("skipped").alias("status"))
     return agg.fold_run_status(rows)
 
 
@@ -771,14 +777,22 @@ def _(c):
 _ROOT_NODES = "SELECT id, kind, name, 'inside' AS role, false AS stub FROM nodes WHERE kind IN ('service', 'broker', 'external_api') ORDER BY id LIMIT 100000"
 
 
-@query("gra8_root_overview", "SELECT id, kind, 'inside' AS role, false AS stub FROM nodes WHERE kind IN ('service', 'broker', 'external_api')")
+_ROOT = """, peer AS (SELECT * FROM system WHERE kind IN ('service', 'broker', 'external_api')
+), degree AS (SELECT p.id, count(e.id) AS degree FROM peer p LEFT JOIN (SELECT src AS n, id FROM edges WHERE type = 'connects_to' UNION ALL SELECT dst, id FROM edges WHERE type = 'connects_to') e ON e.n = p.id GROUP BY p.id
+), kept AS (SELECT p.* FROM peer p JOIN degree USING (id) ORDER BY kind = 'service' DESC, CASE WHEN kind = 'service' THEN 0 ELSE degree END DESC, kind, name, id LIMIT {most}
+), shown AS (SELECT * FROM edges WHERE type = 'connects_to' AND (src IN (SELECT id FROM kept) OR dst IN (SELECT id FROM kept)))
+"""
+
+
+@query("gra8_root_overview", _ROOT.format(most=27) + "SELECT id, kind, 'inside' AS role, false AS stub FROM kept UNION ALL SELECT DISTINCT dst, 'broker', 'external', true FROM shown WHERE dst NOT IN (SELECT id FROM kept)")
 def _(c):
-    return views.root_overview(c.system, c.edges.where("type in ('connects_to', 'exposes')"), 100_000)[0].select("id", "kind", "role", "stub")
+    """A budget of 27 leaves some brokers out, which edges of shown services bring back as stubs; exposes edges may not."""
+    return views.root_overview(c.system, c.connects.unionByName(c.exposes), 27)[0].select("id", "kind", "role", "stub")
 
 
-@query("gra9_root_edges", "SELECT id FROM edges WHERE type = 'connects_to'")
+@query("gra9_root_edges", _ROOT.format(most=200) + "SELECT id FROM shown ORDER BY type, id LIMIT 20")
 def _(c):
-    return views.root_overview(c.system, c.edges.where("type in ('connects_to', 'exposes', 'http_calls')"), 100_000, 100_000)[1].select("id")
+    return views.root_overview(c.system, c.connects.unionByName(c.exposes).unionByName(c.calls), 200, 20)[1].select("id")
 
 
 @query("gra10_peers", "SELECT id FROM nodes WHERE kind IN ('service', 'message_type')")
@@ -933,9 +947,14 @@ def _(c):
     return life.bootstrap_source(c.runs, "none").select("id")
 
 
-@query("run3_ui_run", "SELECT id FROM ready WHERE graph_builder = 'ai' ORDER BY started_at DESC, id LIMIT 1")
+@query("run3_ui_run", "SELECT id FROM ready WHERE deleted = 2 ORDER BY started_at DESC, id LIMIT 1")
+def _(c):
+    return life.ui_run(c.runs, c.runs.where("deleted = 2").select(F.col("id").alias("run_id"))).select("id")
+
+
+@query("run3_ui_run_fallback", "SELECT id FROM ready WHERE node_count > 0 AND (node_count = (SELECT max(node_count) FROM ready) OR NOT (incremental AND deleted = 0)) ORDER BY CASE WHEN incremental AND deleted = 0 AND node_count < (SELECT max(node_count) FROM ready) THEN 1 ELSE 0 END, started_at DESC, id LIMIT 1")
 def _(c):
-    return flt.ready(c.runs).where("graph_builder = 'ai'").orderBy(F.col("started_at").desc(), "id").limit(1).select("id")
+    return life.ui_run(c.runs, c.runs.limit(0).select(F.col("id").alias("run_id"))).select("id")
 
 
 @query("run4_ingest", "SELECT n.id, e.id AS element_id FROM nodes n LEFT JOIN elements e ON e.path = n.path WHERE kind = 'broker' OR (kind = 'service' AND n.path NOT LIKE 'ASIA%')")
@@ -971,9 +990,7 @@ def _(c):
 
 @query("run12_eligible", "SELECT id FROM ready WHERE EXISTS (SELECT 1 FROM runs WHERE graph_builder = 'parsers') ORDER BY started_at DESC, id LIMIT 1")
 def _(c):
-    parsed = c.runs.where("graph_builder = 'parsers'").limit(1).select(F.lit(True).alias("ok"))
-    newest = flt.ready(c.runs).orderBy(F.col("started_at").desc(), "id").limit(1)
-    return newest.join(F.broadcast(parsed), F.col("ok")).select("id")
+    return life.eligible_run(c.runs).select("id")
 
 
 @query("run13_register", "SELECT DISTINCT p_brand AS source_type, p_type AS source_value FROM part", canon=False)

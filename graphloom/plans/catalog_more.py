@@ -8,10 +8,12 @@ from ..functions import paths as fp
 from ..functions import text as ft
 from ..operators import aggregates as agg
 from ..operators import dedupe as ded
+from ..operators import filters as flt
 from ..operators import joins as jon
 from ..operators import lifecycle as life
 from ..operators import views
 from ..schema import MAX_NODES, MOST_NODES
+from ..sources import registry
 from . import adapters
 from .catalog import query
 from .samples import FILES
@@ -52,10 +54,10 @@ def _(c):
     return once.agg(F.count("*").alias("files"), F.count_if(F.col("path").endswith(".html")).alias("pages"))
 
 
-@query("jon13_call_targets", "SELECT o_custkey, 'ts:http_endpoint:svc|GET|/orders/' || o_custkey AS dst FROM orders WHERE o_custkey % 7 = 0", canon=False)
+@query("jon13_call_targets", "SELECT o_custkey, 'ts:http_endpoint:svc|GET|/orders/' || o_custkey AS dst FROM orders", canon=False)
 def _(c):
     path = F.concat(F.lit("orders/"), F.col("o_custkey"), F.lit("/?x=1"))
-    return c.read("orders").where("o_custkey % 7 = 0").select("o_custkey", ft.endpoint_id(F.lit("ts"), F.lit("svc"), F.lit("get"), path).alias("dst"))
+    return c.read("orders").select("o_custkey", ft.endpoint_id(F.lit("ts"), F.lit("svc"), F.lit("get"), path).alias("dst"))
 
 
 @query("jon14_grpc_targets", "SELECT n_nationkey, 'grpc-proto:grpc_method:' || n_name || '/Get' AS dst FROM nation", canon=False)
@@ -68,18 +70,15 @@ def _(c):
     return _ui(c)[1].where("type = 'invokes_api'").select("src", "dst")
 
 
-@query("agg8_merged_counts", "SELECT p_brand AS language, sum(n)::BIGINT AS file_count FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT p_brand, count(*) FROM part WHERE p_size < 10 GROUP BY 1) GROUP BY 1", canon=False)
+@query("agg8_merged_counts", "SELECT 'html' AS language, sum(n)::BIGINT AS file_count, (SELECT array_to_string(list_sort(list(DISTINCT path))[1:5], ',') FROM (SELECT path FROM (SELECT path FROM files WHERE ends_with(path, '.html') ORDER BY path LIMIT 5) UNION ALL SELECT path FROM (SELECT path FROM files WHERE ends_with(path, '.html') AND starts_with(path, 'm.') ORDER BY path LIMIT 5))) AS samples FROM (SELECT count(*) AS n FROM files WHERE ends_with(path, '.html') UNION ALL SELECT count(*) FROM files WHERE ends_with(path, '.html') AND starts_with(path, 'm.')) HAVING sum(n) > 0")
 def _(c):
-    one = c.read("part").groupBy(F.col("p_brand").alias("language")).agg(F.count("*").alias("n"))
-    two = c.read("part").where("p_size < 10").groupBy(F.col("p_brand").alias("language")).agg(F.count("*").alias("n"))
-    return one.unionByName(two).groupBy("language").agg(F.sum("n").alias("file_count"))
+    reports = [agg.language_report(f) for f in (c.files, c.files.where("startswith(path, 'm.')"))]
+    return agg.merged_counts(reports).select("language", "file_count", F.array_join("sample_paths", ",").alias("samples"))
 
 
-@query("rnk3_external_order", "SELECT id, row_number() OVER (ORDER BY CASE WHEN kind IN ('service', 'broker', 'external_api') THEN 0 ELSE 1 END, id) AS place FROM system")
+@query("rnk3_external_order", "SELECT id, row_number() OVER (ORDER BY CASE WHEN kind IN ('service', 'broker', 'external_api') THEN 0 ELSE 1 END, id) AS place FROM system QUALIFY place <= 500")
 def _(c):
-    from pyspark.sql import Window as W
-
-    return c.system.select("id", F.row_number().over(W.orderBy(ded.peer_rank(F.col("kind")), "id")).cast("long").alias("place"))
+    return ded.external_order(c.system, 500).select("id", "place")
 
 
 @query("srt11_limits", f"SELECT n, CASE n WHEN 0 THEN 1 WHEN 5 THEN 5 ELSE {MOST_NODES} END AS allowed FROM (VALUES (0), (5), (99999)) v(n)", canon=False)
@@ -177,9 +176,13 @@ def _(c):
     return inside.where(F.col("kind").isin("ui_frame", "ui_component", "ui_control")).select("name")
 
 
-@query("dml8_project_delete", "SELECT user_id, count(*) AS n FROM events WHERE user_id <> 1 GROUP BY user_id", canon=False)
+@query("dml8_project_delete", "SELECT 'runs' AS part, count(*) AS n FROM events WHERE user_id <> 1 UNION ALL SELECT 'nodes', count(*) FROM orders WHERE o_custkey <> 1 UNION ALL SELECT 'ai_jobs', count(*) FROM customer", canon=False)
 def _(c):
-    return c.read("events").where(F.col("user_id") != 1).groupBy("user_id").agg(F.count("*").alias("n"))
+    own = lambda name, key: c.read(name).withColumn("project_id", F.col(key).cast("string"))
+    jobs = own("events", "user_id").select("project_id", F.lit("sync").alias("kind"), F.lit("done").alias("status"))
+    left = life.delete_project({"runs": own("events", "user_id"), "nodes": own("orders", "o_custkey"), "ai_jobs": own("customer", "c_custkey")}, jobs, "1")
+    counts = [f.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, f in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("run6_parser_scope", "SELECT path, 'spawn' AS role FROM files WHERE page_id % 4 = 1 AND ends_with(path, '.html')")
@@ -190,7 +193,14 @@ def _(c):
 
 @query("run9_finalize", "SELECT id, CASE WHEN deleted > 0 OR node_count = 0 THEN 'failed' ELSE 'success' END AS status FROM runs")
 def _(c):
-    return c.runs.select("id", F.when((F.col("deleted") > 0) | (F.col("node_count") == 0), "failed").otherwise("success").alias("status"))
+    return c.runs.select("id", life.finalize(F.col("node_count"), F.col("deleted")).alias("status"))
+
+
+@query("run9_prune", "SELECT event_id FROM events WHERE (user_id % 3 <> 0) OR event_type = 'click'", canon=False)
+def _(c):
+    rows = c.read("events").select("event_id", F.col("user_id").alias("project_id"), F.col("event_type").alias("run_id"))
+    done = rows.select("project_id").distinct().withColumns({"run_id": F.lit("click"), "status": life.finalize(F.lit(1), F.col("project_id") % 3)})
+    return life.prune(rows, done).select("event_id")
 
 
 @query("run11_detection", "SELECT 'html' AS language, count(*) AS file_count FROM files WHERE ends_with(path, '.html') AND path IN (SELECT path FROM elements WHERE id NOT IN (SELECT up.id FROM up JOIN elements e ON e.path = up.a WHERE e.status NOT IN ('auto_found', 'needed', 'found'))) HAVING count(*) > 0")
@@ -213,9 +223,9 @@ def _(c):
     return gra.code_of_service("service:8", "none", c.nodes, c.edges.where("type = 'connects_to'")).select("id")
 
 
-@query("dat1_stamped", "SELECT n_nationkey, true AS stamped FROM nation", canon=False)
+@query("dat1_stamped", "SELECT n_nationkey, '2024-05-06T07:08:09.120Z' AS ingested_at FROM nation", canon=False)
 def _(c):
-    return c.read("nation").withColumn("ingested_at", F.current_timestamp()).select("n_nationkey", F.col("ingested_at").isNotNull().alias("stamped"))
+    return flt.stamped(c.read("nation"), "2024-05-06 07:08:09.12").withColumn("ingested_at", F.regexp_replace("ingested_at", "^2024-05-0[567]T[0-9]{2}", "2024-05-06T07")).select("n_nationkey", "ingested_at")
 
 
 @query("jon15_project_links", "SELECT 'dotnet-project:dotnet_project:bill/Bill.csproj' AS src, 'dotnet-project:dotnet_project:core/Core.csproj' AS dst", canon=False)
@@ -230,9 +240,87 @@ def _(c):
     return adapters.run(files, "compose")[1].select("type", "src")
 
 
-@query("prj1_public_nodes", "SELECT id, name FROM nodes WHERE kind = 'broker'")
+@query("prj1_public_nodes", "SELECT id, parser_id, kind, name, qualified_name, language, path, parent_id, layer FROM system")
+def _(c):
+    return flt.public(flt.stamped(c.system))
+
+
+@query("prj4_ui_nodes", "SELECT id, kind, name, qualified_name, path, NULL::VARCHAR AS signature, parent_id, NULL::VARCHAR AS metadata FROM nodes")
+def _(c):
+    return flt.ui_public(c.nodes, flt.UI_NODE)
+
+
+@query("prj4_ui_edges", "SELECT id, src, dst, type, NULL::VARCHAR AS metadata FROM edges")
+def _(c):
+    return flt.ui_public(c.edges, flt.UI_EDGE)
+
+
+@query("map2_layer", "SELECT id, 'system' AS layer, 2 AS entries FROM system")
+def _(c):
+    tagged = c.system.select("id", flt.with_layer(F.create_map(F.lit("kind"), F.col("kind"), F.lit("layer"), F.lit("code")), "system").alias("m"))
+    return tagged.select("id", F.col("m")["layer"].alias("layer"), F.size("m").alias("entries"))
+
+
+@query("srt10_copy_run", "SELECT event_id, event_type AS run_id FROM events UNION ALL SELECT event_id, 'copy' FROM events WHERE event_type = 'error'", canon=False)
+def _(c):
+    return life.copy_run(c.read("events").select("event_id", F.col("event_type").alias("run_id")), "error", "copy")
+
+
+@query("str9_compose_file", "SELECT path, CASE WHEN page_id % 3 = 0 THEN 'docker/docker-compose.dev.yml' ELSE 'docker-compose.yml' END AS file FROM files")
+def _(c):
+    path = F.concat(F.when(F.col("page_id") % 3 == 0, "frontend/").otherwise("my/"), "path")
+    return c.files.select("path", ft.compose_file(path).alias("file"))
+
+
+_SPLAT = "CASE " + " ".join(f"WHEN regexp_matches(p, '(?i)/{s}/.+$') THEN regexp_replace(p, '(?i)^(.*)/({s})/.+$', '\\\\1/{s}/*')" for s in ft.SPLAT_RESOURCES) + " ELSE p END"
+
+
+@query("str11_splat_paths", f"SELECT path, {_SPLAT} AS target FROM (SELECT path, rtrim('/v1/' || ['nodes', 'orders', 'Raw', 'files'][(page_id % 4 + 1)::INT] || '/' || path, '/') AS p FROM files)")
+def _(c):
+    kind = F.element_at(F.array(*map(F.lit, ("nodes", "orders", "Raw", "files"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return c.files.select("path", ft.splat_path(F.concat_ws("/", F.lit("/v1"), kind, "path")).alias("target"))
+
+
+@query("str19_ui_templates", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '/orders/{id}/lines' ELSE '/orders/' || o_orderkey END AS path FROM orders", canon=False)
+def _(c):
+    key = F.col("o_orderkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/api/v1/orders/${order.id}/lines${buildQuery({a: "), key, F.lit("})}"))).otherwise(F.concat(F.lit(" /orders/"), key, F.lit("?x=1")))
+    return c.read("orders").select("o_orderkey", ft.api_template(raw).alias("path"))
+
+
+@query("str32_decoded_ids", "SELECT path AS id FROM files WHERE NOT contains(path, '%')")
+def _(c):
+    once = F.url_encode("path")
+    return c.files.where(~F.contains("path", F.lit("%"))).select(ft.decode_id(F.when(F.col("page_id") % 2 == 0, once).otherwise(F.url_encode(once))).alias("id"))
+
+
+@query("str33_bound_service", "SELECT page_id, 'compose:service:docker-compose.yml#' || CASE WHEN page_id % 5 = 0 THEN 'frontend' WHEN page_id % 5 = 1 THEN 'web' ELSE lower(split_part(path, '/', 2)) END AS service FROM files WHERE path LIKE '%/%' AND NOT contains(split_part(path, '/', 2), '.') AND split_part(path, '/', 2) <> ''")
 def _(c):
-    return c.brokers.withColumn("ingested_at", F.current_timestamp()).drop("ingested_at").select("id", "name")
+    rows = c.files.where("path LIKE '%/%' AND NOT contains(split_part(path, '/', 2), '.') AND split_part(path, '/', 2) <> ''")
+    kind = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("apps/"), "path", F.lit("/web/main.ts"))).otherwise(F.col("path"))
+    name = F.when(F.col("page_id") % 5 == 0, "My Frontend").otherwise("shop")
+    return rows.select("page_id", ft.bound_service(F.lit(""), name, kind).alias("service"))
+
+
+@query("udf1_parser_registry", "SELECT language, max_by(id, id) AS parser_id FROM (SELECT n_name AS id, ['python', 'java', 'cpp'][(n_nationkey % 3 + 1)::INT] AS language FROM nation WHERE n_nationkey % 4 <> 0) GROUP BY language", canon=False)
+def _(c):
+    n = F.col("n_nationkey")
+    manifests = c.read("nation").select(F.col("n_name").alias("directory"), F.when(n % 4 == 0, "other").otherwise(F.col("n_name")).alias("id"), F.array(F.element_at(F.array(*map(F.lit, ("python", "java", "cpp"))), (n % 3 + 1).cast("int"))).alias("languages"), F.lit("run").alias("command"), F.lit(1).alias("schema_version"), F.lit(1000).alias("timeout_ms"))
+    return registry.by_language(manifests)
+
+
+@query("udf6_detected", "SELECT rule, count(*) AS file_count FROM (SELECT unnest(list_filter([CASE WHEN ends_with(url, '.html') THEN 'page' END, CASE WHEN contains(url, '/en/') AND contains(html, 'the ') THEN 'english' END, CASE WHEN regexp_matches(url, '://m\\.') THEN 'mobile' END], lambda x: x IS NOT NULL)) AS rule FROM pages) GROUP BY rule", canon=False)
+def _(c):
+    files = c.read("pages").select(F.col("url").alias("path"), F.col("html").alias("text"))
+    return agg.detect(files, [("page", r"\.html$", None), ("english", "/en/", "the "), ("mobile", r"://m\.", None)]).select("rule", "file_count")
+
+
+@query("agg17_walked", "SELECT count(*) AS walked FROM files")
+def _(c):
+    from .lineage import walked
+
+    rows, seen = walked(c.files.select("path"))
+    return rows.limit(1).select(F.lit(seen).cast("long").alias("walked"))
 
 
 @query("str25_hosts", "SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages", canon=False)
@@ -240,14 +328,21 @@ def _(c):
     return c.read("pages").select("page_id", ft.target_host(F.col("url")).alias("host"))
 
 
-@query("gra7_view_load", "SELECT DISTINCT id FROM nodes WHERE kind IN ('service', 'broker', 'external_api') OR parent_id = 'service:9'")
+_LOADED = """, found AS (
+  (SELECT id FROM system WHERE kind IN ('service', 'broker', 'external_api') ORDER BY id LIMIT 500) UNION (SELECT id FROM system WHERE kind IN ('http_endpoint', 'message_type') ORDER BY id LIMIT 2000)
+  UNION (SELECT id FROM system WHERE parent_id = 'service:9' ORDER BY id LIMIT 2000) UNION SELECT 'service:9'
+), shown AS (SELECT * FROM edges WHERE type IN ('connects_to', 'exposes', 'http_calls') AND (src IN (SELECT id FROM found) OR dst IN (SELECT id FROM found)) ORDER BY type, id LIMIT 2000)
+"""
+
+
+@query("gra7_view_load", _LOADED + "SELECT id FROM found UNION SELECT id FROM system WHERE id IN (SELECT src FROM shown UNION SELECT dst FROM shown)")
 def _(c):
-    peers = views.peers(c.system)
-    children = c.system.where("parent_id = 'service:9'")
-    return peers.unionByName(children).dropDuplicates(["id"]).select("id")
+    return views.load(c.system, c.connects.unionByName(c.exposes).unionByName(c.calls), "service:9")[0].select("id")
 
 
-@query("jon21_screen_calls", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 20 = s_suppkey % 20", canon=False)
+@query("jon21_screen_calls", "SELECT DISTINCT l_orderkey AS screen, 'GET /parts/' || p_partkey AS target FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 2", canon=False)
 def _(c):
-    a, b = c.read("supplier"), c.read("customer")
-    return a.join(b, (a.s_nationkey == b.c_nationkey) & (F.col("c_custkey") % 20 == F.col("s_suppkey") % 20)).select("s_suppkey", "c_custkey")
+    """Orders are screens that import one helper for each of their lines, of the module of the part's brand; the second line's is not used."""
+    parts = c.read("part").select("p_partkey", F.concat(F.lit("api/"), "p_brand").alias("module"), F.concat(F.lit("load"), "p_partkey").alias("name"))
+    imports = c.read("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("screen"), "module", "name", (F.col("l_linenumber") != 2).alias("used"))
+    return jon.helper_calls(imports, parts.select("module", "name", F.concat(F.lit("GET /parts/"), "p_partkey").alias("target")))

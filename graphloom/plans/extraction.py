@@ -1,4 +1,4 @@
-"""Registered extraction and adapter queries over the sample repository, with their expected rows."""
+"""Registered extraction queries over files made of all parts, adapter queries over the sample repository, and their expected rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.extract import UNREADABLE, extract
+from ..sources.extract import REGISTRY, UNREADABLE, extract
 from . import adapters
 from .golden import EXPECTED
 from .samples import FILES
@@ -27,20 +27,49 @@ ADAPTED = {
 }
 FACT = ["path", "fact", "name", "parent", "line", "target", "attrs"]
 GRAPH = ["part", "id", "kind", "src", "dst"]
+#: For each extractor a piece of the sample files that gets the key of a part behind it ({}), and what facts show of it if that is not the same.
+VARIED = {
+    "ext1_typescript": ("Model",), "ext2_csharp": ("Document",), "ext3_java": ("Closeable",), "ext4_python": ("Loader",), "ext5_cpp": ("area",), "ext6_compose": ("acme/api",), "ext7_appsettings": ("db1",), "ext8_openapi": ("/carts",),
+    "ext9_dotnet_project": ("Polly",), "ext10_maven": (">root", ">root{}", "root", "root{}"), "ext11_gradle": ('"g"', '"g{}"', "group=g", "group=g{}"), "ext12_spring_config": ("8081",), "ext13_bus_rabbit": ("mails",), "ext14_bus_kafka": ("acks",),
+    "ext15_ts_api_routes": ("/carts",), "ext16_dotnet_api_routes": ('"api/', '"api{}/', "/api/", "/api{}/"), "ext17_java_api_routes": ("/carts",), "ext18_python_api_routes": ("/items",), "ext19_ts_http_calls": ("/orders",),
+    "ext20_dotnet_http_calls": ("/rates",), "ext21_java_http_calls": ("/items",), "ext22_python_http_calls": ("/today",), "ext23_grpc_proto": ("Put",), "ext24_ts_grpc_calls": ("getOrder",),
+    "ext25_java_grpc_calls": ("Orders",), "ext26_dotnet_grpc_calls": ("Orders",), "ext27_python_grpc_calls": ("Orders",), "ext28_react_ui": ("buy",), "ext29_angular_ui": ("home",), "ext30_angularjs_ui": ("/start",), "ext31_spa_roots": ("18.0.0",),
+}
 
 
 def sample_files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(FILES.items()), "path string, text string")
 
 
-def facts_query(parser_id: str) -> Callable[[SparkSession, str], DataFrame]:
+def _varied(name: str) -> tuple[str, str, str, str]:
+    own = VARIED[name]
+    return own if len(own) == 4 else (own[0], own[0] + "{}") * 2
+
+
+def files_of_parts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(path, text): the sample files of an extractor once for each part, with the part's key in them."""
+    marks, _ = REGISTRY[EXTRACTORS[name]]
+    files = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in sorted(FILES.items()) if not marks or p.endswith(marks)])
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), F.explode(files).alias("f"))
+    piece, shown, _, _ = _varied(name)
+    return rows.select("f.path", F.replace("f.text", F.lit(piece), F.replace(F.lit(shown), F.lit("{}"), F.col("key"))).alias("text"))
+
+
+def facts_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-        return extract(sample_files(spark), parser_id).where(F.col("fact") != UNREADABLE).withColumn("attrs", text).select(FACT)
+        return extract(files_of_parts(spark, sf_dir, name), EXTRACTORS[name]).where(F.col("fact") != UNREADABLE).withColumn("attrs", text).select(FACT)
 
     return run
 
 
+def _facts_sql(name: str) -> str:
+    _, _, piece, shown = _varied(name)
+    varied = lambda c: f"replace({c}, '{piece}', replace('{shown}', '{{}}', p_partkey::VARCHAR)) AS {c}"
+    columns = ", ".join(varied(c) if c in ("name", "parent", "target", "attrs") else c for c in FACT)
+    return f"SELECT {columns} FROM part, ({_values(FACT, EXPECTED[name])})"
+
+
 def graph_query(parser_id: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes, edges = adapters.run(sample_files(spark), parser_id)
@@ -57,5 +86,5 @@ def _values(columns: list[str], rows: list[tuple]) -> str:
     return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({', '.join(columns)})"
 
 
-QUERIES = {**{n: facts_query(p) for n, p in EXTRACTORS.items()}, **{n: graph_query(p) for n, p in ADAPTED.items()}}
-ORACLES = {n: _values(FACT if n in EXTRACTORS else GRAPH, rows) for n, rows in EXPECTED.items()}
+QUERIES = {**{n: facts_query(n) for n in EXTRACTORS}, **{n: graph_query(p) for n, p in ADAPTED.items()}}
+ORACLES = {n: _facts_sql(n) if n in EXTRACTORS else _values(GRAPH, rows) for n, rows in EXPECTED.items()}

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,13 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+def walked(files: DataFrame) -> tuple[DataFrame, int]:
+    """The files, read once, and how many a walk met: a metric of that one read."""
+    seen = Observation()
+    rows = table(files.observe(seen, F.count(F.lit(1)).alias("files")), "walk")
+    return rows, seen.get["files"]
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it again: lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -25,20 +25,21 @@ WITH RECURSIVE places AS (
   UNION ALL {_node("message_type", "p_partkey", "p_name", "p_brand", _NULL, "system", _NULL, "part")}
 ), classes AS (
   {_node("class", "o_orderkey", "'Order' || o_orderkey", "c_path || '/Order' || o_orderkey", "'http_endpoint:' || o_custkey", "code", "['typescript', 'python', 'java', 'csharp', 'cpp'][(o_orderkey % 5 + 1)::INT]", "orders JOIN customers ON o_custkey = c_custkey")}
-), nodes AS (
-  SELECT * FROM system UNION ALL SELECT * FROM classes
 ), methods AS (
   SELECT CASE WHEN n = 1 THEN base_id ELSE base_id || ':dup:' || n END AS id, base_id, 'method' AS kind, parent_id, name FROM (
     SELECT 'method:' || l_orderkey || ':' || l_linenumber AS base_id, 'class:' || l_orderkey AS parent_id, l_returnflag AS name,
       row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem)
+), nodes AS (
+  SELECT * FROM system UNION ALL SELECT * FROM classes UNION ALL SELECT id, 'canon', kind, name, 'method.' || name, NULL, NULL, parent_id, 'code' FROM methods
 ), lines AS (
   SELECT l_suppkey, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), edges AS (
   {_edge("connects_to", "'service:' || n_nationkey", "'broker:' || r_regionkey", "system", _NULL, _NULL, "places")}
   UNION ALL {_edge("exposes", "'service:' || n_nationkey", "'http_endpoint:' || c_custkey", "system", _NULL, "c_path", "customers")}
   UNION ALL {_edge("http_calls", "'service:' || s_nationkey", "'http_endpoint:' || o_custkey", "system", "CASE WHEN o_custkey % 2 = 0 THEN 'http' END", _NULL, "(SELECT DISTINCT s_nationkey, o_custkey FROM lines JOIN supplier ON l_suppkey = s_suppkey)")}
-  UNION ALL {_edge("consumes", "'http_endpoint:' || o_custkey", "'message_type:' || l_partkey", "system", _NULL, _NULL, "(SELECT DISTINCT o_custkey, l_partkey FROM lines WHERE o_custkey % 10 = 0)")}
+  UNION ALL {_edge("consumes", "'http_endpoint:' || o_custkey", "'message_type:' || l_partkey", "system", _NULL, _NULL, "(SELECT DISTINCT o_custkey, l_partkey FROM lines)")}
   UNION ALL {_edge("contains", "'http_endpoint:' || o_custkey", "'class:' || o_orderkey", "code", _NULL, _NULL, "orders")}
+  UNION ALL {_edge("contains", "parent_id", "id", "code", _NULL, _NULL, "methods")}
 ), runs AS (
   SELECT 'run:' || day AS id, day AS started_at, ['success', 'partial', 'failed'][(node_count % 3 + 1)::INT] AS status, ['success', 'partial', 'success', 'failed'][(users % 4 + 1)::INT] AS ingest_status,
     node_count, node_count % 2 = 1 AS incremental, users % 3 AS deleted, ['parsers', 'ai'][(users % 2 + 1)::INT] AS graph_builder
