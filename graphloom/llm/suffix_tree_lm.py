@@ -8,8 +8,10 @@ distribution.  The root is the add-half unigram distribution over all training w
 word at a time until no level has an entry; its thresholds are counts, the same for any corpus.
 
 Each token is scored in the state of its longest suffix.  Since the states are closed under tails, the log probability is
-the root's plus one term for each state on the way down and one for each entry: a sum over keys.  The tree is therefore
-one table (key, value), never held whole anywhere: counts, divergence tests and scores are aggregations and joins by key.
+the root's plus one term for each state on the way down and one for each entry.  Both belong to a run of words, which as a
+context stands once before each of its next words: a text's score is a sum over the keys of its runs.  The tree is
+therefore one table (key, values), never held whole anywhere: counts, divergence tests and scores are aggregations and
+joins by key.
 
 Two things of fixed size go to all workers, and change no result.  Bitmaps of BITS tell which keys may be in a table (a wrong
 yes costs a row that no join matches), and the CACHE most frequent keys are looked up at once instead of by join.
@@ -17,12 +19,12 @@ yes costs a row that no join matches), and the CACHE most frequent keys are look
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,8 @@ from . import text as tx
 from .scratch import forget, table, tidy
 
 LEAST_COUNT, LEAST_GAIN, LEAST_ENTRY, SMOOTHING = 4, 6.0, 2.0, 2.0
-BITS, CACHE = 27, 1 << 20
+BITS, CACHE = 27, 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)
-#: Marks the key of a context as such: the same words as a run have the key without it.
-CONTEXT = np.uint64(0x2545F4914F6CDD1D)
 BLOCK_BYTES = 4 << 20
 
 
@@ -78,9 +78,10 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(keys: DataFrame, *marks: Column) -> list[np.ndarray]:
-    """For each mark 2**BITS bits; that of a ``key`` is set if a row of it has the mark. Their size does not depend on the number of rows."""
+    """For each mark 2**BITS bits; two of a ``key`` are set if a row of it has the mark. Their size does not depend on the number of rows."""
     low = (1 << BITS) - 1
-    slot = F.col("key").bitwiseAND(F.lit(low))
+    keys = keys.withColumn("slot", F.explode(F.array(F.col("key").bitwiseAND(F.lit(low)), F.shiftright("key", 32).bitwiseAND(F.lit(low)))))
+    slot = F.col("slot")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     with tidy(keys.sparkSession):
         words = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(*[F.bit_or(F.when(m, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i, m in enumerate(marks)]).toArrow()
@@ -93,8 +94,11 @@ def bitmaps(keys: DataFrame, *marks: Column) -> list[np.ndarray]:
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(len(bits) * 64 - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    low = np.uint64(len(bits) * 64 - 1)
+    out = np.ones(len(keys), bool)
+    for slot in (keys & low, (keys >> np.uint64(32)) & low):
+        out &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -165,10 +169,11 @@ def _level(told: DataFrame) -> DataFrame:
 
 
 def learn(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(id, text) -> the tree as a table (key, value, n, word), its depth, and the numbers of training tokens and of distinct ones."""
+    """(id, text) -> the tree as a table (key, n, word, base, more), its depth, and the numbers of training tokens and of distinct ones."""
     words = table(rows.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    parts = [words.select("key", F.log10((F.col("n") + 0.5) / 0.5).alias("value"), "n", F.lit(True).alias("word"))]
+    none = F.lit(0.0)
+    parts = [words.select("key", "n", F.lit(True).alias("word"), F.log10((F.col("n") + 0.5) / 0.5).alias("base"), none.alias("more"))]
     above = words.where(F.col("n") >= LEAST_COUNT).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("log"), F.lit(True).alias("open"), (F.col("key") != int(END.view(np.int64))).alias("entry"))
     length, levels = 1, [words]
     while (held := bitmaps(above, F.col("entry"), F.lit(True)))[0].any():
@@ -178,14 +183,13 @@ def learn(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
         levels.append(above)
         forget(counted)
         forget(told)
-        mark = F.col("context").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64))))
-        states = above.where("open").groupBy(mark.alias("key")).agg(F.first("rest").alias("value"), F.first("total").alias("n"))
-        parts += [above.where("entry").select("key", F.col("step").alias("value"), "n", F.lit(False).alias("word")), states.withColumn("word", F.lit(False))]
+        states = above.where("open").groupBy(F.col("context").alias("key")).agg(F.first("total").alias("n"), F.first("rest").alias("more"))
+        parts += [above.where("entry").select("key", "n", F.lit(False).alias("word"), none.alias("base"), F.col("step").alias("more")), states.select("key", "n", F.lit(False).alias("word"), none.alias("base"), "more")]
         length += 1
     tree = parts[0]
     for part in parts[1:]:
         tree = tree.unionByName(part)
-    tree = table(tree, "tree")
+    tree = table(tree.groupBy("key").agg(F.max("n").alias("n"), F.max("word").alias("word"), F.sum("base").alias("base"), F.sum("more").alias("more")), "tree")
     for level in levels:
         forget(level)
     return tree, length - 1, total, distinct
@@ -201,10 +205,11 @@ def _cached(tree: DataFrame) -> tuple[float, pa.Table]:
             break
         bound = row["bin"]
     with tidy(tree.sparkSession):
-        return bound, tree.where(F.floor(4 * F.log2("n")) >= bound).select("key", "value", "word").toArrow()
+        return bound, tree.where(F.floor(4 * F.log2("n")) >= bound).select("key", "word", "base", "more").toArrow()
 
 
-SCORED = "block long, row int, id long, held_out boolean, n_tokens long, n_known long, base double, more double, key long, times long"
+OWN = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("more", pa.float64())])
+ASKED = "block long, row int, key long, times long, own struct<id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,more:double>"
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,64 +225,44 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bound, cached = _cached(tree)
     rare = tree.where(F.floor(4 * F.log2("n")) < bound)
     order = np.argsort(_unsigned(cached.column("key")))
-    cache = _unsigned(cached.column("key"))[order], cached.column("value").to_numpy()[order], cached.column("word").to_numpy(zero_copy_only=False)[order].astype(bool)
+    cache = [_unsigned(cached.column("key"))[order], *(cached.column(c).to_numpy()[order] for c in ("word", "base", "more"))]
     sent = rows.sparkSession.sparkContext.broadcast((cache, *bitmaps(rare, F.lit(True))))
-    names = [x.split()[0] for x in SCORED.split(", ")]
+    names = [x.split()[0] for x in ASKED.split(", ")]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, values, is_word), bits = sent.value
-        for block in tx.blocks(batches, "text", BLOCK_BYTES):
-            t, ids, name = Tokens(block.column("text")), block.column("id").to_pylist(), uuid.uuid4().int >> 66
-            n = len(ids)
-            known, base, more = np.zeros(n), np.zeros(n), np.zeros(n)
+        """For each text a row of its own, with the sums over cached keys, and one for each other key that may be in the tree."""
+        (keys, is_word, base_of, more_of), bits = sent.value
+        task = TaskContext.get()
+        for number, block in enumerate(tx.blocks(batches, "text", BLOCK_BYTES)):
+            name = ((task.partitionId() if task else 0) << 32) | number  # the same when a lost task runs again
+            t, ids = Tokens(block.column("text")), block.column("id").to_pylist()
+            n, sums = len(ids), np.zeros((3, len(ids)))
             asked: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def look(wanted: np.ndarray, text: np.ndarray, word: bool) -> np.ndarray:
-                """Adds the values of cached keys and asks for those that may be elsewhere; returns which may be in the tree."""
-                at = find(keys, wanted)  # noqa: B023
-                ok = at >= 0
-                sums = np.bincount(text[ok], values[at[ok]], minlength=n)  # noqa: B023
-                if word:
-                    base[:] += sums  # noqa: B023
-                    known[:] += np.bincount(text[ok], minlength=n)  # noqa: B023
-                else:
-                    more[:] += sums  # noqa: B023
-                ask = np.flatnonzero(~ok)
-                ask = ask[may_hold(bits, wanted[ask])]
-                asked.append((text[ask], wanted[ask]))  # noqa: B023
-                ok[ask] = True
-                return ok
-
-            runs = t.runs()
-            look(next(runs), t.text, True)
-            live, length, last = np.flatnonzero(t.place >= 1), 1, t.hash
-            while len(live) and length <= depth:  # positions whose context of this length may be a state: longer ones then may be too
-                live = live[look(last[live - 1] ^ CONTEXT, t.text[live], False)]
-                last = next(runs)
-                look(last[live], t.text[live], False)
-                length += 1
-                live = live[t.place[live] >= length]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), block.column("id"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(t.counts.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                names=names,
-            )
+            runs, found = t.runs(), np.zeros(0, bool)
+            for length in range(depth + 1):  # words, then runs of one word more whose context may be in the tree
+                run = next(runs)
+                live = np.flatnonzero(t.place >= length) if length < 2 else np.flatnonzero((t.place >= length) & np.append(False, found[:-1]))
+                at = find(keys, run[live])
+                hit, text = at >= 0, t.text[live]
+                for i, of in enumerate((is_word, base_of, more_of)):
+                    sums[i] += np.bincount(text[hit], of[at[hit]], minlength=n)
+                ask = np.flatnonzero(~hit)
+                ask = ask[may_hold(bits, run[live[ask]])]
+                asked.append((text[ask], run[live[ask]]))
+                found = np.zeros(len(run), bool)
+                found[live[hit]] = found[live[ask]] = True
+            own = pa.StructArray.from_arrays([block.column("id"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(t.counts.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(OWN))
+            row = np.arange(n, dtype=np.int32)
+            no_key = _signed(tx.mix((np.uint64(name) << np.uint64(20)) + row.astype(np.uint64)))  # spreads these rows; of no account whatever it meets, as times is 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(row), no_key, pa.array(np.zeros(n, np.int64)), own], names=names)
             text, key = (np.concatenate(x) for x in zip(*asked, strict=True))
             order = np.lexsort((key, text))
             text, key = text[order], key[order]
             new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            times, k = np.diff(np.append(new, len(key))), len(new)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * k, pa.int64()), pa.array(text[new].astype(np.int32)), *[pa.nulls(k, x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], _signed(key[new]), pa.array(times.astype(np.int64))],
-                names=names,
-            )
-
-    told = table(rows.mapInArrow(local, SCORED), "scores")
-    own = told.where("key is null").drop("key", "times")
-    met = told.where("key is not null").select("block", "row", "key", "times").join(rare.select("key", "value", "word"), "key")
-    null = lambda c: F.lit(None).cast(own.schema[c].dataType).alias(c)
-    worth = F.col("times") * F.col("value")
-    met = met.groupBy("block", "row").agg(F.sum(F.when(F.col("word"), F.col("times"))).alias("n_known"), F.sum(F.when(F.col("word"), worth)).alias("base"), F.sum(F.when(~F.col("word"), worth)).alias("more"))
-    met = met.select("block", "row", null("id"), null("held_out"), null("n_tokens"), "n_known", "base", "more")
-    out = own.unionByName(met).groupBy("block", "row").agg(F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("more").alias("more"))
-    base = F.col("base") + F.col("n_tokens") * F.lit(unknown)
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("more", F.lit(0.0))).alias("score"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), name)), pa.array(text[new].astype(np.int32)), _signed(key[new]), pa.array(np.diff(np.append(new, len(key)))), pa.nulls(len(new), OWN)], names=names)
+
+    met = rows.mapInArrow(local, ASKED).join(rare.select("key", "word", "base", "more"), "key", "left").where("word is not null or times = 0")
+    times = lambda c: F.coalesce(F.sum(F.col("times") * c), F.lit(0))
+    out = met.groupBy("block", "row").agg(F.max("own").alias("own"), times(F.col("word").cast("long")).alias("known"), times(F.col("base")).alias("base"), times(F.col("more")).alias("more"))
+    base = F.col("own.base") + F.col("base") + F.col("own.n_tokens") * F.lit(unknown)
+    return out.select(F.col("own.id").alias(id_col), "own.held_out", "own.n_tokens", (F.col("own.n_known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.more") + F.col("more")).alias("score"))
