@@ -8,6 +8,7 @@ the rules whose rarest token it holds.  A fixed rule list (host and path prefix)
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,9 +33,11 @@ class PrefixRule:
 
 @dataclass(frozen=True)
 class Mining:
+    """A rule blocks what is more likely bad than not, if it is seen often enough and says more than the share of bad urls does."""
+
     least_share: float = 0.001
     least_urls: int = 20
-    confidence: float = 0.6
+    confidence: float = 0.5
     lift: float = 1.2
 
 
@@ -105,17 +108,19 @@ def filter_urls(pages: DataFrame, labels: DataFrame, prefix_rules: Sequence[Pref
     """``pages`` with host, path, rule, confidence (of the best mined rule, else null) and verdict (allow or block).
 
     A page is labelled by the labels row of its id: bad if quality is 0 or toxic is 1 (nulls count as neither).
-    Null urls have an empty host and path, no tokens and are allowed.  Repeated rows are judged alike; an
+    Null urls have an empty host and path, no tokens and are allowed.  Repeated rows are judged alike; of fixed rules of one
+    length the last in order of names wins, of mined ones the most confident; very long urls are read whole; an
     empty table gives an empty result; columns of ``pages`` with the names of result columns are replaced.
     """
     pages = pages.drop("host", "path", "rule", "confidence", "verdict")
-    bad = labels.groupBy(F.col(label_id).alias("_label_id")).agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("_bad"))
-    known = pages.join(bad, pages[id_col] == F.col("_label_id")).select(tokens(F.col(url_col)).alias("tokens"), (F.col("_bad") == 1).alias("bad"))
-    rules = mine(known, mining)
+    bad = labels.groupBy(F.col(label_id).alias("id")).agg((F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")) == 1).alias("bad"))
+    known = pages.select(F.col(id_col).alias("id"), tokens(F.col(url_col)).alias("tokens")).join(bad, "id")
+    rules = mine(known.select("tokens", "bad"), mining)
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    met = match(urls, rules).withColumnRenamed("url", "_url")
-    out = pages.join(met, pages[url_col] == F.col("_url"), "left").drop("_url")
+    own, first = f"url_{uuid.uuid4().hex}", f"first_{uuid.uuid4().hex}"
+    met = match(urls, rules).withColumnRenamed("url", own)
+    out = pages.join(met, pages[url_col] == F.col(own), "left").drop(own)
     out = out.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    out = out.withColumn("_first", first_rule(F.col("host"), F.col("path"), prefix_rules))
+    out = out.withColumn(first, first_rule(F.col("host"), F.col("path"), prefix_rules))
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": F.col("_first.rule"), "verdict": F.coalesce(F.col("_first.verdict"), mined)}).drop("_first")
+    return out.withColumns({"rule": F.col(f"{first}.rule"), "verdict": F.coalesce(F.col(f"{first}.verdict"), mined)}).drop(first)

@@ -1,5 +1,6 @@
 """Each operator against a plain version, and on odd rows: nulls, empties, ties, repeats, long texts, clashing columns."""
 
+import itertools
 import math
 import random
 import re
@@ -164,6 +165,30 @@ def test_mined_rules_against_counting(spark):
     assert list(rules) == ["a b"] and rules["a b"][0] == 1.0  # c is too rare; a and b alone are not telling
 
 
+def test_verdicts_against_all_itemsets(spark):
+    """Every set of tokens counted: the verdicts of the whole operator, in tables with columns of any name."""
+    r = random.Random(4)
+    hosts, paths = ["a.example.com", "b.example.org", "m.c.example.com"], ["x", "y", "z/w"]
+    urls = [(i, f"http://{r.choice(hosts)}/{r.choice(paths)}/{r.randrange(99)}" + r.choice(["", "?ref=1", "?ref=2&q=3"])) for i in range(400)]
+    bad = {i: ("a.ex" in u and "ref" in u) or r.random() < 0.2 for i, u in urls}
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, b in bad.items() if i < 300], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "1 AS _bad", "2 AS _url", "3 AS _first", "4 AS _label_id", "5 AS key", "6 AS id", "7 AS bad")
+    held = {x["page_id"]: frozenset(x["t"]) for x in pages.select("page_id", url_filters.tokens(F.col("url")).alias("t")).collect()}
+    seen, hit = Counter(), Counter()
+    for i in range(300):
+        for k in range(1, len(held[i]) + 1):
+            for c in itertools.combinations(sorted(held[i]), k):
+                seen[c] += 1
+                hit[c] += bad[i]
+    mining = url_filters.Mining()
+    share = sum(bad[i] for i in range(300)) / 300
+    rules = [set(c) for c, n in seen.items() if hit[c] >= mining.least_urls and hit[c] / n >= mining.confidence and hit[c] / n / share >= mining.lift]
+    want = {i: "block" if any(c <= held[i] for c in rules) else "allow" for i, _ in urls}
+    got = url_filters.filter_urls(pages, labels, []).collect()
+    assert {x["page_id"]: x["verdict"] for x in got} == want and set(want.values()) == {"allow", "block"}
+    assert all(x["_bad"] == 1 and x["key"] == 5 for x in got)
+
+
 # -- quality -----------------------------------------------------------------------------------------------------
 
 
@@ -295,8 +320,8 @@ def test_passages(docs_of, prose):
     got = {r["doc_id"]: r for r in compact_windows.repeated_passages(docs_of(rows)).collect()}
     assert got[2]["class_id"] == 1 and got[4]["class_id"] == 3 and got[6]["class_id"] == 5
     assert got[2]["n_dup_words"] >= 79 and got[4]["n_dup_words"] == 300 and got[6]["n_dup_words"] >= 50
-    assert got[7]["n_links"] == got[8]["n_links"] == 0  # under 50 words
-    assert all(r["n_links"] == 0 for i, r in got.items() if i is None or i > 20)
+    assert got[7]["n_spans"] == got[8]["n_spans"] == 0  # under 50 words
+    assert all(r["n_spans"] == 0 for i, r in got.items() if i is None or i > 20)
     assert compact_windows.repeated_passages(docs_of(rows).limit(0)).count() == 0
 
 
@@ -345,6 +370,53 @@ def test_edited_passages_are_linked(docs_of):
     assert sum(c != i - i % 2 for i, c in got.items()) <= 2
 
 
+def plain_passages(texts, least=46):
+    """Words in windows of ``least`` shingles near one of another text, and classes: all pairs of windows of all pairs of texts."""
+    grams = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in texts.items()}
+    cover, reach = {i: set() for i in texts}, {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        shared = {g: k for k, g in enumerate(set(grams[a]) & set(grams[b]))}
+        if len(shared) < 0.8 * least:
+            continue
+        sides = []
+        for t in (a, b):
+            m = np.zeros((len(grams[t]) - least + 1, len(shared)), np.float32)
+            for i in range(len(m)):
+                m[i, [shared[g] for g in set(grams[t][i : i + least]) & shared.keys()]] = 1
+            sides.append((m, np.array([len(set(grams[t][i : i + least])) for i in range(len(m))])))
+        both = sides[0][0] @ sides[1][0].T
+        near = both >= 0.8 * (sides[0][1][:, None] + sides[1][1][None, :] - both) - 1e-6
+        for t, hit in ((a, near.any(1)), (b, near.any(0))):
+            for i in np.flatnonzero(hit):
+                cover[t] |= set(range(i, i + least + 4))
+        if near.any():
+            x, y = reach[a], reach[b]
+            reach = {t: (min(x, y) if c in (x, y) else c) for t, c in reach.items()}
+    return {t: len(c) for t, c in cover.items()}, reach
+
+
+def test_shared_passages_against_all_windows(docs_of):
+    """Six passages, two of them in each of 60 texts with up to three words changed, inserted or deleted."""
+    r = random.Random(3)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passages = [fresh(75) for _ in range(6)]
+    texts = {}
+    for i in range(60):
+        words_ = fresh(r.randrange(5, 50))
+        for p in r.sample(passages, 2):
+            p = [*p]
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(p))
+                p[at : at + r.randrange(2)] = fresh(1)[: r.randrange(2)]
+            words_ += p + fresh(r.randrange(5, 50))
+        texts[i] = words_
+    words_of, classes = plain_passages(texts)
+    got = {x["doc_id"]: x for x in compact_windows.repeated_passages(docs_of([(i, " ".join(w)) for i, w in texts.items()])).collect()}
+    found, all_ = sum(min(got[i]["n_dup_words"], n) for i, n in words_of.items()), sum(words_of.values())
+    assert found >= 0.97 * all_ and sum(got[i]["n_dup_words"] for i in texts) <= 1.01 * all_
+    assert sum(got[i]["class_id"] == c for i, c in classes.items()) >= 58
+
+
 # -- language model ----------------------------------------------------------------------------------------------
 
 
