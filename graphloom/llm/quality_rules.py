@@ -1,6 +1,6 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
-Each document gives two histograms: characters by class and common words of its language (the
+Each document gives two histograms: characters by class and common words of its language, counted over the corpus (the
 last bin: all other words).  The reference of a language is the sum of the histograms of all its
 documents.  A document whose Jensen-Shannon distance from its reference is over a threshold is
 rejected; texts and languages under a minimum length are judged by the base rules alone.
@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import table
@@ -20,13 +21,8 @@ WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 #: Character classes; what is in none of them is the last bin.
 CLASSES = {"space": SPACE, "upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "mark": r"[.,;:!?'\x22()\-]", "beyond": r"[^\x00-\x7F]"}
-#: Frequent function words by language.
-COMMON_WORDS = {
-    "en": "the of and to in is it for as with was by on at this that are be from or".split(),
-    "fr": "le la de et les des en un une du que qui dans pour par sur au est pas il".split(),
-    "de": "der die und in den von zu das mit ist nicht ein eine für auf im dem sich als auch".split(),
-    "es": "de la que el en y los las un por con una para se del al es lo no su".split(),
-}
+#: The common words of a language are so many, each at least such a share of all its words.
+COMMON_WORDS, COMMON_SHARE = 20, 0.002
 
 
 @dataclass(frozen=True)
@@ -64,16 +60,30 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
     return F.when(F.size(words) > k, _let(prints, covered)).otherwise(F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` (without the text) and _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _classes, _commons, _lang."""
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = COMMON_WORDS, share: float = COMMON_SHARE) -> DataFrame:
+    """(lang, commons): the most frequent words of each language, lower-cased; of equally frequent ones the first by code point.
+
+    Only words over the share are ranked, 1 / share of them a language at most.
+    """
+    words = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.explode(F.split(F.lower(F.col(text_col)), SPACE + "+")).alias("word")).where("word <> ''")
+    counts = table(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "counts")
+    whole = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    some = counts.join(whole, "lang").where(F.col("n") >= share * F.col("all"))
+    some = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "word"))).where(F.col("rank") <= most)
+    return some.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("commons"))
+
+
+def features(docs: DataFrame, commons: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` (without the text; commons: of :func:`common_words`) and _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _classes, _commons, _lang."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     counts = {f"_c_{name}": count(pattern) for name, pattern in CLASSES.items()}
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     lang = F.coalesce(F.col(lang_col), F.lit(""))
-    lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     empty = F.array().cast("array<string>")
+    own = commons.select(F.col("lang").alias("_qr_lang"), F.col("commons").alias("_qr_commons"))
+    docs = docs.join(own, lang == F.col("_qr_lang"), "left").drop("_qr_lang")
 
     def told(ws: Column, commons: Column) -> Column:
         hits = F.filter(F.transform(ws, lambda w: F.array_position(commons, F.lower(w)).cast("int")), lambda p: p > 0)
@@ -85,7 +95,7 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             F.when(F.size(commons) > 0, _let(hist, rest)).otherwise(F.array(F.size(ws).cast("long"))).alias("commons"),
         )
 
-    commons = F.coalesce(F.element_at(lists, lang), empty)
+    commons = F.coalesce("_qr_commons", empty)
     out = docs.withColumns({
         **counts,
         "_lang": lang,
@@ -101,7 +111,7 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         "_word_chars": F.col("_length") - F.col("_c_space"),
         "_n_symbols": F.col("_c_symbol"),
         "_classes": F.array(*held, F.col("_length") - sum(held[1:], held[0])),
-    }).drop(*counts, "_told", "_length", text_col)
+    }).drop(*counts, "_told", "_length", "_qr_commons", text_col)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -116,12 +126,13 @@ def js_distance(p: Column, q: Column) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """``docs`` without its text column, plus the counts of :func:`features`, _class_distance, _word_distance, _base_failed and _kept.
 
-    Null text: no words, so the base rules reject it.  A null or unlisted language is compared by
-    characters alone with documents of the same.  Repeated rows are judged alike; an empty table gives an empty result.
+    Null text: no words, so the base rules reject it.  A null language is a language of its own.  Repeated rows are judged
+    alike; a distance equal to its limit is kept; very long texts are read whole; an empty table gives an empty result.
+    Columns of the names above and _lang, _told, _length, _commons, _classes and _c_* are replaced or dropped.
     """
-    rows = table(features(docs, text_col, lang_col), "quality")
+    rows = table(features(docs, common_words(docs, text_col, lang_col), text_col, lang_col), "quality")
     bins = lambda c, n: F.array(*[F.sum(F.get(c, i)) for i in range(n)])
-    longest = 1 + max(map(len, COMMON_WORDS.values()))
+    longest = 1 + COMMON_WORDS
     sums = rows.groupBy("_lang").agg(bins("_classes", len(CLASSES) + 1).alias("_all_classes"), bins("_commons", longest).alias("_all_commons"), F.sum("_n_words").alias("_all_words"))
     sums = sums.withColumn("_all_commons", F.filter("_all_commons", lambda x: x.isNotNull()))
     rows = rows.join(sums, "_lang", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .quality_rules import COMMON_WORDS
-
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5 = r"""
@@ -124,15 +122,17 @@ SELECT t.doc_id, coalesce(d.n_lines, 0)::BIGINT AS n_lines, coalesce(d.n_links,
 FROM documents t LEFT JOIN d USING (doc_id)
 """.replace("{codes}", " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32), *map(ord, "{}~")]))  # one byte for each letter beyond ASCII: levenshtein here counts bytes
 
-_LISTS = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON_WORDS.items()) + " ELSE []::VARCHAR[] END"
 OP3 = r"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
+), v AS (
+  SELECT lang, list(w) AS commons FROM (SELECT lang, w, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k, sum(n) OVER (PARTITION BY lang) AS whole
+    FROM (SELECT lang, lower(w) AS w, count(*) AS n FROM (SELECT lang, unnest(ws) AS w FROM t) GROUP BY ALL)) WHERE k <= 20 AND n >= 0.002 * whole GROUP BY lang
 ), c AS (
-  SELECT *, {lists} AS commons, [len(regexp_extract_all(text, p)) FOR p IN ['[\x20\x09-\x0D]', '[A-Z]', '[0-9]', '[#*$%&|<>]', '[.,;:!?\x27\x22()\-]', '[^\x00-\x7F]']] AS k FROM t
+  SELECT t.*, coalesce(v.commons, []::VARCHAR[]) AS commons, [len(regexp_extract_all(text, p)) FOR p IN ['[\x20\x09-\x0D]', '[A-Z]', '[0-9]', '[#*$%&|<>]', '[.,;:!?\x27\x22()\-]', '[^\x00-\x7F]']] AS k FROM t LEFT JOIN v USING (lang)
 ), g AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (
     SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM (
@@ -161,6 +161,6 @@ SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols
        n < 10 OR 100 * n_repeat > 20 * n AS base_failed,
        NOT (n < 10 OR 100 * n_repeat > 20 * n) AND (n < 50 OR words < 1000 OR (dc <= 0.14 + 1.3 / sqrt(n) AND dw <= 0.08 + 2.4 / sqrt(n))) AS kept
 FROM e
-""".replace("{lists}", _LISTS)
+"""
 
 ORACLES = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op8_suffix_dedup": OP8, "op9_decontamination": OP9}

@@ -161,7 +161,7 @@ def test_url_rules_and_mining(spark):
 
 def test_mined_rules_against_counting(spark):
     rows = [(["a", "b"], True)] * 30 + [(["a"], False)] * 30 + [(["b"], False)] * 30 + [(["c"], True)] * 5
-    rules = {r["rule_id"]: (r["confidence"], r["key"]) for r in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    rules = {r["rule_id"]: (r["confidence"], r["key"]) for r in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), url_filters.Mining(confidence=0.6)).collect()}
     assert list(rules) == ["a b"] and rules["a b"][0] == 1.0  # c is too rare; a and b alone are not telling
 
 
