@@ -132,7 +132,7 @@ def compose_file(path: Column) -> Column:
 def api_template(raw: Column) -> Column:
     """A UI call's path as a template: expressions are ``{id}``, the query and the version prefix go; empty for the root."""
     bare = F.element_at(F.split(F.trim(raw), r"\?"), 1)
-    bare = F.regexp_replace(bare, r"\$\{buildQuery\([^}]*\)\}", "")
+    bare = F.regexp_replace(bare, r"\$\{buildQuery\([^()]*(?:\([^()]*\)[^()]*)*\)\}", "")
     bare = F.regexp_replace(bare, r"\$\{(?:[^{}]|\{[^}]*\})*\}", "{id}")
     found = F.regexp_extract(bare, r"/[A-Za-z0-9_/{}.:-]+", 0)
     path = F.regexp_replace(F.when(found != "", found).otherwise(bare), "(?i)^(.*?)/api/v1", "$1")

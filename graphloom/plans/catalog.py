@@ -188,7 +188,7 @@ def _(c):
     return c.files.where(~fp.denied(F.col("path"), ["en", "es"])).select("path")
 
 
-@query("flt12_layer", "SELECT 'code' AS layer, count(*) AS n FROM classes UNION ALL SELECT 'system', count(*) FROM system UNION ALL SELECT 'edges', count(*) FROM edges WHERE type IN ('connects_to', 'exposes', 'http_calls', 'consumes')")
+@query("flt12_layer", "SELECT 'code' AS layer, count(*) AS n FROM nodes WHERE layer = 'code' UNION ALL SELECT 'system', count(*) FROM system UNION ALL SELECT 'edges', count(*) FROM edges WHERE type IN ('connects_to', 'exposes', 'http_calls', 'consumes')")
 def _(c):
     code, system = flt.in_layer(c.nodes, "code"), flt.in_layer(c.nodes, "system")
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n")
@@ -226,7 +226,7 @@ def _(c):
     return flt.ready(c.runs).select("id")
 
 
-@query("flt19_kind_class", "SELECT kind, any_value(layer) AS layer, kind IN ('class') AS is_code, kind IN ('service', 'broker', 'external_api') AS is_peer, count(*) AS n FROM nodes GROUP BY kind")
+@query("flt19_kind_class", "SELECT kind, any_value(layer) AS layer, kind IN ('class', 'method') AS is_code, kind IN ('service', 'broker', 'external_api') AS is_peer, count(*) AS n FROM nodes GROUP BY kind")
 def _(c):
     code = flt.is_code(F.col("kind"), F.col("layer"))
     return c.nodes.groupBy("kind").agg(F.first("layer").alias("layer"), F.bool_or(code).alias("is_code"), F.bool_or(F.col("kind").isin(PEER_KINDS)).alias("is_peer"), F.count("*").alias("n"))
@@ -237,7 +237,7 @@ def _(c):
     return c.files.where(flt.production_code(F.col("path"))).select("path")
 
 
-@query("flt21_layer_page", "SELECT id FROM classes ORDER BY path, name, id LIMIT 20 OFFSET 40")
+@query("flt21_layer_page", "SELECT id FROM nodes WHERE layer = 'code' ORDER BY path NULLS FIRST, name, id LIMIT 20 OFFSET 40")
 def _(c):
     return ded.page(flt.in_layer(c.nodes, "code"), ["path", "name", "id"], 40, 20).select("id")
 
@@ -512,7 +512,7 @@ def _(c):
     return c.files.orderBy(entry.desc(), "path").limit(5).select("path")
 
 
-@query("srt1_nodes_page", f"SELECT {NODE} FROM nodes ORDER BY path, name, id LIMIT 50 OFFSET 100")
+@query("srt1_nodes_page", f"SELECT {NODE} FROM nodes ORDER BY path NULLS FIRST, name, id LIMIT 50 OFFSET 100")
 def _(c):
     return ded.page(c.nodes, ["path", "name", "id"], 100, 50)
 
@@ -666,7 +666,7 @@ def _(c):
     return c.nodes.select("id", fp.short_label(F.col("id")).alias("label"))
 
 
-@query("str21_stub_kind", "SELECT id, CASE WHEN kind = 'class' THEN 'unknown' ELSE kind END AS guess FROM nodes")
+@query("str21_stub_kind", "SELECT id, CASE WHEN kind IN ('class', 'method') THEN 'unknown' ELSE kind END AS guess FROM nodes")
 def _(c):
     return c.nodes.select("id", jon.stub_kind(F.col("id")).alias("guess"))
 
@@ -749,7 +749,7 @@ def _(c):
     return gra.ancestors(c.nodes, c.classes)
 
 
-@query("gra2_subtree", "SELECT 'service:4' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM nodes WHERE parent_id = 'service:4' UNION ALL SELECT c.id, 2 FROM nodes c JOIN nodes p ON c.parent_id = p.id WHERE p.parent_id = 'service:4'")
+@query("gra2_subtree", "SELECT 'service:4' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM nodes WHERE parent_id = 'service:4' UNION ALL SELECT c.id, 2 FROM nodes c JOIN nodes p ON c.parent_id = p.id WHERE p.parent_id = 'service:4' UNION ALL SELECT m.id, 3 FROM methods m JOIN nodes c ON m.parent_id = c.id JOIN nodes p ON c.parent_id = p.id WHERE p.parent_id = 'service:4'")
 def _(c):
     return gra.subtree(c.nodes, c.services.where("id = 'service:4'"))
 
@@ -848,7 +848,7 @@ def _(c):
     return views.summary(*_focus(c))
 
 
-@query("gra17_affiliation", "SELECT c.id, 'explicit' AS mode FROM classes c JOIN nodes e ON c.parent_id = e.id WHERE e.parent_id = 'service:8'")
+@query("gra17_affiliation", "SELECT c.id, 'explicit' AS mode FROM classes c JOIN nodes e ON c.parent_id = e.id WHERE e.parent_id = 'service:8' UNION ALL SELECT m.id, 'explicit' FROM methods m JOIN nodes c ON m.parent_id = c.id JOIN nodes e ON c.parent_id = e.id WHERE e.parent_id = 'service:8'")
 def _(c):
     return gra.code_of_service("service:8", "INDIA", c.nodes, c.edges.where("type = 'connects_to'"))
 

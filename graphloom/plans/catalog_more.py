@@ -216,7 +216,7 @@ def _(c):
     return c.files.where("not contains(path, '//')").select("path", adapters.service_id(F.col("path")).alias("service"))
 
 
-@query("jon18_explicit_links", "SELECT id FROM classes WHERE parent_id IN (SELECT id FROM nodes WHERE parent_id = 'service:8')")
+@query("jon18_explicit_links", "SELECT id FROM classes WHERE parent_id IN (SELECT id FROM nodes WHERE parent_id = 'service:8') UNION ALL SELECT m.id FROM methods m JOIN classes c ON m.parent_id = c.id WHERE c.parent_id IN (SELECT id FROM nodes WHERE parent_id = 'service:8')")
 def _(c):
     from ..operators import graph as gra
 
@@ -272,7 +272,7 @@ def _(c):
     return c.files.select("path", ft.compose_file(path).alias("file"))
 
 
-_SPLAT = "CASE " + " ".join(f"WHEN regexp_matches(p, '(?i)/{s}/.+$') THEN regexp_replace(p, '(?i)^(.*)/({s})/.+$', '\\\\1/{s}/*')" for s in ft.SPLAT_RESOURCES) + " ELSE p END"
+_SPLAT = "CASE " + " ".join(f"WHEN regexp_matches(p, '(?i)/{s}/.+$') THEN regexp_replace(p, '(?i)^(.*)/({s})/.+$', '\\1/{s}/*')" for s in ft.SPLAT_RESOURCES) + " ELSE p END"
 
 
 @query("str11_splat_paths", f"SELECT path, {_SPLAT} AS target FROM (SELECT path, rtrim('/v1/' || ['nodes', 'orders', 'Raw', 'files'][(page_id % 4 + 1)::INT] || '/' || path, '/') AS p FROM files)")
