@@ -160,8 +160,8 @@ def _strength(groups: DataFrame, rate: str, parent: Column) -> float:
     return min(max(mean_noise / between - 1 if between > 0 else 1e6, 1.0), 1e6)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_below: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with _evidence (log odds), _prior (its path's rate of bad), _posterior and _kept (posterior under keep_below).
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_below: float = 0.5, sample_rows: int = SAMPLE_ROWS, keep_text: bool = True) -> DataFrame:
+    """``docs`` (with the text if ``keep_text``) with _evidence (log odds), _prior (its path's rate of bad), _posterior and _kept (posterior under keep_below).
 
     Host and corpus rates count a labelled document by its label and any other by its probability; the rate of a
     document's own path leaves the document itself out, whose evidence comes in once.
@@ -175,12 +175,13 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model = train(docs, labels, id_col, text_col, sample_rows)
     host = F.coalesce(F.col("source") if host is None else host, F.lit(""))
     path = F.coalesce(F.col("lang") if path is None else path, F.lit(""))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())])
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, text_col):
             found = np.round(model.evidence(block.column(text_col)), 9)
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found)], names=[*block.schema.names, "_evidence"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in kept), pa.array(found)], names=[*kept, "_evidence"])
 
     rows = table(docs.mapInArrow(run, schema).withColumns({"_host": host, "_path": path}), "evidence")
     own = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_evidence") + F.lit(math.log(model.base / (1 - model.base)))))))

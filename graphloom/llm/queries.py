@@ -42,7 +42,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_classifier.score(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), _read(spark, sf_dir, "labels"))
+    rows = quality_classifier.score(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), _read(spark, sf_dir, "labels"), keep_text=False)
     return rows.select("doc_id", F.round("_evidence", 6).alias("evidence"), F.round("_prior", 6).alias("prior"), F.round("_posterior", 6).alias("posterior"), F.col("_kept").alias("kept"))
 
 
