@@ -9,7 +9,8 @@ in the corpus has no match and is dropped before any text moves.
 Runs of windows of one minimizer move as one segment of text, and suffix buckets are sorted one at
 a time.  Suffixes are ranked by their first COVER bytes; longer ties are settled by the ranks of a
 difference-cover sample, whose phase is counted from the minimizer so that both suffixes of a
-comparison meet the sample at the same distance.  Memory is bounded by the bucket, whatever repeats.
+comparison meet the sample at the same distance.  A task holds one bucket at a time, without the segments that repeat
+whole within a block; a bucket over 16 MB is sorted in parts of equal windows.  What bounds memory is so the largest bucket.
 """
 
 from __future__ import annotations
@@ -104,10 +105,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = offsets[row] + start
         key = tx.spans(data, low + at, low + at + GRAM).view(np.int64)
         whole = tx.spans(data, low, low + size)
-        _, first = np.unique(whole, return_index=True)
+        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
         new = np.zeros(len(row), bool)
         new[first] = True
         buffer = data.tobytes()
+        for i in np.flatnonzero(~new).tolist():  # equal hashes are only a hint
+            a, b, s = int(low[i]), int(low[first[of[i]]]), int(size[i])
+            new[i] = size[first[of[i]]] != s or buffer[a : a + s] != buffer[b : b + s]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.where(new, key, tx.mix(whole + np.arange(len(whole), dtype=np.uint64)).view(np.int64))), pa.array(ids[row]), pa.array(start), pa.array(size), pa.array(at),
@@ -211,7 +215,8 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             batch = batch.filter(pa.array(~hits))
         if batch.num_rows:
             held.append(batch)
-            if sum(b.column("bytes").nbytes for b in held) >= BATCH_BYTES:
+            one_bucket = held[0].column("key")[0] == held[-1].column("key")[-1]  # nothing is whole yet
+            if not one_bucket and sum(b.column("bytes").nbytes for b in held) >= BATCH_BYTES:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 key = rows.column("key").to_numpy()
                 last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import compact_windows as cw
@@ -12,6 +12,7 @@ from graphloom.llm import suffix_dedup as sd
 from graphloom.llm import text as tx
 
 
+@settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é\n\t\x0b\x1f", max_size=30)), max_size=6))
 def test_words_are_those_of_the_contract(texts):
     words = tx.Words(pa.array(texts, pa.string()))
@@ -34,6 +35,7 @@ def test_blocks_hold_long_texts_whole():
     assert [b.num_rows for b in tx.blocks(iter([batch]), "text", 10)] == [1, 2]
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.integers(1, 9))
 def test_cartesian_spans(values, least):
     h = np.array(values, np.uint64) << np.uint64(32)
