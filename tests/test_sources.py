@@ -48,4 +48,4 @@ def test_unreadable_files_stop_nothing(spark):
     for parser in REGISTRY:
         extract(sample_files(spark).limit(0), parser)
     assert [r.fact for r in extract(sample_files(spark).where("path = 'broken/bad.py'"), "python").collect()] == ["unreadable"]
-    assert extract(sample_files(spark).where("path in ('broken/bad.py', 'tools/base.py')"), "python").count() == 3
+    assert extract(sample_files(spark).where("path in ('broken/bad.py', 'tools/base.py')"), "python").count() == 4
