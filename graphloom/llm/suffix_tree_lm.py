@@ -261,8 +261,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), name)), pa.array(text[new].astype(np.int32)), _signed(key[new]), pa.array(np.diff(np.append(new, len(key)))), pa.nulls(len(new), OWN)], names=names)
 
-    met = rows.mapInArrow(local, ASKED).join(rare.select("key", "word", "base", "more"), "key", "left").where("word is not null or times = 0")
+    met = rows.mapInArrow(local, ASKED).join(rare.select("key", "word", "base", "more").hint("shuffle_hash"), "key", "left").where("word is not null or times = 0")
     times = lambda c: F.coalesce(F.sum(F.col("times") * c), F.lit(0))
-    out = met.groupBy("block", "row").agg(F.max("own").alias("own"), times(F.col("word").cast("long")).alias("known"), times(F.col("base")).alias("base"), times(F.col("more")).alias("more"))
-    base = F.col("own.base") + F.col("base") + F.col("own.n_tokens") * F.lit(unknown)
-    return out.select(F.col("own.id").alias(id_col), "own.held_out", "own.n_tokens", (F.col("own.n_known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.more") + F.col("more")).alias("score"))
+    own = [F.max(f"own.{c}").alias(f"own_{c}") for c in ("id", "held_out", "n_tokens", "n_known", "base", "more")]  # a struct's maximum would need sorted rows
+    out = met.groupBy("block", "row").agg(*own, times(F.col("word").cast("long")).alias("known"), times(F.col("base")).alias("base"), times(F.col("more")).alias("more"))
+    base = F.col("own_base") + F.col("base") + F.col("own_n_tokens") * F.lit(unknown)
+    return out.select(F.col("own_id").alias(id_col), F.col("own_held_out").alias("held_out"), F.col("own_n_tokens").alias("n_tokens"), (F.col("own_n_known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own_more") + F.col("more")).alias("score"))
