@@ -130,7 +130,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules
     alike; a distance equal to its limit is kept; very long texts are read whole; an empty table gives an empty result.
     Columns of the names above and _lang, _told, _length, _commons, _classes and _c_* are replaced or dropped.
     """
-    rows = table(features(docs, common_words(docs, text_col, lang_col), text_col, lang_col), "quality")
+    commons = table(common_words(docs, text_col, lang_col), "commons")  # of known size, so Spark tells whether it may be broadcast
+    rows = table(features(docs, commons, text_col, lang_col), "quality")
     bins = lambda c, n: F.array(*[F.sum(F.get(c, i)) for i in range(n)])
     longest = 1 + COMMON_WORDS
     sums = rows.groupBy("_lang").agg(bins("_classes", len(CLASSES) + 1).alias("_all_classes"), bins("_commons", longest).alias("_all_commons"), F.sum("_n_words").alias("_all_words"))
