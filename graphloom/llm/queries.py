@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm, url_filters
+from . import ball_kmeans, compact_windows, conversation_repair, decontam, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm, top_k, url_filters
 from .sql import ORACLES  # noqa: F401
 
 
@@ -65,4 +65,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op4_compact_windows, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination, op10_lm_scoring)}
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids = ball_kmeans.cluster(_read(spark, sf_dir, "embeddings"))
+    sums = centroids.select("cluster", "cluster_inertia", F.sum("cluster_inertia").over(Window.partitionBy()).alias("inertia"), "centroid_sha256")  # 40 rows
+    return members.join(F.broadcast(sums), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(rows))
+    every = rows.select("conv_id").distinct()
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left").select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return top_k.search(rows.where(F.col("vec_id") % 50 == 0), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op4_compact_windows, op5_minhash, op6_quality_classifier, op7_mixing, op8_suffix_dedup, op9_decontamination, op10_lm_scoring, op11_ball_kmeans, op12_conversation_repair, op13_top_k)}

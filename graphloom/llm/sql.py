@@ -163,4 +163,115 @@ SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols
 FROM e
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op8_suffix_dedup": OP8, "op9_decontamination": OP9}
+
+
+def _kmeans(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """k-means by components: every round compares every vector with every centroid."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {dims}
+), p AS MATERIALIZED (
+  SELECT vec_id, unnest(range({dims})) AS j, unnest(x) AS x FROM v
+), c0 AS MATERIALIZED (
+  SELECT n AS cluster, unnest(range({dims})) AS j, unnest(x) AS x
+  FROM (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INTEGER AS n, x FROM v) WHERE n < {k}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, cluster, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS r FROM (
+      SELECT p.vec_id, c.cluster, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM p JOIN c{i} c ON p.j = c.j GROUP BY ALL
+    )
+  ) WHERE r = 1
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS MATERIALIZED (
+  SELECT a.cluster, p.j, sum(p.x)::BIGINT AS s, count(*) AS n FROM p JOIN a{i} a USING (vec_id) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.j, coalesce(m.s // m.n - CASE WHEN m.s % m.n < 0 THEN 1 ELSE 0 END, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (cluster, j)
+)"""
+            )
+    return ", ".join(steps) + f"""
+SELECT a.vec_id, a.cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster) h USING (cluster)
+"""
+
+
+OP11 = _kmeans()
+
+OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), p AS MATERIALIZED (
+  SELECT vec_id, unnest(range(len(x))) AS j, unnest(x) AS x FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM p q JOIN p c ON q.j = c.j AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def _repair() -> str:
+    """The cheapest edits row by row, forwards: the best (cost, audit, repaired lines) for each of the pattern's states; no row, no entry."""
+    bit = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = "range(256)"
+    for _ in range(8):
+        crc = f"[{bit} FOR c IN {crc}]"
+    least = lambda *of: f"list_min([x FOR x IN [{', '.join(of)}] IF x.c IS NOT NULL])"
+    more = lambda s, cost, letter, line: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'r': {s}.r || {line}}}"
+    insert = lambda s, role: more(s, 2, "I", f"[{role!r} || ':']")
+    delete = lambda s: more(s, 3, "D", "[]::VARCHAR[]")
+    keep = lambda s, initial: more(s, f"CASE WHEN NOT gone AND initial = {initial!r} THEN cut END", "K", "[role || ':' || text]")
+    rerole = lambda s, role: more(s, "CASE WHEN NOT gone THEN 2 + cut END", "R", f"[{role!r} || ':' || text]")
+    closed = f"""
+    SELECT conv_id, i, s0, s1, u AS s2, {least("a0", insert("u", "assistant"))} AS s3
+    FROM (SELECT conv_id, i, s0, s1, a0, {least("u0", insert("s0", "user"), insert("s1", "user"), insert("a0", "user"))} AS u FROM"""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, [ord(b)::BIGINT FOR b IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS how
+  FROM conversations, (SELECT {crc} AS t)
+), b AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM d WHERE how <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM b
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o
+), f AS MATERIALIZED (
+  SELECT *, NOT blank AND nth > 1 AS duplicate, blank OR nth > 1 AS gone,
+         CASE WHEN NOT blank AND nth = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n
+), dp AS (
+  SELECT * FROM ({closed} (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, {{'c': NULL::INTEGER, 'a': '', 'r': []::VARCHAR[]}} AS s1,
+           {{'c': NULL::INTEGER, 'a': '', 'r': []::VARCHAR[]}} AS u0, {{'c': NULL::INTEGER, 'a': '', 'r': []::VARCHAR[]}} AS a0 FROM f)))
+  UNION ALL
+  SELECT * FROM ({closed} (
+    SELECT f.conv_id, f.i, {delete("s0")} AS s0, {least(delete("s1"), keep("s0", "s"))} AS s1,
+           {least(delete("s2"), keep("s0", "u"), keep("s1", "u"), keep("s3", "u"), rerole("s0", "user"), rerole("s1", "user"), rerole("s3", "user"))} AS u0,
+           {least(delete("s3"), keep("s2", "a"), rerole("s2", "assistant"))} AS a0
+    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1)))
+), e AS (
+  SELECT conv_id, {least("s0", "s3")} AS best FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM dp) WHERE back = 1
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, sum(cut) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP12 = _repair()
+
+ORACLES = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_minhash": OP5, "op7_mixing": OP7, "op8_suffix_dedup": OP8, "op9_decontamination": OP9, "op11_ball_kmeans": OP11, "op12_conversation_repair": OP12, "op13_top_k": OP13}
