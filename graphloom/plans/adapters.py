@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, code_id, fit_id, language_of, posix, service_hint, system_edge_id, unscoped_key
 from ..functions.text import grpc_name, http_path
+from ..operators.calls import usage_edges
 from ..operators.dedupe import stable_ids
 from ..operators.joins import resolve_parents
+from .lineage import table
 
 NODE = ["id", "parser_id", "kind", "name", "qualified_name", "language", "path", "parent_id", "layer", "http_method", "http_path"]
 EDGE = ["id", "parser_id", "type", "src", "dst", "path", "layer", "protocol"]
@@ -65,24 +67,35 @@ def union(*frames: DataFrame) -> DataFrame:
     return out
 
 
+CODE = ["module", "namespace", "class", "interface", "function", "method", "property", "field", "variable", "enum"]
+
+
+def symbol_rows(facts: DataFrame) -> DataFrame:
+    """Declarations with the stable ids of their nodes; the fact is their kind."""
+    rows = facts.where(F.col("fact").isin(CODE)).withColumn("base", code_id(F.col("parser_id"), F.col("path"), F.col("fact"), F.col("qualified_name")))
+    return stable_ids(rows, "base", ["line", "name"]).withColumnRenamed("fact", "kind")
+
+
 @adapter("python", "cpp", "java", "csharp", "typescript")
 def symbols(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Code nodes with parents, and imports, inheritance and implementation edges between names that stand once."""
-    kinds = ["module", "namespace", "class", "interface", "function", "method", "property", "field", "variable", "enum"]
-    rows = facts.where(F.col("fact").isin(kinds)).withColumn("base", code_id(F.col("parser_id"), F.col("path"), F.col("fact"), F.col("qualified_name")))
-    rows = stable_ids(rows, "base", ["line", "name"]).withColumnRenamed("fact", "kind")
+    """Code nodes with parents; edges for imports and exports, for bases whose names stand once, and for calls and injections between unique names."""
+    facts = table(facts, "facts")  # files are read once
+    rows = symbol_rows(facts)
     parents = resolve_parents(rows.select("id", "path", "kind", "qualified_name", F.col("parent").alias("parent_qualified_name")))
-    rows = rows.join(parents, "id", "left")
+    rows = table(rows.join(parents, "id", "left"), "symbols")
     nodes = nodes_of(rows, F.col("id"), F.col("kind"), F.col("name"), qualified=F.col("qualified_name"), language=F.coalesce(language_of(F.col("path")), "parser_id"), parent=F.col("parent_id"), layer="code")
     modules = rows.where("kind = 'module'").select(F.col("path").alias("p"), F.col("id").alias("src"))
-    named = rows.where(F.col("kind").isin("module", "class", "interface")).select("kind", "qualified_name", "name", F.col("id").alias("dst"))
-    imported = facts.where("fact = 'imports'").join(modules, F.col("path") == F.col("p"))
-    target = named.where("kind = 'module'").groupBy("qualified_name").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1")
-    imports = edges_of(imported.join(target.withColumnRenamed("qualified_name", "t"), F.col("target") == F.col("t")), "imports", F.col("src"), F.col("dst"), layer="code")
-    types = named.where("kind <> 'module'").groupBy("name").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").withColumnRenamed("name", "t")
+    named = rows.where(F.col("kind").isin("module", "namespace", "class", "interface")).select("kind", "qualified_name", "name", F.col("id").alias("dst"))
+    target = named.where("kind in ('module', 'namespace')").groupBy(F.col("qualified_name").alias("t")).agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1")
+    imported = facts.where("fact in ('imports', 'exports')").join(modules, F.col("path") == F.col("p"))
+    imported = imported.select("*", F.explode(F.split(F.coalesce(attr("modules"), "target"), " ")).alias("candidate"))  # a TypeScript path can mean a file or a folder's index
+    imports = edges_of(imported.join(target, F.col("candidate") == F.col("t")), F.col("fact"), F.col("src"), F.col("dst"), layer="code")
+    types = named.where("kind in ('class', 'interface')").groupBy("name").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").withColumnRenamed("name", "t")
     owners = rows.where(F.col("kind").isin("class", "interface")).select(F.col("qualified_name").alias("q"), F.col("path").alias("p"), F.col("id").alias("src"))
     bases = facts.where(F.col("fact").isin("inherits", "implements")).join(owners, (F.col("qualified_name") == F.col("q")) & (F.col("path") == F.col("p"))).join(types, F.col("target") == F.col("t"))
-    return nodes, imports.unionByName(edges_of(bases, F.col("fact"), F.col("src"), F.col("dst"), layer="code"))
+    used = usage_edges(facts, rows.select("id", "qualified_name")).join(rows.select(F.col("id").alias("i"), "parser_id", "path"), F.col("src") == F.col("i"))
+    calls = edges_of(used.select("parser_id", F.col("src").alias("a"), F.col("dst").alias("b"), "type", "path"), F.col("type"), F.col("a"), F.col("b"), layer="code")
+    return nodes, imports.unionByName(edges_of(bases, F.col("fact"), F.col("src"), F.col("dst"), layer="code")).unionByName(calls)
 
 
 @adapter("compose")

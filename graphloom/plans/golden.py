@@ -3,53 +3,66 @@
 EXPECTED = {
     "ext1_typescript": [
         ('backend/routes.ts', 'module', 'routes', None, 1, None, ''),
-        ('ng/routes.ts', 'class', 'HomeComponent', 'ng.routes', 3, None, ''),
+        ('backend/routes.ts', 'variable', 'BASE', 'backend.routes', 1, None, ''),
+        ('ng/routes.ts', 'class', 'HomeComponent', 'ng.routes', 3, None, 'end_line=3'),
         ('ng/routes.ts', 'module', 'routes', None, 1, None, ''),
+        ('ng/routes.ts', 'variable', 'routes', 'ng.routes', 1, None, ''),
         ('old/app.js', 'module', 'app', None, 1, None, ''),
-        ('web/CartPage.tsx', 'function', 'CartPage', 'web.CartPage', 3, None, ''),
-        ('web/CartPage.tsx', 'imports', './cart.css', None, 1, './cart.css', ''),
+        ('web/CartPage.tsx', 'call', 'get', None, 3, None, 'starts=web.CartPage.api;steps=get(1)'),
+        ('web/CartPage.tsx', 'call', 'navigate', None, 3, None, 'starts=web.CartPage.navigate;steps=(1)'),
+        ('web/CartPage.tsx', 'function', 'CartPage', 'web.CartPage', 3, None, 'params=0'),
+        ('web/CartPage.tsx', 'imports', './cart.css', None, 1, './cart.css', 'modules=web.cart.css web.cart.css.index'),
         ('web/CartPage.tsx', 'module', 'CartPage', None, 1, None, ''),
         ('web/calls.ts', 'module', 'calls', None, 1, None, ''),
         ('web/grpc.ts', 'module', 'grpc', None, 1, None, ''),
-        ('web/model.ts', 'class', 'Model', 'web.model', 2, None, ''),
-        ('web/model.ts', 'function', 'open', 'web.model', 4, None, ''),
-        ('web/model.ts', 'imports', './other', None, 1, './other', ''),
-        ('web/model.ts', 'inherits', 'Store', None, 2, 'Store', ''),
+        ('web/model.ts', 'class', 'Model', 'web.model', 2, None, 'end_line=3'),
+        ('web/model.ts', 'function', 'open', 'web.model', 4, None, 'params=1'),
+        ('web/model.ts', 'imports', './other', None, 1, './other', 'modules=web.other web.other.index'),
+        ('web/model.ts', 'inherits', 'Store', None, 2, 'Store', 'starts=web.model.Store'),
         ('web/model.ts', 'module', 'model', None, 1, None, ''),
     ],
     "ext2_csharp": [
         ('bill/Client.cs', 'module', 'Client', None, 1, None, ''),
         ('bill/Grpc.cs', 'module', 'Grpc', None, 1, None, ''),
-        ('bill/Invoice.cs', 'class', 'Invoice', 'Bill', 3, None, ''),
-        ('bill/Invoice.cs', 'implements', 'IPrintable', None, 3, 'IPrintable', ''),
+        ('bill/Invoice.cs', 'class', 'Invoice', 'Bill', 3, None, 'end_line=6'),
+        ('bill/Invoice.cs', 'implements', 'IPrintable', None, 3, 'IPrintable', 'starts=Bill.Invoice.IPrintable Bill.IPrintable bill.Invoice.IPrintable System.IPrintable'),
         ('bill/Invoice.cs', 'imports', 'System', None, 1, 'System', ''),
-        ('bill/Invoice.cs', 'inherits', 'Document', None, 3, 'Document', ''),
-        ('bill/Invoice.cs', 'method', 'Print', 'Bill.Invoice', 5, None, ''),
+        ('bill/Invoice.cs', 'inherits', 'Document', None, 3, 'Document', 'starts=Bill.Invoice.Document Bill.Document bill.Invoice.Document System.Document'),
+        ('bill/Invoice.cs', 'method', 'Print', 'Bill.Invoice', 5, None, 'params=0;signature=()'),
         ('bill/Invoice.cs', 'module', 'Invoice', None, 1, None, ''),
-        ('bill/Invoice.cs', 'namespace', 'Bill', 'bill.Invoice', 1, None, ''),
-        ('bill/OrdersController.cs', 'class', 'OrdersController', 'bill.OrdersController', 2, None, ''),
-        ('bill/OrdersController.cs', 'method', 'Get', 'bill.OrdersController.OrdersController', 4, None, ''),
+        ('bill/Invoice.cs', 'namespace', 'Bill', 'bill.Invoice', 2, None, ''),
+        ('bill/OrdersController.cs', 'class', 'OrdersController', 'bill.OrdersController', 2, None, 'end_line=5'),
+        ('bill/OrdersController.cs', 'method', 'Get', 'bill.OrdersController.OrdersController', 4, None, 'params=1;signature=(int)'),
         ('bill/OrdersController.cs', 'module', 'OrdersController', None, 1, None, ''),
     ],
     "ext3_java": [
-        ('mail/Kafka.java', 'class', 'Stream', 'mail.Kafka', 1, None, ''),
-        ('mail/Kafka.java', 'method', 'on', 'mail.Kafka.Stream', 3, None, ''),
+        ('mail/Kafka.java', 'call', 'send', None, 4, None, 'starts=self;steps=kafkaTemplate send(2);types=mail.Kafka.Stream'),
+        ('mail/Kafka.java', 'class', 'Stream', 'mail.Kafka', 1, None, 'end_line=5'),
+        ('mail/Kafka.java', 'method', 'on', 'mail.Kafka.Stream', 3, None, 'params=1;signature=(BillEvent)'),
+        ('mail/Kafka.java', 'method', 'send', 'mail.Kafka.Stream', 4, None, 'params=0;signature=()'),
         ('mail/Kafka.java', 'module', 'Kafka', None, 1, None, ''),
-        ('mail/Rabbit.java', 'class', 'Listener', 'mail.Rabbit', 1, None, ''),
-        ('mail/Rabbit.java', 'method', 'on', 'mail.Rabbit.Listener', 3, None, ''),
+        ('mail/Rabbit.java', 'call', 'convertAndSend', None, 4, None, 'starts=self;steps=rabbitTemplate convertAndSend(2);types=mail.Rabbit.Listener'),
+        ('mail/Rabbit.java', 'class', 'Listener', 'mail.Rabbit', 1, None, 'end_line=5'),
+        ('mail/Rabbit.java', 'method', 'on', 'mail.Rabbit.Listener', 3, None, 'params=1;signature=(OrderEvent)'),
+        ('mail/Rabbit.java', 'method', 'send', 'mail.Rabbit.Listener', 4, None, 'params=0;signature=()'),
         ('mail/Rabbit.java', 'module', 'Rabbit', None, 1, None, ''),
-        ('shop/src/Cart.java', 'class', 'Cart', 'shop', 3, None, ''),
-        ('shop/src/Cart.java', 'implements', 'Closeable', None, 3, 'Closeable', ''),
+        ('shop/src/Cart.java', 'class', 'Cart', 'shop', 3, None, 'end_line=6'),
+        ('shop/src/Cart.java', 'implements', 'Closeable', None, 3, 'Closeable', 'starts=shop.Cart.Closeable shop.Closeable'),
         ('shop/src/Cart.java', 'imports', 'java.util.List', None, 2, 'java.util.List', ''),
-        ('shop/src/Cart.java', 'inherits', 'Base', None, 3, 'Base', ''),
-        ('shop/src/Cart.java', 'method', 'add', 'shop.Cart', 4, None, ''),
+        ('shop/src/Cart.java', 'inherits', 'Base', None, 3, 'Base', 'starts=shop.Cart.Base shop.Base'),
+        ('shop/src/Cart.java', 'method', 'add', 'shop.Cart', 4, None, 'params=1;signature=(int)'),
         ('shop/src/Cart.java', 'module', 'Cart', None, 1, None, ''),
         ('shop/src/Cart.java', 'namespace', 'shop', 'shop.src.Cart', 1, None, ''),
-        ('shop/src/CartController.java', 'class', 'CartController', 'shop.src.CartController', 2, None, ''),
+        ('shop/src/CartController.java', 'class', 'CartController', 'shop.src.CartController', 2, None, 'end_line=5'),
+        ('shop/src/CartController.java', 'method', 'all', 'shop.src.CartController.CartController', 4, None, 'params=0;signature=();type=shop.src.CartController.CartController.List shop.src.CartController.List'),
         ('shop/src/CartController.java', 'module', 'CartController', None, 1, None, ''),
-        ('shop/src/Feign.java', 'interface', 'Stock', 'shop.src.Feign', 2, None, ''),
+        ('shop/src/Feign.java', 'interface', 'Stock', 'shop.src.Feign', 2, None, 'end_line=5'),
+        ('shop/src/Feign.java', 'method', 'items', 'shop.src.Feign.Stock', 4, None, 'params=0;signature=();type=shop.src.Feign.Stock.String shop.src.Feign.String'),
         ('shop/src/Feign.java', 'module', 'Feign', None, 1, None, ''),
-        ('shop/src/Grpc.java', 'class', 'G', 'shop.src.Grpc', 1, None, ''),
+        ('shop/src/Grpc.java', 'call', 'get', None, 1, None, 'starts=self;steps=s get(1);types=shop.src.Grpc.G'),
+        ('shop/src/Grpc.java', 'call', 'newBlockingStub', None, 1, None, 'starts=shop.src.Grpc.G.OrdersGrpc shop.src.Grpc.OrdersGrpc;steps=newBlockingStub(1);types=shop.src.Grpc.G'),
+        ('shop/src/Grpc.java', 'class', 'G', 'shop.src.Grpc', 1, None, 'end_line=1'),
+        ('shop/src/Grpc.java', 'method', 'f', 'shop.src.Grpc.G', 1, None, 'params=0;signature=()'),
         ('shop/src/Grpc.java', 'module', 'Grpc', None, 1, None, ''),
     ],
     "ext4_python": [

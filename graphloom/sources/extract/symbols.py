@@ -1,4 +1,4 @@
-"""Code symbols. Python is read with its own parser; the others by patterns, without type analysis."""
+"""Code symbols of Python, read with its own parser, and of C++, by patterns."""
 
 from __future__ import annotations
 
@@ -57,63 +57,3 @@ def cpp(path: str, text: str) -> Iterable[Fact]:
         yield fact("class", m[1], f"{module}.{m[1]}", module, line_of(text, m.start()))
     for m in re.finditer(r"^(?!\s*(?:if|for|while|switch|return|else|class|struct)\b)[\w:<>*&~ \t]+?[ \t*&]((?:\w+::)*~?\w+)\s*\([^;{}()]*\)\s*(?:const\s*)?\{", text, re.M):
         yield fact("function", m[1].rpartition("::")[2], f"{module}.{m[1].replace('::', '.')}", module, line_of(text, m.start()))
-
-
-def _braced(path: str, text: str, types: str, imports: str, methods: str, package: str | None, nested: bool = True) -> Iterable[Fact]:
-    module = module_name(path)
-    scope = package or module
-    yield fact("module", module.rpartition(".")[2], module, None, 1)
-    if package:
-        yield fact("namespace", package, package, module, 1)
-    for m in re.finditer(imports, text, re.M):
-        yield fact("imports", m[1], module, None, line_of(text, m.start()), m[1])
-    owners = []
-    for m in re.finditer(types, text, re.M):
-        name = f"{scope}.{m['name']}"
-        kind = {"record": "class", "struct": "class"}.get(m["kind"], m["kind"])
-        owners.append((m.start(), name))
-        yield fact(kind, m["name"], name, scope, line_of(text, m.start()))
-        for i, base in enumerate(x.strip() for x in re.split(r",(?![^<]*>)", (m["bases"] or "").replace(" implements ", ",").replace(" extends ", ","))):
-            if base:
-                yield fact("inherits" if i == 0 and not m["bases"].lstrip().startswith("implements") else "implements", base, name, None, line_of(text, m.start()), re.sub(r"<.*", "", base))
-    for m in re.finditer(methods, text, re.M):
-        owner = next((n for at, n in reversed(owners) if nested and at < m.start()), scope)
-        yield fact("method" if owner != scope else "function", m["name"], f"{owner}.{m['name']}", owner, line_of(text, m.start()))
-
-
-@extractor("typescript", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-def typescript(path: str, text: str) -> Iterable[Fact]:
-    """Declarations and imports by pattern; calls need a type checker and are not found."""
-    return _braced(
-        path, text,
-        r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?P<kind>class|interface|enum)\s+(?P<name>\w+)(?:<[^>{]*>)?\s*(?:extends\s+)?(?P<bases>[^{]*?)\s*\{",
-        r"""^\s*(?:import|export)\b[^'"\n;(]*?(?:from\s*)?['"]([^'"]+)['"]""",
-        r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)\s*[(<]",
-        None, nested=False,
-    )
-
-
-@extractor("java", ".java")
-def java(path: str, text: str) -> Iterable[Fact]:
-    """Types, methods and imports by pattern; calls need a type checker and are not found."""
-    package = re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.M)
-    return _braced(
-        path, text,
-        r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?P<kind>class|interface|enum|record)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\([^)]*\))?\s*(?:extends\s+)?(?P<bases>[^{]*?)\s*\{",
-        r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;",
-        r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:<[^>]+>\s*)?[\w.<>,\[\] ]+\s(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws [\w., ]+)?\{",
-        package[1] if package else None,
-    )
-
-
-@extractor("csharp", ".cs")
-def csharp(path: str, text: str) -> Iterable[Fact]:
-    """Types, methods and usings by pattern; of a type's bases the first is inherited, the rest implemented."""
-    space = re.search(r"^\s*namespace\s+([\w.]+)", text, re.M)
-    return _braced(
-        path, text,
-        r"^\s*(?:(?:public|internal|protected|private|abstract|sealed|static|partial)\s+)*(?P<kind>class|interface|enum|record|struct)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\([^)]*\))?\s*:?\s*(?P<bases>[^{;]*?)\s*[{;]",
-        r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
-        r"^\s+(?:(?:public|internal|protected|private|static|async|override|virtual)\s+)+[\w.<>,\[\]?]+\s+(?P<name>\w+)\s*\([^;{}]*\)\s*(?:\{|=>)",
-        space[1] if space else None,
-    )

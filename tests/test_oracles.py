@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from compare import TABLES, rows_of
 
-from graphloom.plans import catalog, catalog_more, extraction  # noqa: F401
+from graphloom.plans import catalog, catalog_more, codebase, extraction  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {**catalog.QUERIES, **extraction.QUERIES}
