@@ -29,6 +29,8 @@ from .scratch import table
 
 #: Bytes of patterns in one automaton, about 240 MB of memory; one longer pattern is an automaton of its own.
 PATTERN_BYTES = 6_000_000
+#: Item ids that one row of a window holds at most, and bytes that each counts.
+ITEMS_A_ROW, ITEM_BYTES = 1 << 12, 64
 BREAKS = bytes(i for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
 TO_SPACE = bytes.maketrans(BREAKS, b" " * len(BREAKS))
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,7 +62,10 @@ def automaton(rows: list[tuple[str, list]], key: str):
 
         _built.clear()
         out = ahocorasick.Automaton()
-        for window, items in rows:
+        together: dict[str, list] = {}
+        for window, items in rows:  # a window of many items has several rows
+            together.setdefault(window, []).extend(items)
+        for window, items in together.items():
             out.add_word(f" {window} ", (window.count(" ") + 1, items))
         out.make_automaton()
         _built[key] = out
@@ -112,12 +117,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     hits = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(kind)), T.StructField("spans", T.ArrayType(span))])
     arrow, schema = to_arrow_type(hits), T.StructType([*docs.schema.fields, T.StructField(name, hits, False)])
-    windows = table(patterns(benchmark, item_id, item_text, width).groupBy("window").agg(F.collect_set(F.struct("item")).alias("items")), "windows")
-    size = windows.agg(F.sum(F.octet_length("window") + 2)).first()[0] or 0
+    held_by = table(patterns(benchmark, item_id, item_text, width).select("window", "item").distinct(), "patterns")
+    many = held_by.groupBy("window").agg(F.ceil(F.count("*") / ITEMS_A_ROW).alias("rows"))
+    chunk = F.pmod(F.xxhash64("item"), "rows").alias("chunk")
+    windows = table(held_by.join(many, "window").groupBy("window", chunk).agg(F.collect_list(F.struct("item")).alias("items")), "windows")
+    size = windows.agg(F.sum(F.octet_length("window") + 2 + F.size("items") * ITEM_BYTES)).first()[0] or 0
     parts = max(1, math.ceil(size / PATTERN_BYTES))
 
     def sent(part: int):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).select("window", F.col("items.item").alias("items")).toArrow()
+        rows = windows.where(F.pmod(F.xxhash64("window", "chunk"), F.lit(parts)) == part).select("window", F.col("items.item").alias("items")).toArrow()
         return spark.sparkContext.broadcast((uuid.uuid4().hex, list(zip(rows.column("window").to_pylist(), rows.column("items").to_pylist(), strict=True))))
 
     if parts == 1:

@@ -11,6 +11,8 @@ number) stays; all other occurrences go.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +132,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     """(id, n_lines, n_links, dropped array<int>): by id, its judged lines, their links to different texts, and the 0-based numbers of the lines that go.
 
     Judged are lines of at least ``least`` characters once trimmed of ASCII white space; shorter ones stay.
-    Null texts and null ids have no judged lines; rows that share an id share decisions by line number.
+    Null texts and null ids have no judged lines; rows that share an id share decisions by line number.  Ties between
+    lines of one class go to the least id and line number; a line of any length is compared whole.
     """
     hashed = _lines(docs, id_col, text_col, least).select("id", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), keys(F.col("line"), F.col("n"), tau).alias("keys"))
     both = table(hashed, "occurrences")
@@ -164,11 +167,15 @@ def without(text: Column, dropped: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, plus _n_lines, _n_links, _n_dropped. All rows stay.
 
-    Rows of null id or text stay as they are; an empty table gives an empty result.
+    Of a class of linked lines the one of the least id, and in it the first, stays; repeated rows (of one id) share the decisions of
+    that id, so that equal rows stay equal.  Texts and lines of any length are read whole.  Rows of null id or text stay as
+    they are; an empty table gives an empty result.  Columns of the three names above are replaced; any others pass through.
     """
-    own = {"id": "_ld_id", "n_lines": "_ld_lines", "n_links": "_ld_links", "dropped": "_ld_dropped"}
+    docs = docs.drop("_n_lines", "_n_links", "_n_dropped")
+    mark = uuid.uuid4().hex
+    own = {c: f"{c}_{mark}" for c in ("id", "n_lines", "n_links", "dropped")}
     found = decide(docs, id_col, text_col, **limits).withColumnsRenamed(own)
-    rows = docs.join(found, docs[id_col] == F.col("_ld_id"), "left")
-    rows = rows.withColumn(text_col, F.when(F.size("_ld_dropped") > 0, without(F.col(text_col), F.col("_ld_dropped"))).otherwise(F.col(text_col)))
+    rows = docs.join(found, docs[id_col] == F.col(own["id"]), "left")
+    rows = rows.withColumn(text_col, F.when(F.size(own["dropped"]) > 0, without(F.col(text_col), F.col(own["dropped"]))).otherwise(F.col(text_col)))
     zero = F.lit(0).cast("long")
-    return rows.withColumns({"_n_lines": F.coalesce("_ld_lines", zero), "_n_links": F.coalesce("_ld_links", zero), "_n_dropped": F.coalesce(F.size("_ld_dropped").cast("long"), zero)}).drop(*own.values())
+    return rows.withColumns({"_n_lines": F.coalesce(own["n_lines"], zero), "_n_links": F.coalesce(own["n_links"], zero), "_n_dropped": F.coalesce(F.size(own["dropped"]).cast("long"), zero)}).drop(*own.values())

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import uuid
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_shingles, component_id) for each row of ``docs``.
 
     Rows without words (null, empty) have no shingles and stay alone; a null id stays alone with a
-    null component; rows that share an id are taken as one node; an empty table gives an empty result.
+    null component; rows that share an id are taken as one node; equal ids and equal texts (repeated rows) hang together; texts of any
+    length are read whole; an empty table gives an empty result.  Other columns are not read, so their names can't clash.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signs = table(rows.mapInArrow(_signatures("id", "text"), "id long, n long, print binary, bands array<long>"), "signatures")
@@ -163,5 +165,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for near-duplicates of a row with a smaller id, and but for repeated ids' copies within a group."""
-    drop = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("_dropped"), "left_anti")
+    own = f"dropped_{uuid.uuid4().hex}"
+    drop = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(drop, docs[id_col] == F.col(own), "left_anti")

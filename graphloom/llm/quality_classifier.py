@@ -10,6 +10,7 @@ times the odds of its path over the odds of the training rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -169,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     host defaults to ``source`` and path to ``source``/``lang``.  Null or empty texts are scored by their
     shape; null hosts and paths are groups of their own; without labels the evidence comes from
     constants alone; repeated rows are scored alike, also those with equal posteriors; very long texts are read whole; an
-    empty table gives an empty result.
+    empty table gives an empty result.  Columns named _evidence, _host, _path, _own, _prior, _posterior or _kept are replaced or dropped.
     """
     docs = docs.drop("_evidence", "_host", "_path", "_own", "_prior", "_posterior", "_kept")
     model = train(docs, labels, id_col, text_col, sample_rows)
@@ -196,9 +197,10 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     hosts = hosts.select("_host", ((F.col("bad") + k * overall) / (F.col("n") + k)).alias("host_rate"))
     paths = slim.join(hosts, "_host")
     k = _strength(paths, "bad", F.col("host_rate"))
-    rows = rows.join(paths.select("_host", "_path", "n", "guessed", "host_rate").withColumnsRenamed({"n": "_n_path", "guessed": "_guessed", "host_rate": "_host_rate"}), ["_host", "_path"], "left")
-    others = (F.col("_guessed") - F.col("_own") + F.lit(k) * F.col("_host_rate")) / (F.col("_n_path") - 1 + k)
-    rows = rows.withColumn("_prior", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others))).drop("_own", "_n_path", "_guessed", "_host_rate")
+    n_path, guessed, host_rate = (f"{c}_{uuid.uuid4().hex}" for c in ("n", "guessed", "rate"))
+    rows = rows.join(paths.select("_host", "_path", "n", "guessed", "host_rate").withColumnsRenamed({"n": n_path, "guessed": guessed, "host_rate": host_rate}), ["_host", "_path"], "left")
+    others = (F.col(guessed) - F.col("_own") + F.lit(k) * F.col(host_rate)) / (F.col(n_path) - 1 + k)
+    rows = rows.withColumn("_prior", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others))).drop("_own", n_path, guessed, host_rate)
     odds = F.col("_evidence") + F.log(F.col("_prior") / (1 - F.col("_prior")))
     rows = rows.withColumn("_posterior", F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds)))))
     return rows.withColumn("_kept", F.coalesce(F.col("_posterior") < keep_below, F.lit(True))).drop("_host", "_path")

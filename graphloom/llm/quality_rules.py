@@ -8,6 +8,8 @@ rejected; texts and languages under a minimum length are judged by the base rule
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +84,9 @@ def features(docs: DataFrame, commons: DataFrame, text_col: str = "text", lang_c
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     empty = F.array().cast("array<string>")
-    own = commons.select(F.col("lang").alias("_qr_lang"), F.col("commons").alias("_qr_commons"))
-    docs = docs.join(own, lang == F.col("_qr_lang"), "left").drop("_qr_lang")
+    key, told_commons = f"lang_{uuid.uuid4().hex}", f"commons_{uuid.uuid4().hex}"
+    own = commons.select(F.col("lang").alias(key), F.col("commons").alias(told_commons))
+    docs = docs.join(own, lang == F.col(key), "left").drop(key)
 
     def told(ws: Column, commons: Column) -> Column:
         hits = F.filter(F.transform(ws, lambda w: F.array_position(commons, F.lower(w)).cast("int")), lambda p: p > 0)
@@ -95,7 +98,7 @@ def features(docs: DataFrame, commons: DataFrame, text_col: str = "text", lang_c
             F.when(F.size(commons) > 0, _let(hist, rest)).otherwise(F.array(F.size(ws).cast("long"))).alias("commons"),
         )
 
-    commons = F.coalesce("_qr_commons", empty)
+    commons = F.coalesce(told_commons, empty)
     out = docs.withColumns({
         **counts,
         "_lang": lang,
@@ -111,7 +114,7 @@ def features(docs: DataFrame, commons: DataFrame, text_col: str = "text", lang_c
         "_word_chars": F.col("_length") - F.col("_c_space"),
         "_n_symbols": F.col("_c_symbol"),
         "_classes": F.array(*held, F.col("_length") - sum(held[1:], held[0])),
-    }).drop(*counts, "_told", "_length", "_qr_commons", text_col)
+    }).drop(*counts, "_told", "_length", told_commons, text_col)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -134,15 +137,16 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules
     rows = table(features(docs, commons, text_col, lang_col), "quality")
     bins = lambda c, n: F.array(*[F.sum(F.get(c, i)) for i in range(n)])
     longest = 1 + COMMON_WORDS
-    sums = rows.groupBy("_lang").agg(bins("_classes", len(CLASSES) + 1).alias("_all_classes"), bins("_commons", longest).alias("_all_commons"), F.sum("_n_words").alias("_all_words"))
-    sums = sums.withColumn("_all_commons", F.filter("_all_commons", lambda x: x.isNotNull()))
+    all_classes, all_commons, all_words = (f"{c}_{uuid.uuid4().hex}" for c in ("classes", "commons", "words"))
+    sums = rows.groupBy("_lang").agg(bins("_classes", len(CLASSES) + 1).alias(all_classes), bins("_commons", longest).alias(all_commons), F.sum("_n_words").alias(all_words))
+    sums = sums.withColumn(all_commons, F.filter(all_commons, lambda x: x.isNotNull()))
     rows = rows.join(sums, "_lang", "left")
-    guarded = (F.col("_n_words") >= rules.judged_words) & (F.col("_all_words") >= rules.judged_reference_words)
+    guarded = (F.col("_n_words") >= rules.judged_words) & (F.col(all_words) >= rules.judged_reference_words)
     rows = rows.withColumns({
-        "_class_distance": F.when(guarded, js_distance(F.col("_classes"), F.col("_all_classes"))),
-        "_word_distance": F.when(guarded, js_distance(F.col("_commons"), F.col("_all_commons"))),
+        "_class_distance": F.when(guarded, js_distance(F.col("_classes"), F.col(all_classes))),
+        "_word_distance": F.when(guarded, js_distance(F.col("_commons"), F.col(all_commons))),
         "_base_failed": (F.col("_n_words") < rules.min_words) | (100 * F.col("_n_repeat_words") > rules.repeat_percent * F.col("_n_words")),
     })
     limit = lambda most, slack: most + slack / F.sqrt(F.col("_n_words").cast("double"))
     near = F.when(guarded, (F.col("_class_distance") <= limit(rules.most_class_distance, rules.class_slack)) & (F.col("_word_distance") <= limit(rules.most_word_distance, rules.word_slack))).otherwise(True)
-    return rows.withColumn("_kept", ~F.col("_base_failed") & near).drop("_all_classes", "_all_commons", "_all_words", "_classes", "_commons", "_lang")
+    return rows.withColumn("_kept", ~F.col("_base_failed") & near).drop(all_classes, all_commons, all_words, "_classes", "_commons", "_lang")

@@ -33,9 +33,8 @@ class PrefixRule:
 
 @dataclass(frozen=True)
 class Mining:
-    """A rule blocks what is more likely bad than not, if it is seen often enough and says more than the share of bad urls does."""
+    """A rule blocks what is more likely bad than not, if enough urls hold it (a count, alike at every size) and it says more than the share of bad urls does."""
 
-    least_share: float = 0.001
     least_urls: int = 20
     confidence: float = 0.5
     lift: float = 1.2
@@ -86,8 +85,7 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     n = baskets.count()
     if n < mining.least_urls:
         return spark.createDataFrame([], "rule_id string, antecedent array<string>, confidence double, support double, key string")
-    support = max(mining.least_share, mining.least_urls / n)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=(mining.least_urls - 0.5) / n, minConfidence=mining.confidence).fit(baskets)  # a set counts from least_urls rows on
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= mining.lift))
     rules = rules.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), "antecedent", "confidence", "support")
     single = model.freqItemsets.where("size(items) = 1").select(F.element_at("items", 1).alias("token"), "freq")
@@ -119,7 +117,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, prefix_rules: Sequence[Pref
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
     own, first = f"url_{uuid.uuid4().hex}", f"first_{uuid.uuid4().hex}"
     met = match(urls, rules).withColumnRenamed("url", own)
-    out = pages.join(met, pages[url_col] == F.col(own), "left").drop(own)
+    key = F.coalesce(F.col(url_col), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))  # null urls match nothing and shall not meet in one task
+    asked = f"key_{uuid.uuid4().hex}"
+    out = pages.withColumn(asked, key).join(met, F.col(asked) == F.col(own), "left").drop(own, asked)
     out = out.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     out = out.withColumn(first, first_rule(F.col("host"), F.col("path"), prefix_rules))
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))

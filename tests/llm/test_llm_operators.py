@@ -86,6 +86,18 @@ def distance(a, b):
     return row[-1]
 
 
+def near(a, b, most):
+    """Whether the distance is at most ``most``: only the cells of the band are filled."""
+    beyond = most + 1
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(row.get(j, beyond) + 1, new.get(j - 1, beyond) + 1, row.get(j - 1, beyond) + (x != b[j - 1]))
+        row = new
+    return row.get(len(b), beyond) <= most
+
+
 def test_edit_distance(spark):
     import random
 
@@ -99,6 +111,7 @@ def test_edit_distance(spark):
         rows.append(("".join(a), "".join(b)))
     for tau in (1, 2, 3):
         got = spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), tau).alias("d")).collect()
+        assert all((x["d"] <= tau) == near(x["a"], x["b"], tau) for x in got)
         assert all(min(x["d"], tau + 1) == min(distance(x["a"], x["b"]), tau + 1) for x in got)
 
 
@@ -109,7 +122,7 @@ def plain_lines(rows):
     links = Counter()
     for a in texts:
         for b in texts:
-            if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if a < b and near(a, b, 2):
                 links[a] += 1
                 links[b] += 1
                 x, y = cls[a], cls[b]

@@ -1,10 +1,13 @@
 """The pipeline on a small corpus, each stage against a plain version of its own input."""
 
 import corpus_pipeline
+import duckdb
 import pytest
 from test_llm_operators import plain_components, plain_lines
 
+from graphloom.llm import quality_classifier
 from graphloom.llm.decontam import normal_words
+from graphloom.llm.sql import OP7
 
 
 @pytest.fixture
@@ -32,6 +35,8 @@ def test_stages(spark, corpus):
         rows = [(r["doc_id"], r["text"]) for r in before.collect()]
         got = {r["doc_id"]: r["text"] for r in docs.collect()}
         if name == "quality":
+            kept = quality_classifier.score(before, spark.read.parquet(f"{where}/labels.parquet")).where("_posterior < 0.5").collect()  # posteriors: test_odd_inputs
+            assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == sorted((i, t) for i, t in got.items() if t)
             assert not any(100 <= i < 120 for i in got) and all(i in got for i in [*range(80), 200, 201, 202, 203])
         elif name == "lines":
             want, _ = plain_lines(rows)
@@ -45,5 +50,8 @@ def test_stages(spark, corpus):
             assert sorted(got) == sorted(i for i, t in rows if not hit(t)) and 202 not in got
     mixed = docs.groupBy("doc_id").count().collect()
     assert all(1 <= r["count"] <= 3 for r in mixed)
+    documents = before.toPandas()  # noqa: F841  DuckDB reads it by name
+    want = {i: taken // size for i, size, taken in duckdb.sql(f"SELECT doc_id, size, taken FROM ({OP7})").fetchall() if taken}
+    assert {r["doc_id"]: r["count"] for r in mixed if r["doc_id"] not in (300, 301)} == want  # those two have no words to take
     again = sorted((r["doc_id"], r["copy"]) for r in corpus_pipeline.run(spark, where).collect())
     assert again == sorted((r["doc_id"], r["copy"]) for r in docs.collect())
