@@ -156,6 +156,7 @@ def lanes(nodes: DataFrame) -> DataFrame:
 
 
 OVERVIEW_UI = ["ui_app", "ui_module", "ui_route", "ui_screen"]
+DRILL_UI = ["ui_frame", "ui_component", "ui_control"]
 CROSS_UI = ["navigates_to", "invokes_api", "opens_flow", "uses_style", "binds_field"]
 
 
@@ -189,6 +190,22 @@ def api_binds(node_id: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return incident(edges.where("type = 'invokes_api'"), members)
 
 
+def route_cards(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(route_id, route, screen_id, screen): a card for each screen that a route contains."""
+    routes = nodes.where("kind = 'ui_route'").select(F.col("id").alias("route_id"), F.col("name").alias("route"))
+    screens = nodes.where("kind = 'ui_screen'").select(F.col("id").alias("screen_id"), F.col("name").alias("screen"))
+    held = edges.where("type = 'contains'").select(F.col("src").alias("route_id"), F.col("dst").alias("screen_id")).distinct()
+    return held.join(routes, "route_id").join(screens, "screen_id").select("route_id", "route", "screen_id", "screen")
+
+
+def drill_cards(focus_id: str, nodes: DataFrame) -> DataFrame:
+    """Nodes below a focus that a drill-down shows: frames, components and controls."""
+    from .graph import subtree
+
+    below = subtree(nodes, nodes.where(F.col("id") == focus_id)).where("depth > 0").select("id")
+    return nodes.where(F.col("kind").isin(DRILL_UI)).join(below, "id", "left_semi")
+
+
 def view(nodes: DataFrame, edges: DataFrame, focus_id: str | None = None, resolve_from: str | None = None, layer: str = "system", max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, str]:
     """(nodes, edges, status): the focused view that the ids ask for, else the root overview."""
     from .graph import affiliated_roots, code_of_service, nearest_ancestor

@@ -211,7 +211,18 @@ def grpc_calls(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes_of(rows.limit(0), F.col("name"), "grpc_method", F.col("name")), edges_of(rows, "http_calls", service_id(F.col("path")), dst, protocol="grpc", salt=F.col("path"))
 
 
-@adapter("react-ui", "angular-ui", "angularjs-ui")
+@adapter("react-ui")
+def react(facts: DataFrame, endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The trees of all React applications; endpoints: (method, template, endpoint), known ends of their calls."""
+    from .react_tree import tree
+
+    null = F.lit(None).cast("string")
+    nodes, edges = tree(facts, endpoints)
+    fixed = {"parser_id": F.lit("react-ui"), "qualified_name": F.coalesce("signature", "name"), "language": F.lit("ui"), "layer": F.lit("ui"), "http_method": null, "http_path": null}
+    return nodes.withColumns(fixed).select(NODE), edges.withColumns({"parser_id": F.lit("react-ui"), "layer": F.lit("ui"), "protocol": null}).select(EDGE)
+
+
+@adapter("angular-ui", "angularjs-ui")
 def ui(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An app for each file's folder; what it declares hangs below it, controls below their file's screen or component."""
     folder = F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))

@@ -19,15 +19,6 @@ from .catalog import query
 from .samples import FILES
 
 
-def _ui(c):
-    files = c.spark.createDataFrame(sorted(FILES.items()), "path string, text string")
-    return adapters.run(files, "react-ui")
-
-
-_SCREEN = "react-ui:ui_screen:web/CartPage.tsx:CartPage"
-_ROUTE = "react-ui:ui_route:web/CartPage.tsx:/cart"
-
-
 @query("snk3_element_upsert", "SELECT id, status FROM elements WHERE type = 'directory' UNION ALL SELECT id, 'needed' FROM elements WHERE type = 'file'")
 def _(c):
     new = c.elements.where("type = 'file'").withColumn("status", F.lit("needed"))
@@ -65,11 +56,6 @@ def _(c):
     return c.read("nation").select("n_nationkey", F.concat(F.lit("grpc-proto:grpc_method:"), ft.grpc_name(F.concat("n_name", F.lit("Client"))), F.lit("/"), ft.grpc_name(F.lit("GetAsync"))).alias("dst"))
 
 
-@query("jon19_ui_endpoints", f"SELECT '{_SCREEN}' AS src, 'ts-api-routes:http_endpoint:docker-compose.yml#backend|GET|/carts' AS dst", canon=False)
-def _(c):
-    return _ui(c)[1].where("type = 'invokes_api'").select("src", "dst")
-
-
 @query("agg8_merged_counts", "SELECT 'html' AS language, sum(n)::BIGINT AS file_count, (SELECT array_to_string(list_sort(list(DISTINCT path))[1:5], ',') FROM (SELECT path FROM (SELECT path FROM files WHERE ends_with(path, '.html') ORDER BY path LIMIT 5) UNION ALL SELECT path FROM (SELECT path FROM files WHERE ends_with(path, '.html') AND starts_with(path, 'm.') ORDER BY path LIMIT 5))) AS samples FROM (SELECT count(*) AS n FROM files WHERE ends_with(path, '.html') UNION ALL SELECT count(*) FROM files WHERE ends_with(path, '.html') AND starts_with(path, 'm.')) HAVING sum(n) > 0")
 def _(c):
     reports = [agg.language_report(f) for f in (c.files, c.files.where("startswith(path, 'm.')"))]
@@ -146,36 +132,6 @@ def _(c):
     return shown.where("role = 'focus'").select("id", F.lit(status).alias("status"))
 
 
-@query("gra19_ui_overview", f"SELECT id FROM (VALUES ('react-ui:ui_app:web'), ('{_ROUTE}'), ('{_SCREEN}')) v(id)", canon=False)
-def _(c):
-    return views.ui_overview("react-ui:ui_app:web", *_ui(c))[0].select("id")
-
-
-@query("gra20_ui_screen", f"SELECT * FROM (VALUES ('inside', '{_SCREEN}'), ('inside', 'react-ui:ui_control:web/CartPage.tsx:buy'), ('inside', 'react-ui:ui_style:web/CartPage.tsx:./cart.css'), ('crumb', 'react-ui:ui_app:web')) v(part, id)", canon=False)
-def _(c):
-    inside, crumbs, _e = views.ui_screen(_SCREEN, *_ui(c))
-    return inside.select(F.lit("inside").alias("part"), "id").unionByName(crumbs.select(F.lit("crumb").alias("part"), "id"))
-
-
-@query("gra25_api_binds", "SELECT 'ts-api-routes:http_endpoint:docker-compose.yml#backend|GET|/carts' AS dst", canon=False)
-def _(c):
-    return views.api_binds(_SCREEN, *_ui(c)).select("dst")
-
-
-@query("gra26_route_cards", "SELECT '/cart' AS route, 'CartPage' AS screen", canon=False)
-def _(c):
-    nodes, edges = _ui(c)
-    routes, screens = nodes.where("kind = 'ui_route'"), nodes.where("kind = 'ui_screen'")
-    pairs = edges.where("type = 'contains'").join(routes.select(F.col("id").alias("src"), F.col("name").alias("route")), "src").join(screens.select(F.col("id").alias("dst"), F.col("name").alias("screen")), "dst")
-    return pairs.select("route", "screen")
-
-
-@query("gra27_drill_cards", "SELECT 'buy' AS name", canon=False)
-def _(c):
-    inside, _c, _e = views.ui_screen(_SCREEN, *_ui(c))
-    return inside.where(F.col("kind").isin("ui_frame", "ui_component", "ui_control")).select("name")
-
-
 @query("dml8_project_delete", "SELECT 'runs' AS part, count(*) AS n FROM events WHERE user_id <> 1 UNION ALL SELECT 'nodes', count(*) FROM orders WHERE o_custkey <> 1 UNION ALL SELECT 'ai_jobs', count(*) FROM customer", canon=False)
 def _(c):
     own = lambda name, key: c.read(name).withColumn("project_id", F.col(key).cast("string"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import views
 from ..operators.calls import usage_edges, usages
 from ..sources.extract import extract
 from . import adapters
@@ -61,10 +62,15 @@ SOURCES = {
 }
 
 
+def _pairs(c: Canon) -> DataFrame:
+    """(s, n): suppliers with the nations of the customers that ordered from them."""
+    lines = c.read("lineitem").join(c.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return lines.select(F.col("l_suppkey").alias("s"), F.col("c_nationkey").alias("n")).distinct()
+
+
 def files(c: Canon, language: str) -> DataFrame:
     """(path, text): a file for each region, nation and supplier with lines."""
-    pairs = c.read("lineitem").join(c.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("l_suppkey").alias("s"), F.col("c_nationkey").alias("n")).distinct()
-    shops = pairs.groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("desks"))  # nations: at most 25
+    shops = _pairs(c).groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("desks"))  # nations: at most 25
     rows = {"region": c.read("region").select(F.col("r_regionkey").alias("r")), "nation": c.read("nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r")), "supplier": shops}
     out = None
     for name, (path, text, pieces) in SOURCES[language].items():
@@ -149,3 +155,132 @@ def _id_sql(name: str) -> str:
 def _(c):
     facts = _facts(c, "java")
     return usage_edges(facts, adapters.symbol_rows(facts).select("id", "qualified_name"))
+
+
+# -- React applications: suppliers are applications, the desks that they hold are screens -----------------------------------
+
+_APP = [
+    ("s{s}/package.json", '{"name": "app-{s}", "dependencies": {"react": "18.0.0"}}', {}),
+    ("s{s}/src/main.tsx", "import { router } from './router';\n", {}),
+    (
+        "s{s}/src/router.tsx", "{imports}import { Layout } from './Layout';\nexport const router = createBrowserRouter([\n  { path: '/', element: <Layout title=\"it's\" />, children: [\n{routes}    { path: '*', element: <Lost /> },\n    { path: 'old', element: <Navigate to=\"/\" /> },\n  ] },\n]);\n",
+        {"imports": "import { Wrap{n} } from './wraps';\n", "routes": "    { path: 'desk/{n}', element: <Wrap{n} /> },\n"},
+    ),
+    ("s{s}/src/wraps.tsx", "{imports}{wraps}", {"imports": "import { Desk{n}Page } from './pages/Desk{n}Page';\n", "wraps": "export function Wrap{n}() {\n  return (\n    <Desk{n}Page />\n  );\n}\n"}),
+    ("s{s}/src/pages/Desk.module.css", ".a {}\n", {}),
+]
+_PAGE = [
+    (
+        "s{s}/src/pages/Desk{n}Page.tsx",
+        "import { loadDesk{n} as load } from '../api/desk{n}';\nimport { ReactFlow } from '@xyflow/react';\nimport styles from './Desk.module.css';\nexport function Desk{n}Page() {\n  const more = a < 3 ? 1 : 2;\n  navigate(`/desk/${more}`);\n  return (\n    <form>\n      It's {more} of <Link to=\"/\">Home</Link>\n"
+        "      <input name=\"qty\" onChange={(e) => set(e.value > 1)} />\n      <button onClick={() => load()}>Go</button>\n      {rows.map((r) => (\n        <button key={r}>Save</button>\n      ))}\n    </form>\n  );\n}\n",
+    ),
+    ("s{s}/src/api/desk{n}.ts", "export async function loadDesk{n}(id: string) {\n  return apiFetch<Row[]>(`/api/v1/suppliers/{s}/desks/${id}?x=1`);\n}\nexport const dropDesk{n} = async () => {\n  await fetch('/unused', { method: 'DELETE' });\n};\n"),
+]
+
+
+def app_files(c: Canon) -> DataFrame:
+    """(path, text): the files of an application for each supplier, with two files for each of its desks."""
+    pairs = _pairs(c)
+    apps = pairs.groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("desks"))
+    out = None
+    for path, text, pieces in _APP:
+        part = apps.select(_text(path, s=F.col("s")).alias("path"), _text(text, **{k: _each(v) for k, v in pieces.items()}, s=F.col("s")).alias("text"))
+        out = part if out is None else out.unionByName(part)
+    for path, text in _PAGE:
+        out = out.unionByName(pairs.select(_text(path, s=F.col("s"), n=F.col("n")).alias("path"), _text(text, s=F.col("s"), n=F.col("n")).alias("text")))
+    return out
+
+
+def _react(c: Canon, endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return adapters.ADAPTERS["react-ui"](extract(app_files(c).repartition(32), "react-ui"), endpoints)
+
+
+_UI = "'react-ui:ui_"
+#: kind, id, name and parent of the nodes, by the frame that they come from.
+_REACT_NODES = [
+    ("apps", "ui_app", "s{s}", "app-{s}", None), ("apps", "ui_route", "s{s}/root", "/", "ui_app:s{s}"), ("apps", "ui_screen", "s{s}/Layout", "Layout", "ui_route:s{s}/root"), ("apps", "ui_frame", "s{s}/Layout/main", "Main", "ui_screen:s{s}/Layout"),
+    ("apps", "ui_style", "s{s}/Desk-module", "Desk-module", "ui_app:s{s}"), ("apps", "ui_control", "s{s}/field:qty", "qty", None),
+    ("p", "ui_route", "s{s}/desk{n}", "/desk/{n}", "ui_app:s{s}"), ("p", "ui_screen", "s{s}/Desk{n}Page", "Desk{n}", "ui_route:s{s}/desk{n}"), ("p", "ui_frame", "s{s}/Desk{n}Page/main", "Main", "ui_screen:s{s}/Desk{n}Page"),
+    ("p", "ui_frame", "s{s}/Desk{n}Page/canvas", "React Flow canvas", "ui_screen:s{s}/Desk{n}Page"), ("p", "ui_surface", "s{s}/Desk{n}Page/react-flow-canvas", "canvas", "ui_screen:s{s}/Desk{n}Page"),
+    ("p", "ui_component", "s{s}/Desk{n}Page/Desk{n}Page-ui", "Desk{n} UI", "ui_screen:s{s}/Desk{n}Page"), ("p", "ui_component", "s{s}/Desk{n}Page/Desk{n}Page-api", "Desk{n} API", "ui_screen:s{s}/Desk{n}Page"),
+    ("p", "ui_control", "s{s}/Desk{n}Page/Desk{n}Page-ui/qty", "qty", "ui_component:s{s}/Desk{n}Page/Desk{n}Page-ui"), ("p", "ui_control", "s{s}/Desk{n}Page/Desk{n}Page-ui/button-load", "Load", "ui_component:s{s}/Desk{n}Page/Desk{n}Page-ui"),
+    ("p", "ui_control", "s{s}/Desk{n}Page/Desk{n}Page-ui/button-save", "Save", "ui_component:s{s}/Desk{n}Page/Desk{n}Page-ui"),
+    ("p", "ui_control", "s{s}/Desk{n}Page/Desk{n}Page-api/api-GET-suppliers-{s}-desks-id-0", "GET /suppliers/{s}/desks/{{id}}", "ui_component:s{s}/Desk{n}Page/Desk{n}Page-api"),
+]
+_REACT_EDGES = [
+    ("apps", "binds_service", "ui_app:s{s}", "!compose:service:docker-compose.yml#s{s}"), ("p", "uses_style", "ui_screen:s{s}/Desk{n}Page", "ui_style:s{s}/Desk-module"), ("p", "navigates_to", "ui_screen:s{s}/Desk{n}Page", "ui_route:s{s}/root"),
+    ("p", "binds_field", "ui_control:s{s}/Desk{n}Page/Desk{n}Page-ui/qty", "ui_control:s{s}/field:qty"),
+    ("p", "invokes_api", "ui_control:s{s}/Desk{n}Page/Desk{n}Page-api/api-GET-suppliers-{s}-desks-id-0", "api_hint:GET:/suppliers/{s}/desks/{{id}}"),
+]
+
+
+def _sql(template: str) -> str:
+    """A SQL string of a template: {s} and {n} are columns, doubled braces stand for themselves."""
+    parts = template.replace("{{", "\x01").replace("}}", "\x02").replace("{", "\x00").replace("}", "\x00").split("\x00")
+    return " || ".join(f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(parts) if x).replace("\x01", "{").replace("\x02", "}")
+
+
+_ends = lambda t: _sql(t[1:]) if t.startswith("!") else _sql("react-ui:" + t)
+_REACT_SQL = (
+    _PAIRS
+    + ", apps AS (SELECT DISTINCT s FROM p), ui_nodes AS ("
+    + " UNION ALL ".join(f"SELECT {_sql('react-ui:' + kind + ':' + key)} AS id, '{kind}' AS kind, {_sql(name)} AS name, {_ends(parent) if parent else 'NULL'} AS parent_id, s FROM {frame}" for frame, kind, key, name, parent in _REACT_NODES)
+    + " UNION ALL SELECT 'react-ui:api_hint:GET:/suppliers/' || s || '/desks/{id}', 'ui_control', 'GET /suppliers/' || s || '/desks/{id}', NULL, s FROM apps), ui_edges AS (SELECT 'contains' AS type, parent_id AS src, id AS dst, s FROM ui_nodes WHERE parent_id IS NOT NULL UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{kind}', {_ends(a)}, {_ends(b)}, s FROM {frame}" for frame, kind, a, b in _REACT_EDGES)
+    + ") "
+)
+_SHOWN = "react-ui:ui_screen:s1/Desk3Page"
+
+
+@query("ext28_react_tree", _REACT_SQL + "SELECT id, kind, name, parent_id FROM ui_nodes", canon=False)
+def _(c):
+    return _react(c)[0].select("id", "kind", "name", "parent_id")
+
+
+@query("adp15_react_edges", _REACT_SQL + "SELECT type, src, dst FROM ui_edges", canon=False)
+def _(c):
+    return _react(c)[1].select("type", "src", "dst")
+
+
+@query(
+    "jon19_ui_endpoints",
+    _REACT_SQL + "SELECT src, CASE WHEN s % 2 = 0 THEN 'ts-api-routes:http_endpoint:docker-compose.yml#backend|GET|/suppliers/' || s || '/desks/{id}' ELSE dst END AS dst FROM ui_edges WHERE type = 'invokes_api'",
+    canon=False,
+)
+def _(c):
+    """Even suppliers' endpoints are known."""
+    template = F.concat(F.lit("/suppliers/"), F.col("s_suppkey"), F.lit("/desks/{id}"))
+    known = c.read("supplier").where("s_suppkey % 2 = 0").select(F.lit("GET").alias("method"), template.alias("template"), F.concat(F.lit("ts-api-routes:http_endpoint:docker-compose.yml#backend|GET|"), template).alias("endpoint"))
+    return _react(c, known)[1].where("type = 'invokes_api'").select("src", "dst")
+
+
+@query("gra19_ui_overview", _REACT_SQL + "SELECT id FROM ui_nodes WHERE s = 1 AND kind IN ('ui_app', 'ui_module', 'ui_route', 'ui_screen', 'ui_flow')", canon=False)
+def _(c):
+    return views.ui_overview("react-ui:ui_app:s1", *_react(c))[0].select("id")
+
+
+@query(
+    "gra20_ui_screen",
+    _REACT_SQL + f"SELECT 'inside' AS part, id FROM ui_nodes WHERE id = '{_SHOWN}' OR (kind IN ('ui_frame', 'ui_surface', 'ui_component', 'ui_control') AND starts_with(id, 'react-ui:' || kind || ':s1/Desk3Page/')) "
+    "UNION ALL SELECT 'crumb', id FROM ui_nodes WHERE id IN ('react-ui:ui_app:s1', 'react-ui:ui_route:s1/desk3')",
+    canon=False,
+)
+def _(c):
+    inside, crumbs, _cross = views.ui_screen(_SHOWN, *_react(c))
+    return inside.select(F.lit("inside").alias("part"), "id").unionByName(crumbs.select(F.lit("crumb").alias("part"), "id"))
+
+
+@query("gra25_api_binds", _REACT_SQL + "SELECT dst FROM ui_edges WHERE type = 'invokes_api' AND starts_with(src, 'react-ui:ui_control:s1/Desk3Page/')", canon=False)
+def _(c):
+    return views.api_binds(_SHOWN, *_react(c)).select("dst")
+
+
+@query("gra26_route_cards", _REACT_SQL + "SELECT r.name AS route, n.name AS screen, r.id AS route_id FROM ui_nodes n JOIN ui_nodes r ON n.parent_id = r.id WHERE n.kind = 'ui_screen'", canon=False)
+def _(c):
+    return views.route_cards(*_react(c)).select("route", "screen", "route_id")
+
+
+@query("gra27_drill_cards", _REACT_SQL + "SELECT id, name FROM ui_nodes WHERE kind IN ('ui_frame', 'ui_component', 'ui_control') AND starts_with(id, 'react-ui:' || kind || ':s1/Desk3Page/')", canon=False)
+def _(c):
+    return views.drill_cards(_SHOWN, _react(c)[0]).select("id", "name")

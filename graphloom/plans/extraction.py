@@ -23,7 +23,7 @@ EXTRACTORS = {
 ADAPTED = {
     "adp1_symbols": "python", "adp2_compose": "compose", "adp3_appsettings": "appsettings", "adp4_openapi": "openapi", "adp5_dotnet_project": "dotnet-project", "adp6_maven": "maven-project", "adp6_gradle": "gradle-project", "adp7_spring_config": "spring-config",
     "adp8_bus_rabbit": "bus-rabbit", "adp9_bus_kafka": "bus-kafka", "adp10_ts_routes": "ts-api-routes", "adp10_java_routes": "java-api-routes", "adp11_ts_http_calls": "ts-http-calls", "adp12_python_http_calls": "python-http-calls", "adp12_java_http_calls": "java-http-calls",
-    "adp12_dotnet_http_calls": "dotnet-http-calls", "adp13_grpc_proto": "grpc-proto", "adp14_java_grpc_calls": "java-grpc-calls", "adp15_react_ui": "react-ui", "adp16_angularjs_ui": "angularjs-ui",
+    "adp12_dotnet_http_calls": "dotnet-http-calls", "adp13_grpc_proto": "grpc-proto", "adp14_java_grpc_calls": "java-grpc-calls", "adp16_angularjs_ui": "angularjs-ui",
 }
 FACT = ["path", "fact", "name", "parent", "line", "target", "attrs"]
 GRAPH = ["part", "id", "kind", "src", "dst"]

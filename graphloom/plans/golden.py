@@ -181,12 +181,34 @@ EXPECTED = {
         ('stock/grpc.py', 'grpc_call', 'Orders/Get', None, 2, 'grpc-proto:grpc_method:Orders/Get', 'method=Get;service=Orders'),
     ],
     "ext28_react_ui": [
-        ('web/CartPage.tsx', 'invokes_api', 'GET /carts', None, 3, '/carts', 'client=client;method=GET'),
-        ('web/CartPage.tsx', 'navigates_to', '/cart', None, 3, '/cart', ''),
-        ('web/CartPage.tsx', 'ui_control', 'buy', None, 3, None, 'element=button'),
+        ('backend/routes.ts', 'ui_file', 'backend/routes.ts', None, 1, None, ''),
+        ('backend/routes.ts', 'ui_function', None, None, 1, None, ''),
+        ('backend/routes.ts', 'ui_router', 'backend/routes.ts', None, 1, None, 'named=true'),
+        ('ng/routes.ts', 'ui_file', 'ng/routes.ts', None, 1, None, ''),
+        ('ng/routes.ts', 'ui_function', None, None, 1, None, ''),
+        ('ng/routes.ts', 'ui_route', '/home', None, 1, 'HomeComponent', ''),
+        ('ng/routes.ts', 'ui_router', 'ng/routes.ts', None, 1, None, 'named=true'),
+        ('old/app.js', 'ui_file', 'old/app.js', None, 1, None, ''),
+        ('old/app.js', 'ui_function', None, None, 1, None, ''),
+        ('web/CartPage.tsx', 'ui_control', 'buy', None, 3, 'buy', 'kind=button'),
+        ('web/CartPage.tsx', 'ui_file', 'web/CartPage.tsx', None, 1, None, ''),
+        ('web/CartPage.tsx', 'ui_function', 'CartPage', None, 3, None, ''),
+        ('web/CartPage.tsx', 'ui_function', None, None, 1, None, ''),
+        ('web/CartPage.tsx', 'ui_navigation', '/cart', None, 1, None, 'via=navigate'),
         ('web/CartPage.tsx', 'ui_route', '/cart', None, 2, 'CartPage', ''),
-        ('web/CartPage.tsx', 'ui_screen', 'CartPage', None, 3, None, ''),
-        ('web/CartPage.tsx', 'ui_style', './cart.css', None, 1, './cart.css', ''),
+        ('web/CartPage.tsx', 'ui_router', 'web/CartPage.tsx', None, 1, None, 'named=false'),
+        ('web/CartPage.tsx', 'ui_style', './cart.css', None, 1, 'web/cart.css', 'kind=global_css'),
+        ('web/calls.ts', 'ui_call', 'POST', None, 2, '/orders', ''),
+        ('web/calls.ts', 'ui_file', 'web/calls.ts', None, 1, None, ''),
+        ('web/calls.ts', 'ui_function', None, None, 1, None, ''),
+        ('web/grpc.ts', 'ui_file', 'web/grpc.ts', None, 1, None, ''),
+        ('web/grpc.ts', 'ui_function', None, None, 1, None, ''),
+        ('web/model.ts', 'ui_file', 'web/model.ts', None, 1, None, ''),
+        ('web/model.ts', 'ui_function', None, None, 1, None, ''),
+        ('web/model.ts', 'ui_function', 'open', None, 4, None, ''),
+        ('web/model.ts', 'ui_import', 'x', None, 1, 'web/other', 'exported=x'),
+        ('web/package.json', 'ui_file', 'web/package.json', None, 1, None, ''),
+        ('web/package.json', 'ui_package', 'web', None, 1, 'web', ''),
     ],
     "ext29_angular_ui": [
         ('ng/routes.ts', 'ui_component', 'HomeComponent', None, 2, 'app-home', ''),
@@ -315,21 +337,6 @@ EXPECTED = {
     "adp14_java_grpc_calls": [
         ('edge', 'java-grpc-calls:http_calls:compose:service:docker-compose.yml#shop->grpc-proto:grpc_method:Orders/get|shop/src/Grpc.java', 'http_calls', 'compose:service:docker-compose.yml#shop', 'grpc-proto:grpc_method:Orders/get'),
     ],
-    "adp15_react_ui": [
-        ('edge', 'react-ui:binds_service:react-ui:ui_app:web->compose:service:docker-compose.yml#web', 'binds_service', 'react-ui:ui_app:web', 'compose:service:docker-compose.yml#web'),
-        ('edge', 'react-ui:contains:react-ui:ui_app:web->react-ui:ui_route:web/CartPage.tsx:/cart', 'contains', 'react-ui:ui_app:web', 'react-ui:ui_route:web/CartPage.tsx:/cart'),
-        ('edge', 'react-ui:contains:react-ui:ui_app:web->react-ui:ui_screen:web/CartPage.tsx:CartPage', 'contains', 'react-ui:ui_app:web', 'react-ui:ui_screen:web/CartPage.tsx:CartPage'),
-        ('edge', 'react-ui:contains:react-ui:ui_route:web/CartPage.tsx:/cart->react-ui:ui_screen:web/CartPage.tsx:CartPage', 'contains', 'react-ui:ui_route:web/CartPage.tsx:/cart', 'react-ui:ui_screen:web/CartPage.tsx:CartPage'),
-        ('edge', 'react-ui:contains:react-ui:ui_screen:web/CartPage.tsx:CartPage->react-ui:ui_control:web/CartPage.tsx:buy', 'contains', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', 'react-ui:ui_control:web/CartPage.tsx:buy'),
-        ('edge', 'react-ui:invokes_api:react-ui:ui_screen:web/CartPage.tsx:CartPage->ts-api-routes:http_endpoint:docker-compose.yml#backend|GET|/carts', 'invokes_api', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', 'ts-api-routes:http_endpoint:docker-compose.yml#backend|GET|/carts'),
-        ('edge', 'react-ui:navigates_to:react-ui:ui_screen:web/CartPage.tsx:CartPage->react-ui:ui_route:web/CartPage.tsx:/cart', 'navigates_to', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', 'react-ui:ui_route:web/CartPage.tsx:/cart'),
-        ('edge', 'react-ui:uses_style:react-ui:ui_screen:web/CartPage.tsx:CartPage->react-ui:ui_style:web/CartPage.tsx:./cart.css', 'uses_style', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', 'react-ui:ui_style:web/CartPage.tsx:./cart.css'),
-        ('node', 'react-ui:ui_app:web', 'ui_app', None, None),
-        ('node', 'react-ui:ui_control:web/CartPage.tsx:buy', 'ui_control', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', None),
-        ('node', 'react-ui:ui_route:web/CartPage.tsx:/cart', 'ui_route', 'react-ui:ui_app:web', None),
-        ('node', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', 'ui_screen', 'react-ui:ui_app:web', None),
-        ('node', 'react-ui:ui_style:web/CartPage.tsx:./cart.css', 'ui_style', 'react-ui:ui_screen:web/CartPage.tsx:CartPage', None),
-    ],
     "adp16_angularjs_ui": [
         ('edge', 'angularjs-ui:binds_service:angularjs-ui:ui_app:old->compose:service:docker-compose.yml#old', 'binds_service', 'angularjs-ui:ui_app:old', 'compose:service:docker-compose.yml#old'),
         ('edge', 'angularjs-ui:contains:angularjs-ui:ui_app:old->angularjs-ui:ui_module:old/app.js:old', 'contains', 'angularjs-ui:ui_app:old', 'angularjs-ui:ui_module:old/app.js:old'),

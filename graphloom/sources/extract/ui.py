@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable
 
 from . import Fact, extractor, fact, line_of
-from .calls import VERBS, ts_calls
+from .calls import VERBS
 from .lex import Source
 
 #: Packages that mark an application root (fixed values).
@@ -30,26 +30,6 @@ def _controls(text: str) -> Iterable[Fact]:
         yield fact("ui_control", label[1] if label else m[1], None, None, line_of(text, m.start()), None, element=m[1])
 
 
-@extractor("react-ui", ".tsx", ".jsx")
-def react(path: str, text: str) -> Iterable[Fact]:
-    """Routes (object and element form), components, controls, navigation, styles and calls."""
-    for m in re.finditer(r"""<Route\b[^>]*?\bpath\s*=\s*\{?["']([^"']+)["']\}?[^>]*?\belement\s*=\s*\{\s*<(\w+)""", text):
-        yield fact("ui_route", m[1], None, None, line_of(text, m.start()), m[2])
-    for m in re.finditer(r"""\{\s*path\s*:\s*["']([^"']+)["'][^{}]*?\b(?:element\s*:\s*<|Component\s*:\s*)(\w+)""", text):
-        yield fact("ui_route", m[1], None, None, line_of(text, m.start()), m[2])
-    for m in re.finditer(r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:function\s+([A-Z]\w*)\s*\(|const\s+([A-Z]\w*)\s*(?::[^=]+)?=\s*(?:React\.memo\()?\(?[^=;]*?\)?\s*=>)", text):
-        name = m[1] or m[2]
-        kind = "ui_screen" if re.search(r"(Page|Screen|View)$", name) else "ui_component"
-        yield fact(kind, name, None, None, line_of(text, m.start()))
-    yield from _controls(text)
-    for m in re.finditer(r"""\bnavigate\s*\(\s*["'`]([^"'`]+)""", text):
-        yield fact("navigates_to", m[1], None, None, line_of(text, m.start()), m[1])
-    for m in re.finditer(r"""import\s+(?:\w+\s+from\s+)?["']([^"']+\.(?:css|scss|less))["']""", text):
-        yield fact("ui_style", m[1], None, None, line_of(text, m.start()), m[1])
-    for f in ts_calls(path, text):
-        yield {**f, "fact": "invokes_api"}
-
-
 @extractor("angular-ui", ".ts", ".html")
 def angular(path: str, text: str) -> Iterable[Fact]:
     """Route tables, component declarations and template controls."""
