@@ -1,4 +1,8 @@
-"""Reachability over parent links and edges: level-by-level joins, each level cut from its lineage."""
+"""Reachability over parent links and edges: joins level by level near the start, pointer jumping beyond.
+
+The first NEAR levels are joins of what was reached last.  Deeper graphs go on with pointers that double their reach in each
+round, so that a chain of n links costs log n rounds.  No depth is cut; each round's table is cut from its lineage.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +12,48 @@ from pyspark.sql import functions as F
 from ..plans.lineage import table
 from .joins import incident
 
+#: Levels that are walked one by one.
+NEAR = 8
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """(at, up): each node's parent; of several rows of one id the least parent."""
+    return nodes.where("parent_id is not null and parent_id <> ''").groupBy(F.col("id").alias("at")).agg(F.min("parent_id").alias("up"))
+
+
+def _all_ancestors(up: DataFrame, starts: DataFrame) -> DataFrame:
+    """up (at, up); starts (at) -> (at, ancestor, depth): by doubling. A cycle's nodes are met once, the start itself is none."""
+    jump = table(up, "jump")
+    found = table(starts.distinct().join(up, "at").where("at <> up").select("at", F.col("up").alias("ancestor"), F.lit(1).alias("depth")), "closure")
+    reach = 1
+    while True:
+        ahead = found.join(jump.select(F.col("at").alias("ancestor"), F.col("up").alias("far")), "ancestor")
+        more = ahead.select("at", F.col("far").alias("ancestor"), (F.col("depth") + reach).alias("depth")).where("at <> ancestor")
+        more = table(more.groupBy("at", "ancestor").agg(F.min("depth").alias("depth")).join(found, ["at", "ancestor"], "left_anti"), "closure")
+        if more.isEmpty():
+            return found
+        found = found.unionByName(more)
+        jump = table(jump.join(jump.select(F.col("at").alias("up"), F.col("up").alias("far")), "up").select("at", F.col("far").alias("up")), "jump")
+        reach *= 2
+
 
-def ancestors(nodes: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
+def ancestors(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, ancestor, depth from 1): known ancestors of each start; a missing parent ends a walk, a cycle too."""
-    up = nodes.where("parent_id is not null and parent_id <> ''").select(F.col("id").alias("at"), F.col("parent_id").alias("up")).dropDuplicates(["at"])
-    known = nodes.select(F.col("id").alias("up")).distinct()
-    up = table(up.join(known, "up", "left_semi"), "parents")
+    ids = nodes.select(F.col("id").alias("up"))
     level = starts.select("id", F.col("id").alias("at"), F.array("id").alias("seen")).distinct()
-    found, depth = [], 0
-    while depth < most:
-        depth += 1
-        level = table(level.join(up, "at").where(~F.array_contains("seen", F.col("up"))).select("id", F.col("up").alias("at"), F.concat("seen", F.array("up")).alias("seen")), "level")
+    out = None
+    for depth in range(1, NEAR + 1):
+        up = _parents(nodes.join(level.select(F.col("at").alias("id")).distinct(), "id", "left_semi")).join(ids, "up", "left_semi")
+        level = level.join(up, "at").where(~F.array_contains("seen", F.col("up"))).select("id", F.col("up").alias("at"), F.concat("seen", F.array("up")).alias("seen"))
+        level = table(level, "level")
+        found = level.select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
+        out = found if out is None else out.unionByName(found)
         if level.isEmpty():
-            break
-        found.append(level.select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth")))
-    out = starts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).limit(0)
-    for part in found:
-        out = out.unionByName(part)
-    return out
+            return out
+    up = _parents(nodes).join(ids.distinct(), "up", "left_semi").select("at", "up")
+    far = level.select("id", "at").join(_all_ancestors(up, level.select("at")), "at").select("id", "ancestor", (F.col("depth") + NEAR).alias("depth")).where("id <> ancestor")
+    far = far.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).join(out, ["id", "ancestor"], "left_anti")
+    return out.unionByName(far.select("id", "ancestor", "depth"))
 
 
 def nearest_ancestor(nodes: DataFrame, starts: DataFrame, kind: str) -> DataFrame:
@@ -35,17 +63,28 @@ def nearest_ancestor(nodes: DataFrame, starts: DataFrame, kind: str) -> DataFram
     return of_kind.groupBy("id").agg(F.min_by("ancestor", "depth").alias("ancestor"))
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, depth): the roots and all nodes below them, each once at its least depth; safe against cycles."""
     down = nodes.where("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("id").alias("child"))
     reached = level = table(roots.select("id", F.lit(0).alias("depth")).distinct(), "level")
-    for depth in range(1, most + 1):
+    for depth in range(1, NEAR + 1):
         level = level.select(F.col("id").alias("at")).join(down, "at").select(F.col("child").alias("id")).distinct()
         level = table(level.join(reached, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(level)
-    return reached
+    # Deeper: every node looks up, twice as far in each round, for the nearest root. A root's nodes stand at all depths down
+    # to the last, so a round that finds none is the end, also where a cycle goes on.
+    tops = roots.select(F.col("id").alias("up"), F.lit(1).alias("hit")).distinct()
+    look = table(_parents(nodes).join(tops, "up", "left").select(F.col("at").alias("id"), "up", "hit"), "look")
+    reach, count = 1, -1
+    while (now := look.where("hit is not null").count()) != count:
+        count = now
+        ahead = look.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("hit").alias("far_hit"))
+        look = table(look.join(ahead, "up", "left").select("id", F.col("far").alias("up"), F.coalesce("hit", F.col("far_hit") + reach).alias("hit")), "look")
+        reach *= 2
+    deep = look.where("hit is not null").select("id", F.col("hit").alias("depth")).join(reached, "id", "left_anti")
+    return reached.unionByName(deep)
 
 
 def neighbours(edges: DataFrame, node_id: str, direction: str = "both", limit: int = 500) -> DataFrame:

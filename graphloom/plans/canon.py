@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import stable_ids
+from .lineage import stored
 
+#: Tables that nodes and edges come from.
+TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
 LANGUAGES = ["typescript", "python", "java", "csharp", "cpp"]
 STATUSES = ["auto_found", "needed", "found", "not_needed", "ignored"]
 
@@ -34,6 +37,9 @@ class Canon:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def _stored(self, name: str, build) -> DataFrame:
+        return stored(self.spark, name, [f"{self.dir}/{t}.parquet" for t in TABLES], build)
+
     def _node(self, df: DataFrame, kind: str, key: str, name: Column, path: Column, parent: Column | None, layer: str = "system", language: Column | None = None) -> DataFrame:
         null = F.lit(None).cast("string")
         return df.select(
@@ -88,7 +94,8 @@ class Canon:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.system.unionByName(self.classes).unionByName(self.method_nodes)
+        """All nodes, written once for each state of the tables."""
+        return self._stored("nodes", lambda: self.system.unionByName(self.classes).unionByName(self.method_nodes))
 
     @cached_property
     def methods(self) -> DataFrame:
@@ -138,10 +145,15 @@ class Canon:
 
     @cached_property
     def edges(self) -> DataFrame:
-        out = self.connects
-        for part in (self.exposes, self.calls, self.consumes, self.contains):
-            out = out.unionByName(part)
-        return out
+        """All edges, written once for each state of the tables."""
+
+        def build() -> DataFrame:
+            out = self.connects
+            for part in (self.exposes, self.calls, self.consumes, self.contains):
+                out = out.unionByName(part)
+            return out
+
+        return self._stored("edges", build)
 
     @cached_property
     def runs(self) -> DataFrame:

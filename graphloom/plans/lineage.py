@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -51,3 +51,29 @@ def table(df: DataFrame, name: str) -> DataFrame:
     with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: What :func:`stored` has written: application, inputs with their sizes and times, name -> path.
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files under the paths."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf).listStatus(path)
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return tuple(out)
+
+
+def stored(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table built once for each state of its input files and kept for the application: the graph that queries ask, as ingested."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), name, _state(spark, paths))
+    if key not in _stored:
+        df = build()
+        path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+        with tidy(spark):
+            df.write.option("compression", "zstd").parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
