@@ -12,6 +12,7 @@ from ..functions.text import grpc_name, http_path
 from ..operators.calls import usage_edges
 from ..operators.dedupe import stable_ids
 from ..operators.joins import resolve_parents
+from ..operators.routes import included_routes
 from .lineage import table
 
 NODE = ["id", "parser_id", "kind", "name", "qualified_name", "language", "path", "parent_id", "layer", "http_method", "http_path"]
@@ -168,7 +169,14 @@ def bus(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, union(edges_of(rows, role, service_id(F.col("path")), end), edges_of(handled, "rpc_handles", service_id(F.col("path")), message))
 
 
-@adapter("ts-api-routes", "dotnet-api-routes", "java-api-routes", "python-api-routes")
+@adapter("python-api-routes")
+def python_api_routes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decorated handlers, and url patterns with the prefixes of all files that include theirs."""
+    facts = table(facts, "facts")
+    return api_routes(facts.where("fact = 'route'").unionByName(included_routes(facts)))
+
+
+@adapter("ts-api-routes", "dotnet-api-routes", "java-api-routes")
 def api_routes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = facts.where("fact = 'route'")
     id_ = endpoint_id(F.col("parser_id"), service_key(F.col("path")), attr("method"), F.col("target"))

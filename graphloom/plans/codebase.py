@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import views
 from ..operators.calls import usage_edges, usages
+from ..operators.routes import included_routes
 from ..sources.extract import extract
 from . import adapters
 from .canon import Canon
@@ -284,3 +285,59 @@ def _(c):
 @query("gra27_drill_cards", _REACT_SQL + "SELECT id, name FROM ui_nodes WHERE kind IN ('ui_frame', 'ui_component', 'ui_control') AND starts_with(id, 'react-ui:' || kind || ':s1/Desk3Page/')", canon=False)
 def _(c):
     return views.drill_cards(_SHOWN, _react(c)[0]).select("id", "name")
+
+
+# -- Routes over included files, and folded addresses -----------------------------------------------------------------------
+
+_SITE = [
+    ("p{s}/urls.py", "from django.urls import include, path\nurlpatterns = [\n    path('', views.home),\n    path('d/', include('p{s}.desks')),\n    path('gone/', include('p{s}.missing')),\n]\n", {}),
+    ("p{s}/desks.py", "urlpatterns = [\n{desks}]\n", {"desks": "    path('{n}/', include('p{s}.d{n}')),\n"}),
+]
+_DESK = ("p{s}/d{n}/__init__.py", "urlpatterns = [\n    path('orders/', views.orders),\n    re_path(r'^items/(\\d+)$', ItemView.as_view()),\n    path('loop/', include('p{s}.desks')),\n]\n")
+
+
+def site_files(c: Canon) -> DataFrame:
+    """(path, text): for each supplier a site whose patterns include its desks', which include those of all desks again."""
+    pairs = _pairs(c)
+    sites = pairs.groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("desks"))
+    out = pairs.select(_text(_DESK[0], s=F.col("s"), n=F.col("n")).alias("path"), _text(_DESK[1], s=F.col("s")).alias("text"))
+    for path, text, pieces in _SITE:
+        out = out.unionByName(sites.select(_text(path, s=F.col("s")).alias("path"), _text(text, **{k: _each(v) for k, v in pieces.items()}, s=F.col("s")).alias("text")))
+    return out
+
+
+@query(
+    "ext18_django_routes",
+    _PAIRS + "SELECT 'p' || s || '/urls.py' AS path, '/' AS route, 'home' AS handler FROM (SELECT DISTINCT s FROM p) UNION ALL SELECT 'p' || s || '/d' || n || '/__init__.py', '/d/' || n || '/orders/', 'orders' FROM p "
+    "UNION ALL SELECT 'p' || s || '/d' || n || '/__init__.py', '/d/' || n || '/items/(\\d+)', 'ItemView' FROM p",
+    canon=False,
+)
+def _(c):
+    facts = extract(site_files(c).repartition(32), "python-api-routes")
+    return included_routes(facts).select("path", F.col("target").alias("route"), F.col("parent").alias("handler"))
+
+
+_CLIENT = (
+    "p{s}/src/main/java/p{s}/Client.java",
+    "package p{s};\nclass Client {\n  private static final String HOST = \"http://desk-\";\n  private static final String API = \"/api/v\" + \"1\";\n{hosts}  RestTemplate rest; WebClient web; RestClient plain;\n  void run(long orderId) throws Exception {\n{calls}    rest.getForObject(unknown(), X.class);\n  }\n"
+    "  String located() { return discovery.getInstances(\"stock-{s}\").get(0).toString(); }\n}\n",
+    {
+        "hosts": "  static final String DESK{n} = HOST + \"{n}:80\" + API;\n",
+        "calls": "    rest.exchange(DESK{n} + \"/orders/\" + orderId + \"?full=1\", HttpMethod.PUT, null, X.class);\n    rest.postForObject(UriComponentsBuilder.fromHttpUrl(DESK{n}).pathSegment(\"items\", orderId).queryParam(\"x\", 1).toUriString(), body, X.class);\n"
+        "    web.get().uri(located() + API + \"/{n}\").retrieve();\n    HttpURLConnection c{n} = (HttpURLConnection) new URL(String.format(\"%s/raw/%d\", DESK{n}, orderId)).openConnection();\n",
+    },
+)
+
+
+@query(
+    "ext21_java_addresses",
+    _PAIRS + "SELECT 'p' || s || '/src/main/java/p' || s || '/Client.java' AS path, verb AS method, CASE WHEN verb2 THEN '/api/v1/' || n ELSE t END AS target, CASE WHEN verb2 THEN 'stock-' || s ELSE 'desk-' || n END AS callee, client FROM p, (VALUES "
+    "('PUT', '/api/v1/orders/{orderId}', 'rest_template', false), ('POST', '/api/v1/items/{orderId}', 'rest_template', false), ('GET', '', 'web_client', true), ('GET', '', 'rest_client', true), ('GET', '/api/v1/raw/{orderId}', 'url_connection', false)) v(verb, t, client, verb2)",
+    canon=False,
+)
+def _(c):
+    path, text, pieces = _CLIENT
+    shops = _pairs(c).groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("desks"))
+    files_ = shops.select(_text(path, s=F.col("s")).alias("path"), _text(text, **{k: _each(v) for k, v in pieces.items()}, s=F.col("s")).alias("text"))
+    said = lambda k: F.try_element_at("attrs", F.lit(k)).alias(k)
+    return extract(files_.repartition(32), "java-http-calls").select("path", said("method"), "target", said("callee"), said("client"))

@@ -144,9 +144,15 @@ EXPECTED = {
         ('shop/src/Feign.java', 'route', 'GET /stock/items', 'items', 3, '/stock/items', 'method=GET'),
     ],
     "ext18_python_api_routes": [
-        ('stock/views.py', 'include', '/more', None, 5, 'stock.more', ''),
-        ('stock/views.py', 'route', 'ANY /old', 'legacy', 5, '/old', 'method=ANY'),
+        ('stock/client.py', 'python_file', 'stock/client.py', None, 1, None, ''),
+        ('stock/grpc.py', 'python_file', 'stock/grpc.py', None, 1, None, ''),
+        ('stock/views.py', 'include', 'stock.more', None, 5, 'stock.more', ''),
+        ('stock/views.py', 'python_file', 'stock/views.py', None, 1, None, ''),
         ('stock/views.py', 'route', 'GET /stock/items', 'items', 3, '/stock/items', 'method=GET'),
+        ('stock/views.py', 'url_pattern', 'more/', None, 5, 'stock.more', 'regex=false'),
+        ('stock/views.py', 'url_pattern', 'old/', 'legacy', 5, None, 'regex=false'),
+        ('tools/base.py', 'python_file', 'tools/base.py', None, 1, None, ''),
+        ('tools/load.py', 'python_file', 'tools/load.py', None, 1, None, ''),
     ],
     "ext19_ts_http_calls": [
         ('old/app.js', 'http_call', 'GET /api/start', None, 3, '/api/start', 'client=client;method=GET'),

@@ -69,4 +69,4 @@ def extract(files: DataFrame, parser_id: str) -> DataFrame:
     return chosen.mapInPandas(each, SCHEMA)
 
 
-from . import build, calls, config, members, react, routes, symbols, ui  # noqa: E402, F401  they register themselves
+from . import build, calls, config, java_http, members, react, routes, symbols, ui  # noqa: E402, F401  they register themselves

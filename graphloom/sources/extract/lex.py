@@ -78,6 +78,11 @@ class Source:
                 return part[2]
         return None
 
+    def member_string(self, i: int, key: str) -> str | None:
+        """The string given for ``key`` in the bracket at i."""
+        at = self.member(i, key)
+        return self.string(at) if at is not None else None
+
     def owner(self, i: int) -> str | None:
         """The class in whose body a place is; if in none, the first of the file."""
         found = [(c, o) for c, o in self._classes() if o < i < self.close.get(o, 0)] or list(self._classes())[:1]
