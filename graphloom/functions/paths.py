@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import EXTENSION_LANGUAGES, ID_BYTES
+from ..schema import EXTENSION_LANGUAGES, ID_BYTES, SHEBANG_LANGUAGES
 
 #: Folders that name no service (fixed values).
 SKIPPED_FOLDERS = "src lib app apps packages routes handlers controllers config configs settings contracts tests test dist node_modules bin obj wwwroot".split()
@@ -40,9 +40,10 @@ def language_of(path: Column) -> Column:
 
 
 def shebang_language(first_line: Column) -> Column:
-    """Interpreter of a ``#!`` line: its last token's basename without a version."""
-    tool = F.regexp_extract(F.element_at(F.split(F.trim(F.regexp_extract(first_line, r"^#!\s*([^\r\n]+)", 1)), r"\s+"), -1), r"([^/]+?)[0-9.]*$", 1)
-    return F.when(tool == "node", "javascript").when(tool == "python", "python").when(tool.isin("ts-node", "tsx"), "typescript")
+    """Language of a ``#!`` line's interpreter, the basename of its last token; null if it is none of the known ones."""
+    tool = F.lower(F.regexp_extract(F.element_at(F.split(F.trim(F.regexp_extract(first_line, r"^#!\s*([^\r\n]+)", 1)), r"\s+"), -1), r"([^/]*)$", 1))
+    table = F.create_map(*[F.lit(x) for kv in SHEBANG_LANGUAGES.items() for x in kv])
+    return F.try_element_at(table, tool)
 
 
 def is_below(path: Column, folder: Column) -> Column:

@@ -62,8 +62,11 @@ def peer_rank(kind: Column) -> Column:
     return F.when(kind.isin(PEER_KINDS), 0).otherwise(1)
 
 
-def budget(max_nodes: int) -> tuple[int, int]:
-    """(external reserve, most insides) of a focused view."""
+def budget(max_nodes):
+    """(external reserve, most insides) of a focused view, for a number or a column."""
+    if isinstance(max_nodes, Column):
+        reserve = F.least(F.lit(40), F.greatest(F.lit(8), F.floor(max_nodes / 5)))
+        return reserve, F.greatest(F.lit(0), max_nodes - 1 - reserve)
     reserve = min(40, max(8, max_nodes // 5))
     return reserve, max(0, max_nodes - 1 - reserve)
 

@@ -501,9 +501,10 @@ def _(c):
     return ded.top_inside(c.endpoints.unionByName(c.message_types), 2050).select("id")
 
 
-@query("rnk4_budget", "SELECT m AS max_nodes, least(40, greatest(8, m // 5)) AS reserve, m - 1 - least(40, greatest(8, m // 5)) AS inside FROM (VALUES (10), (50), (200), (1200)) v(m)", canon=False)
+@query("rnk4_budget", "SELECT p_partkey, p_size * 25 AS max_nodes, least(40, greatest(8, p_size * 25 // 5)) AS reserve, greatest(0, p_size * 25 - 1 - least(40, greatest(8, p_size * 25 // 5))) AS inside FROM part", canon=False)
 def _(c):
-    return c.spark.createDataFrame([(m, *ded.budget(m)) for m in (10, 50, 200, 1200)], "max_nodes int, reserve int, inside int")
+    most = F.col("p_size") * 25
+    return c.read("part").select("p_partkey", most.alias("max_nodes"), *[b.alias(n) for b, n in zip(ded.budget(most), ("reserve", "inside"), strict=True)])
 
 
 @query("rnk5_sample_paths", "SELECT path FROM files ORDER BY regexp_matches(path, '(index|main)[^/]*$') DESC, path LIMIT 5")
@@ -613,15 +614,21 @@ def _(c):
     return c.files.select("path", fp.basename(F.col("path")).alias("base"), fp.extension(F.col("path")).alias("ext"))
 
 
-@query("str4_language", "SELECT path, CASE WHEN ends_with(path, '.html') THEN 'html' END AS language FROM files")
+_ENDINGS = [("ts", "typescript"), ("TSX", "typescript"), ("js", "javascript"), ("jsx", "javascript"), ("mjs", "javascript"), ("cjs", "javascript"), ("py", "python"), ("pyw", "python"), ("cs", "csharp"), ("cpp", "cpp"), ("cc", "cpp"), ("cxx", "cpp"), ("h", "cpp"), ("hpp", "cpp"), ("go", "go"), ("java", "java"), ("rb", "ruby"), ("rs", "rust"), ("php", "php"), ("swift", "swift"), ("kt", "kotlin"), ("scala", "scala"), ("sh", "shell"), ("bash", "shell"), ("zsh", "shell"), ("txt", None)]
+
+
+@query("str4_language", "SELECT page_id, [" + ", ".join(f"'{x}'" if x else "NULL" for _, x in _ENDINGS) + "][(page_id % 26 + 1)::INT] AS language FROM files")
 def _(c):
-    return c.files.select("path", fp.language_of(F.col("path")).alias("language"))
+    """Every file under each of the known endings in turn."""
+    ending = F.element_at(F.array(*[F.lit(e) for e, _ in _ENDINGS]), (F.col("page_id") % 26 + 1).cast("int"))
+    return c.files.select("page_id", fp.language_of(F.concat_ws(".", "path", ending)).alias("language"))
 
 
-@query("str5_shebang", "SELECT n, r AS language FROM (VALUES (1, 'python'), (2, 'javascript'), (3, 'python'), (4, NULL)) v(n, r)", canon=False)
+@query("str5_shebang", "SELECT p_partkey, ['python', 'javascript', NULL, NULL, 'shell', NULL][(p_partkey % 6 + 1)::INT] AS language FROM part", canon=False)
 def _(c):
-    rows = c.spark.createDataFrame([(1, "#!/usr/bin/env python3"), (2, "#!/usr/bin/node"), (3, "#! /opt/bin/python2.7"), (4, "import x")], "n int, line string")
-    return rows.select("n", fp.shebang_language(F.col("line")).alias("language"))
+    k = F.col("p_partkey").cast("string")
+    lines = [F.lit("#!/usr/bin/env python3"), F.concat(F.lit("#!/opt/v"), k, F.lit("/node")), F.concat(F.lit("#! /opt/v"), k, F.lit("/python2.7")), F.concat(F.lit("import x"), k), F.concat(F.lit("#!/opt/v"), k, F.lit("/bash")), F.concat(F.lit("#!/bin/tool"), k)]
+    return c.read("part").select("p_partkey", fp.shebang_language(F.element_at(F.array(*lines), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("language"))
 
 
 @query("str8_service_hint", "SELECT path, p[2] AS hint FROM (SELECT path, list_filter(string_split(lower(path), '/'), lambda x: x <> '' ) AS p FROM files) WHERE len(p) > 2")
@@ -639,10 +646,11 @@ def _(c):
     return c.read("documents").select("doc_id", fp.fit_id(F.concat(F.lit("ts:"), F.col("text"))).alias("id"))
 
 
-@query("str14_spring_names", "SELECT n, r AS name FROM (VALUES (1, 'orders'), (2, 'order'), (3, 'billing-core'), (4, 'a')) v(n, r)", canon=False)
+@query("str14_spring_names", "SELECT p_partkey, [ 'orders' || p_partkey, 'order' || p_partkey, 'billing' || p_partkey || '-core', 'a' || p_partkey][(p_partkey % 4 + 1)::INT] AS name FROM part", canon=False)
 def _(c):
-    rows = c.spark.createDataFrame([(1, "com-acme-orders-service"), (2, "Order-Service"), (3, "com-acme-billing-core"), (4, " a ")], "n int, name string")
-    return rows.select("n", fp.spring_name(F.col("name")).alias("name"))
+    k = F.col("p_partkey").cast("string")
+    names = [F.concat(F.lit("com-acme-orders"), k, F.lit("-service")), F.concat(F.lit("Order"), k, F.lit("-Service")), F.concat(F.lit("com-acme-billing"), k, F.lit("-core")), F.concat(F.lit(" a"), k, F.lit(" "))]
+    return c.read("part").select("p_partkey", fp.spring_name(F.element_at(F.array(*names), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name"))
 
 
 @query("str15_http_path", "SELECT page_id, CASE WHEN p = '' THEN '/' WHEN p LIKE '/%' THEN p ELSE '/' || p END AS path FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '://[^/]*(.*)$', 1), '[?#].*$', ''), '/+$', '') AS p FROM pages)", canon=False)
@@ -677,11 +685,17 @@ def _(c):
     return c.read("supplier").select("s_suppkey", ft.redact(value).alias("safe"))
 
 
-@query("str23_settings", "SELECT n, e AS engine, t AS type, h AS host FROM (VALUES (1, 'postgresql', 'database', 'db1'), (2, 'rabbitmq', 'broker', 'mq'), (3, 'redis', 'cache', 'cache.local'), (4, NULL, 'http', 'api.x.org'), (5, 'kafka', 'broker', 'k1')) v(n, e, t, h)", canon=False)
+_SETTINGS = [("ConnectionStrings__Main", "Host=db{};Database=x;Provider=Npgsql", "postgresql", "database", "db{}"), ("Bus", "amqp://u:p@mq{}:5672", "rabbitmq", "broker", "mq{}"), ("Redis", "redis://cache{}.local:6379", "redis", "cache", "cache{}.local"), ("Url", "https://api{}.x.org/v1", None, "http", "api{}.x.org"), ("Kafka__Servers", "server=k{}:9092", "kafka", "broker", "k{}")]
+_said = lambda i, keyed: "[" + ", ".join("NULL" if s[i] is None else f"replace('{s[i]}', '{{}}', s_suppkey::VARCHAR)" if keyed else f"'{s[i]}'" for s in _SETTINGS) + "][(s_suppkey % 5 + 1)::INT]"
+
+
+@query("str23_settings", f"SELECT s_suppkey, {_said(2, False)} AS engine, {_said(3, False)} AS type, {_said(4, True)} AS host FROM supplier", canon=False)
 def _(c):
-    rows = [(1, "ConnectionStrings__Main", "Host=db1;Database=x;Provider=Npgsql"), (2, "Bus", "amqp://u:p@mq:5672"), (3, "Redis", "redis://cache.local:6379"), (4, "Url", "https://api.x.org/v1"), (5, "Kafka__Servers", "server=k1:9092")]
-    df = c.spark.createDataFrame(rows, "n int, k string, v string")
-    return df.select("n", ft.engine_of(F.col("k"), F.col("v")).alias("engine"), ft.binding_type(F.col("k"), F.col("v")).alias("type"), ft.target_host(F.col("v")).alias("host"))
+    """Settings of all suppliers, each with a host of its own."""
+    nth = (F.col("s_suppkey") % 5 + 1).cast("int")
+    k = F.element_at(F.array(*[F.lit(s[0]) for s in _SETTINGS]), nth)
+    v = F.replace(F.element_at(F.array(*[F.lit(s[1]) for s in _SETTINGS]), nth), F.lit("{}"), F.col("s_suppkey").cast("string"))
+    return c.read("supplier").select("s_suppkey", k.alias("k"), v.alias("v")).select("s_suppkey", ft.engine_of(F.col("k"), F.col("v")).alias("engine"), ft.binding_type(F.col("k"), F.col("v")).alias("type"), ft.target_host(F.col("v")).alias("host"))
 
 
 @query("str26_flatten_json", "SELECT event_id, 'k' AS key, props ->> 'k' AS value FROM events", canon=False)
@@ -691,16 +705,18 @@ def _(c):
     return flatten_json(c.read("events").select("event_id", F.col("props").alias("content")))
 
 
-@query("str28_jdbc", "SELECT n, r AS engine FROM (VALUES (1, 'postgresql'), (2, NULL), (3, NULL)) v(n, r)", canon=False)
+@query("str28_jdbc", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'postgresql' WHEN 3 THEN 'mysql' END AS engine FROM supplier", canon=False)
 def _(c):
-    rows = c.spark.createDataFrame([(1, "jdbc:postgresql://h/db"), (2, "jdbc:mysql://${H}/db"), (3, "http://x")], "n int, u string")
-    return rows.select("n", ft.jdbc_engine(F.col("u")).alias("engine"))
+    k = F.col("s_suppkey").cast("string")
+    urls = [F.concat(F.lit("jdbc:postgresql://h"), k, F.lit("/db")), F.concat(F.lit("jdbc:mysql://${H"), k, F.lit("}/db")), F.concat(F.lit("http://x"), k), F.concat(F.lit("jdbc:mysql://h"), k, F.lit(":3306/db"))]
+    return c.read("supplier").select("s_suppkey", ft.jdbc_engine(F.element_at(F.array(*urls), (F.col("s_suppkey") % 4 + 1).cast("int"))).alias("engine"))
 
 
-@query("str30_grpc_names", "SELECT n, r AS name FROM (VALUES (1, 'Orders'), (2, 'GetOrder'), (3, 'Pay')) v(n, r)", canon=False)
+@query("str30_grpc_names", "SELECT s_suppkey, ['Orders', 'GetOrder', 'Pay'][(s_suppkey % 3 + 1)::INT] || s_suppkey AS name FROM supplier", canon=False)
 def _(c):
-    rows = c.spark.createDataFrame([(1, "OrdersGrpcClient"), (2, "GetOrderAsync"), (3, "PayBlockingStub")], "n int, s string")
-    return rows.select("n", ft.grpc_name(F.col("s")).alias("name"))
+    k = F.col("s_suppkey").cast("string")
+    names = [F.concat(F.lit(a), k, F.lit(b)) for a, b in (("Orders", "GrpcClient"), ("GetOrder", "Async"), ("Pay", "BlockingStub"))]
+    return c.read("supplier").select("s_suppkey", ft.grpc_name(F.element_at(F.array(*names), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("name"))
 
 
 @query("str31_url_parts", "SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages", canon=False)

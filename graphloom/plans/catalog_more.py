@@ -16,7 +16,7 @@ from ..schema import MAX_NODES, MOST_NODES
 from ..sources import registry
 from . import adapters
 from .catalog import query
-from .samples import FILES
+from .extraction import projects
 
 
 @query("snk3_element_upsert", "SELECT id, status FROM elements WHERE type = 'directory' UNION ALL SELECT id, 'needed' FROM elements WHERE type = 'file'")
@@ -67,10 +67,10 @@ def _(c):
     return ded.external_order(c.system, 500).select("id", "place")
 
 
-@query("srt11_limits", f"SELECT n, CASE n WHEN 0 THEN 1 WHEN 5 THEN 5 ELSE {MOST_NODES} END AS allowed FROM (VALUES (0), (5), (99999)) v(n)", canon=False)
+@query("srt11_limits", f"SELECT o_orderkey, greatest(1, least(o_orderkey - 100, {MOST_NODES})) AS allowed FROM orders", canon=False)
 def _(c):
     assert MAX_NODES <= MOST_NODES
-    return c.spark.createDataFrame([(0,), (5,), (99999,)], "n int").select("n", ft.clamp(F.col("n"), F.lit(1), F.lit(MOST_NODES)).alias("allowed"))
+    return c.read("orders").select("o_orderkey", ft.clamp(F.col("o_orderkey") - 100, F.lit(1), F.lit(MOST_NODES)).alias("allowed"))
 
 
 @query("set2_known_ids", "SELECT id FROM nodes WHERE kind IN ('service', 'broker')")
@@ -78,22 +78,27 @@ def _(c):
     return c.services.select("id").union(c.brokers.select("id")).union(c.services.select("id")).distinct()
 
 
-@query("str6_package_language", "SELECT n, r AS language FROM (VALUES (1, 'typescript'), (2, 'javascript'), (3, NULL)) v(n, r)", canon=False)
+@query("str6_package_language", "SELECT p_partkey, ['typescript', 'javascript', NULL][(p_partkey % 3 + 1)::INT] AS language FROM part", canon=False)
 def _(c):
-    rows = [(1, '{"devDependencies": {"typescript": "5"}}'), (2, '{"name": "x"}'), (3, "{")]
-    return c.spark.createDataFrame(rows, "n int, m string").select("n", ft.package_language(F.col("m")).alias("language"))
+    k = F.col("p_partkey").cast("string")
+    docs = [F.concat(F.lit('{"devDependencies": {"typescript": "5.'), k, F.lit('"}}')), F.concat(F.lit('{"name": "x'), k, F.lit('"}')), F.concat(F.lit('{"name": '), k)]
+    return c.read("part").select("p_partkey", ft.package_language(F.element_at(F.array(*docs), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("language"))
 
 
-@query("str17_combined_routes", "SELECT n, r AS path FROM (VALUES (1, '/api/x/{id}'), (2, '/own'), (3, '/root'), (4, '/api/x')) v(n, r)", canon=False)
+@query("str17_combined_routes", "SELECT p_partkey, ['/api/x' || p_partkey || '/{id}', '/own' || p_partkey, '/root' || p_partkey, '/api/x' || p_partkey][(p_partkey % 4 + 1)::INT] AS path FROM part", canon=False)
 def _(c):
-    rows = [(1, "api/x", "{id}"), (2, "api/x", "/own"), (3, "api/x", "~/root/"), (4, "/api/x/", "")]
-    return c.spark.createDataFrame(rows, "n int, p string, s string").select("n", ft.combine_routes(F.col("p"), F.col("s")).alias("path"))
+    k = F.col("p_partkey").cast("string")
+    nth = (F.col("p_partkey") % 4 + 1).cast("int")
+    prefix = F.element_at(F.array(*[F.concat(F.lit("api/x"), k)] * 3, F.concat(F.lit("/api/x"), k, F.lit("/"))), nth)
+    own = F.element_at(F.array(F.lit("{id}"), F.concat(F.lit("/own"), k), F.concat(F.lit("~/root"), k, F.lit("/")), F.lit("")), nth)
+    return c.read("part").select("p_partkey", prefix.alias("p"), own.alias("s")).select("p_partkey", ft.combine_routes(F.col("p"), F.col("s")).alias("path"))
 
 
-@query("str24_leaf_roles", "SELECT n, r AS role FROM (VALUES (1, 'secret'), (2, 'target'), (3, 'port'), (4, 'database'), (5, 'other'), (6, 'user')) v(n, r)", canon=False)
+@query("str24_leaf_roles", "SELECT p_partkey, ['secret', 'target', 'port', 'database', 'other', 'user'][(p_partkey % 6 + 1)::INT] AS role FROM part", canon=False)
 def _(c):
-    rows = [(1, "Db__Password"), (2, "Rabbit:Host"), (3, "server.port"), (4, "Main__Database"), (5, "Logging__Level"), (6, "Db__User")]
-    return c.spark.createDataFrame(rows, "n int, k string").select("n", ft.leaf_role(F.col("k")).alias("role"))
+    k = F.col("p_partkey").cast("string")
+    keys = [F.concat(F.lit(a), k, F.lit(b)) for a, b in (("Db", "__Password"), ("Rabbit", ":Host"), ("server", ".port"), ("Main", "__Database"), ("Logging", "__Level"), ("Db", "__User"))]
+    return c.read("part").select("p_partkey", F.element_at(F.array(*keys), (F.col("p_partkey") % 6 + 1).cast("int")).alias("k")).select("p_partkey", ft.leaf_role(F.col("k")).alias("role"))
 
 
 @query("str29_infra_keys", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'database:postgresql:db' || s_suppkey ELSE 'cache:' || lower(s_name) END AS key FROM supplier", canon=False)
@@ -103,11 +108,13 @@ def _(c):
     return c.read("supplier").select("s_suppkey", key.alias("key"))
 
 
-@query("str27_env_lines", "SELECT n, k AS key, v AS value FROM (VALUES (1, 'A', 'x y'), (1, 'B', '2')) t(n, k, v)", canon=False)
+@query("str27_env_lines", "SELECT s_suppkey, 'A' || s_suppkey AS key, s_name || ' y' AS value FROM supplier UNION ALL SELECT s_suppkey, 'B', s_suppkey::VARCHAR FROM supplier", canon=False)
 def _(c):
     from ..sources.settings import parse_env
 
-    return parse_env(c.spark.createDataFrame([(1, "# note\nexport A=\"x y\"\nB = 2\nbad line\n")], "n int, content string"))
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("# note\nexport A"), k, F.lit('="'), "s_name", F.lit(' y"\nB = '), k, F.lit("\nbad line\n"))
+    return parse_env(c.read("supplier").select("s_suppkey", text.alias("content")))
 
 
 @query("arr1_samples", "SELECT p_brand, array_to_string(list_sort(list(p_name))[1:5], ',') AS samples FROM part GROUP BY p_brand", canon=False)
@@ -125,11 +132,22 @@ def _(c):
     return shown.where("role = 'external'").select("id")
 
 
-@query("gra16_dispatch", "SELECT 'service:6' AS id, 'resolved_service' AS status")
+@query(
+    "gra16_dispatch",
+    """SELECT 'service:6' AS start, 'service:6' AS id, 'exact' AS status UNION ALL SELECT id, parent_id, 'resolved_service' FROM system WHERE id = 'http_endpoint:1'
+    UNION ALL SELECT id, id, 'exact_code' FROM classes WHERE id = (SELECT min(id) FROM classes) UNION ALL SELECT 'message_type:1', NULL, 'system_fallback' UNION ALL SELECT 'gone:0', NULL, 'system_fallback' UNION ALL SELECT 'focus', 'service:8', 'exact' UNION ALL SELECT 'nothing', NULL, 'none'""",
+)
 def _(c):
-    endpoint = c.endpoints.where("parent_id = 'service:6'").agg(F.min("id")).first()[0]
-    shown, _e, status = views.view(c.system, c.edges.where("type = 'exposes'"), resolve_from=endpoint)
-    return shown.where("role = 'focus'").select("id", F.lit(status).alias("status"))
+    """Every branch: peers, what belongs to a service, code, what belongs to none, an unknown id, a focus, and nothing asked for."""
+    nodes, edges = c.nodes.where("kind <> 'method'"), c.edges.where("type in ('connects_to', 'exposes')")
+    code = c.classes.agg(F.min("id")).first()[0]
+    asked = [(i, {"resolve_from": i}) for i in ("service:6", "http_endpoint:1", code, "message_type:1", "gone:0")] + [("focus", {"focus_id": "service:8"}), ("nothing", {})]
+    out = None
+    for name, given in asked:
+        shown, _e, status = views.view(nodes, edges, **given)
+        rows = shown.where("role = 'focus'").agg(F.max("id").alias("id")).select(F.lit(name).alias("start"), "id", F.lit(status).alias("status"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("dml8_project_delete", "SELECT 'runs' AS part, count(*) AS n FROM events WHERE user_id <> 1 UNION ALL SELECT 'nodes', count(*) FROM orders WHERE o_custkey <> 1 UNION ALL SELECT 'ai_jobs', count(*) FROM customer", canon=False)
@@ -184,16 +202,14 @@ def _(c):
     return flt.stamped(c.read("nation"), "2024-05-06 07:08:09.12").withColumn("ingested_at", F.regexp_replace("ingested_at", "^2024-05-0[567]T[0-9]{2}", "2024-05-06T07")).select("n_nationkey", "ingested_at")
 
 
-@query("jon15_project_links", "SELECT 'dotnet-project:dotnet_project:bill/Bill.csproj' AS src, 'dotnet-project:dotnet_project:core/Core.csproj' AS dst", canon=False)
+@query("jon15_project_links", "SELECT 'dotnet-project:dotnet_project:bill' || p_partkey || '/Bill.csproj' AS src, 'dotnet-project:dotnet_project:core' || p_partkey || '/Core.csproj' AS dst FROM part", canon=False)
 def _(c):
-    files = c.spark.createDataFrame(sorted(FILES.items()), "path string, text string")
-    return adapters.run(files, "dotnet-project")[1].select("src", "dst")
+    return adapters.run(projects(c.spark, c.dir, "dotnet-project"), "dotnet-project")[1].select("src", "dst")
 
 
-@query("jon16_compose_links", "SELECT 'depends_on' AS type, 'compose:service:docker-compose.yml#api' AS src UNION ALL SELECT 'connects_to', 'compose:service:docker-compose.yml#api'", canon=False)
+@query("jon16_compose_links", "SELECT unnest(['depends_on', 'connects_to']) AS type, 'compose:service:p' || p_partkey || '/docker-compose.yml#api' AS src FROM part", canon=False)
 def _(c):
-    files = c.spark.createDataFrame(sorted(FILES.items()), "path string, text string")
-    return adapters.run(files, "compose")[1].select("type", "src")
+    return adapters.run(projects(c.spark, c.dir, "compose"), "compose")[1].select("type", "src")
 
 
 @query("prj1_public_nodes", "SELECT id, parser_id, kind, name, qualified_name, language, path, parent_id, layer FROM system")

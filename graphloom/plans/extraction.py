@@ -37,10 +37,6 @@ VARIED = {
 }
 
 
-def sample_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(FILES.items()), "path string, text string")
-
-
 def _varied(name: str) -> tuple[str, str, str, str]:
     own = VARIED[name]
     return own if len(own) == 4 else (own[0], own[0] + "{}") * 2
@@ -70,9 +66,33 @@ def _facts_sql(name: str) -> str:
     return f"SELECT {columns} FROM part, ({_values(FACT, EXPECTED[name])})"
 
 
+#: Folders that carry no key although files stand in them: their names are also services that others name.
+FIXED_FOLDERS = {"ts-http-calls": {"backend"}}
+#: Pieces of texts that name folders or modules, and what stands for them.
+NAMED = {"dotnet-project": ("..\\core\\", "..\\core{}\\"), "angularjs-ui": ('"old"', '"old{}"'), "maven-project": (">shop<", ">shop{}<"), "python": ("Reader", "Reader{}")}
+COMPOSE_FILE = "docker-compose.yml"
+
+
+def _folders(parser_id: str) -> list[str]:
+    """First folders of the sample files that an extractor reads."""
+    marks, _ = REGISTRY[parser_id]
+    found = {p.split("/")[0] for p in FILES if "/" in p and (not marks or p.endswith(marks))}
+    return sorted(found - FIXED_FOLDERS.get(parser_id, set()))
+
+
+def projects(spark: SparkSession, sf_dir: str, parser_id: str) -> DataFrame:
+    """(path, text): for each part a project of its own, the sample files that an extractor reads under folders that carry the part's key."""
+    marks, _ = REGISTRY[parser_id]
+    files = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in sorted(FILES.items()) if not marks or p.endswith(marks)])
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), F.explode(files).alias("f"))
+    piece, shown = NAMED.get(parser_id, ("\x00", ""))
+    path = F.when(F.col("f.path") == COMPOSE_FILE, F.concat(F.lit("p"), "key", F.lit("/" + COMPOSE_FILE))).otherwise(F.regexp_replace("f.path", F.lit(f"^({'|'.join(_folders(parser_id)) or ' '})/"), F.concat(F.lit("$1"), "key", F.lit("/"))))
+    return rows.select(path.alias("path"), F.replace("f.text", F.lit(piece), F.replace(F.lit(shown), F.lit("{}"), F.col("key"))).alias("text")).repartition(32)
+
+
 def graph_query(parser_id: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes, edges = adapters.run(sample_files(spark), parser_id)
+        nodes, edges = adapters.run(projects(spark, sf_dir, parser_id), parser_id)
         null = F.lit(None).cast("string")
         n = nodes.select(F.lit("node").alias("part"), "id", "kind", F.col("parent_id").alias("src"), null.alias("dst"))
         return n.unionByName(edges.select(F.lit("edge").alias("part"), "id", F.col("type").alias("kind"), "src", "dst"))
@@ -80,6 +100,20 @@ def graph_query(parser_id: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _graph_sql(name: str) -> str:
+    """The recorded rows once for each part, their folders (and what is named after them) with its key; rows that name none stand once."""
+    parser_id = ADAPTED[name]
+    at = f"'(^|[:#>|])({'|'.join(_folders(parser_id)) or ' '})([/#|.:]|->|$)'"
+    keyed = lambda c: f"regexp_replace({c}, {at}, '\\1\\2' || p_partkey || '\\3', 'g')"
+    if parser_id == "compose":
+        keyed = lambda c: f"replace({c}, '{COMPOSE_FILE}', 'p' || p_partkey || '/{COMPOSE_FILE}')"
+    if parser_id == "python":  # bases are found by names that stand once
+        plain = keyed
+        keyed = lambda c: f"replace({plain(c)}, 'Reader', 'Reader' || p_partkey)"
+    columns = ", ".join(f"{keyed(c)} AS {c}" if c in ("id", "src", "dst") else c for c in GRAPH)
+    return f"SELECT DISTINCT {columns} FROM part, ({_values(GRAPH, EXPECTED[name])})"
+
+
 def _values(columns: list[str], rows: list[tuple]) -> str:
     text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     cast = ", ".join(f"{c}::{'INT' if c == 'line' else 'VARCHAR'} AS {c}" for c in columns)
@@ -87,4 +121,4 @@ def _values(columns: list[str], rows: list[tuple]) -> str:
 
 
 QUERIES = {**{n: facts_query(n) for n in EXTRACTORS}, **{n: graph_query(p) for n, p in ADAPTED.items()}}
-ORACLES = {n: _facts_sql(n) if n in EXTRACTORS else _values(GRAPH, rows) for n, rows in EXPECTED.items()}
+ORACLES = {n: _facts_sql(n) if n in EXTRACTORS else _graph_sql(n) for n in EXPECTED}

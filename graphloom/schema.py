@@ -20,7 +20,14 @@ ANALYSED_STATUSES = "auto_found needed found".split()
 READY_STATUSES = "success partial".split()
 MAX_NODES, MAX_EDGES, MOST_NODES, MOST_EDGES = 200, 500, 1200, 4000
 CASCADE_LIMIT, LANGUAGE_LIMIT, ID_BYTES = 5000, 50, 475
+#: Languages by ending (fixed values), and three endings that this library adds.
 EXTENSION_LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
-    "cjs": "javascript", "py": "python", "java": "java", "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp", "html": "html",
-}
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyw": "python", "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp",
+    "go": "go", "java": "java", "rb": "ruby", "rs": "rust", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "shell", "bash": "shell", "zsh": "shell",
+} | {"mts": "typescript", "cts": "typescript", "html": "html"}
+#: Verbs and receivers of routes in TypeScript servers, and kinds of infrastructure by image name (fixed values).
+HTTP_VERBS = ("get", "post", "put", "patch", "delete", "options", "head")
+ROUTE_RECEIVERS = ("app", "server", "fastify", "instance", "router")
+INFRASTRUCTURE = (("database", "postgres|mysql|mariadb|mssql|mongo"), ("broker", "rabbit|kafka|redis"), ("storage", "minio|s3"))
+#: Languages by interpreter (fixed values).
+SHEBANG_LANGUAGES = {"python": "python", "python3": "python", "node": "javascript", "bash": "shell", "sh": "shell", "zsh": "shell"}

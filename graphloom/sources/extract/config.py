@@ -6,12 +6,11 @@ import json
 import re
 from collections.abc import Iterable
 
+from ...schema import HTTP_VERBS, INFRASTRUCTURE
 from . import Fact, extractor, fact
 
-INFRASTRUCTURE = (("database", r"postgres|mysql|mariadb|mssql|mongo"), ("broker", r"rabbit|kafka|redis"), ("storage", r"minio|s3"))
 ENGINES = (("postgresql", "postgres|npgsql"), ("mysql", "mysql|mariadb"), ("mssql", "sqlserver|mssql|initial catalog"), ("mongodb", "mongo"), ("redis", "redis"), ("rabbitmq", "rabbit|amqp"), ("kafka", "kafka"), ("elasticsearch", "elastic"), ("minio", "minio|s3"))
 BINDINGS = {"postgresql": "database", "mysql": "database", "mssql": "database", "mongodb": "database", "redis": "cache", "rabbitmq": "broker", "kafka": "broker", "elasticsearch": "search", "minio": "storage"}
-HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
 
 
 def load_yaml(text: str):
@@ -79,7 +78,7 @@ def openapi(path: str, text: str) -> Iterable[Fact]:
     yield fact("spec", title, None, None, None, None)
     for route, verbs in (doc.get("paths") or {}).items():
         for verb, op in (verbs or {}).items():
-            if verb.lower() in HTTP:
+            if verb.lower() in HTTP_VERBS:
                 op = op if isinstance(op, dict) else {}
                 yield fact("endpoint", f"{verb.upper()} {route}", None, title, None, route, method=verb.upper(), operation_id=op.get("operationId"), summary=op.get("summary"))
 

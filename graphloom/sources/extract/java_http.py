@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
+from ...schema import HTTP_VERBS as VERBS
 from . import Fact, extractor, fact
 from .lex import Source
 
-VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 #: Methods of the REST template and their verbs (fixed values of its interface).
 REST_TEMPLATE = {"getForObject": "GET", "getForEntity": "GET", "postForObject": "POST", "postForEntity": "POST", "postForLocation": "POST", "put": "PUT", "delete": "DELETE", "patchForObject": "PATCH"}
 MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "PatchMapping": "PATCH", "DeleteMapping": "DELETE"}

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from graphloom.plans.extraction import sample_files
+from graphloom.plans.samples import FILES
 from graphloom.sources import envelopes, files, settings, sinks
 from graphloom.sources.extract import REGISTRY, extract
 
@@ -46,6 +46,6 @@ def test_run_partitions_are_overwritten_alone(spark, tmp_path):
 
 def test_unreadable_files_stop_nothing(spark):
     for parser in REGISTRY:
-        extract(sample_files(spark).limit(0), parser)
-    assert [r.fact for r in extract(sample_files(spark).where("path = 'broken/bad.py'"), "python").collect()] == ["unreadable"]
-    assert extract(sample_files(spark).where("path in ('broken/bad.py', 'tools/base.py')"), "python").count() == 4
+        extract(spark.createDataFrame(sorted(FILES.items()), "path string, text string").limit(0), parser)
+    assert [r.fact for r in extract(spark.createDataFrame(sorted(FILES.items()), "path string, text string").where("path = 'broken/bad.py'"), "python").collect()] == ["unreadable"]
+    assert extract(spark.createDataFrame(sorted(FILES.items()), "path string, text string").where("path in ('broken/bad.py', 'tools/base.py')"), "python").count() == 4
