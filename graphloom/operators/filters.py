@@ -17,10 +17,16 @@ def public(rows: DataFrame) -> DataFrame:
     return rows.drop("ingested_at")
 
 
-def stamped(rows: DataFrame, at: str | None = None) -> DataFrame:
-    """``ingested_at``: an ISO time in UTC, now if none is given."""
-    now = F.current_timestamp() if at is None else F.to_timestamp(F.lit(at))
-    return rows.withColumn("ingested_at", F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def stamped(rows: DataFrame, at: str | Column | None = None) -> DataFrame:
+    """``ingested_at``: an ISO time in UTC, now if none is given; ``at`` is a UTC time, whatever the session's zone is."""
+    if at is None:
+        moment = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), ISO)
+    else:
+        moment = F.date_format((F.lit(at) if isinstance(at, str) else at).cast("timestamp_ntz"), ISO)
+    return rows.withColumn("ingested_at", moment)
 
 
 #: What the UI sees of nodes and edges (fixed values).

@@ -98,6 +98,15 @@ def only_match(left: DataFrame, right: DataFrame, keys: list[str], hint: str | N
     return out.withColumnRenamed("_all", "match")
 
 
+def call_targets(calls: DataFrame, endpoints: DataFrame, parser_id: str) -> DataFrame:
+    """calls (service, method, path, ..) with ``dst``, the id that the endpoint they call has, and whether ``endpoints`` (id) hold it."""
+    from ..functions.text import endpoint_id
+
+    rows = calls.withColumn("dst", endpoint_id(F.lit(parser_id), F.col("service"), F.col("method"), F.col("path")))
+    held = endpoints.select(F.col("id").alias("dst"), F.lit(True).alias("known")).distinct()
+    return rows.join(held, "dst", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def longest_prefix(rows: DataFrame, owners: DataFrame) -> DataFrame:
     """(id, owner): the owner whose path is the longest that is the row's path or an ancestor of it.
 

@@ -803,12 +803,12 @@ _ROOT = """, peer AS (SELECT * FROM system WHERE kind IN ('service', 'broker', '
 @query("gra8_root_overview", _ROOT.format(most=27) + "SELECT id, kind, 'inside' AS role, false AS stub FROM kept UNION ALL SELECT DISTINCT dst, 'broker', 'external', true FROM shown WHERE dst NOT IN (SELECT id FROM kept)")
 def _(c):
     """A budget of 27 leaves some brokers out, which edges of shown services bring back as stubs; exposes edges may not."""
-    return views.root_overview(c.system, c.connects.unionByName(c.exposes), 27)[0].select("id", "kind", "role", "stub")
+    return views.root_overview(c.system, c.edges, 27)[0].select("id", "kind", "role", "stub")
 
 
 @query("gra9_root_edges", _ROOT.format(most=200) + "SELECT id FROM shown ORDER BY type, id LIMIT 20")
 def _(c):
-    return views.root_overview(c.system, c.connects.unionByName(c.exposes).unionByName(c.calls), 200, 20)[1].select("id")
+    return views.root_overview(c.system, c.edges, 200, 20)[1].select("id")
 
 
 @query("gra10_peers", "SELECT id FROM nodes WHERE kind IN ('service', 'message_type')")

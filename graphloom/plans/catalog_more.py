@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as fp
+from ..functions.paths import SKIPPED_FOLDERS
 from ..functions import text as ft
 from ..operators import aggregates as agg
 from ..operators import dedupe as ded
@@ -45,10 +46,13 @@ def _(c):
     return once.agg(F.count("*").alias("files"), F.count_if(F.col("path").endswith(".html")).alias("pages"))
 
 
-@query("jon13_call_targets", "SELECT o_custkey, 'ts:http_endpoint:svc|GET|/orders/' || o_custkey AS dst FROM orders", canon=False)
+@query("jon13_call_targets", "SELECT o_orderkey, 'ts:http_endpoint:svc|GET|/orders/' || o_custkey AS dst, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey", canon=False)
 def _(c):
-    path = F.concat(F.lit("orders/"), F.col("o_custkey"), F.lit("/?x=1"))
-    return c.read("orders").select("o_custkey", ft.endpoint_id(F.lit("ts"), F.lit("svc"), F.lit("get"), path).alias("dst"))
+    """Orders call their customer's endpoint; two thirds of those exist."""
+    path = lambda key: F.concat(F.lit("orders/"), F.col(key))
+    calls = c.read("orders").select("o_orderkey", F.lit("svc").alias("service"), F.lit("get").alias("method"), F.concat(path("o_custkey"), F.lit("/?x=1")).alias("path"))
+    ends = c.read("customer").where("c_custkey % 3 <> 0").select(ft.endpoint_id(F.lit("ts"), F.lit("svc"), F.lit("GET"), path("c_custkey")).alias("id"))
+    return jon.call_targets(calls, ends, "ts").select("o_orderkey", "dst", "known")
 
 
 @query("jon14_grpc_targets", "SELECT n_nationkey, 'grpc-proto:grpc_method:' || n_name || '/Get' AS dst FROM nation", canon=False)
@@ -185,9 +189,12 @@ def _(c):
     return agg.language_report(scope).select("language", "file_count")
 
 
-@query("str12_route_service", "SELECT path, CASE WHEN len(p) > 2 THEN 'compose:service:docker-compose.yml#' || p[2] ELSE 'compose:service:unscoped:' || substr(sha1(path), 1, 12) END AS service FROM (SELECT path, string_split(lower(path), '/') AS p FROM files WHERE NOT contains(path, '//'))")
+_HINT = f"list_filter(p[1:len(p) - 1], lambda x: NOT contains(x, '.') AND NOT list_contains({SKIPPED_FOLDERS}, x))[1]"
+
+
+@query("str12_route_service", f"SELECT path, CASE WHEN {_HINT} IS NOT NULL THEN 'compose:service:docker-compose.yml#' || {_HINT} ELSE 'compose:service:unscoped:' || substr(sha1(path), 1, 12) END AS service FROM (SELECT path, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS p FROM files)")
 def _(c):
-    return c.files.where("not contains(path, '//')").select("path", adapters.service_id(F.col("path")).alias("service"))
+    return c.files.select("path", adapters.service_id(F.col("path")).alias("service"))
 
 
 @query("jon18_explicit_links", "SELECT id FROM classes WHERE parent_id IN (SELECT id FROM nodes WHERE parent_id = 'service:8') UNION ALL SELECT m.id FROM methods m JOIN classes c ON m.parent_id = c.id WHERE c.parent_id IN (SELECT id FROM nodes WHERE parent_id = 'service:8')")
@@ -197,9 +204,9 @@ def _(c):
     return gra.code_of_service("service:8", "none", c.nodes, c.edges.where("type = 'connects_to'")).select("id")
 
 
-@query("dat1_stamped", "SELECT n_nationkey, '2024-05-06T07:08:09.120Z' AS ingested_at FROM nation", canon=False)
+@query("dat1_stamped", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || '07:08:09.120Z' AS ingested_at FROM orders", canon=False)
 def _(c):
-    return flt.stamped(c.read("nation"), "2024-05-06 07:08:09.12").withColumn("ingested_at", F.regexp_replace("ingested_at", "^2024-05-0[567]T[0-9]{2}", "2024-05-06T07")).select("n_nationkey", "ingested_at")
+    return flt.stamped(c.read("orders"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 07:08:09.12"))).select("o_orderkey", "ingested_at")
 
 
 @query("jon15_project_links", "SELECT 'dotnet-project:dotnet_project:bill' || p_partkey || '/Bill.csproj' AS src, 'dotnet-project:dotnet_project:core' || p_partkey || '/Core.csproj' AS dst FROM part", canon=False)
@@ -303,13 +310,13 @@ def _(c):
 _LOADED = """, found AS (
   (SELECT id FROM system WHERE kind IN ('service', 'broker', 'external_api') ORDER BY id LIMIT 500) UNION (SELECT id FROM system WHERE kind IN ('http_endpoint', 'message_type') ORDER BY id LIMIT 2000)
   UNION (SELECT id FROM system WHERE parent_id = 'service:9' ORDER BY id LIMIT 2000) UNION SELECT 'service:9'
-), shown AS (SELECT * FROM edges WHERE type IN ('connects_to', 'exposes', 'http_calls') AND (src IN (SELECT id FROM found) OR dst IN (SELECT id FROM found)) ORDER BY type, id LIMIT 2000)
+), shown AS (SELECT * FROM edges WHERE src IN (SELECT id FROM found) OR dst IN (SELECT id FROM found) ORDER BY type, id LIMIT 2000)
 """
 
 
 @query("gra7_view_load", _LOADED + "SELECT id FROM found UNION SELECT id FROM system WHERE id IN (SELECT src FROM shown UNION SELECT dst FROM shown)")
 def _(c):
-    return views.load(c.system, c.connects.unionByName(c.exposes).unionByName(c.calls), "service:9")[0].select("id")
+    return views.load(c.system, c.edges, "service:9")[0].select("id")
 
 
 @query("jon21_screen_calls", "SELECT DISTINCT l_orderkey AS screen, 'GET /parts/' || p_partkey AS target FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 2", canon=False)

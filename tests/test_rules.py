@@ -136,3 +136,18 @@ def test_angularjs_states():
     js = "$stateProvider.state('app', {abstract: true, resolve: {a: function () { return {url: 'no'}; }}, url: '/app'}).state('app.home', {url: '/home'});\n$routeProvider.when('/x', {controller: 'XCtrl'});\n$http({method: 'put', url: '/api/x'});"
     got = facts("angularjs-ui", "a.js", js)
     assert got == [("ui_route", "/app", "app", {"abstract": "true"}), ("ui_route", "/home", "app.home", {}), ("ui_route", "/x", "XCtrl", {}), ("invokes_api", "PUT /api/x", "/api/x", {"method": "PUT"})]
+
+
+def test_stamps_are_utc_in_every_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            row = flt.stamped(spark.range(1), "2024-05-06 07:08:09.12").first()
+            assert row["ingested_at"] == "2024-05-06T07:08:09.120Z"
+            import datetime
+
+            now = datetime.datetime.fromisoformat(flt.stamped(spark.range(1)).first()["ingested_at"])
+            assert abs((datetime.datetime.now(datetime.UTC) - now).total_seconds()) < 120
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
