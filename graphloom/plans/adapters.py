@@ -13,6 +13,7 @@ from ..operators.calls import usage_edges
 from ..operators.dedupe import stable_ids
 from ..operators.joins import resolve_parents
 from ..operators.routes import included_routes
+from ..operators.states import state_urls
 from .lineage import table
 
 NODE = ["id", "parser_id", "kind", "name", "qualified_name", "language", "path", "parent_id", "layer", "http_method", "http_path"]
@@ -236,7 +237,12 @@ def ui(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     folder = F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
     app = F.concat(F.col("parser_id"), F.lit(":ui_app:"), folder)
     id_ = F.concat_ws(":", "parser_id", "fact", "path", F.coalesce("name", F.lit("")))
-    rows = facts.where(F.col("fact").startswith("ui_"))
+    facts = table(facts, "facts")
+    named = state_urls(facts.where("fact = 'ui_route' and attrs['state'] is not null").select(folder.alias("app"), F.col("target").alias("state"), F.col("parent").alias("above"), attr("url").alias("url")))
+    # A state is a route under its whole url; an abstract one is none.
+    rows = facts.where(F.col("fact").startswith("ui_") & (F.coalesce(attr("abstract"), F.lit("")) != "true"))
+    rows = rows.join(named.withColumnsRenamed({"app": "s_app", "state": "s_state"}), (folder == F.col("s_app")) & (attr("state") == F.col("s_state")), "left")
+    rows = rows.withColumn("name", F.when(attr("url").isNotNull(), F.coalesce("full", "name")).otherwise(F.col("name"))).select(facts.columns)
     owners = rows.where(F.col("fact").isin("ui_screen", "ui_component")).groupBy(F.col("path").alias("p")).agg(F.min_by(id_, F.struct("line", "name")).alias("owner"))
     below = rows.join(owners, F.col("path") == F.col("p"), "left").withColumn("above", F.when(F.col("fact").isin("ui_control", "ui_style") & F.col("owner").isNotNull(), F.col("owner")).otherwise(app))
     nodes = union(nodes_of(rows, app, "ui_app", folder, language="ui", layer="ui"), nodes_of(below, id_, F.col("fact"), F.col("name"), language="ui", parent=F.col("above"), layer="ui"))

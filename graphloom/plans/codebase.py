@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import views
 from ..operators.calls import usage_edges, usages
 from ..operators.routes import included_routes
+from ..operators.states import state_urls
 from ..sources.extract import extract
 from . import adapters
 from .canon import Canon
@@ -341,3 +342,27 @@ def _(c):
     files_ = shops.select(_text(path, s=F.col("s")).alias("path"), _text(text, **{k: _each(v) for k, v in pieces.items()}, s=F.col("s")).alias("text"))
     said = lambda k: F.try_element_at("attrs", F.lit(k)).alias(k)
     return extract(files_.repartition(32), "java-http-calls").select("path", said("method"), "target", said("callee"), said("client"))
+
+
+# -- States whose urls go on from their parents' ----------------------------------------------------------------------------
+
+_STATES = (
+    "a{s}/app.js",
+    "angular.module('a{s}', ['ui.router']).config(function ($stateProvider) {\n  $stateProvider.state('root', { abstract: true, url: '/s{s}' })\n{desks}    .state('end', { url: '/end' });\n});\n",
+    {"desks": "    .state('root.desk{n}', { url: '/desk/{n}?page' })\n    .state('root.desk{n}.item', { url: '/:id' })\n    .state('all{n}', { parent: 'root.desk{n}', url: '^/all/{n}' })\n    .state('all{n}.one', { url: '/one' })\n"},
+)
+
+
+@query(
+    "ext30_state_urls",
+    _PAIRS + "SELECT 'a' || s AS app, state, url FROM (SELECT s, unnest(['root.desk' || n, 'root.desk' || n || '.item', 'all' || n, 'all' || n || '.one']) AS state, unnest(['/s' || s || '/desk/' || n, '/s' || s || '/desk/' || n || '/:id', '/all/' || n, '/all/' || n || '/one']) AS url FROM p "
+    "UNION ALL SELECT DISTINCT s, unnest(['root', 'end']), unnest(['/s' || s, '/end']) FROM p)",
+    canon=False,
+)
+def _(c):
+    path, text, pieces = _STATES
+    shops = _pairs(c).groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("desks"))
+    files_ = shops.select(_text(path, s=F.col("s")).alias("path"), _text(text, **{k: _each(v) for k, v in pieces.items()}, s=F.col("s")).alias("text"))
+    facts = extract(files_.repartition(32), "angularjs-ui").where("fact = 'ui_route'")
+    rows = facts.select(F.regexp_extract("path", "^([^/]*)", 1).alias("app"), F.col("target").alias("state"), F.col("parent").alias("above"), F.try_element_at("attrs", F.lit("url")).alias("url"))
+    return state_urls(rows).select("app", "state", F.col("full").alias("url"))

@@ -223,7 +223,7 @@ EXPECTED = {
     "ext30_angularjs_ui": [
         ('old/app.js', 'invokes_api', 'GET /api/start', None, 3, '/api/start', 'method=GET'),
         ('old/app.js', 'ui_module', 'old', None, 1, None, ''),
-        ('old/app.js', 'ui_route', '/start', None, 2, 'start', ''),
+        ('old/app.js', 'ui_route', '/start', None, 2, 'start', 'state=start;url=/start'),
     ],
     "ext31_spa_roots": [
         ('web/package.json', 'spa', 'web', None, 1, 'web', 'framework=react'),

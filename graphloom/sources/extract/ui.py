@@ -67,7 +67,9 @@ def angularjs(path: str, text: str) -> Iterable[Fact]:
             yield fact("ui_route", name, None, None, line, src.string(said("controller") or -1))
         else:
             abstract = src.text(said("abstract") or -1) == "true"
-            yield fact("ui_route", src.string(said("url") or -1) or name, None, name.rpartition(".")[0] or None, line, name, abstract=True if abstract else None)
+            url = src.string(said("url") or -1)
+            above = src.string(said("parent") or -1) or name.rpartition(".")[0] or None
+            yield fact("ui_route", url or name, None, above, line, name, abstract=True if abstract else None, state=name, url=url)
     for i in src.named("$http", "(", "{"):
         url, verb = (src.string(src.member(i + 2, key) or -1) for key in ("url", "method"))
         if url is not None:
