@@ -100,3 +100,33 @@ def detect(files: DataFrame, rules: list[tuple[str, str, str | None]], most: int
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy("path"))).where(F.col("n") <= most)
     picked = first.groupBy("language").agg(F.array_sort(F.collect_list("path")).alias("sample_paths"))
     return counts.join(picked, "language").withColumnRenamed("language", "rule")
+
+
+def job_order(jobs: DataFrame) -> DataFrame:
+    """jobs (parser_id, language or null, artifact_type, file_count) -> with ``place``, from 1: the order in which parsers run.
+
+    Languages come first, by number of files.  Of artifacts compose comes first and openapi last; call sites of gRPC wait for the
+    methods' definitions; else the one of more files goes first, of equals the first by type.  That is the topological
+    order that always takes the job of the most files among those that need not wait.  One row a parser, so one task sorts them.
+    """
+    from pyspark.sql import Window as W
+
+    waits, defines, kind = F.endswith("parser_id", F.lit("grpc-calls")), F.col("parser_id") == "grpc-proto", F.coalesce("artifact_type", "language", "parser_id")
+    rank = F.when(F.col("language").isNotNull(), 0).when(kind == "compose", 1).when((F.col("parser_id") == "openapi") | (kind == "openapi"), 3).otherwise(2)
+    every = W.partitionBy(F.lit(1))
+    defined = F.max(F.when(defines, F.struct("file_count", kind.alias("kind")))).over(every)
+    rows = jobs.withColumns({"_rank": rank, "_kind": kind, "_defined": defined})
+    # A job that would come before what it waits for stands right behind it.
+    held = waits & F.col("_defined").isNotNull() & ((F.col("file_count") > F.col("_defined.file_count")) | ((F.col("file_count") == F.col("_defined.file_count")) & (F.col("_kind") < F.col("_defined.kind"))))
+    held = F.coalesce(held, F.lit(False))
+    order = W.partitionBy(F.lit(1)).orderBy("_rank", F.when(held, F.col("_defined.file_count")).otherwise(F.col("file_count")).desc(), F.when(held, F.col("_defined.kind")).otherwise(F.col("_kind")), held, F.col("file_count").desc(), "_kind", "parser_id")
+    return rows.withColumn("place", F.row_number().over(order)).drop("_rank", "_kind", "_defined")
+
+
+def post_sync_report(files: DataFrame, artifacts: list[tuple[str, str, str | None]], frontends: list[Column], most: int = 5) -> DataFrame:
+    """(part, name, file_count, sample_paths) of files (path, text) after a sync: languages, artifacts by rule (see :func:`detect`), and the
+    languages of frontends, whose detectors are conditions on the path; a file that several of them meet counts for each."""
+    languages = language_report(files, most).select(F.lit("language").alias("part"), F.col("language").alias("name"), "file_count", "sample_paths")
+    found = detect(files, artifacts, most).select(F.lit("artifact").alias("part"), F.col("rule").alias("name"), "file_count", "sample_paths")
+    merged = merged_counts([language_report(files.where(test), most) for test in frontends], most)
+    return languages.unionByName(found).unionByName(merged.select(F.lit("frontend").alias("part"), F.col("language").alias("name"), "file_count", "sample_paths"))

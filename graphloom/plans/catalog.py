@@ -559,9 +559,22 @@ def _(c):
     return ded.current_job(jobs, ["user_id"]).select("user_id", F.col("id").alias("event_id"))
 
 
-@query("srt12_job_order", "SELECT language, file_count FROM (SELECT language, count(*) AS file_count FROM classes GROUP BY 1) ORDER BY file_count DESC, language LIMIT 3")
+_JOBS = ["angular-ui", "angularjs-ui", "appsettings", "bus-kafka", "bus-rabbit", "compose", "cpp", "csharp", "dotnet-api-routes", "dotnet-grpc-calls", "dotnet-http-calls", "dotnet-project", "gradle-project", "grpc-proto", "java", "java-api-routes", "java-grpc-calls", "java-http-calls", "maven-project", "openapi", "python", "python-api-routes", "python-grpc-calls", "python-http-calls", "react-ui", "spa-roots", "spring-config", "ts-api-routes", "ts-grpc-calls", "ts-http-calls", "typescript"]
+_SPOKEN = ["cpp", "csharp", "java", "python", "typescript"]
+
+
+@query(
+    "srt12_job_order",
+    f"""WITH j AS (SELECT {_JOBS}[(p_partkey % 31 + 1)::INT] AS parser_id, sum(p_size)::BIGINT AS n FROM part GROUP BY 1), k AS (SELECT *, list_contains({_SPOKEN}, parser_id) AS spoken FROM j), d AS (SELECT n AS dn FROM j WHERE parser_id = 'grpc-proto'),
+    h AS (SELECT k.*, dn, ends_with(parser_id, 'grpc-calls') AND (n > dn OR n = dn AND parser_id < 'grpc-proto') AS held FROM k LEFT JOIN d ON true)
+    SELECT parser_id, n AS file_count, row_number() OVER (ORDER BY NOT spoken, parser_id <> 'compose' AND NOT spoken, parser_id = 'openapi', CASE WHEN held THEN dn ELSE n END DESC, CASE WHEN held THEN 'grpc-proto' ELSE parser_id END, held, n DESC, parser_id)::INT AS place FROM h""",
+    canon=False,
+)
 def _(c):
-    return c.classes.groupBy("language").agg(F.count("*").alias("file_count")).orderBy(F.col("file_count").desc(), "language").limit(3)
+    """A job for each parser, with as many files as the parts that fall to it are large."""
+    parser = F.element_at(F.array(*map(F.lit, _JOBS)), (F.col("p_partkey") % 31 + 1).cast("int"))
+    jobs = c.read("part").groupBy(parser.alias("parser_id")).agg(F.sum("p_size").alias("file_count"))
+    return agg.job_order(jobs.select("*", F.when(F.col("parser_id").isin(_SPOKEN), F.col("parser_id")).alias("language"), F.col("parser_id").alias("artifact_type"))).select("parser_id", "file_count", "place")
 
 
 # -- set operations ----------------------------------------------------------------------------------------------

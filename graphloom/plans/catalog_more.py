@@ -181,12 +181,30 @@ def _(c):
     return life.prune(rows, done).select("event_id")
 
 
-@query("run11_detection", "SELECT 'html' AS language, count(*) AS file_count FROM files WHERE ends_with(path, '.html') AND path IN (SELECT path FROM elements WHERE id NOT IN (SELECT up.id FROM up JOIN elements e ON e.path = up.a WHERE e.status NOT IN ('auto_found', 'needed', 'found'))) HAVING count(*) > 0")
+_SCOPE = """, scope AS (SELECT f.path, p.html AS text, page_id FROM files f JOIN pages p USING (page_id) WHERE f.path IN (SELECT path FROM elements WHERE id NOT IN (SELECT up.id FROM up JOIN elements e ON e.path = up.a WHERE e.status NOT IN ('auto_found', 'needed', 'found')))
+), named AS (SELECT path, text, CASE page_id % 3 WHEN 0 THEN path || '.ts' WHEN 1 THEN path || '.jsx' ELSE path END AS name_ FROM scope), spoken AS (SELECT name_, CASE WHEN ends_with(name_, '.ts') THEN 'typescript' WHEN ends_with(name_, '.jsx') THEN 'javascript' WHEN ends_with(name_, '.html') THEN 'html' END AS language FROM named
+), front AS (SELECT 'm' AS d, * FROM spoken WHERE starts_with(name_, 'm.') UNION ALL SELECT 'w', * FROM spoken WHERE starts_with(name_, 'www.') UNION ALL SELECT 'e', * FROM spoken WHERE contains(name_, '/en/')
+), head_ AS (SELECT * FROM front QUALIFY row_number() OVER (PARTITION BY d, language ORDER BY name_) <= 5)
+"""
+_FIVE = "array_to_string(list_sort(list(DISTINCT name_))[1:5], ',')"
+
+
+@query(
+    "run11_detection",
+    _SCOPE + f"""SELECT 'language' AS part, language AS name, count(*) AS file_count, {_FIVE} AS samples FROM spoken WHERE language IS NOT NULL GROUP BY language
+    UNION ALL SELECT 'artifact', rule, count(*), {_FIVE} FROM (SELECT name_, unnest(list_filter([CASE WHEN ends_with(name_, '.ts') THEN 'module' END, CASE WHEN contains(name_, '/en/') AND contains(text, 'the ') THEN 'english' END], lambda x: x IS NOT NULL)) AS rule FROM named) GROUP BY rule
+    UNION ALL SELECT 'frontend', language, n, samples FROM (SELECT language, count(*) AS n FROM front WHERE language IS NOT NULL GROUP BY language) JOIN (SELECT language, {_FIVE} AS samples FROM head_ WHERE language IS NOT NULL GROUP BY language) USING (language)""",
+)
 def _(c):
+    """Pages in scope as files of three endings."""
     from ..operators.filters import analysed
 
-    scope = c.files.join(analysed(c.elements).select("path"), "path", "left_semi")
-    return agg.language_report(scope).select("language", "file_count")
+    scope = c.files.join(analysed(c.elements).select("path"), "path", "left_semi").join(c.read("pages").select("page_id", F.col("html").alias("text")), "page_id")
+    ending = F.when(F.col("page_id") % 3 == 0, ".ts").when(F.col("page_id") % 3 == 1, ".jsx").otherwise("")
+    files = scope.select(F.concat("path", ending).alias("path"), "text")
+    fronts = [F.col("path").startswith("m."), F.col("path").startswith("www."), F.contains("path", F.lit("/en/"))]
+    report = agg.post_sync_report(files, [("module", r"\.ts$", None), ("english", "/en/", "the ")], fronts)
+    return report.select("part", "name", "file_count", F.array_join("sample_paths", ",").alias("samples"))
 
 
 _HINT = f"list_filter(p[1:len(p) - 1], lambda x: NOT contains(x, '.') AND NOT list_contains({SKIPPED_FOLDERS}, x))[1]"

@@ -178,3 +178,29 @@ def test_affiliation_prefers_explicit_links(small):
     assert got == {("c1", "path_match"), ("m", "path_match")}
     linked = edges.unionByName(edges.limit(1).withColumns({"id": F.lit("x"), "src": F.lit("c1"), "dst": F.lit("s1")}))
     assert {tuple(r) for r in gra.code_of_service("s1", "s1", nodes, linked).collect()} == {("c1", "explicit")}
+
+
+def test_job_order_is_topological(spark):
+    """Always the job of the most files among those whose predecessors have run."""
+    import random
+
+    from graphloom.operators import aggregates as agg
+
+    r = random.Random(4)
+    ids = ["compose", "openapi", "grpc-proto", "java-grpc-calls", "ts-grpc-calls", "ts-api-routes", "appsettings", "python", "typescript", "bus-kafka"]
+    for _ in range(12):
+        jobs = [(i, i if i in ("python", "typescript") else None, i, r.randrange(1, 6)) for i in r.sample(ids, r.randrange(1, len(ids) + 1))]
+        have = {j[0] for j in jobs}
+
+        def before(a, b):
+            spoken = ("python", "typescript")
+            return (a in spoken) > (b in spoken) or (a not in spoken and b not in spoken and (a == "compose" or b == "openapi" or (a == "grpc-proto" and b.endswith("grpc-calls"))) and a != b and a != "openapi" and b != "compose")
+
+        want, left = [], list(jobs)
+        while left:
+            free = [j for j in left if not any(before(o[0], j[0]) for o in left)]
+            pick = min(free, key=lambda j: (-j[3], j[2]))
+            want.append(pick[0])
+            left.remove(pick)
+        got = agg.job_order(spark.createDataFrame(jobs, "parser_id string, language string, artifact_type string, file_count long")).orderBy("place").collect()
+        assert [x["parser_id"] for x in got] == want and len(have) == len(got)
