@@ -366,3 +366,28 @@ def _(c):
     facts = extract(files_.repartition(32), "angularjs-ui").where("fact = 'ui_route'")
     rows = facts.select(F.regexp_extract("path", "^([^/]*)", 1).alias("app"), F.col("target").alias("state"), F.col("parent").alias("above"), F.try_element_at("attrs", F.lit("url")).alias("url"))
     return state_urls(rows).select("app", "state", F.col("full").alias("url"))
+
+
+# -- Settings of all suppliers: a base and two environments -----------------------------------------------------------------
+
+_BASE = '{"RabbitMq": {"Host": "mq{s}", "Port": 5672, "Password": "p", "Prefix": "v{s}", "RetryCount": 3}, "Redis": {"Url": "redis://u:pw@cache{s}:6379"}, "ConnectionStrings": {"Main": "Host=db{s};Password=x;Provider=Npgsql"}, "Logging": {"Level": "Debug"}, "Api": "https://api{s}.x/v1"}'
+_LAID = {"Production": '{"RabbitMq": {"Host": "prod{s}"}, "Search": {"Url": "http://find{s}:9200", "IndexPrefix": "i{s}"}}', "Staging": '{"RabbitMq": {"Host": "stage{s}"}}'}
+
+
+@query(
+    "ext7_sections",
+    "SELECT s_suppkey, unnest(['RabbitMq', 'Redis', 'ConnectionStrings__Main', 'Api', 'Search']) AS key, unnest(['broker', 'cache', 'database', 'http', 'search']) AS type, unnest(['rabbitmq', 'redis', 'postgresql', NULL, 'elasticsearch']) AS engine, "
+    "unnest(['prod' || s_suppkey || ':5672', 'cache' || s_suppkey, 'db' || s_suppkey, 'api' || s_suppkey || '.x', 'find' || s_suppkey]) AS target, "
+    "unnest(['prod' || s_suppkey || ':5672|Prefix=v' || s_suppkey || '|RetryCount=3', 'cache' || s_suppkey, 'Host=db' || s_suppkey || ';Password=***;Provider=Npgsql', 'https://api' || s_suppkey || '.x/v1', 'find' || s_suppkey || '|IndexPrefix=i' || s_suppkey]) AS value FROM supplier",
+    canon=False,
+)
+def _(c):
+    from ..operators.sections import section_bindings
+    from ..sources.settings import flatten_json
+
+    files_ = None
+    for name, text in ((None, _BASE), *_LAID.items()):
+        part = c.read("supplier").select("s_suppkey", F.lit(name).cast("string").alias("environment"), _text(text, s=F.col("s_suppkey")).alias("content"))
+        files_ = part if files_ is None else files_.unionByName(part)
+    flat = flatten_json(files_.withColumn("scope", F.col("s_suppkey")).drop("s_suppkey"))
+    return section_bindings(flat.select("scope", "environment", "key", "value"), ["Production"]).withColumnRenamed("scope", "s_suppkey")
