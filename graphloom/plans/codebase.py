@@ -391,3 +391,23 @@ def _(c):
         files_ = part if files_ is None else files_.unionByName(part)
     flat = flatten_json(files_.withColumn("scope", F.col("s_suppkey")).drop("s_suppkey"))
     return section_bindings(flat.select("scope", "environment", "key", "value"), ["Production"]).withColumnRenamed("scope", "s_suppkey")
+
+
+# -- Extractors as table functions of SQL -----------------------------------------------------------------------------------
+
+_REFUSED = " UNION ALL SELECT 'base/Base' || r_regionkey || '.cs', '9', 'refused' FROM region"
+
+
+@query("udf5_table_functions", _MEMBERS.replace('AS "from"', "AS member").replace('AS "to"', "AS owner").replace("AS type", "AS kind") + _REFUSED, canon=False)
+def _(c):
+    """Members of all C# files in the second version of the schema; the base classes' files are asked for an unknown one as well."""
+    from ..sources.table_functions import register
+
+    register(c.spark, "csharp")
+    sources = files(c, "csharp").repartition(32)
+    members = c.spark.sql(
+        "SELECT x.qualified_name AS member, x.parent AS owner, x.fact AS kind FROM {files} f, LATERAL extract_csharp(f.path, f.text, '2') x WHERE x.fact IN ('class', 'method', 'property', 'field') "
+        "UNION ALL SELECT x.path, x.name, x.fact FROM (SELECT * FROM {files} WHERE startswith(path, 'base/')) f, LATERAL extract_csharp(f.path, f.text, '9') x",
+        files=sources,
+    )
+    return members.select("member", "owner", "kind")
