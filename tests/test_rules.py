@@ -135,7 +135,7 @@ def test_stubs():
 def test_angularjs_states():
     js = "$stateProvider.state('app', {abstract: true, resolve: {a: function () { return {url: 'no'}; }}, url: '/app'}).state('app.home', {url: '/home'});\n$routeProvider.when('/x', {controller: 'XCtrl'});\n$http({method: 'put', url: '/api/x'});"
     got = facts("angularjs-ui", "a.js", js)
-    assert got == [("ui_route", "/app", "app", {"abstract": "true"}), ("ui_route", "/home", "app.home", {}), ("ui_route", "/x", "XCtrl", {}), ("invokes_api", "PUT /api/x", "/api/x", {"method": "PUT"})]
+    assert got == [("ui_route", "/app", "app", {"abstract": "true", "state": "app", "url": "/app"}), ("ui_route", "/home", "app.home", {"state": "app.home", "url": "/home"}), ("ui_route", "/x", "XCtrl", {}), ("invokes_api", "PUT /api/x", "/api/x", {"method": "PUT"})]
 
 
 def test_stamps_are_utc_in_every_zone(spark):
