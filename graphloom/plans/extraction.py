@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from ..sources.extract import REGISTRY, UNREADABLE, extract
 from . import adapters
 from .golden import EXPECTED
+from .lineage import spread
 from .samples import FILES
 
+#: Parts whose files one task reads.
+PARTS_A_TASK = 2000
+
 #: Query name -> parser id.
 EXTRACTORS = {
     "ext1_typescript": "typescript", "ext2_csharp": "csharp", "ext3_java": "java", "ext4_python": "python", "ext5_cpp": "cpp", "ext6_compose": "compose", "ext7_appsettings": "appsettings", "ext8_openapi": "openapi",
@@ -42,11 +46,16 @@ def _varied(name: str) -> tuple[str, str, str, str]:
     return own if len(own) == 4 else (own[0], own[0] + "{}") * 2
 
 
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey) of all parts, dealt over tasks before their files are made."""
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), PARTS_A_TASK)
+
+
 def files_of_parts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(path, text): the sample files of an extractor once for each part, with the part's key in them."""
     marks, _ = REGISTRY[EXTRACTORS[name]]
     files = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in sorted(FILES.items()) if not marks or p.endswith(marks)])
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), F.explode(files).alias("f"))
+    rows = _keys(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("key"), F.explode(files).alias("f"))
     piece, shown, _, _ = _varied(name)
     return rows.select("f.path", F.replace("f.text", F.lit(piece), F.replace(F.lit(shown), F.lit("{}"), F.col("key"))).alias("text"))
 
@@ -84,10 +93,10 @@ def projects(spark: SparkSession, sf_dir: str, parser_id: str) -> DataFrame:
     """(path, text): for each part a project of its own, the sample files that an extractor reads under folders that carry the part's key."""
     marks, _ = REGISTRY[parser_id]
     files = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in sorted(FILES.items()) if not marks or p.endswith(marks)])
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), F.explode(files).alias("f"))
+    rows = _keys(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("key"), F.explode(files).alias("f"))
     piece, shown = NAMED.get(parser_id, ("\x00", ""))
     path = F.when(F.col("f.path") == COMPOSE_FILE, F.concat(F.lit("p"), "key", F.lit("/" + COMPOSE_FILE))).otherwise(F.regexp_replace("f.path", F.lit(f"^({'|'.join(_folders(parser_id)) or ' '})/"), F.concat(F.lit("$1"), "key", F.lit("/"))))
-    return rows.select(path.alias("path"), F.replace("f.text", F.lit(piece), F.replace(F.lit(shown), F.lit("{}"), F.col("key"))).alias("text")).repartition(32)
+    return rows.select(path.alias("path"), F.replace("f.text", F.lit(piece), F.replace(F.lit(shown), F.lit("{}"), F.col("key"))).alias("text"))
 
 
 def graph_query(parser_id: str) -> Callable[[SparkSession, str], DataFrame]:

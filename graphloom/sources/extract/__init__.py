@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -21,7 +21,10 @@ Fact = dict
 UNREADABLE = "unreadable"
 Extractor = Callable[[str, str], Iterable[Fact]]
 FIELDS = ["fact", "name", "qualified_name", "parent", "line", "target"]
+COLUMNS = ["parser_id", "path", *FIELDS, "attrs"]
 SCHEMA = "parser_id string, path string, fact string, name string, qualified_name string, parent string, line int, target string, attrs map<string,string>"
+#: A task holds the texts of so many files and so many facts at once, however many its batches hold.
+FILES_AT_ONCE, FACTS_AT_ONCE = 64, 8192
 #: parser id -> (languages or file marks, extractor)
 REGISTRY: dict[str, tuple[tuple[str, ...], Extractor]] = {}
 
@@ -44,6 +47,38 @@ def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Facts as one batch; names that a file gives as numbers are texts."""
+    columns = list(zip(*rows, strict=True))
+    kinds = [pa.string() if n not in ("line", "attrs") else pa.int32() if n == "line" else pa.map_(pa.string(), pa.string()) for n in COLUMNS]
+    plain = [[v if v is None or isinstance(v, str) else str(v) for v in c] if k == pa.string() else c for k, c in zip(kinds, columns, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in zip(kinds, plain, strict=True)], names=COLUMNS)
+
+
+def reading(parser_id: str, run: Extractor) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (path, text) -> batches of facts, of bounded size whatever the batches hold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                paths, texts = (c.slice(at, FILES_AT_ONCE).to_pylist() for c in batch.columns)
+                for path, text in zip(paths, texts, strict=True):
+                    try:
+                        found = list(run(path, text or ""))
+                    except Exception as e:  # noqa: BLE001  an unreadable file must not stop the others
+                        found = [fact(UNREADABLE, type(e).__name__, message=e)]
+                    for f in found:
+                        out.append((parser_id, path, *(f[k] for k in FIELDS), list(f["attrs"].items())))
+                        if len(out) == FACTS_AT_ONCE:
+                            yield _batch(out)
+                            out = []
+        if out:
+            yield _batch(out)
+
+    return each
+
+
 def extract(files: DataFrame, parser_id: str) -> DataFrame:
     """(path, text) -> facts of one extractor over the files that it reads."""
     marks, run = REGISTRY[parser_id]
@@ -52,21 +87,7 @@ def extract(files: DataFrame, parser_id: str) -> DataFrame:
         test = files.path.endswith(mark)
         condition = test if condition is None else condition | test
     chosen = files.select("path", "text") if condition is None else files.where(condition).select("path", "text")
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                try:
-                    found = list(run(path, text or ""))
-                except Exception as e:  # noqa: BLE001  an unreadable file must not stop the others
-                    found = [fact(UNREADABLE, type(e).__name__, message=e)]
-                out += [(parser_id, path, *(f[k] for k in FIELDS), f["attrs"]) for f in found]
-            frame = pd.DataFrame(out, columns=["parser_id", "path", *FIELDS, "attrs"])
-            frame["line"] = frame["line"].astype("Int32")
-            yield frame
-
-    return chosen.mapInPandas(each, SCHEMA)
+    return chosen.mapInArrow(reading(parser_id, run), SCHEMA)
 
 
 from . import build, calls, config, java_http, members, react, routes, symbols, ui  # noqa: E402, F401  they register themselves
