@@ -21,6 +21,8 @@ EDGE = ["id", "parser_id", "type", "src", "dst", "path", "layer", "protocol"]
 COMPOSE = "docker-compose.yml"
 Adapter = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 ADAPTERS: dict[str, Adapter] = {}
+#: Parsers whose adapters write the facts themselves.
+WRITTEN = {"python", "cpp", "java", "csharp", "typescript", "python-api-routes", "react-ui", "angular-ui", "angularjs-ui"}
 
 
 def adapter(*parser_ids: str) -> Callable[[Adapter], Adapter]:
@@ -263,4 +265,5 @@ def run(files: DataFrame, parser_id: str) -> tuple[DataFrame, DataFrame]:
     """Extract and adapt in one go: (path, text) -> (nodes, edges)."""
     from ..sources.extract import extract
 
-    return ADAPTERS[parser_id](extract(files, parser_id))
+    facts = extract(files, parser_id)
+    return ADAPTERS[parser_id](facts if parser_id in WRITTEN else table(facts, "facts"))  # nodes and edges ask the facts several times; files are read once

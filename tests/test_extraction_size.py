@@ -4,7 +4,8 @@ import time
 
 import pyarrow as pa
 
-from graphloom.plans import extraction
+from graphloom.plans import adapters, extraction
+from graphloom.plans.samples import FILES
 from graphloom.sources.extract import FACTS_AT_ONCE, FILES_AT_ONCE, REGISTRY, extract, reading
 
 
@@ -17,6 +18,15 @@ def test_parts_are_dealt_over_tasks(spark, tmp_path):
     assert extraction.projects(spark, str(tmp_path), "bus-kafka").rdd.getNumPartitions() == 3
 
 
+def test_adapters_read_files_once(spark):
+    """Nodes and edges ask the facts several times; each time was a run of the extractor."""
+    files = spark.createDataFrame(sorted(FILES.items()), "path string, text string")
+    for parser_id in ("bus-rabbit", "bus-kafka", "openapi", "compose", "spring-config"):
+        for frame in adapters.run(files, parser_id):
+            assert "MapIn" not in frame._jdf.queryExecution().executedPlan().toString()
+            assert frame.count() > 0
+
+
 def test_facts_leave_in_bounded_batches():
     """A batch of many files with many facts is not turned into one frame."""
     text = "".join(f"def f{i}(): pass\n" for i in range(50))
