@@ -98,6 +98,25 @@ def inside_of_code(focus: dict, nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("parent_id") == focus["id"]) & is_code(F.col("kind"), F.coalesce("layer", F.lit(""))))
 
 
+def beyond(core: DataFrame, nodes: DataFrame, touching: DataFrame, layer: str = "system") -> DataFrame:
+    """What edges lead to from the ids of a view's core, whole: node columns with ``_known`` (it is a node) and ``_guess`` (its id's kind).
+    The system layer hides code."""
+    ends = touching.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(core, "id", "left_anti")
+    outer = ends.join(nodes, "id", "left").withColumn("_known", F.col("kind").isNotNull()).withColumn("_guess", stub_kind(F.col("id")))
+    if layer == "system":
+        shown_kind = F.coalesce("kind", "_guess")
+        code = is_code(shown_kind, F.when(F.col("_known"), F.coalesce("layer", F.lit(""))).otherwise(F.lit(""))) | shown_kind.startswith("ui_")
+        outer = outer.where(~code)
+    return outer
+
+
+def externals(core: DataFrame, nodes: DataFrame, edges: DataFrame, layer: str = "system") -> DataFrame:
+    """View nodes of all that one hop from the core (id) reaches: the candidates of which a focused view shows as many as it has room for."""
+    core = core.select("id").distinct()
+    outer = beyond(core, nodes, incident(edges, core), layer)
+    return _view(outer.where("_known").select(nodes.columns), "external", True).unionByName(stubs(outer.where("not _known").select("id")).select(VIEW))
+
+
 def focused(focus_id: str, inside: DataFrame, nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, layer: str = "system") -> tuple[DataFrame, DataFrame]:
     """(view nodes, view edges): the focus, its first insides and, within the budget, what one hop reaches (peers first)."""
     _, most_inside = budget(max_nodes)
@@ -105,12 +124,7 @@ def focused(focus_id: str, inside: DataFrame, nodes: DataFrame, edges: DataFrame
     focus = nodes.where(F.col("id") == focus_id)
     core = focus.select("id").unionByName(kept.select("id"))
     touching = table(incident(edges, core), "touching")
-    ends = touching.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(core, "id", "left_anti")
-    outer = ends.join(nodes, "id", "left").withColumn("_known", F.col("kind").isNotNull()).withColumn("_guess", stub_kind(F.col("id")))
-    if layer == "system":
-        shown_kind = F.coalesce("kind", "_guess")
-        code = is_code(shown_kind, F.when(F.col("_known"), F.coalesce("layer", F.lit(""))).otherwise(F.lit(""))) | shown_kind.startswith("ui_")
-        outer = outer.where(~code)
+    outer = beyond(core, nodes, touching, layer)
     room = max_nodes - core.count()
     outer = table(outer.orderBy(peer_rank(F.coalesce("kind", F.lit(""))), "id").limit(max(room, 0)), "outer")
     known = _view(outer.where("_known").select(nodes.columns), "external", True)

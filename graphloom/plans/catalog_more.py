@@ -131,9 +131,7 @@ def _(c):
 
 @query("gra15_externals", "SELECT id FROM nodes WHERE layer = 'system' AND kind IN ('service', 'message_type') AND id IN (SELECT dst FROM edges WHERE type = 'consumes' UNION SELECT src FROM edges WHERE type = 'exposes')")
 def _(c):
-    inside = c.endpoints
-    shown, _e = views.focused("service:none", inside, c.nodes, c.edges.where("type in ('consumes', 'exposes', 'contains')"), 10**6, 10**6)
-    return shown.where("role = 'external'").select("id")
+    return views.externals(c.endpoints, c.nodes, c.edges.where("type in ('consumes', 'exposes', 'contains')")).select("id")
 
 
 @query(

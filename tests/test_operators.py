@@ -204,3 +204,13 @@ def test_job_order_is_topological(spark):
             left.remove(pick)
         got = agg.job_order(spark.createDataFrame(jobs, "parser_id string, language string, artifact_type string, file_count long")).orderBy("place").collect()
         assert [x["parser_id"] for x in got] == want and len(have) == len(got)
+
+
+def test_all_externals_whatever_a_view_has_room_for(spark):
+    """A view stops at its budget; the candidates don't."""
+    nodes = nodes_of(spark, [(f"http_endpoint:{i}", "http_endpoint", f"s/{i}", "s", "system") for i in range(30)] + [(f"message_type:{i}", "message_type", "m", None, "system") for i in range(60)] + [("class:1", "class", "s/1/C", "http_endpoint:1", "code")])
+    edges = edges_of(spark, [("consumes", f"http_endpoint:{i % 30}", f"message_type:{i}", None) for i in range(60)] + [("contains", "http_endpoint:1", "class:1", None), ("http_calls", "http_endpoint:2", "ghost:external_api:x", None)])
+    inside = nodes.where("kind = 'http_endpoint'")
+    assert ids(views.externals(inside, nodes, edges)) == sorted([f"message_type:{i}" for i in range(60)] + ["ghost:external_api:x"])
+    shown, _ = views.focused("none", inside, nodes, edges, 60, 60)
+    assert shown.count() == 60 and shown.where("role = 'external'").count() < 61
