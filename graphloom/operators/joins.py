@@ -7,22 +7,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestor_paths
+from ..plans.lineage import table
 from ..schema import CODE_KINDS, INSIDE_KINDS, OPEN_ENDED_EDGES, PEER_KINDS
 from .dedupe import element_by_path
 
 
-def _ids(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.select(F.col("id").alias(name)).distinct()
+#: Kinds of ids (what stands before the first colon) that a filter lists at most.
+MOST_KINDS = 200
+
+
+class _Ids:
+    """The distinct ids of nodes, written first: the joins then know their size, so a small set is broadcast and the edges stay where they are."""
+
+    def __init__(self, nodes: DataFrame):
+        self.ids = table(nodes.select("id").where("id is not null").distinct(), "ids")
+        found = self.ids.select(self.kind("id").alias("kind")).distinct().limit(MOST_KINDS + 1).collect()
+        self.kinds = [r["kind"] for r in found] if len(found) <= MOST_KINDS else None
+
+    @staticmethod
+    def kind(name: str) -> Column:
+        return F.regexp_extract(name, "^([^:]*):", 1)
+
+    def at(self, edges: DataFrame, end: str) -> DataFrame:
+        """Edges with an end in the set; those whose end has no kind of the set never reach the join."""
+        near = edges if self.kinds is None else edges.where(self.kind(end).isin(self.kinds))
+        return near.join(self.ids.withColumnRenamed("id", end), end, "left_semi").select(edges.columns)
 
 
 def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with either end in the set: two semi joins, so that no OR reaches a join condition."""
-    return edges.join(_ids(nodes, "src"), "src", "left_semi").unionByName(edges.join(_ids(nodes, "dst"), "dst", "left_semi").select(edges.columns)).dropDuplicates(["id"]).select(edges.columns)
+    ids = _Ids(nodes)
+    return ids.at(edges, "src").unionByName(ids.at(edges, "dst")).dropDuplicates(["id"]).select(edges.columns)
 
 
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends in the set."""
-    return edges.join(_ids(nodes, "src"), "src", "left_semi").join(_ids(nodes, "dst"), "dst", "left_semi").select(edges.columns)
+    """Edges with both ends in the set; both kinds are looked at before the first join."""
+    ids = _Ids(nodes)
+    near = edges if ids.kinds is None else edges.where(ids.kind("dst").isin(ids.kinds))
+    return ids.at(ids.at(near, "src"), "dst")
 
 
 def sound(edges: DataFrame, known: DataFrame) -> DataFrame:

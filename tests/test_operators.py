@@ -214,3 +214,26 @@ def test_all_externals_whatever_a_view_has_room_for(spark):
     assert ids(views.externals(inside, nodes, edges)) == sorted([f"message_type:{i}" for i in range(60)] + ["ghost:external_api:x"])
     shown, _ = views.focused("none", inside, nodes, edges, 60, 60)
     assert shown.count() == 60 and shown.where("role = 'external'").count() < 61
+
+
+def test_small_sets_of_ids_move_no_edges(spark, tmp_path):
+    """The size of a filtered table is not known before it is run; it is known of the ids once written."""
+    kinds = ["service:", "class:", "plain"]
+    nodes = nodes_of(spark, [(f"{k}{i}", "x", f"p{i}", None, "system") for k in kinds for i in range(20)])
+    edges = edges_of(spark, [("t", f"{a}{i}", f"{b}{(i * 7) % 25}", None) for a in kinds for b in kinds for i in range(25)])
+    chosen = nodes.where("path in ('p1', 'p3', 'p7')")
+    own = set(ids(chosen))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = edges.collect()
+    for most in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            assert ids(jon.within(edges, chosen)) == sorted(r["id"] for r in rows if r["src"] in own and r["dst"] in own)
+            assert ids(jon.incident(edges, chosen)) == sorted(r["id"] for r in rows if r["src"] in own or r["dst"] in own)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    wide, ends = str(tmp_path / "nodes"), str(tmp_path / "edges")
+    spark.range(200_000).selectExpr("concat('class:', id) as id", "sha2(cast(id as string), 512) as path").write.parquet(wide)
+    spark.range(200_000).selectExpr("concat('e', id) as id", "concat('class:', id) as src", "concat('class:', sha2(cast(id as string), 256)) as dst").write.parquet(ends)
+    few = spark.read.parquet(wide).where("path like 'ffff%'")
+    assert "SortMergeJoin" not in jon.within(spark.read.parquet(ends), few)._jdf.queryExecution().executedPlan().toString()
