@@ -22,6 +22,17 @@ def attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
 
+def big(df: DataFrame) -> DataFrame:
+    """A table that grows with the code: joined by shuffles. Its files are many times smaller than its rows, and Spark would
+    broadcast it, through the driver, by the files' size."""
+    return df.hint("merge")
+
+
+def key_of(starts: Column) -> Column:
+    """A short key of a list of candidates (hundreds of characters), under which it is joined."""
+    return F.unhex(F.md5(starts))
+
+
 def known_names(facts: DataFrame) -> DataFrame:
     """(alias, qualified): every declared type, function, variable and module under itself, and under each name that re-exports give it; the least if there are several."""
     own = facts.where(F.col("fact").isin(*TYPES, "function", "variable", "module", "namespace")).select(F.col("qualified_name").alias("alias"), F.col("qualified_name").alias("qualified")).distinct()
@@ -32,10 +43,10 @@ def known_names(facts: DataFrame) -> DataFrame:
     given = table(given, "aliases")
     owner, last = F.regexp_extract("alias", r"^(.*)\.[^.]*$", 1), F.regexp_extract("alias", r"([^.]*)$", 1)
     while True:
-        exact = given.where("name <> '*'").join(names, F.col("target") == F.col("alias")).select(F.col("from").alias("alias"), "qualified")
+        exact = given.where("name <> '*'").join(big(names), F.col("target") == F.col("alias")).select(F.col("from").alias("alias"), "qualified")
         inner = names.select("qualified", owner.alias("owner"), last.alias("last")).where("last <> 'default'")
-        every = given.where("name = '*'").join(inner, F.col("target") == F.col("owner")).select(F.concat_ws(".", "from", "last").alias("alias"), "qualified")
-        more = exact.unionByName(every).groupBy("alias").agg(F.min("qualified").alias("qualified")).join(names, "alias", "left_anti")
+        every = given.where("name = '*'").join(big(inner), F.col("target") == F.col("owner")).select(F.concat_ws(".", "from", "last").alias("alias"), "qualified")
+        more = exact.unionByName(every).groupBy("alias").agg(F.min("qualified").alias("qualified")).join(big(names), "alias", "left_anti")
         more = table(more, "aliases")
         if more.isEmpty():
             return names
@@ -43,24 +54,29 @@ def known_names(facts: DataFrame) -> DataFrame:
 
 
 def resolved(mentions: DataFrame, names: DataFrame) -> DataFrame:
-    """mentions (starts) -> (starts, qualified): the first of the candidates that is known; rows for those alone."""
-    listed = mentions.where("starts is not null").distinct().select("starts", F.posexplode(F.split("starts", " ")).alias("at", "alias"))
-    return listed.join(names, "alias").groupBy("starts").agg(F.min_by("qualified", "at").alias("qualified"))
+    """mentions (starts) -> (key, qualified): the first of the candidates that is known; rows for those alone."""
+    listed = mentions.where("starts is not null").distinct().select(key_of(F.col("starts")).alias("key"), F.posexplode(F.split("starts", " ")).alias("at", "alias"))
+    return listed.join(big(names), "alias").groupBy("key").agg(F.min_by("qualified", "at").alias("qualified"))
+
+
+def led(mentions: DataFrame, names: DataFrame, how: str = "inner") -> DataFrame:
+    """mentions (starts, ..) with ``qualified``, the first known of their candidates, and without the candidates."""
+    return mentions.withColumn("key", key_of(F.col("starts"))).drop("starts").join(big(resolved(mentions.select("starts"), names)), "key", how).drop("key")
 
 
 def lineage(facts: DataFrame, names: DataFrame) -> DataFrame:
     """(type, base, depth): each type with itself at 0 and all its bases, at the least depth; a cycle ends where it closes."""
     types = facts.where(F.col("fact").isin(*TYPES, "module")).select(F.col("qualified_name").alias("type")).distinct()
     stated = facts.where("fact in ('inherits', 'implements')").select("qualified_name", attr("starts").alias("starts"))
-    direct = table(stated.join(resolved(stated.select("starts"), names), "starts").select(F.col("qualified_name").alias("t"), F.col("qualified").alias("b")).where("t <> b").distinct(), "bases")
+    direct = table(led(stated, names).select(F.col("qualified_name").alias("t"), F.col("qualified").alias("b")).where("t <> b").distinct(), "bases")
     found = table(types.select("type", F.col("type").alias("base"), F.lit(0).alias("depth")), "lineage")
     level = direct.select(F.col("t").alias("type"), F.col("b").alias("base"), F.lit(1).alias("depth"))
     while True:
-        level = table(level.join(found, ["type", "base"], "left_anti"), "lineage")
+        level = table(level.join(big(found), ["type", "base"], "left_anti"), "lineage")
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-        level = level.join(direct, F.col("base") == F.col("t")).select("type", F.col("b").alias("base"), (F.col("depth") + 1).alias("depth")).distinct()
+        level = level.join(big(direct), F.col("base") == F.col("t")).select("type", F.col("b").alias("base"), (F.col("depth") + 1).alias("depth")).distinct()
 
 
 def usages(facts: DataFrame) -> DataFrame:
@@ -73,22 +89,22 @@ def usages(facts: DataFrame) -> DataFrame:
     names = known_names(facts)
     bases = lineage(facts, names)
     members = facts.where(F.col("fact").isin(MEMBERS)).select(F.col("parent").alias("owner"), "name", F.col("qualified_name").alias("member"), F.col("fact").alias("kind"), attr("type").alias("starts"), attr("params").cast("int").alias("params"))
-    members = members.join(resolved(members.select("starts"), names).withColumnRenamed("qualified", "leads"), "starts", "left").drop("starts").distinct()
+    members = led(members, names, "left").withColumnRenamed("qualified", "leads").distinct()
     members = table(members, "members")
     sites = facts.where("fact = 'call'").select(F.col("qualified_name").alias("caller"), "path", "line", attr("starts").alias("starts"), F.split(attr("steps"), " ").alias("steps"), F.split(attr("types"), " ").alias("types")).distinct()
     sites = table(sites.withColumn("site", F.monotonically_increasing_id()), "sites")
     # Where each chain starts: own type, then the enclosing ones; the bases for super; else the candidates' first known name.
     inside = sites.where("starts = 'self'").select("site", F.posexplode("types").alias("order", "now"))
-    above = sites.where("starts = 'super'").select("site", F.element_at("types", 1).alias("type")).join(bases.where("depth = 1"), "type").select("site", F.lit(0).alias("order"), F.col("base").alias("now"))
-    told = sites.where("starts not in ('self', 'super')").join(resolved(sites.select("starts"), names), "starts").select("site", F.lit(0).alias("order"), F.col("qualified").alias("now"))
+    above = sites.where("starts = 'super'").select("site", F.element_at("types", 1).alias("type")).join(big(bases.where("depth = 1")), "type").select("site", F.lit(0).alias("order"), F.col("base").alias("now"))
+    told = led(sites.where("starts not in ('self', 'super')").select("site", "starts"), names).select("site", F.lit(0).alias("order"), F.col("qualified").alias("now"))
     now = table(inside.unionByName(above).unionByName(told), "chains")
     found, step = [], 0
     plan = sites.select("site", "caller", "path", "line", "steps")
     while not now.isEmpty():
         part = F.try_element_at("steps", F.lit(step + 1))
-        ahead = now.join(plan, "site").select("site", "order", "now", "caller", "path", "line", F.regexp_extract(part, r"^([^(]*)", 1).alias("name"), F.nullif(F.regexp_extract(part, r"\((\d+)\)", 1), F.lit("")).cast("int").alias("args"), (F.size("steps") > step + 1).alias("more"))
-        itself = ahead.where("name = ''").join(members.withColumnRenamed("name", "n"), F.col("now") == F.col("member")).withColumn("depth", F.lit(0))
-        through = ahead.where("name <> ''").join(bases, F.col("now") == F.col("type")).join(members.withColumnRenamed("name", "n"), (F.col("base") == F.col("owner")) & (F.col("name") == F.col("n")))
+        ahead = now.join(big(plan), "site").select("site", "order", "now", "caller", "path", "line", F.regexp_extract(part, r"^([^(]*)", 1).alias("name"), F.nullif(F.regexp_extract(part, r"\((\d+)\)", 1), F.lit("")).cast("int").alias("args"), (F.size("steps") > step + 1).alias("more"))
+        itself = ahead.where("name = ''").join(big(members.withColumnRenamed("name", "n")), F.col("now") == F.col("member")).withColumn("depth", F.lit(0))
+        through = ahead.where("name <> ''").join(big(bases), F.col("now") == F.col("type")).join(big(members.withColumnRenamed("name", "n")), (F.col("base") == F.col("owner")) & (F.col("name") == F.col("n")))
         plain = F.col("kind").isin("method", "function")
         fits = F.when(F.col("args").isNull(), (~plain).cast("int")).otherwise(F.when(F.col("kind").isin("field", "parameter_property"), 0).otherwise(1))
         columns = ["site", "order", "depth", "args", "more", "caller", "path", "line", "member", "leads", "params"]
@@ -102,7 +118,7 @@ def usages(facts: DataFrame) -> DataFrame:
         step += 1
     given = facts.where("fact = 'inject'").select(F.col("qualified_name").alias("from"), "path", "line", attr("starts").alias("starts"))
     kinds = facts.where(F.col("fact").isin(TYPES)).select(F.col("qualified_name").alias("to")).distinct()
-    injected = given.join(resolved(given.select("starts"), names), "starts").select("from", F.col("qualified").alias("to"), F.lit("injects").alias("type"), "path", "line").join(kinds, "to", "left_semi")
+    injected = led(given, names).select("from", F.col("qualified").alias("to"), F.lit("injects").alias("type"), "path", "line").join(big(kinds), "to", "left_semi")
     for part in found:
         injected = injected.unionByName(part)
     return injected.where("from <> to").distinct()

@@ -245,3 +245,12 @@ def test_edges_and_odd_files(spark):
     got = {(r["type"], r["src"], r["dst"]) for r in edges.collect()}
     assert got == {("calls", ids["a.A.f()"], ids["a.B.g()"])}
     assert found(spark, {}, "java") == set()
+
+
+def test_calls_broadcast_no_table_that_grows(spark):
+    """Compressed files of these tables are small; their rows are not, and a broadcast brings them to the driver."""
+    files = {f"shop/S{i}.cs": f"using Desks;\nnamespace Shop;\npublic class S{i} {{\n  private readonly Desk _d;\n  public void Buy() {{ _d.Offer(1).Accept(); }}\n}}\n" for i in range(3)}
+    files["desk/Desk.cs"] = "namespace Desks;\npublic class Desk {\n  public Quote Offer(int k) { return new Quote(); }\n}\npublic class Quote {\n  public void Accept() { }\n}\n"
+    found = usages(extract(spark.createDataFrame(sorted(files.items()), "path string, text string"), "csharp"))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["from"], r["to"]) for r in found.collect()} == {(f"Shop.S{i}.Buy", f"Desks.{t}") for i in range(3) for t in ("Desk.Offer", "Quote.Accept")}
