@@ -430,6 +430,86 @@ def test_shared_passages_against_all_windows(docs_of):
     assert sum(got[i]["class_id"] == c for i, c in classes.items()) >= 58
 
 
+def test_classes_of_one_hash_against_all_passages():
+    """Every two classes of a group, passage by passage as sets: edits at both sides of the middle, repeats, short contents, several groups and sides."""
+    r, least = random.Random(8), compact_windows.LEAST
+    tokens, before, first, last, group, side = [], [], [], [], [], []
+    for g in range(12):
+        base = [r.randrange(1, 10**6) for _ in range(2 * least - 1)]
+        if g % 3 == 2:
+            base = [base[i % 30] for i in range(len(base))]
+        for _ in range(14):
+            own = [*base]
+            for _ in range(r.randrange(3)):
+                at = r.randrange(len(own))
+                own[at : at + r.randrange(6)] = [r.randrange(1, 10**6) for _ in range(r.randrange(6))]
+            low = r.randrange(0, 40)
+            own = own[low : max(low + least, len(own) - r.randrange(20))][: 2 * least - 1]
+            c = min(max(least - 1 - low, len(own) - least, 0), least - 1, len(own) - 1)
+            tokens.append(own)
+            before.append(c)
+            first.append(8 * g + r.randrange(8))
+            last.append(first[-1] if r.randrange(3) else first[-1] + r.randrange(3))
+            group.append(g)
+            side.append(r.randrange(1, 3) if g % 4 == 3 else 0)
+    plain, pairs = {}, set()
+    for x, y in itertools.permutations(range(len(tokens)), 2):
+        if group[x] != group[y] or (side[x] and side[x] == side[y]) or first[x] == last[x] == first[y] == last[y]:
+            continue
+        sets = [[(i - before[k], set(tokens[k][i : i + least])) for i in range(before[k] - least + 1, before[k] + 1) if 0 <= i <= len(tokens[k]) - least] for k in (x, y)]
+        near = [i for i, s in sets[0] if any(len(s & t) >= 0.8 * len(s | t) for _, t in sets[1])]
+        if near and first[x] != first[y]:
+            pairs.add((group[x], first[x], first[y]))
+        if near and first[x] == last[x]:
+            low, high = plain.get(x, (99, -99))
+            plain[x] = (min(low, near[0]), max(high, near[-1] + least - 1))
+    whole = {(a, b) for a, b in zip(first, last, strict=True)}
+
+    def find(links, i):
+        seen = {i}
+        while more := {v for u, v in links | {(v, u) for u, v in links} if u in seen} - seen:
+            seen |= more
+        return min(seen)
+
+    row, low, high, other, links = compact_windows.near_classes([np.array(t, np.uint32).tobytes() for t in tokens], *(np.array(v) for v in (before, first, last, group, side)))
+    got = {}
+    for x, a, b, o in zip(row.tolist(), low.tolist(), high.tolist(), other.tolist(), strict=True):
+        assert o != first[x]
+        if first[x] == last[x]:
+            got[x] = (min(a, got.get(x, (99, -99))[0]), max(b, got.get(x, (99, -99))[1]))
+    assert got == plain and len(plain) > 30
+    reach = lambda links: {frozenset(i for i in range(99) if find(links, i) == k) for k in {find(links, i) for i in range(99)}}
+    assert reach({(u, v) for u, v in links.tolist()} | whole) == reach({(u, v) for _, u, v in pairs} | whole)
+
+
+def test_passages_near_others_of_their_hash_only(docs_of, monkeypatch):
+    """Sixty texts around one line; in pairs they share more of what stands beside it, with one word changed. Each finds the other, at any size of parts."""
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line, rows = fresh(14), []
+    for k in range(30):
+        left, right = fresh(25), fresh(25)
+        for i in (2 * k, 2 * k + 1):
+            words_ = [*left, *line, *right]
+            words_[3 if i % 2 else 60] = "edit"
+            rows.append((i, " ".join([*fresh(10), *words_, *fresh(10)])))
+    truth, classes = plain_passages({i: t.split(" ") for i, t in rows})
+    found = lambda: {x["doc_id"]: (x["class_id"], x["n_dup_words"]) for x in compact_windows.repeated_passages(docs_of(rows)).collect()}
+    got = found()
+    assert got == {i: (c, truth[i]) for i, c in classes.items()} and all(c == i - i % 2 for i, c in classes.items())
+    monkeypatch.setattr(compact_windows, "PART", 8)
+    assert found() == got
+
+
+def test_one_word_more_in_whole_texts(docs_of):
+    """Two texts of 50 words, one with a word more inside and one less at its end: near as wholes, on no diagonal of 50 words."""
+    words_ = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words_)), (2, " ".join([*words_[:4], "more", *words_[4:49]]))]
+    assert plain_passages({i: t.split(" ") for i, t in rows})[1] == {1: 1, 2: 1}
+    got = {x["doc_id"]: x for x in compact_windows.repeated_passages(docs_of(rows)).collect()}
+    assert [got[i]["class_id"] for i in (1, 2)] == [1, 1] and got[2]["n_dup_words"] == 50
+
+
 # -- language model ----------------------------------------------------------------------------------------------
 
 
