@@ -1,5 +1,6 @@
 """Extraction of many and of long files: tasks, batches, and work that grows with the files."""
 
+import ast
 import time
 
 import pyarrow as pa
@@ -7,6 +8,7 @@ import pyarrow as pa
 from graphloom.plans import adapters, extraction
 from graphloom.plans.samples import FILES
 from graphloom.sources.extract import FACTS_AT_ONCE, FILES_AT_ONCE, REGISTRY, extract, reading
+from graphloom.sources.extract.pytree import nodes_of, source_of
 
 
 def test_parts_are_dealt_over_tasks(spark, tmp_path):
@@ -66,3 +68,14 @@ def test_java_addresses_take_time_by_length():
 
     took(20)
     assert took(320) < 24 * min(took(40) for _ in range(3))
+
+
+def test_trees_of_python_files_are_walked_at_once():
+    """The walk gives the nodes of ``ast.walk`` in its order, without operators and contexts, and dotted names are those of ``ast.unparse``."""
+    text = "import a.b as c\nfrom . import d\nx: c.E = c.f(1, *y, k=[-z[0], (yield)])[1:2].g\nasync def h(p: int = 3, *q, r=None, **s) -> None:\n    async with t.u(v=f'{x!r:>{w}}') as i, j:\n        return not x and {k: 1 < 2 + l for k in m if n}\nmatch o:\n    case {'a': [1, *_]} | None:\n        pass\n"
+    texts = [text, "", *(t for p, t in FILES.items() if p.endswith(".py") and not p.startswith("broken"))]
+    uses = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
+    for tree in map(ast.parse, texts):
+        assert nodes_of(tree) == [n for n in ast.walk(tree) if not isinstance(n, uses)]
+        assert all(source_of(n) == ast.unparse(n) for n in ast.walk(tree) if isinstance(n, ast.expr))
+    assert source_of(ast.parse("a(1).b.c", mode="eval").body) == "a(1).b.c"
