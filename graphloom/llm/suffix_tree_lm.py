@@ -33,6 +33,7 @@ from .scratch import forget, table, tidy
 
 LEAST_COUNT, LEAST_GAIN, LEAST_ENTRY, SMOOTHING = 4, 6.0, 2.0, 2.0
 BITS, CACHE = 27, 1 << 18
+SHELF_BITS = 18
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 4 << 20
 
@@ -69,12 +70,40 @@ def longer(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return tx.mix(context * np.uint64(0xD6E8FEB86659FD93) + tail)
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted value in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct key the place of one that is equal, and how many are; an order of equal keys is not asked for, so it need not be stable."""
+    order = np.argsort(keys)
+    heads = np.flatnonzero(_heads(keys[order]))
+    return order[heads], np.diff(np.append(heads, len(keys)))
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def shelves(keys: np.ndarray) -> np.ndarray:
+    """Where the sorted keys of each of 2**SHELF_BITS equal spans begin, and the end: keys are hashes, so a span has a few."""
+    spans = np.arange(1 << SHELF_BITS, dtype=np.uint64) << np.uint64(64 - SHELF_BITS)
+    return np.append(np.searchsorted(keys, spans), len(keys)).astype(np.int32)
+
+
+def find(keys: np.ndarray, begins: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted value in the sorted keys with their shelves, or -1."""
+    out = np.full(len(wanted), -1)
+    shelf = (wanted >> np.uint64(64 - SHELF_BITS)).astype(np.int64)
+    at, end = begins[shelf], begins[shelf + 1]
+    left = np.flatnonzero(at < end)
+    at, end, wanted = at[left], end[left], wanted[left]
+    while len(left):
+        hit = keys[at] == wanted
+        out[left[hit]] = at[hit]
+        at += 1
+        more = np.flatnonzero(~hit & (at < end))
+        left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+    return out
 
 
 def bitmaps(keys: DataFrame, *marks: Column) -> list[np.ndarray]:
@@ -137,7 +166,7 @@ def _count(rows: DataFrame, length: int, contexts: np.ndarray, tails: np.ndarray
                 keys = next(runs)
             context = np.concatenate(([np.uint64(0)], keys[:-1])) if len(keys) else keys
             at = np.flatnonzero((t.place >= length) & may_hold(sent.value[0], context) & may_hold(sent.value[1], keys))
-            _, first, n = np.unique(next(runs)[at], return_index=True, return_counts=True)
+            first, n = grouped(next(runs)[at])
             yield pa.RecordBatch.from_arrays([_signed(context[at[first]]), _signed(keys[at[first]]), pa.array(n.astype(np.int64))], names=["context", "tail", "n"])
 
     counted = rows.mapInArrow(run, "context long, tail long, n long").groupBy("context", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
@@ -226,12 +255,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rare = tree.where(F.floor(4 * F.log2("n")) < bound)
     order = np.argsort(_unsigned(cached.column("key")))
     cache = [_unsigned(cached.column("key"))[order], *(cached.column(c).to_numpy()[order] for c in ("word", "base", "more"))]
+    cache.insert(1, shelves(cache[0]))
     sent = rows.sparkSession.sparkContext.broadcast((cache, *bitmaps(rare, F.lit(True))))
     names = [x.split()[0] for x in ASKED.split(", ")]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text a row of its own, with the sums over cached keys, and one for each other key that may be in the tree."""
-        (keys, is_word, base_of, more_of), bits = sent.value
+        (keys, begins, is_word, base_of, more_of), bits = sent.value
         task = TaskContext.get()
         for number, block in enumerate(tx.blocks(batches, "text", BLOCK_BYTES)):
             name = ((task.partitionId() if task else 0) << 32) | number  # the same when a lost task runs again
@@ -242,7 +272,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for length in range(depth + 1):  # words, then runs of one word more whose context may be in the tree
                 run = next(runs)
                 live = np.flatnonzero(t.place >= length) if length < 2 else np.flatnonzero((t.place >= length) & np.append(False, found[:-1]))
-                at = find(keys, run[live])
+                at = find(keys, begins, run[live])
                 hit, text = at >= 0, t.text[live]
                 for i, of in enumerate((is_word, base_of, more_of)):
                     sums[i] += np.bincount(text[hit], of[at[hit]], minlength=n)
@@ -256,9 +286,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             no_key = _signed(tx.mix((np.uint64(name) << np.uint64(20)) + row.astype(np.uint64)))  # spreads these rows; of no account whatever it meets, as times is 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(row), no_key, pa.array(np.zeros(n, np.int64)), own], names=names)
             text, key = (np.concatenate(x) for x in zip(*asked, strict=True))
-            order = np.lexsort((key, text))
+            order = np.argsort(key + text.astype(np.uint64) * np.uint64(tx.BASE))  # equal rows follow each other; should others come between, times are told in two rows
             text, key = text[order], key[order]
-            new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            new = np.flatnonzero(_heads(text, key))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), name)), pa.array(text[new].astype(np.int32)), _signed(key[new]), pa.array(np.diff(np.append(new, len(key)))), pa.nulls(len(new), OWN)], names=names)
 
     met = rows.mapInArrow(local, ASKED).join(rare.select("key", "word", "base", "more").hint("shuffle_hash"), "key", "left").where("word is not null or times = 0")

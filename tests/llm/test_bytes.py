@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from graphloom.llm import compact_windows as cw
 from graphloom.llm import suffix_dedup as sd
+from graphloom.llm import suffix_tree_lm
 from graphloom.llm import text as tx
 
 
@@ -114,3 +115,24 @@ def test_alike_spans(shift):
     spans = cw.alike_spans(a, np.roll(b, shift) if shift else b)
     assert spans and spans[0][1] - spans[0][0] >= 46
     assert cw.alike_spans(a, r.integers(0, 1 << 32, 200, dtype=np.uint32)) == []
+
+
+def test_bytes_are_classed_as_told():
+    every = np.arange(256, dtype=np.uint8)
+    assert tx.lowered(every).tobytes() == bytes(range(256)).lower()
+    assert np.flatnonzero(tx.spaces(every)).tolist() == [9, 10, 11, 12, 13, 32]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_suffix_tree_lookups(n):
+    """Keys found by shelves are those found by a search of all, also where many keys or none share a shelf; groups are those of a stable sort."""
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.concatenate((rng.integers(0, 1 << 64, n, np.uint64), np.arange(n, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(n, dtype=np.uint64))))
+    wanted = np.concatenate((keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 50, np.uint64)))
+    at = suffix_tree_lm.find(keys, suffix_tree_lm.shelves(keys), wanted)
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert at.tolist() == [place.get(k, -1) for k in wanted.tolist()]
+    rows = wanted[rng.integers(0, len(wanted), 2 * n)]
+    first, times = suffix_tree_lm.grouped(rows)
+    uniq, count = np.unique(rows, return_counts=True)
+    assert rows[first].tolist() == uniq.tolist() and times.tolist() == count.tolist()
