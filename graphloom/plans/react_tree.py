@@ -66,9 +66,10 @@ def tree(facts: DataFrame, endpoints: DataFrame | None = None) -> tuple[DataFram
 
     nodes: id, kind, name, path, parent_id, signature; edges: id, type, src, dst, path.  endpoints: (method, template, endpoint), known ends of
     calls; calls of others lead to a hint node of their own.  Applications without a route are left out.  Of routes of
-    one key the first by file and line stays; a screen of several routes hangs below the first of them.
+    one key the first by file and line stays; a screen of several routes hangs below the first of them.  Facts are written once, by their
+    kind; nodes and edges are not, since many ask for one of the two only.
     """
-    facts = table(facts.select("path", "fact", "name", "qualified_name", "line", "target", "attrs"), "facts")
+    facts = table(facts.select("path", "fact", "name", "qualified_name", "line", "target", "attrs"), "facts", by="fact")
     of = lambda kind: facts.where(F.col("fact") == kind)
     files = of("ui_file").select("path").distinct()
     roots = of("ui_package").select(F.col("target").alias("dir"), "name")
@@ -194,4 +195,4 @@ def tree(facts: DataFrame, endpoints: DataFrame | None = None) -> tuple[DataFram
         return out
 
     all_edges = union(edges).withColumn("id", fit_id(F.concat(F.lit(f"{PARSER}:"), "type", F.lit(":"), "src", F.lit("->"), "dst")))
-    return table(union(nodes).dropDuplicates(["id"]), "ui_nodes"), table(all_edges.dropDuplicates(["id"]), "ui_edges")
+    return union(nodes).dropDuplicates(["id"]), all_edges.dropDuplicates(["id"])

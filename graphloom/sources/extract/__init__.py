@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import sys
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -23,6 +24,7 @@ Extractor = Callable[[str, str], Iterable[Fact]]
 FIELDS = ["fact", "name", "qualified_name", "parent", "line", "target"]
 COLUMNS = ["parser_id", "path", *FIELDS, "attrs"]
 SCHEMA = "parser_id string, path string, fact string, name string, qualified_name string, parent string, line int, target string, attrs map<string,string>"
+_TEXTS = {str, type(None)}
 #: A task holds the texts of so many files and so many facts at once, however many its batches hold.
 FILES_AT_ONCE, FACTS_AT_ONCE = 64, 8192
 #: parser id -> (languages or file marks, extractor)
@@ -49,10 +51,16 @@ def line_of(text: str, at: int) -> int:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     """Facts as one batch; names that a file gives as numbers are texts."""
-    columns = list(zip(*rows, strict=True))
-    kinds = [pa.string() if n not in ("line", "attrs") else pa.int32() if n == "line" else pa.map_(pa.string(), pa.string()) for n in COLUMNS]
-    plain = [[v if v is None or isinstance(v, str) else str(v) for v in c] if k == pa.string() else c for k, c in zip(kinds, columns, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in zip(kinds, plain, strict=True)], names=COLUMNS)
+    *columns, attrs = zip(*rows, strict=True)
+    arrays = []
+    for name, column in zip(COLUMNS, columns, strict=False):
+        if name != "line" and not _TEXTS.issuperset(map(type, column)):
+            column = [v if v is None or isinstance(v, str) else str(v) for v in column]
+        arrays.append(pa.array(column, pa.int32() if name == "line" else pa.string()))
+    ends = [0, *accumulate(map(len, attrs))]
+    keys, values = ([pair[at] for own in attrs for pair in own] for at in (0, 1))
+    arrays.append(pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())))
+    return pa.RecordBatch.from_arrays(arrays, names=COLUMNS)
 
 
 def reading(parser_id: str, run: Extractor) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
