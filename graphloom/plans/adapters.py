@@ -223,12 +223,12 @@ def grpc_calls(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 @adapter("react-ui")
-def react(facts: DataFrame, endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The trees of all React applications; endpoints: (method, template, endpoint), known ends of their calls."""
+def react(facts: DataFrame, endpoints: DataFrame | None = None, kinds: list[str] | None = None, app: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The trees of all React applications, or of one; endpoints: (method, template, endpoint), known ends of their calls; kinds: nodes that are asked, all if not given."""
     from .react_tree import tree
 
     null = F.lit(None).cast("string")
-    nodes, edges = tree(facts, endpoints)
+    nodes, edges = tree(facts, endpoints, kinds, app)
     fixed = {"parser_id": F.lit("react-ui"), "qualified_name": F.coalesce("signature", "name"), "language": F.lit("ui"), "layer": F.lit("ui"), "http_method": null, "http_path": null}
     return nodes.withColumns(fixed).select(NODE), edges.withColumns({"parser_id": F.lit("react-ui"), "layer": F.lit("ui"), "protocol": null}).select(EDGE)
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import sys
+from functools import partial
 from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -42,7 +44,7 @@ def extractor(parser_id: str, *marks: str) -> Callable[[Extractor], Extractor]:
 
 
 def fact(what: str, name: str | None = None, qualified_name: str | None = None, parent: str | None = None, line: int | None = None, target: str | None = None, **attrs) -> Fact:
-    return {"fact": what, "name": name, "qualified_name": qualified_name, "parent": parent, "line": line, "target": target, "attrs": {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in attrs.items() if v is not None}}
+    return {"fact": what, "name": name, "qualified_name": qualified_name, "parent": parent, "line": line, "target": target, "attrs": {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in attrs.items() if v is not None} if attrs else attrs}
 
 
 def line_of(text: str, at: int) -> int:
@@ -68,6 +70,7 @@ def reading(parser_id: str, run: Extractor) -> Callable[[Iterator[pa.RecordBatch
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        fields = itemgetter(*FIELDS)
         for batch in batches:
             for at in range(0, batch.num_rows, FILES_AT_ONCE):
                 paths, texts = (c.slice(at, FILES_AT_ONCE).to_pylist() for c in batch.columns)
@@ -77,7 +80,7 @@ def reading(parser_id: str, run: Extractor) -> Callable[[Iterator[pa.RecordBatch
                     except Exception as e:  # noqa: BLE001  an unreadable file must not stop the others
                         found = [fact(UNREADABLE, type(e).__name__, message=e)]
                     for f in found:
-                        out.append((parser_id, path, *(f[k] for k in FIELDS), list(f["attrs"].items())))
+                        out.append((parser_id, path, *fields(f), f["attrs"].items()))
                         if len(out) == FACTS_AT_ONCE:
                             yield _batch(out)
                             out = []
@@ -87,9 +90,11 @@ def reading(parser_id: str, run: Extractor) -> Callable[[Iterator[pa.RecordBatch
     return each
 
 
-def extract(files: DataFrame, parser_id: str) -> DataFrame:
-    """(path, text) -> facts of one extractor over the files that it reads."""
+def extract(files: DataFrame, parser_id: str, kinds: list[str] | None = None) -> DataFrame:
+    """(path, text) -> facts of one extractor over the files that it reads; kinds: only those facts, for extractors that can be asked for some."""
     marks, run = REGISTRY[parser_id]
+    if kinds is not None:
+        run = partial(run, asked=frozenset(kinds))
     condition = None
     for mark in marks:
         test = files.path.endswith(mark)

@@ -1,8 +1,10 @@
 """React applications: the JSX parser, and trees of small repositories with wrappers, nested routes, helpers and flows."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.plans import codebase
+from graphloom.plans import codebase, react_tree
+from graphloom.plans.canon import Canon
 from graphloom.plans.react_tree import tree
 from graphloom.sources.extract import REGISTRY, extract
 from graphloom.sources.extract.jsx import Jsx
@@ -125,3 +127,51 @@ def test_work_of_a_file():
 @pytest.mark.parametrize("text, names", [("f<A>(b)", []), ("return<A />", ["A"]), ("x=<A />", ["A"]), ("/* a */<A />", ["A"]), ("// f<B\n<A />", ["A"]), ("a<b>c</b>", []), ("<></>", [""]), ("typeof<A />", [])])
 def test_what_opens_an_element(text, names):
     assert [e.name for e in Jsx(text).elements] == names
+
+
+APPS = {
+    "fe/package.json": '{"name": "a", "dependencies": {"react": "18"}}',
+    "fe/src/router.tsx": "import { P } from '../../be/src/P';\nimport { Q } from './Q';\nconst r = [{ path: '/', element: <P /> }, { path: '/q', element: <Q /> }];\n",
+    "fe/src/Q.tsx": "import { load } from './api/q';\nimport './q.css';\nexport const Q = () => <form><input name='q' /><Link to='/' /><b onClick={load} /></form>;\n",
+    "fe/src/api/q.ts": "export const load = () => { fetch('/q'); };\n",
+    "fe/src/components/x/X.tsx": "export const X = 1;\n",
+    "be/package.json": '{"name": "b", "dependencies": {"react": "18"}}',
+    "be/src/router.tsx": "import { P } from './P';\nconst r = [{ path: '/', element: <P /> }];\n",
+    "be/src/P.tsx": "import { load } from '../../fe/src/api/q';\nexport const P = () => { fetch('/p'); return <ReactFlow><button name='go' /></ReactFlow>; };\n",
+    "be/src/ChangesConfirm.tsx": "export const c = 1;\n",
+}
+
+
+def test_only_facts_that_are_asked():
+    """The extractor found all facts of a file whatever was asked of it."""
+    _, run = REGISTRY["react-ui"]
+    for asked in (react_tree.ROUTE_FACTS, react_tree.PART_FACTS, ["ui_style", "ui_navigation"]):
+        for path, text in APPS.items():
+            assert list(run(path, text, asked=frozenset(asked))) == [f for f in run(path, text) if f["fact"] in asked]
+
+
+def test_only_nodes_that_are_asked(spark):
+    """Some kinds, or one application, are what the whole trees hold of them."""
+    facts = extract(spark.createDataFrame(sorted(APPS.items()), "path string, text string"), "react-ui")
+    rows = lambda pair: [sorted(map(repr, df.collect())) for df in pair]
+    whole = [df.localCheckpoint() for df in tree(facts)]
+    kinds = ["ui_route", "ui_screen"]
+    nodes = whole[0].where(F.col("kind").isin(kinds))
+    ids = [r["id"] for r in nodes.select("id").collect()]
+    assert len(ids) == 6
+    edges = whole[1].where(F.col("src").isin(ids) & F.col("dst").isin(ids))
+    assert rows(tree(facts, kinds=kinds)) == rows((nodes, edges))
+    assert rows(tree(extract(spark.createDataFrame(sorted(APPS.items()), "path string, text string"), "react-ui", react_tree.ROUTE_FACTS), kinds=kinds))[0] == rows((nodes,))[0]
+    below = lambda column, app: F.col(column).rlike(f"^react-ui:ui_[a-z]+:{app}(/|$)")
+    for app in ("fe", "be"):
+        one, its_edges = tree(facts, app=app)
+        assert rows((one.where(below("id", app)), its_edges)) == rows((whole[0].where(below("id", app)), whole[1].where(below("src", app))))
+        assert one.where(~below("id", app)).where("not startswith(id, 'react-ui:api_hint:')").isEmpty()
+
+
+def test_texts_are_made_where_they_are_read(spark):
+    """Suppliers and their desks were joined again for each of seven kinds of files, and the files' texts shuffled."""
+    made = codebase.app_files(Canon(spark, "/root/testdata/sf0.001"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "Union" not in plan and plan.count("FileScan parquet") == plan.count("FileScan parquet [s#") == 1
+    assert made.count() == made.select("path").distinct().count() > 0
