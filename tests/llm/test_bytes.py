@@ -50,6 +50,47 @@ def test_cartesian_spans(values, least):
     assert sorted(got) == want
 
 
+def test_spans_of_many_texts_at_once():
+    """Each text was read by calls of its own, once for each hash function: 330 calls or so a text."""
+    import cProfile
+    import pstats
+
+    r = random.Random(4)
+    hashes = [np.array([r.choice([0, 3, 2**32 - 1, r.randrange(2**32)]) << 32 for _ in range(r.choice([2, 5, 6, 40]))], np.uint64) for _ in range(60)]
+    apart = np.concatenate([[len(h) < 5] * len(h) + [True] * 4 for h in hashes])
+    joined = np.concatenate([np.append(h, np.full(4, 2**63, np.uint64)) for h in hashes])
+    starts = np.cumsum([0, *(len(h) + 4 for h in hashes)])
+    want = [(c + at, l + at, x + at) for h, at in zip(hashes, starts, strict=False) for c, l, x in zip(*(v.tolist() for v in cw.cartesian_spans(h, 5)), strict=True)]
+    assert list(zip(*(v.tolist() for v in cw.cartesian_spans(joined, 5, apart)), strict=True)) == want and len(want) > 100
+
+    texts = [" ".join(str(r.randrange(99)) for _ in range(r.choice([0, 1, 49, 50, 120]))) for _ in range(200)]
+    batch = pa.record_batch({"id": pa.array(range(200), pa.int64()), "text": texts})
+    with cProfile.Profile() as made:
+        found = pa.Table.from_batches(cw._windows(iter([batch])))
+    assert pstats.Stats(made).total_calls < 20 * len(texts)
+    alone = [pa.Table.from_batches(cw._windows(iter([batch.slice(i, 1)]))) for i, t in enumerate(texts) if len(t.split()) >= 50]
+    rows = lambda t: sorted(zip(*(t.column(n).to_pylist() for n in ("content", "id", "c", "before", "behind", "told")), strict=True))
+    held = lambda t: [x for x in rows(t) if x[-1] != 1]
+    assert {x[:-1] for x in held(found)} == {x[:-1] for t in alone for x in held(t)}
+
+
+def test_shared_labels_of_two_passages():
+    """Sums over rectangles give what sets give, with labels that repeat or stand in one side alone."""
+    r = np.random.default_rng(5)
+    a, b = r.integers(-20, 400, (24, cw.WIDE)).astype(np.int32), r.integers(-20, 400, (24, cw.WIDE)).astype(np.int32)
+    for x in range(0, 24, 2):  # half of the pairs without repeats, some aligned, some shifted
+        a[x] = r.permutation(cw.WIDE * 2)[: cw.WIDE] - 20
+        b[x] = np.roll(a[x], x) if x % 4 else r.permutation(a[x])
+    repeats = np.array([any(len(set(own)) < len(own) for own in (p[p > 0].tolist(), q[q > 0].tolist())) for p, q in zip(a, b, strict=True)])
+    assert 8 <= repeats.sum() <= 12
+    both, least = cw._both(a, b, repeats), cw.LEAST
+    for x in range(24):
+        p, q = ([{v for v in side[x][i : i + least].tolist() if v > 0} for i in range(least)] for side in (a, b))
+        assert both[:, :, x].tolist() == [[len(s & t) for t in q] for s in p]
+    counted = a > 0
+    assert cw._distinct(cw._before(a), counted).tolist() == [[len({v for v in row[i : i + least] if v > 0}) for i in range(least)] for row in a.tolist()]
+
+
 def brute(texts):
     seen, out = set(), {}
     for i, t in texts:
