@@ -170,7 +170,7 @@ def test_only_nodes_that_are_asked(spark):
 
 
 def test_texts_are_made_where_they_are_read(spark):
-    """Suppliers and their desks were joined again for each of seven kinds of files, and the files' texts shuffled."""
+    """The plan joined suppliers and their desks again for each of seven kinds of files, and the files' texts shuffled."""
     made = codebase.app_files(Canon(spark, "/root/testdata/sf0.001"))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "Union" not in plan and plan.count("FileScan parquet") == plan.count("FileScan parquet [s#") == 1
